@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from causeway.llm import mixing, sharding
+from causeway.llm import linededup, mixing, packing, sharding
 
 QUERIES = {
+    "op2_line_dedup": linededup.query,
+    "op3_packing": packing.query,
     "op6_size_tiered_sharding": sharding.query,
     "op9_curriculum_mixing": mixing.query,
 }
 
 ORACLES = {
+    "op2_line_dedup": linededup.SQL,
     "op9_curriculum_mixing": mixing.SQL,
 }
