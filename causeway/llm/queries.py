@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from causeway.llm import linededup, mixing, packing, sharding
+from causeway.llm import fingerprints, linededup, mixing, neardup, packing, quality, sharding
 
 QUERIES = {
+    "op1_minhash_neardup": neardup.query,
     "op2_line_dedup": linededup.query,
     "op3_packing": packing.query,
+    "op5_quality_rules": quality.query,
     "op6_size_tiered_sharding": sharding.query,
     "op9_curriculum_mixing": mixing.query,
+    "op10_piecewise_fingerprints": fingerprints.query,
 }
 
 ORACLES = {
