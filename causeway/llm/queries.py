@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from causeway.llm import fingerprints, linededup, mixing, neardup, packing, quality, sharding
+from causeway.llm import fingerprints, linededup, mixing, neardup, packing, quality, sharding, vectors
 
 QUERIES = {
     "op1_minhash_neardup": neardup.query,
     "op2_line_dedup": linededup.query,
     "op3_packing": packing.query,
+    "op4_embedding_range_join": vectors.query,
     "op5_quality_rules": quality.query,
     "op6_size_tiered_sharding": sharding.query,
     "op9_curriculum_mixing": mixing.query,
@@ -16,5 +17,6 @@ QUERIES = {
 
 ORACLES = {
     "op2_line_dedup": linededup.SQL,
+    "op4_embedding_range_join": vectors.SQL,
     "op9_curriculum_mixing": mixing.SQL,
 }
