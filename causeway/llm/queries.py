@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from causeway.llm import fingerprints, linededup, mixing, neardup, packing, quality, sharding, vectors
+from causeway.llm import ctw, fingerprints, linededup, mixing, neardup, packing, quality, sharding, vectors
 
 QUERIES = {
     "op1_minhash_neardup": neardup.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_embedding_range_join": vectors.query,
     "op5_quality_rules": quality.query,
     "op6_size_tiered_sharding": sharding.query,
+    "op7_context_tree_weighting": ctw.query,
     "op9_curriculum_mixing": mixing.query,
     "op10_piecewise_fingerprints": fingerprints.query,
 }
