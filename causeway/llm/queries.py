@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from causeway.llm import ctw, fingerprints, linededup, mixing, neardup, packing, quality, sharding, vectors
+from causeway.llm import chat, ctw, fingerprints, linededup, mixing, neardup, packing, quality, sharding, vectors
 
 QUERIES = {
     "op1_minhash_neardup": neardup.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_quality_rules": quality.query,
     "op6_size_tiered_sharding": sharding.query,
     "op7_context_tree_weighting": ctw.query,
+    "op8_transcript_roles": chat.query,
     "op9_curriculum_mixing": mixing.query,
     "op10_piecewise_fingerprints": fingerprints.query,
 }
