@@ -19,6 +19,7 @@ table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -32,7 +33,9 @@ from causeway.llm.common import bounds, runs, table
 LENGTH = 1024
 GROUP_DOCS = 1024
 SEPARATOR = 0
-CACHE = 300_000
+LONG = 1_000_000
+#: How byte-level BPE splits a text into pieces (fixed value).
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def default_tokenizer() -> str:
@@ -42,11 +45,14 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Token ids as little-endian 16-bit bytes.
-
-    The pre-tokenizer always splits before a single space between two other
-    characters, so the piece between two such spaces is encoded once and kept.
-    Texts with another spacing are encoded whole.
+    """Token ids, as the ``tokenizers`` library gives them for a file, as
+    little-endian 16-bit bytes.
+
+    For byte-level BPE whose ids are the merges' ranks, the same merges are run
+    by tiktoken, which takes a quarter of the time and gives equal ids (the tests
+    compare both on random Unicode). Other files, and texts beyond ``LONG``
+    characters, whose white space could exhaust its pattern matcher, are left to
+    ``tokenizers``.
     """
 
     def __init__(self, path: str):
@@ -57,34 +63,35 @@ class Encoder:
         self.tok.encode_special_tokens = True
         if self.tok.get_vocab_size() > 1 << 16:
             raise ValueError("ids need more than two bytes")
-        self.known: dict[str, bytes | None] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = [t.split(" ") for t in texts]
-        new = {p for ps in parts for p in ps[1:]} - self.known.keys()
-        if len(self.known) + len(new) > CACHE:
-            self.known = {}
-            new = {p for ps in parts for p in ps[1:]}
-        odd = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
-        self.known.update(dict.fromkeys(odd))
-        good = list(new - odd)
-        self.known.update(zip(good, self._ids([" " + p for p in good])))
-        whole, out = [], []
-        for i, (t, ps) in enumerate(zip(texts, parts)):
-            got = [self.known[p] for p in ps[1:]]
-            if None in got or got and ps[0][-1:].isspace() or got and not ps[0]:
-                whole.append(i)
-                out.append(b"")
-            else:
-                out.append(b"".join(got))
-        first = self._ids([texts[i] for i in whole] + [ps[0] for ps in parts])
-        for i, x in zip(whole, first):
-            out[i] = x
-        skip = set(whole)
-        return [x if i in skip else f + x for i, (x, f) in enumerate(zip(out, first[len(whole) :]))]
+        ranks = byte_ranks(path)
+        self.fast = None
+        if ranks:
+            import tiktoken
+
+            self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def __call__(self, text: str) -> bytes:
+        if self.fast is None or len(text) > LONG:
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        return np.array(self.fast.encode_ordinary(text), "<u2").tobytes()
+
+
+def byte_ranks(path: str) -> dict[bytes, int] | None:
+    """The file's vocabulary as bytes, if it is plain byte-level BPE in rank order."""
+    with open(path, encoding="utf-8") as f:
+        doc = json.load(f)
+    model, split = doc["model"], doc.get("pre_tokenizer") or {}
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and doc.get("normalizer") is None
+    if not plain or model.get("type") != "BPE" or model.get("dropout") or model.get("ignore_merges"):
+        return None
+    # byte-level files write printable bytes as themselves and the others from U+0100 on
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(own))}
+    vocab = model["vocab"]
+    merges = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    if any(vocab.get(m) != 256 + i for i, m in enumerate(merges)) or any(c not in byte for t in vocab for c in t):
+        return None
+    return {bytes(byte[c] for c in t): i for t, i in vocab.items()}
 
 
 _encoders: dict[str, Encoder] = {}
@@ -94,11 +101,11 @@ def _tokenize(path: str, length: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
                 tokens, crcs, rest = [], [], []
-                for ids in enc(["" if t is None else t for t in batch.column("text").to_pylist()]):
-                    ids += np.array([SEPARATOR], "<u2").tobytes()
+                for text in batch.column("text").to_pylist():
+                    ids = enc(text or "") + np.array([SEPARATOR], "<u2").tobytes()
                     n = len(ids) // 2
                     full = n // length
                     wide = np.frombuffer(ids, "<u2", full * length).astype("<u4").tobytes()
