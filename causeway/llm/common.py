@@ -1,42 +1,17 @@
-"""Helpers shared by the operators: cutting lineage, numpy views of Arrow
-text, word hashing, streamed groups and connected components.
+"""Helpers shared by the operators: numpy views of Arrow text, word hashing, streamed groups and connected components.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-U64 = np.uint64
-
-
-# --------------------------------------------------------------- lineage
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, ``spark.checkpoint.dir``.
-
-    Only where the setting is absent (local tests) a temporary folder is made.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="causeway-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+from causeway.functions.lineage import cut, shared_dir  # noqa: F401 - the operators take them from here
 
-
-def cut(df: DataFrame, what: str) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it back.
-
-    The result has no lineage beyond the files, so losing an executor costs
-    one read, and loops do not grow their plans.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+U64 = np.uint64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
