@@ -186,7 +186,7 @@ def closure_reasons(spark, sf):
 
 @query("shortest_path_hops", f"""WITH RECURSIVE {SQL_EVENTS},
 p(a, b, d) AS (SELECT src, dst, 1 FROM ee UNION SELECT p.a, ee.dst, p.d + 1 FROM p JOIN ee ON ee.src = p.b WHERE p.d < 5)
-SELECT x.key AS a, y.key AS b, coalesce(min(p.d), 0) AS hops FROM en x, en y LEFT JOIN p ON p.a = x.id AND p.b = y.id AND x.id <> y.id WHERE x.key = 'view' GROUP BY x.key, y.key""".replace("FROM en x, en y LEFT JOIN p", "FROM en x CROSS JOIN en y LEFT JOIN p"))
+SELECT x.key AS a, y.key AS b, coalesce(min(p.d), 0)::BIGINT AS hops FROM en x, en y LEFT JOIN p ON p.a = x.id AND p.b = y.id AND x.id <> y.id WHERE x.key = 'view' GROUP BY x.key, y.key""".replace("FROM en x, en y LEFT JOIN p", "FROM en x CROSS JOIN en y LEFT JOIN p"))
 def shortest_path_hops(spark, sf):
     """Hops from one event type to each of the others, on a cyclic graph."""
     g = D.event_graph(spark, sf)
@@ -224,7 +224,7 @@ _ALLOWED = "SELECT DISTINCT dst AS at, src AS dest FROM f WHERE method IN ('sour
 def policy_slice(spark, sf):
     """What depends on region 0 by complete first-hand evidence; method and
     state must hold for one record."""
-    g = D.supply(spark, sf)
+    g = D.supply(spark, sf, stored=True)
     reasons, _, _ = policy.traverse(g, REGION, _POLICY)
     return _with_kind(g, reasons, "depth")
 
@@ -232,7 +232,7 @@ def policy_slice(spark, sf):
 @query("policy_stop_kinds", _reach_sql("SELECT dst AS at, src AS dest FROM e WHERE dst NOT IN (SELECT id FROM n WHERE kind = 'customer')", REGION_SQL, 6))
 def policy_stop_kinds(spark, sf):
     """Customers are reached but not passed."""
-    g = D.supply(spark, sf)
+    g = D.supply(spark, sf, stored=True)
     reasons, _, _ = policy.traverse(g, REGION, policy.TraversalPolicy(direction="in", stop_node_kinds=("customer",), max_nodes=1 << 40))
     return _with_kind(g, reasons, "depth")
 
@@ -240,7 +240,7 @@ def policy_stop_kinds(spark, sf):
 @query("policy_node_kinds", _reach_sql("SELECT dst AS at, src AS dest FROM e WHERE src IN (SELECT id FROM n WHERE kind IN ('nation', 'supplier', 'part'))", REGION_SQL, 6))
 def policy_node_kinds(spark, sf):
     """Only nodes of three kinds may be entered; the start is exempt."""
-    g = D.supply(spark, sf)
+    g = D.supply(spark, sf, stored=True)
     reasons, _, _ = policy.traverse(g, REGION, policy.TraversalPolicy(direction="in", node_kinds=("nation", "supplier", "part"), max_nodes=1 << 40))
     return _with_kind(g, reasons, "depth")
 
@@ -271,7 +271,7 @@ h AS (SELECT x.id AS e1, y.id AS e2, x.dst AS mid, y.dst AS last FROM a x JOIN a
 SELECT 1 AS hop, e1 AS edge_id, mid AS node FROM h UNION ALL SELECT 2, e2, last FROM h""")
 def policy_explain(spark, sf):
     """Why supplier 1 depends on its region, by complete evidence."""
-    g = D.supply(spark, sf)
+    g = D.supply(spark, sf, stored=True)
     start = node_id_of("tpch", "supplier", "1")
     region = traverse.closure(g, start, "out", ["belongs-to"]).nodes.join(g.nodes.where("kind = 'region'").select("id"), "id").first().id
     hops = policy.explain(g, start, region, policy.TraversalPolicy(states=("complete",)))
@@ -293,7 +293,7 @@ def glob_match(spark, sf):
 _RULES = ("*", "src1*/**", "**/en/**", "/moved/**", "src3/fr/*")
 
 
-@query("rule_effective", f"WITH t AS ({SQL_TREE['B']}), m AS (" + " UNION ALL ".join(f"SELECT path, {i} AS ord, '{p}' AS pattern FROM t WHERE regexp_matches(path, '{glob_regex(p)}')" for i, p in enumerate(_RULES)) + ") SELECT path, ord, pattern, ord = max(ord) OVER (PARTITION BY path) AS effective FROM m")
+@query("rule_effective", f"WITH t AS ({SQL_TREE['B']}), m AS (" + " UNION ALL ".join(f"SELECT path, {i}::BIGINT AS ord, '{p}' AS pattern FROM t WHERE regexp_matches(path, '{glob_regex(p)}')" for i, p in enumerate(_RULES)) + ") SELECT path, ord, pattern, ord = max(ord) OVER (PARTITION BY path) AS effective FROM m")
 def rule_effective(spark, sf):
     """All matching path rules, of which the last is effective."""
     return rules.match_rules(D.document_tree(spark, sf).select("path"), list(enumerate(_RULES)))
@@ -576,7 +576,7 @@ def json_props(spark, sf):
 
 @query("view_layout", f"""WITH RECURSIVE {SQL_EVENTS}, b AS (SELECT src AS x, dst AS y FROM ee UNION SELECT dst, src FROM ee),
 r(id, d) AS (SELECT {sql_nid("'type'", "'view'", 'events')}, 0 UNION SELECT b.y, r.d + 1 FROM r JOIN b ON b.x = r.id WHERE r.d < 5), m AS (SELECT id, min(d) AS d FROM r GROUP BY id)
-SELECT id, 260 * d AS x, 110 * (row_number() OVER (PARTITION BY d ORDER BY id) - 1) AS y FROM m""")
+SELECT id, (260 * d)::BIGINT AS x, 110 * (row_number() OVER (PARTITION BY d ORDER BY id) - 1) AS y FROM m""")
 def view_layout(spark, sf):
     """Columns by distance from a root, rows by id."""
     from causeway.view import layout

@@ -67,10 +67,13 @@ def supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("kind", *ends, none.alias("edge_key"), none.alias("metadata"), _proof(F.col("method"), F.col("state")).alias("provenance"))
 
 
-def supply(spark: SparkSession, sf_dir: str) -> Graph:
-    """The supply graph, assembled; its tables are written once and read by each
-    question put to it."""
+def supply(spark: SparkSession, sf_dir: str, stored: bool = False) -> Graph:
+    """The supply graph, assembled. Questions that read its tables several times
+    have them ``stored``; for others the plan stays open, so that filters and
+    columns reach the scans and unused evidence is never gathered."""
     g = build(supply_nodes(spark, sf_dir), supply_edges(spark, sf_dir), check=False)
+    if not stored:
+        return g
     return Graph(cut(g.nodes, "nodes"), cut(g.edges, "edges"), g.diagnostics)
 
 
