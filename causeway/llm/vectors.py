@@ -32,7 +32,7 @@ from causeway.llm.common import bounds, components, cut, local_components, runs,
 
 COSINE = 0.98
 PIVOTS = 16
-BLOCK = 2048
+BLOCK = 8192
 #: cosines are compared with this slack where only candidates are chosen
 SLACK = 1e-6
 
@@ -56,9 +56,10 @@ def _assign(pivots: dict[tuple[int, int], np.ndarray], radius: float):
             for key in sorted(set(zip(label.tolist(), size.tolist()))):
                 own = batch.filter(pa.array((label == key[0]) & (size == key[1])))
                 x, p = unit(own.column("v")), pivots[key]
-                d = np.sqrt(np.maximum(0, 2 - 2 * x @ p.T))
-                home = d.argmin(axis=1)
-                near = d <= d[np.arange(len(x)), home][:, None] + 2 * radius + SLACK
+                d2 = 2 - 2 * x @ p.T
+                home = d2.argmin(axis=1)
+                apart = np.sqrt(np.maximum(0, 2 - 2 * p @ p.T))
+                near = d2 - d2[np.arange(len(x)), home][:, None] <= 2 * radius * apart[home] + SLACK
                 row, cell = np.nonzero(near)
                 out = own.take(pa.array(row))
                 cols = [out.column(c) for c in ("label", "size", "id", "copies", "v")]
