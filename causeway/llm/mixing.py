@@ -30,7 +30,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
 TILT = 0.5
-BUCKET_ROWS = 2000
+BUCKET_ROWS = 400
 
 
 def n_words(text: str) -> Column:
