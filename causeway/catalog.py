@@ -10,8 +10,7 @@ from causeway import demo_tables as D
 from causeway.demo_tables import SQL_CHAT, SQL_EVENTS, SQL_SUPPLY, SQL_TREE, load, nid, sql_eid, sql_nid
 from causeway.functions.identity import evidence, node_id, node_id_of
 from causeway.functions.lineage import cut
-from causeway.functions.paths import ancestors, glob_regex, matches, parent
-from causeway.functions.schema import NODE_FACTS
+from causeway.functions.paths import glob_regex, matches
 from causeway.operators import graph as G, ingest, overlay, plugin, policy, relations, rules, traverse, xrepo
 from causeway.plans import incremental
 from causeway.sources import store

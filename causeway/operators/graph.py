@@ -146,7 +146,9 @@ def pin(g: Graph, ref: str, commit: str | None, repository_kind: str = "reposito
         return p.withField("ref", F.lit(ref)).withField("commit", F.when(p.commit.isNotNull(), F.lit(commit)))
 
     nodes = g.nodes.withColumn("provenance", F.transform("provenance", moved))
-    patched = F.to_json(F.map_concat(F.map_filter(F.from_json("metadata", "map<string,string>"), lambda k, v: k != "commit"), F.create_map(F.lit("commit"), F.lit(commit))))
+    # a repository's metadata is a flat object of strings; keys stay in order
+    kept = F.map_filter(F.from_json("metadata", "map<string,string>"), lambda k, v: k != "commit")
+    patched = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.map_concat(kept, F.create_map(F.lit("commit"), F.lit(commit)))))))
     nodes = nodes.withColumn("metadata", F.when((F.col("kind") == repository_kind) & F.col("metadata").isNotNull(), patched).otherwise(F.col("metadata")))
     edges = g.edges.withColumn("provenance", F.transform("provenance", moved))
     return Graph(nodes, edges, g.diagnostics.withColumn("provenance", F.when(F.col("provenance").isNotNull(), moved(F.col("provenance")))))
@@ -161,7 +163,7 @@ def totals(g: Graph) -> DataFrame:
     )
 
 
-def has_partial_evidence(g: Graph) -> Column | DataFrame:
+def has_partial_evidence(g: Graph) -> DataFrame:
     """One row (partial): any diagnostic, or evidence that is not complete."""
     partial = F.exists("provenance", lambda p: p.state != "complete")
     rows = g.nodes.select(partial.alias("x")).unionByName(g.edges.select(partial.alias("x"))).unionByName(g.diagnostics.select(F.lit(True).alias("x")))

@@ -8,7 +8,7 @@ from causeway.functions.identity import coordinate_key, node_id
 from causeway.functions.lineage import cut
 from causeway.operators.traverse import MAX_DEPTH
 
-COORDINATES = "repograph:coordinates"  # fixed value: part of coordinate identities
+COORDINATES = "causeway:coordinates"  # the namespace of coordinate nodes
 
 
 def outcomes(mappings: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -43,11 +43,14 @@ def dangling(artifacts: DataFrame, refs: DataFrame) -> DataFrame:
 
 def inventory(artifacts: DataFrame, refs: DataFrame) -> DataFrame:
     """(artifacts, bytes, unreferenced, manifests, missing_refs)."""
-    used = refs.select("key").distinct().withColumn("used", F.lit(1))
-    a = artifacts.join(used, "key", "left").agg(F.count("*").alias("artifacts"), F.coalesce(F.sum(F.octet_length("payload")), F.lit(0)).cast("long").alias("bytes"), F.count_if(F.col("used").isNull()).alias("unreferenced"))
-    have = artifacts.select("key", F.lit(1).alias("there"))
-    r = refs.join(have, "key", "left").agg(F.count_distinct("manifest").alias("manifests"), F.count_if(F.col("there").isNull()).alias("missing_refs"))
-    return a.join(r, how="cross")  # one row each
+    used, have = refs.select("key", F.lit(1).alias("used")).distinct(), artifacts.select("key", F.lit(1).alias("there"))
+    none = F.lit(None)
+    a = artifacts.join(used, "key", "left").select(F.octet_length("payload").cast("long").alias("bytes"), F.col("used").isNull().alias("loose"), none.cast("string").alias("manifest"), none.cast("boolean").alias("lost"))
+    r = refs.join(have, "key", "left").select(none.cast("long").alias("bytes"), none.cast("boolean").alias("loose"), "manifest", F.col("there").isNull().alias("lost"))
+    return a.unionByName(r).agg(
+        F.count("loose").alias("artifacts"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes"), F.count_if("loose").alias("unreferenced"),
+        F.count_distinct("manifest").alias("manifests"), F.count_if("lost").alias("missing_refs"),
+    )
 
 
 def corrupt(artifacts: DataFrame) -> DataFrame:
@@ -128,12 +131,10 @@ class Store:
         those manifests go."""
         kept = self.refs if retain is None else self.refs.where(retain)
         gone = unreferenced(self.artifacts, kept)
-        keys = self.spark.createDataFrame(gone.toArrow()) if dry_run else None
         if dry_run:
-            return keys
-        listed = self.artifacts.join(kept.select("key"), "key", "left_anti").select("key")
+            return gone
         out = f"{self.root}/removed/{uuid.uuid4().hex}"
-        listed.write.parquet(out)
+        gone.write.parquet(out)
         self._switch("artifacts", self.artifacts.join(kept.select("key").distinct(), "key", "left_semi").select("key", "content", "kind", "schema", "payload", "payload_hash"))
         self._switch("refs", kept)
         return self.spark.read.schema("key string").parquet(out)

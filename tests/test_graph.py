@@ -98,6 +98,8 @@ def test_pin_sets_a_commit_only_where_one_was(spark):
     g = graph(spark, [("file", "a", None, [proof(commit="old")]), ("file", "b")], [])
     got = {r.key: (r.provenance[0].ref, r.provenance[0].commit) for r in G.pin(g, "v1", "new").nodes.collect()}
     assert got == {"a": ("v1", "new"), "b": ("v1", None)}
+    g = graph(spark, [("repository", ".", '{"a":"x","commit":"old","z":"y"}'), ("file", "b", '{"commit":"old"}')], [])
+    assert {r.key: r.metadata for r in G.pin(g, "v1", "new").nodes.collect()} == {".": '{"a":"x","commit":"new","z":"y"}', "b": '{"commit":"old"}'}
 
 
 def test_partial_evidence(spark):
