@@ -40,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from causeway.llm.common import U64, bounds, components, cut, local_components, mix, partitions, runs, shingle_sets, table, text_bytes
+from causeway.llm.common import U64, bounds, components, cut, local_components, mix, runs, shingle_sets, table, text_bytes
 
 KEY_ROWS = 4096
 BLOCK_DOCS = 1024

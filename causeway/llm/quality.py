@@ -27,7 +27,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from causeway.llm.common import LOWER, U64, chunks, cut, mix, table, text_bytes, words
+from causeway.llm.common import chunks, cut, mix, table, text_bytes, words
 
 SAMPLE_ROWS = 20_000
 TREES, DEPTH, LASSO = 20, 3, 0.0005
