@@ -35,7 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
-from causeway.llm.common import U64, bounds, cut, mix, partitions, runs, table, text_bytes
+from causeway.llm.common import U64, bounds, cut, mix, partitions, runs, table, text_bytes, wrapped
 
 MIN_CHARS = 10
 SHARD_KEYS = 16384
@@ -205,23 +205,28 @@ def _rebuild(min_chars: int):
     return rebuild
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with the text rebuilt, and _n_lines and _n_dropped.
-
-    A document that loses nothing keeps its text as it is, null included.
-    """
+def rebuilt(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(row, text, n_lines, n_dropped): each row of ``docs`` as a struct, with its
+    new text. A document that loses nothing keeps its text as it is, null included."""
     gone = drops(docs, min_chars)
-    joined = docs.withColumn("_doc", F.coalesce("doc_id", F.lit(_LAST))).join(gone.withColumnRenamed("doc", "_doc"), "_doc", "left")
-    new = _rebuild(min_chars)(F.when(F.col("gone").isNotNull(), F.col("text")), "gone")
-    lines = F.regexp_count(F.coalesce("text", F.lit("")), F.lit("\n")) + 1
-    out = joined.withColumn("_new", new).withColumn("_n_lines", lines.cast("long"))
-    cols = [F.coalesce("_new.text", "text").alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return out.select(*cols, "_n_lines", F.coalesce("_new.n_dropped", F.lit(0)).alias("_n_dropped"))
+    joined = wrapped(docs).withColumn("doc", F.coalesce("row.doc_id", F.lit(_LAST))).join(gone, "doc", "left")
+    new = _rebuild(min_chars)(F.when(F.col("gone").isNotNull(), F.col("row.text")), "gone")
+    lines = F.regexp_count(F.coalesce("row.text", F.lit("")), F.lit("\n")) + 1
+    out = joined.withColumn("new", new)
+    return out.select("row", F.coalesce("new.text", "row.text").alias("text"), lines.cast("long").alias("n_lines"), F.coalesce("new.n_dropped", F.lit(0)).alias("n_dropped"))
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``docs`` with the new texts, the same columns; a column ``n_chars`` follows
+    the text."""
+    out = rebuilt(docs, min_chars)
+    new = {"text": F.col("text"), "n_chars": F.coalesce(F.length("text").cast("long"), F.col("row.n_chars").cast("long")) if "n_chars" in docs.columns else None}
+    return out.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    out = rebuilt(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 SQL = """

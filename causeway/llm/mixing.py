@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from causeway.llm.common import cut, table
+from causeway.llm.common import cut, table, wrapped
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -145,6 +145,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     each pass that takes it, and is left out if neither does.
     """
     plan = mix(docs.select("doc_id", "text", "source")).select("doc_id", (F.signum("first_words") + F.signum("second_words")).cast("int").alias("copies"), "position").where("copies > 0")
-    plan = plan.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    out = docs.join(plan, docs.doc_id.eqNullSafe(plan._id))
-    return out.withColumn("_copy", F.explode(F.expr("sequence(1, _copies)"))).select(*docs.columns)
+    plan = plan.groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    rows = wrapped(docs)
+    out = rows.join(plan, rows["row.doc_id"].eqNullSafe(plan.doc_id))
+    return out.withColumn("copy", F.explode(F.expr("sequence(1, copies)"))).select("row.*")

@@ -13,7 +13,7 @@ Defined cases: null and empty texts have statistics of 0 and are scored like
 any other; several labels of one document are averaged; null labels are not
 learned from; with no labelled documents, or labels of one kind only, the score
 is the label mean (0.5 without labels); an empty table gives an empty result;
-extra columns pass through ``score_documents`` untouched.
+extra columns stay in ``row`` untouched.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from causeway.llm.common import chunks, cut, mix, table, text_bytes, words
+from causeway.llm.common import chunks, cut, mix, table, text_bytes, words, wrapped
 
 SAMPLE_ROWS = 20_000
 TREES, DEPTH, LASSO = 20, 3, 0.0005
@@ -165,13 +165,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> E
     return Ensemble(float(lasso.intercept), [(r, float(w)) for r, w in zip(rules, lasso.coefficients.toArray()) if w])
 
 
-def score_documents(docs: DataFrame, model: Ensemble) -> DataFrame:
-    """``docs`` with _score."""
-    return docs.withColumn("_s", _stats("text")).withColumn("_score", model.score(lambda s: F.col(f"_s.{s}"))).drop("_s")
+def scored(docs: DataFrame, model: Ensemble) -> DataFrame:
+    """(row, score): each row of ``docs`` as a struct, with its score."""
+    stats = wrapped(docs).withColumn("s", _stats("row.text"))
+    return stats.select("row", model.score(lambda s: F.col(f"s.{s}")).alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels"))
-    out = score_documents(docs, model)
-    return out.select("doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
+    out = scored(docs, model)
+    return out.select("row.doc_id", held_out("row.doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

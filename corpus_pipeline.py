@@ -16,15 +16,12 @@ from causeway.llm.common import cut, table
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score of at least ``quality.THRESHOLD``."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score_documents(docs, model).where(F.col("_score") >= quality.THRESHOLD).select(*docs.columns)
+    return quality.scored(docs, model).where(F.col("score") >= quality.THRESHOLD).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that an earlier document holds."""
-    out = linededup.dedup_lines(docs)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
-    return out.select(*docs.columns)
+    return linededup.dedup_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -156,15 +156,14 @@ def brute_lines(rows):
 
 
 def test_line_dedup(docs, rows, nothing):
-    out = linededup.dedup_lines(docs)
-    assert set(docs.columns) < set(out.columns)
-    assert {r.doc_id: (r._n_lines, r._n_dropped, r.text or "") for r in out.collect()} == brute_lines(rows)
-    assert linededup.dedup_lines(nothing).count() == 0
+    out = linededup.rebuilt(docs)
+    assert {r.row.doc_id: (r.n_lines, r.n_dropped, r.text or "") for r in out.collect()} == brute_lines(rows)
+    assert linededup.dedup_lines(docs).columns == docs.columns and linededup.dedup_lines(nothing).count() == 0
 
 
 def test_hot_lines_are_salted(spark):
     rows = [(i, f"the same line everywhere\nown line {i:09}") for i in range(3000)]
-    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("_n_dropped = 1").count()
+    got = linededup.rebuilt(spark.createDataFrame(rows, "doc_id long, text string")).where("n_dropped = 1").count()
     assert got == 2999
 
 
@@ -227,7 +226,7 @@ def test_vectors(spark):
         v = base[i % 12] + rng.normal(size=8) * rng.choice([0, 0.05, 0.12])
         rows.append((i, [float(x) for x in v * rng.uniform(0.5, 2)], i % 2))
     rows += [(200 + i, rows[3][1], 1) for i in range(5)] + [(300, None, 1), (301, [0.0] * 8, 1), (302, [float("nan")] * 8, 1), (303, [None] * 8, 1), (304, rows[3][1], None), (305, [float("inf")] * 8, 0), (306, [1.0, 2.0], 1), (307, [1.0, 2.0], 1), (308, [], 1)]
-    found = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), pivots=4).collect()
+    found = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), pivot_rows=12).collect()
     ok = [(i, np.array(v) / np.linalg.norm(v), c) for i, v, c in rows if v and c is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)]
     links = defaultdict(set)
     for a, x, c in ok:
@@ -259,14 +258,14 @@ def test_quality(spark):
     df = spark.createDataFrame([*rows, (900, None), (901, "")], "doc_id long, text string").withColumn("_s2", quality.F.lit(1))
     lab = spark.createDataFrame([*labels, (0, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     model = quality.fit(df, lab)
-    out = {r.doc_id: r._score for r in quality.score_documents(df, model).collect()}
+    out = {r.row.doc_id: r.score for r in quality.scored(df, model).collect()}
     assert set(out) == {r[0] for r in rows} | {900, 901} and all(0 <= s <= 1 for s in out.values())
     held = [(out[i], y) for i, y, _ in labels if zlib.crc32(str(i).encode()) % 5 == 0]
     assert len(held) > 80 and np.mean([(s >= 0.3) == y for s, y in held]) > 0.97
     assert out[900] == out[901]
     none = quality.fit(df, lab.where("false"))
-    assert quality.score_documents(df, none).first()._score == pytest.approx(0.5)
-    assert quality.score_documents(df.where("false"), model).count() == 0
+    assert quality.scored(df, none).first().score == pytest.approx(0.5)
+    assert quality.scored(df.where("false"), model).count() == 0
 
 
 def test_tree_paths():
