@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from causeway.llm.common import bounds, components, cut, local_components, runs, table
 
 COSINE = 0.98
-PIVOTS = 16
+PIVOT_ROWS = 2000
+MOST_PIVOTS = 1 << 16
 BLOCK = 8192
 #: cosines are compared with this slack where only candidates are chosen
 SLACK = 1e-6
@@ -55,6 +56,10 @@ def _assign(pivots: dict[tuple[int, int], np.ndarray], radius: float):
             label, size = batch.column("label").to_numpy(), batch.column("size").to_numpy()
             for key in sorted(set(zip(label.tolist(), size.tolist()))):
                 own = batch.filter(pa.array((label == key[0]) & (size == key[1])))
+                if key not in pivots:
+                    one = pa.array(np.zeros(own.num_rows, np.int64))
+                    yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("label", "size", "id", "copies", "v")), one, pa.array(np.ones(own.num_rows, np.int64))], ["label", "size", "id", "copies", "v", "cell", "home"])
+                    continue
                 x, p = unit(own.column("v")), pivots[key]
                 d2 = 2 - 2 * x @ p.T
                 home = d2.argmin(axis=1)
@@ -104,40 +109,23 @@ def _join(cosine: float):
     return scan
 
 
-def draw_pivots(classes: DataFrame, pivots: int) -> dict[tuple[int, int], np.ndarray]:
-    """For each (label, size) the ``pivots`` distinct vectors of smallest key.
+def draw_pivots(classes: DataFrame, pivot_rows: int) -> dict[tuple[int, int], np.ndarray]:
+    """About one distinct vector in ``pivot_rows``, by label and size.
 
-    The keys are hashes, so the choice is as good as random. Each partition
-    keeps its smallest before the shuffle.
+    The keys are hashes, so the choice is as good as random. Beyond
+    ``pivot_rows * MOST_PIVOTS`` vectors a pivot stands for more of them, so there
+    are about ``MOST_PIVOTS`` at most, whatever the rows and labels.
     """
-
-    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[tuple[int, int], list] = {}
-        names = ["label", "size", "key", "v"]
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in names)):
-                own = best.setdefault(row[:2], [])
-                own.append(row)
-                if len(own) >= 8 * pivots:
-                    own[:] = sorted(own, key=lambda r: r[2])[:pivots]
-        rows = [r for own in best.values() for r in sorted(own, key=lambda r: r[2])[:pivots]]
-        if rows:
-            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], pa.schema([("label", pa.int64()), ("size", pa.int64()), ("key", pa.string()), ("v", pa.list_(pa.float64()))]))
-
-    schema = "label long, size long, key string, v array<double>"
-    few = classes.select("label", "size", "key", "v").mapInArrow(smallest, schema)
-    few = few.repartition("label", "size").mapInArrow(smallest, schema)
+    share = max(pivot_rows, -(-classes.count() // MOST_PIVOTS))
+    drawn = classes.where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0).select("label", "size", "key", "v")
     found: dict[tuple[int, int], list] = {}
-    for r in few.collect():
+    for r in drawn.collect():
         found.setdefault((r.label, r.size), []).append((r.key, r.v))
     return {k: unit(pa.array([v for _, v in sorted(own)])) for k, own in found.items()}
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, pivots: int = PIVOTS) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for each row of (vec_id, embedding, label).
-
-    Pivots go to the tasks: ``pivots`` vectors for each label, whatever the rows.
-    """
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, pivot_rows: int = PIVOT_ROWS) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) for each row of (vec_id, embedding, label)."""
     v = F.transform("embedding", lambda x: x.cast("double"))
     rows = vectors.select("vec_id", F.col("label").cast("long").alias("label"), v.alias("v")).withColumn("size", F.size("v").cast("long"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
@@ -146,7 +134,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, pivots: int = PIVOT
     same = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("label", "size", "v")))
     classes = cut(same, "vectors")
     radius = float(np.sqrt(2 - 2 * cosine))
-    places = classes.select("label", "size", "id", "copies", "v").mapInArrow(_assign(draw_pivots(classes, pivots), radius), "label long, size long, id long, copies long, v array<double>, cell long, home long")
+    places = classes.select("label", "size", "id", "copies", "v").mapInArrow(_assign(draw_pivots(classes, pivot_rows), radius), "label long, size long, id long, copies long, v array<double>, cell long, home long")
     places = cut(places, "cells")
     cells = places.groupBy("label", "size", "cell").agg(F.count("*").alias("members")).withColumn("blocks", F.ceil(F.col("members") / BLOCK)).drop("members")
     # a block of queries meets a block of homes: rows of block i go to (i, *) as queries, homes also to (*, i) as targets
