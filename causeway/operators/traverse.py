@@ -49,12 +49,13 @@ def neighbors(g: Graph, starts: DataFrame, direction: str = "out", edge_kinds: l
     return found.join(g.nodes.select("id"), "id", "left_semi")
 
 
-def search(steps: DataFrame, starts: DataFrame, max_depth: int = MAX_DEPTH, max_nodes: int | None = MAX_NODES, target: str | None = None, closed: DataFrame | None = None) -> Slice:
+def search(steps: DataFrame, starts: DataFrame, max_depth: int = MAX_DEPTH, max_nodes: int | None = MAX_NODES, target: str | None = None, closed: DataFrame | None = None, ordered: bool = True) -> Slice:
     """Breadth-first search along ``steps`` (at, to, edge_id) from ``starts`` (id).
 
     ``closed`` (id) are nodes that may be reached but not passed. With a
     ``target`` the search ends at the level that reaches it. Steps are read once
-    per level; each level is written to the shared folder.
+    per level; each level is written to the shared folder. Where only depths
+    matter, ``ordered`` can be off, which saves each level a range partition.
     """
     if max_depth < 0 or max_nodes is not None and max_nodes < 1:
         raise ValueError("bounds must not be negative")
@@ -72,8 +73,9 @@ def search(steps: DataFrame, starts: DataFrame, max_depth: int = MAX_DEPTH, max_
             truncated = bool(new.head(1))
             break
         order = ["by.pos", "id"]
-        level = new.repartitionByRange(*order).sortWithinPartitions(*order)
-        level = level.select("id", F.lit(depth + 1).alias("depth"), "by.parent", "by.edge_id", F.monotonically_increasing_id().alias("pos"))
+        level = new.repartitionByRange(*order).sortWithinPartitions(*order) if ordered else new
+        pos = F.monotonically_increasing_id() if ordered else F.lit(0).cast("long")
+        level = level.select("id", F.lit(depth + 1).alias("depth"), "by.parent", "by.edge_id", pos.alias("pos"))
         level = level.withColumn("open", F.lit(True)) if closed is None else level.join(closed.select("id", F.lit(False).alias("shut")), "id", "left").withColumn("open", F.col("shut").isNull()).drop("shut")
         level = cut(level, "level")
         n = level.count()
@@ -115,7 +117,7 @@ def affected(g: Graph, start: str, edge_kinds: list[str] | None = None, max_dept
 
 def reach(steps: DataFrame, starts: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """(id, depth) of all nodes reachable from many starts at once."""
-    return search(steps, starts, max_depth, None).nodes.select("id", "depth")
+    return search(steps, starts, max_depth, None, ordered=False).nodes.select("id", "depth")
 
 
 def path_back(found: DataFrame, start: str, target: str) -> list[tuple[str, str]]:
