@@ -55,18 +55,21 @@ def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
     """(doc, h1, h2): the distinct key hashes of each row."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offs = text_bytes(batch.column("text"))
-            ids = batch.column("doc").to_numpy(zero_copy_only=False)
-            raw = data.tobytes().lower() if len(data) else b""
-            found, of = [], []
-            for i in range(len(ids)):
-                own = {line_hash(x, min_chars) for x in raw[offs[i] : offs[i + 1]].split(b"\n")}
-                own.discard(None)
-                found += own
-                of.append(len(own))
-            h = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, of)), pa.array(h[:, 0]), pa.array(h[:, 1])], ["doc", "h1", "h2"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):  # few texts at a time: their copies are short-lived
+                batch = whole.slice(at, 512)
+                data, offs = text_bytes(batch.column("text"))
+                ids = batch.column("doc").to_numpy(zero_copy_only=False)
+                raw = data[offs[0] : offs[-1]].tobytes().lower()
+                offs = offs - offs[0]
+                found, of = [], []
+                for i in range(len(ids)):
+                    own = {line_hash(x, min_chars) for x in raw[offs[i] : offs[i + 1]].split(b"\n")}
+                    own.discard(None)
+                    found += own
+                    of.append(len(own))
+                h = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, of)), pa.array(h[:, 0]), pa.array(h[:, 1])], ["doc", "h1", "h2"])
 
     return docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), "text").mapInArrow(scan, "doc long, h1 long, h2 long")
 
