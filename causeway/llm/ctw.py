@@ -14,10 +14,13 @@ side symbol alone and is computed once for each distinct pair.
 1. Distinct words are counted in each task, then over the corpus, with their
    count in the training documents.
 2. Counts of (context, bit) for every depth come from the distinct words; one
-   aggregation per depth goes up the tree, one join per depth comes down.
-3. Distinct words get their log-probability. The table of nodes goes to the
-   tasks only while it has at most ``NODES`` rows; a larger tree is cut at a
-   smaller depth, at which it is bounded (depth 1 has at most 65,280 nodes).
+   aggregation per depth goes up the tree, one join per depth comes down. Words
+   that are not trained on take part with count 0, so that the lowest level
+   holds each byte they need. The tree has ``DEPTH`` at every size of input
+   and stays distributed.
+3. Distinct words get their log-probability as the sum over their bytes: bytes
+   in context above a count, which at most ``COMMON_GRAMS`` have, are looked up
+   in the task, all others by a join.
 4. Documents sum the values of their words: words above a count, which at most
    ``COMMON`` have, are looked up in the task, all others by a join on the word's
    hash.
@@ -26,8 +29,8 @@ The base is an add-one unigram model over the same tokens.
 
 Defined cases: null and empty texts are one end token; repeated rows are scored
 each by itself; rows with a null doc_id are training documents; words of any
-length are coded byte by byte; side symbols beyond the ``SIDES`` most frequent,
-and null, share one; without training documents every estimate is
+length are coded byte by byte; every side symbol is one of its own, and so is
+null; without training documents every estimate is
 that of empty counts; an empty table gives an empty result; extra columns are
 ignored.
 """
@@ -42,12 +45,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from causeway.llm.common import LOWER, U64, chunks, cut, mix, table, text_bytes, words
+from causeway.llm.common import LOWER, U64, bounds, chunks, cut, mix, runs, table, text_bytes, words
 
-DEPTH = 5
-NODES = 3 << 20
+DEPTH = 6
+COMMON_GRAMS = 1 << 20
 COMMON = 1 << 17
-SIDES = 200
 BOUNDARY = 0x20  # never part of a word
 END = b"\n"  # the end token
 LOG2 = math.log(2)
@@ -93,10 +95,11 @@ def _words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 # ------------------------------------------------------------------ tree
-# A node is (depth, the last `depth` bytes, position 1-255 in the byte's binary tree).
+# A node is (depth, side, the bytes before, position 1-255 in the byte's binary tree);
+# the side symbol is the nearest part of a context, so depth d has d - 1 bytes.
 def gram_arrays(word_col: pa.Array, side: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word index, context, byte) of all positions of a column of words and
-    their terminators. The side symbol is the nearest part of a context."""
+    """(word index, the ``depth - 1`` bytes before, byte) of all positions of a
+    column of words and their terminators."""
     data, offs = text_bytes(word_col)
     offs = offs.astype(np.int64)
     d, n = data[offs[0] : offs[-1]], np.diff(offs)
@@ -116,19 +119,25 @@ def gram_arrays(word_col: pa.Array, side: np.ndarray, depth: int) -> tuple[np.nd
         prev[k:] = flat[: len(flat) - k]
         prev[inner < k] = BOUNDARY
         ctx = ctx << 8 | prev
-    return owner, ctx << 8 | side[owner], flat.astype(np.int64)
+    return owner, ctx, flat.astype(np.int64)
 
 
 def _leaf_counts(depth: int):
+    """Per (side, gram): observations in training, and places in distinct words."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 100_000):
                 batch = whole.slice(k, 100_000)
-                owner, ctx, byte = gram_arrays(batch.column("word"), batch.column("side").to_numpy(), depth)
-                c = batch.column("c").to_numpy()[owner]
-                gram, back = np.unique(ctx << 8 | byte, return_inverse=True)
-                n = np.bincount(back, weights=c).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n)], ["gram", "n"])
+                side = batch.column("side").to_numpy()
+                owner, ctx, byte = gram_arrays(batch.column("word"), side, depth)
+                c = batch.column("c").to_numpy()
+                for kind in np.unique(side):
+                    own = np.flatnonzero(side[owner] == kind)
+                    gram, back, m = np.unique(ctx[own] << 8 | byte[own], return_inverse=True, return_counts=True)
+                    n = np.zeros(len(gram), np.int64)
+                    np.add.at(n, back, c[owner[own]])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), kind)), pa.array(gram), pa.array(n), pa.array(m)], ["side", "gram", "n", "m"])
 
     return scan
 
@@ -141,104 +150,148 @@ def log_kt(zeros: Column, ones: Column) -> Column:
         series = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * F.pow(y, F.lit(3)))
         return series - F.log(x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5))
 
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - math.log(math.pi) - log_gamma(zeros + ones + 1.0)
-
-
-def tree(vocabulary: DataFrame, depth: int) -> DataFrame | None:
-    """(depth, ctx, node, p): at each node of the tree the probability of a one
-    bit when the node is the deepest one known; None if there are too many."""
-    grams = vocabulary.where("c > 0").select("side", "word", "c").mapInArrow(_leaf_counts(depth), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    ctx, byte = F.shiftrightunsigned("gram", 8), F.col("gram").bitwiseAND(F.lit(255))
+    return F.when(zeros + ones == 0, 0.0).otherwise(log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - math.log(math.pi) - log_gamma(zeros + ones + 1.0))
+
+
+def _gram_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """log10 of each byte after its context, from the lowest nodes of whole contexts."""
+    for t in runs(batches, ["side", "ctx"]):
+        side, ctx, node = (t.column(c).to_numpy() for c in ("side", "ctx", "node"))
+        group = np.repeat(np.arange(len(ends := bounds(t, ["side", "ctx"])) - 1), np.diff(ends)) << 8
+        key = group | node
+        bits = [np.log10(t.column(c).to_numpy()) for c in ("p0", "p1")]
+        for bit in (0, 1):
+            m = t.column(f"m{bit}").to_numpy()
+            at = np.flatnonzero((node >= 128) & (m > 0))
+            byte = (node[at] << 1 | bit) & 255
+            lp = bits[bit][at]
+            for i in range(7):
+                up = bits[0][hit := np.searchsorted(key, group[at] | (byte | 256) >> (8 - i))]
+                lp = lp + np.where(byte >> (7 - i) & 1, bits[1][hit], up)
+            yield pa.RecordBatch.from_arrays([pa.array(side[at]), pa.array(ctx[at] << 8 | byte), pa.array(m[at]), pa.array(lp)], ["side", "gram", "m", "lp"])
+
+
+def tree(vocabulary: DataFrame, depth: int) -> DataFrame:
+    """(side, gram, m, lp): log10 probability of each byte in context of the
+    vocabulary, where each bit's decision is that of the deepest context with
+    observations; m counts its places in distinct words."""
+    grams = vocabulary.select("side", "word", "c").mapInArrow(_leaf_counts(depth), "side long, gram long, n long, m long").groupBy("side", "gram").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    byte = F.col("gram").bitwiseAND(F.lit(255))
     steps = [F.struct(F.shiftright(byte.bitwiseOR(F.lit(256)), 8 - i).cast("long").alias("node"), F.shiftright(byte, 7 - i).bitwiseAND(F.lit(1)).alias("bit")) for i in range(8)]
-    level = grams.select(ctx.alias("ctx"), "n", F.explode(F.array(*steps)).alias("s"))
-    level = level.groupBy("ctx", F.col("s.node").alias("node")).agg(F.sum(F.when(F.col("s.bit") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("s.bit") == 1, F.col("n")).otherwise(0)).alias("n1"))
-    # up: counts, the estimate's log, and the log of the weighted probability
+    level = grams.select("side", F.shiftright("gram", 8).alias("ctx"), "n", "m", F.explode(F.array(*steps)).alias("s"))
+    level = level.groupBy("side", "ctx", F.col("s.node").alias("node")).agg(*(F.sum(F.when(F.col("s.bit") == b, F.col(c)).otherwise(0)).alias(f"{c}{b}") for c in "nm" for b in (0, 1)))
+    # up: counts, and the log of the children's weighted probability
     kt = log_kt(F.col("n0").cast("double"), F.col("n1").cast("double"))
-    level = cut(level.withColumn("kt", kt).withColumn("below", F.lit(None).cast("double")).withColumn("pw", F.col("kt")), "tree")
-    total = level.count()
-    if total > NODES:
-        return None
+    high = F.greatest("kt", "below")
+    weighted = high + F.log1p(F.exp(-F.abs(F.col("kt") - F.col("below")))) - LOG2
+
+    def parent(d: int) -> tuple[Column, Column]:  # of a node of depth d
+        return F.col("side") if d > 1 else F.lit(0).cast("long"), F.col("ctx").bitwiseAND(F.lit((1 << 8 * max(0, d - 2)) - 1))
+
+    level = cut(level.withColumn("below", F.lit(None).cast("double")), "tree")
     levels = {depth: level}
     for d in range(depth - 1, -1, -1):
-        up = level.groupBy(F.col("ctx").bitwiseAND(F.lit((1 << 8 * d) - 1)).alias("ctx"), "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("pw").alias("below"))
-        up = up.withColumn("kt", kt)
-        high = F.greatest("kt", "below")
-        level = levels[d] = cut(up.withColumn("pw", high + F.log(F.exp(F.col("kt") - high) + F.exp(F.col("below") - high)) - LOG2), "tree")
-        total += level.count()
-        if total > NODES:
-            return None
-    # down: p at the root is a + b * (p at the node), so far
-    one = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1.0)
-    share = F.coalesce(1 / (1 + F.exp(F.least(F.col("below") - F.col("kt"), F.lit(700.0)))), F.lit(1.0))  # the node's own estimate against its children's
-    done, above = [], None
+        side, ctx = parent(d + 1)
+        up = level.withColumn("kt", kt).withColumn("pw", F.coalesce(weighted, "kt")).groupBy(side.alias("side"), ctx.alias("ctx"), "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("pw").alias("below"))
+        level = levels[d] = cut(up, "tree")
+    # down: the root's probability of bit i is ai + b * (that at the node), so far;
+    # both bits have their own sums, since 1 - p of a p near 1 has no digits left
+    seen = F.col("n0") + F.col("n1")
+    own = [(F.col(n) + 0.5) / (seen + 1.0) for n in ("n0", "n1")]
+    gap = F.col("below") - kt  # the node's own estimate against its children's
+    share, rest = (1 / (1 + F.exp(F.least(g, F.lit(700.0)))) for g in (F.col("gap"), -F.col("gap")))
+    above = None
     for d in range(depth + 1):
         level = levels[d]
         if above is None:
-            level = level.withColumn("a", F.lit(0.0)).withColumn("b", F.lit(1.0))
+            level = level.select("*", F.lit(0.0).alias("a0"), F.lit(0.0).alias("a1"), F.lit(1.0).alias("b"), F.lit(0.5).alias("q0"), F.lit(0.5).alias("q1"))
         else:
-            level = level.withColumn("up", F.col("ctx").bitwiseAND(F.lit((1 << 8 * (d - 1)) - 1))).join(above, ["up", "node"])
-        done.append(level.select(F.lit(d).alias("depth"), "ctx", "node", (F.col("a") + F.col("b") * one).alias("p")))
-        above = level.select(F.col("ctx").alias("up"), "node", (F.col("a") + F.col("b") * share * one).alias("a"), (F.col("b") * (1 - share)).alias("b"))
+            side, ctx = parent(d)
+            level = level.select("*", side.alias("up_side"), ctx.alias("up")).join(above, ["up_side", "up", "node"])
+        ps = [F.when(seen > 0, F.col(f"a{i}") + F.col("b") * own[i]).otherwise(F.col(f"q{i}")) for i in (0, 1)]
         if d < depth:
+            above = level.withColumn("gap", gap).withColumn("share", share).select(F.col("side").alias("up_side"), F.col("ctx").alias("up"), "node", *((F.col(f"a{i}") + F.col("b") * F.col("share") * own[i]).alias(f"a{i}") for i in (0, 1)), (F.col("b") * rest).alias("b"), *(ps[i].alias(f"q{i}") for i in (0, 1)))
             above = cut(above, "tree")
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
-    return cut(out, "tree")
+    low = level.select("side", "ctx", "node", "m0", "m1", (1 - ps[1]).alias("p0"), ps[1].alias("p1"))
+    scored = low.repartition("side", "ctx").sortWithinPartitions("side", "ctx", "node").mapInArrow(_gram_scores, "side long, gram long, m long, lp double")
+    return cut(scored, "grams")
+
+
+def at_least(df: DataFrame, count: str, most: int) -> int:
+    """The least size class of ``count`` (see ``size_class``) that at most ``most`` rows reach."""
+    least, held = 1 << 20, 0
+    for r in sorted(df.groupBy(size_class(count).alias("size")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.size):
+        held += r.n
+        if held > most:
+            break
+        least = r.size
+    return least
+
+
+def size_class(count: str) -> Column:
+    return F.floor(F.log2(F.greatest(F.col(count), F.lit(1)).cast("double")) * 16)
 
 
 class Nodes:
-    """Sorted node keys and their probabilities, depth by depth."""
+    """Bytes in context with their log10 probability, sorted inside each side."""
 
-    def __init__(self, depth: int, keys: list[np.ndarray], p: list[np.ndarray]):
-        self.depth, self.keys, self.p = depth, keys, p
+    def __init__(self, sides: dict[int, tuple[np.ndarray, np.ndarray]]):
+        self.sides = sides
 
     @staticmethod
-    def collect(nodes: DataFrame, depth: int) -> Nodes:
-        """At most ``NODES`` rows of 12 bytes, one depth at a time."""
-        keys, ps = [], []
-        for d in range(depth + 1):
-            key = F.shiftleft("ctx", 8).bitwiseOR(F.col("node"))
-            got = nodes.where(F.col("depth") == d).select(key.alias("key"), F.col("p").cast("float").alias("p")).orderBy("key").toArrow()
-            keys.append(got.column("key").to_numpy())
-            ps.append(got.column("p").to_numpy())
-        return Nodes(depth, keys, ps)
-
-    def log10(self, ctx: np.ndarray, byte: np.ndarray) -> np.ndarray:
-        """log10 probability of bytes after contexts; each bit's decision is
-        that of the deepest known node."""
-        out = np.zeros(len(ctx))
-        for i in range(8):
-            node, bit = (byte | 256) >> (8 - i), (byte >> (7 - i)) & 1
-            p = np.full(len(ctx), 0.5)
-            todo = np.arange(len(ctx))
-            for d in range(self.depth, -1, -1):
-                if not len(todo) or not len(self.keys[d]):
-                    continue
-                key = (ctx[todo] & ((1 << 8 * d) - 1)) << 8 | node[todo]
-                at = np.searchsorted(self.keys[d], key)
-                at[at == len(self.keys[d])] = 0
-                hit = self.keys[d][at] == key
-                p[todo[hit]] = self.p[d][at[hit]]
-                todo = todo[~hit]
-            out += np.log10(np.where(bit == 1, p, 1 - p))
+    def collect(grams: DataFrame, depth: int = DEPTH, most: int = COMMON_GRAMS) -> Nodes:
+        """The most frequent grams, at most ``most``; 16 bytes each."""
+        got = grams.where(size_class("m") >= at_least(grams, "m", most)).select("side", "gram", "lp").toArrow()
+        side, gram, lp = (got.column(c).to_numpy() for c in ("side", "gram", "lp"))
+        order = np.lexsort((gram, side))
+        side, gram, lp = side[order], gram[order], lp[order]
+        kinds, at = np.unique(side, return_index=True)
+        return Nodes({int(k): (gram[a:b], lp[a:b]) for k, a, b in zip(kinds, at, [*at[1:], len(side)])})
+
+    def log10(self, ctx: np.ndarray, byte: np.ndarray, side: np.ndarray | int = 0) -> np.ndarray:
+        """log10 probability of bytes after contexts; NaN where it is not held."""
+        out, gram = np.full(len(ctx), np.nan), ctx << 8 | byte
+        side = np.broadcast_to(side, len(ctx))
+        for kind in np.unique(side):
+            if int(kind) not in self.sides:
+                continue
+            keys, lp = self.sides[int(kind)]
+            own = np.flatnonzero(side == kind)
+            at = np.minimum(np.searchsorted(keys, gram[own]), len(keys) - 1)
+            hit = keys[at] == gram[own]
+            out[own[hit]] = lp[at[hit]]
         return out
 
 
-def _score_words(shared):
+def _score_words(shared, depth: int):
+    """Per word the sum over common grams; other grams as an array."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes: Nodes = shared.value
         for whole in batches:
             for k in range(0, whole.num_rows, 50_000):
                 batch = whole.slice(k, 50_000)
-                owner, ctx, byte = gram_arrays(batch.column("word"), batch.column("side").to_numpy(), nodes.depth)
-                gram, back = np.unique(ctx << 8 | byte, return_inverse=True)
-                lp = np.bincount(owner, weights=nodes.log10(gram >> 8, gram & 255)[back], minlength=batch.num_rows)
-                yield pa.RecordBatch.from_arrays([batch.column("hash"), batch.column("n"), batch.column("c"), pa.array(lp)], ["hash", "n", "c", "lp"])
+                side = batch.column("side").to_numpy()
+                owner, ctx, byte = gram_arrays(batch.column("word"), side, depth)
+                lp = nodes.log10(ctx, byte, side[owner])
+                lost = np.flatnonzero(np.isnan(lp))
+                lp[lost] = 0
+                rare = pa.ListArray.from_arrays(np.searchsorted(owner[lost], np.arange(batch.num_rows + 1)).astype(np.int32), pa.array((ctx << 8 | byte)[lost]))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("side", "hash", "n", "c")), pa.array(np.bincount(owner, weights=lp, minlength=batch.num_rows)), rare], ["side", "hash", "n", "c", "lp", "rare"])
 
     return scan
 
 
+def score_words(words: DataFrame, grams: DataFrame, depth: int, common: int = COMMON_GRAMS) -> DataFrame:
+    """(side, hash, n, c, lp) for words (side, word, hash, n, c)."""
+    shared = words.sparkSession.sparkContext.broadcast(Nodes.collect(grams, depth, common))
+    parts = cut(words.select("side", "word", "hash", "n", "c").mapInArrow(_score_words(shared, depth), "side long, hash long, n long, c long, lp double, rare array<long>"), "words")
+    part = parts.where(F.size("rare") > 0)
+    more = part.select("side", "hash", "n", "c", F.col("lp").alias("held"), F.explode("rare").alias("gram")).join(grams.select("side", "gram", "lp"), ["side", "gram"])
+    more = more.groupBy("side", "hash").agg(F.first("n").alias("n"), F.first("c").alias("c"), (F.first("held") + F.sum("lp")).alias("lp"))
+    return cut(parts.where(F.size("rare") == 0).drop("rare").unionByName(more), "words")
+
+
 # ------------------------------------------------------------- documents
 def _sums(shared):
     """Per document the sums over common words; other words as arrays."""
@@ -273,20 +326,16 @@ def _sums(shared):
     return scan
 
 
-def sided(docs: DataFrame, column: str | None) -> tuple[DataFrame, dict[int, float]]:
-    """``docs`` with the column ``side`` (0-255), and each symbol's log10 share
-    of the training rows (add-one)."""
+def sided(docs: DataFrame, column: str | None) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with the column ``side``, and each symbol's log10 share of the
+    training rows (add-one) as (side, share). Null is 0, others are hashed."""
     if column is None:
-        return docs.withColumn("side", F.lit(0).cast("long")), {0: 0.0}
+        return docs.withColumn("side", F.lit(0).cast("long")), docs.sparkSession.createDataFrame([(0, 0.0)], "side long, share double")
     kind = F.col(column).cast("string")
-    top = docs.where(kind.isNotNull()).groupBy(kind.alias("k")).agg(F.count("*").alias("n"), F.count_if("train").alias("c")).orderBy(F.desc("n"), "k").limit(SIDES).collect()
-    side = F.lit(0)
-    for i, r in enumerate(top):
-        side = F.when(kind == r.k, i + 1).otherwise(side)
-    total = docs.agg(F.count_if("train")).first()[0] + len(top) + 1
-    share = {i + 1: math.log10((r.c + 1) / total) for i, r in enumerate(top)}
-    share[0] = math.log10(max(1, total - len(top) - sum(r.c for r in top)) / total)
-    return docs.withColumn("side", side.cast("long")), share
+    docs = docs.withColumn("side", F.when(kind.isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(kind)))
+    per = cut(docs.groupBy("side").agg(F.count_if("train").alias("c")), "sides")
+    total = per.agg(F.coalesce(F.sum("c"), F.lit(0)) + F.count_if(F.col("side") != 0) + 1).first()[0]
+    return docs, per.select("side", F.log10((F.col("c") + 1) / F.lit(total)).alias("share"))
 
 
 def score_documents(docs: DataFrame, train: Column, depth: int = DEPTH, common: int = COMMON, side: str | None = "lang") -> DataFrame:
@@ -300,23 +349,11 @@ def score_documents(docs: DataFrame, train: Column, depth: int = DEPTH, common:
     # the base knows no side: a word's count is that over all sides
     plain = vocabulary.groupBy("word").agg(F.sum("c").alias("all"))
     totals = plain.agg(F.coalesce(F.sum("all"), F.lit(0)).alias("n"), F.count_if(F.col("all") > 0).alias("v")).first()
-    nodes = tree(vocabulary, depth)
-    while nodes is None:
-        depth -= 1
-        nodes = tree(vocabulary, depth)
-    shared = spark.sparkContext.broadcast(Nodes.collect(nodes, depth))
-    scored = vocabulary.join(plain, "word").select("side", "word", "hash", "n", F.col("all").alias("c")).mapInArrow(_score_words(shared), "hash long, n long, c long, lp double")
-    scored = cut(scored, "words")
-    ends = vocabulary.where(F.col("word") == F.lit(END)).select("side", "hash").join(scored, "hash").select("side", "c", "lp").collect()  # one for each side symbol
+    scored = score_words(vocabulary.join(plain, "word").select("side", "word", "hash", "n", F.col("all").alias("c")), tree(vocabulary, depth), depth)
+    ends = vocabulary.where(F.col("word") == F.lit(END)).select("side", "hash").join(scored.select("hash", "c", F.col("lp").alias("end_lp")), "hash")  # one for each side symbol
+    ends = cut(ends.join(share, "side").select("side", "c", (F.col("end_lp") + F.col("share")).alias("last")), "ends")
     # at most `common` words: those above a count, found from a small histogram of logarithms
-    size = F.floor(F.log2(F.greatest(F.col("n"), F.lit(1)).cast("double")) * 16)
-    least, held = 1 << 20, 0
-    for r in sorted(scored.groupBy(size.alias("size")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.size):
-        held += r.n
-        if held > common:
-            break
-        least = r.size
-    top = scored.where(size >= least).toArrow()
+    top = scored.where(size_class("n") >= at_least(scored, "n", common)).toArrow()
     hashes = top.column("hash").to_numpy().astype(np.int64).view(U64)
     order = np.argsort(hashes)
     c, lp = top.column("c").to_numpy()[order], top.column("lp").to_numpy()[order]
@@ -326,13 +363,11 @@ def score_documents(docs: DataFrame, train: Column, depth: int = DEPTH, common:
     rare = rare.join(scored.select("hash", "c", F.col("lp").alias("word_lp")), "hash")
     rare = rare.groupBy("uid").agg(F.sum(F.col("tf") * F.log10(F.col("c") + 1.0)).alias("logc2"), F.sum(F.col("tf") * F.col("word_lp")).alias("lp2"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("known2"))
     out = rows.drop("rare", "tf").join(rare, "uid", "left")
-    last = F.lit(0.0)
-    for r in ends:
-        last = F.when(F.col("side") == r.side, r.lp + share.get(r.side, 0.0)).otherwise(last)
-    end_c = ends[0].c if ends else 0
+    out = out.join(ends.select("side", "last"), "side")
+    end_c = (ends.select("c").first() or (0,))[0]
     z = lambda c: F.coalesce(c, F.lit(0))
     base = F.col("logc") + z("logc2") + F.lit(math.log10(end_c + 1.0)) - F.col("n_tokens") * F.lit(math.log10(totals.n + totals.v + 1))
-    return out.select("doc_id", "train", "n_tokens", (F.col("known") + z("known2") + F.lit(int(end_c > 0))).alias("n_known"), F.lit(totals.n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("lp") + z("lp2") + last).alias("score"))
+    return out.select("doc_id", "train", "n_tokens", (F.col("known") + z("known2") + F.lit(int(end_c > 0))).alias("n_known"), F.lit(totals.n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("lp") + z("lp2") + F.col("last")).alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

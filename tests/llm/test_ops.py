@@ -355,6 +355,19 @@ def test_tree_weighting_equals_a_recursion(spark):
     assert nodes.log10(ctx, byte).sum() == pytest.approx(want, abs=1e-4)
 
 
+def test_all_contexts_and_side_symbols_count(spark):
+    """The depth is that asked for, grams beyond the broadcast are joined, and
+    300 side symbols stay apart."""
+    words = [(s, f"w{s % 7}x{i}".encode(), 1 + (s + i) % 5, 1 + (s * i) % 3, 1000 * s + i) for s in range(300) for i in range(5)]
+    words = spark.createDataFrame(words, "side long, word binary, n long, c long, hash long")
+    grams = ctw.tree(words, 4)
+    assert grams.where("lp is null or lp >= 0").count() == 0 and grams.select("side").distinct().count() == 300
+    got = [{r.hash: r.lp for r in ctw.score_words(words, grams, 4, most).collect()} for most in (1 << 20, 400)]
+    assert len(got[0]) == 1500 and got[1] == pytest.approx(got[0])
+    langs = spark.createDataFrame([(i, f"l{i:03}") for i in range(300)], "doc_id long, lang string")
+    assert ctw.sided(langs.withColumn("train", ctw.F.lit(True)), "lang")[0].select("side").distinct().count() == 300
+
+
 # ------------------------------------------------------------------- 8
 def turns(n):
     rng = random.Random(9)
