@@ -212,7 +212,7 @@ def tree(vocabulary: DataFrame, depth: int) -> DataFrame:
         if d < depth:
             above = level.withColumn("gap", gap).withColumn("share", share).select(F.col("side").alias("up_side"), F.col("ctx").alias("up"), "node", *((F.col(f"a{i}") + F.col("b") * F.col("share") * own[i]).alias(f"a{i}") for i in (0, 1)), (F.col("b") * rest).alias("b"), *(ps[i].alias(f"q{i}") for i in (0, 1)))
             above = cut(above, "tree")
-    low = level.select("side", "ctx", "node", "m0", "m1", (1 - ps[1]).alias("p0"), ps[1].alias("p1"))
+    low = level.select("side", "ctx", "node", "m0", "m1", ps[0].alias("p0"), ps[1].alias("p1"))
     scored = low.repartition("side", "ctx").sortWithinPartitions("side", "ctx", "node").mapInArrow(_gram_scores, "side long, gram long, m long, lp double")
     return cut(scored, "grams")
 

@@ -355,6 +355,16 @@ def test_tree_weighting_equals_a_recursion(spark):
     assert nodes.log10(ctx, byte).sum() == pytest.approx(want, abs=1e-4)
 
 
+def test_rare_bits_of_common_contexts_are_finite(spark):
+    """A word that is not trained on, against 10^12 observations of another first byte."""
+    many = 10**12
+    vocabulary = spark.createDataFrame([(0, b"a", many), (0, b"\xe1", 0)], "side long, word binary, c long")
+    lp = {(r.gram >> 8, r.gram & 255): r.lp for r in ctw.tree(vocabulary, 2).collect()}
+    # the first bit of \xe1 was never seen in any context, the others in none
+    assert lp[0x20, 0xE1] == pytest.approx(math.log10(0.5 / (many + 1)) + 7 * math.log10(0.5), abs=0.4)
+    assert all(math.isfinite(x) for x in lp.values())
+
+
 def test_all_contexts_and_side_symbols_count(spark):
     """The depth is that asked for, grams beyond the broadcast are joined, and
     300 side symbols stay apart."""
