@@ -217,6 +217,19 @@ def test_encoder_equals_the_library():
         assert enc(t) == np.array(enc.tok.encode(t, add_special_tokens=False).ids, "<u2").tobytes()
 
 
+def test_added_tokens_are_one_id(monkeypatch):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    enc = packing.Encoder(packing.default_tokenizer())
+    end = "<|endoftext|>"
+    assert tok.token_to_id(end) in np.frombuffer(enc(f"a {end}b"), "<u2")
+    for long in (packing.LONG, 20):
+        monkeypatch.setattr(packing, "LONG", long)
+        for t in (end, f"a {end}b", f"{end}{end} x\n{end}", "plain text, no token at all <|endoftext |>", f" {end} " * 9, end.upper()):
+            assert enc(t) == np.array(tok.encode(t, add_special_tokens=False).ids, "<u2").tobytes()
+
+
 # ------------------------------------------------------------------- 4
 def test_vectors(spark):
     rng = np.random.default_rng(7)
