@@ -4,8 +4,10 @@ Each source has a weight schedule over training time ``t`` in [0, 1]: its
 share of the mix moves linearly from ``1 - tilt`` to ``1 + tilt`` times its
 mean. The integral of the schedule is the source's cumulative token demand;
 a document whose tokens begin at ``c`` of a source's ``target`` gets the
-position ``t`` where that demand reaches ``c``. Documents are then range-sorted
-by position.
+position ``t`` where that demand reaches ``c``. Where the target exceeds the
+source, its documents come a second time, at the positions of ``source_size + c``.
+Documents are then range-sorted by position. The query, whose rows are fixed by
+its SQL, names each document's first position; ``passes`` has one row per pass.
 
 Targets are fixed by water-filling: weight times a common level, stopped at
 ``most`` times the source's own size.
@@ -76,9 +78,23 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, tilt=TILT) ->
     source's sum is its target rounded down. Documents that the mix leaves out
     have position null. The text is not carried.
     """
-    spark = docs.sparkSession
+    out = _planned(docs.select("doc_id", "text", "source", F.lit(0).alias("tag")), weights, share, most, tilt)
+    out = out.select("doc_id", "source", "size", "source_size", "target", (F.col("first_words") + F.col("second_words")).alias("taken"), "first_words", "second_words", F.col("first_at").alias("position"))
+    return out.repartitionByRange(F.col("position"), F.col("doc_id")).sortWithinPartitions("position", "doc_id")
+
+
+def passes(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, tilt=TILT) -> DataFrame:
+    """(tag, source, target, pass, words, position) of documents (doc_id, text,
+    source, tag): a row for each pass that takes words of a row; in no order."""
+    both = F.array(*[F.struct(F.lit(i).alias("pass"), F.col(f"{k}_words").alias("words"), F.col(f"{k}_at").alias("position")) for i, k in enumerate(("first", "second"), 1)])
+    out = _planned(docs, weights, share, most, tilt).select("tag", "source", "target", F.explode(both).alias("p"))
+    return out.select("tag", "source", "target", "p.*").where("words > 0")
+
+
+def _planned(docs: DataFrame, weights, share, most, tilt) -> DataFrame:
+    """Each row's words and position of the first and of the second pass."""
     source = F.col("source").cast("string")
-    own = docs.select("doc_id", F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("key"), n_words("text").alias("size"), F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")))).alias("h"))
+    own = docs.select("doc_id", "tag", source.alias("source"), F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("key"), n_words("text").alias("size"), F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")))).alias("h"))
     own = cut(own, "sizes")
     per = own.groupBy("key").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     goal = targets(per.select(F.expr("substr(nullif(key, ''), 2)").alias("source"), "key", "source_size"), weights, share, most)
@@ -88,17 +104,18 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, tilt=TILT) ->
     sums = own.groupBy("key", "bucket").agg(F.sum("size").alias("in_bucket"))
     before = W.partitionBy("key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select("key", "bucket", F.coalesce(F.sum("in_bucket").over(before), F.lit(0)).alias("base"))
-    goal = cut(sums.join(goal, "key"), "targets")
-    inside = W.partitionBy("key", "bucket").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    goal = cut(sums.join(goal.drop("source"), "key"), "targets")
+    inside = W.partitionBy("key", "bucket").orderBy("h", "doc_id", "size", "tag").rowsBetween(W.unboundedPreceding, -1)
     own = own.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     out = own.join(goal, ["key", "bucket"]).withColumn("c", F.col("base") + F.col("inner"))
     clamp = lambda left: F.greatest(F.lit(0), F.least(F.col("size"), left)).cast("long")
     words = F.floor("target")
     out = out.withColumn("first_words", clamp(words - F.col("c"))).withColumn("second_words", clamp(words - F.col("source_size") - F.col("c")))
     slope = F.lit(tilt) * F.when(F.col("weight") >= F.lit(float(max(weights))), 1.0).otherwise(-1.0)
-    at = F.when(F.col("first_words") > 0, position(F.least(F.col("c").cast("double"), F.col("target")), F.col("target"), slope))
-    out = out.select("doc_id", "source", "size", "source_size", "target", (F.col("first_words") + F.col("second_words")).alias("taken"), "first_words", "second_words", at.alias("position"))
-    return out.repartitionByRange(F.col("position"), F.col("doc_id")).sortWithinPartitions("position", "doc_id")
+    at = lambda c: position(F.least(c.cast("double"), F.col("target")), F.col("target"), slope)
+    out = out.withColumn("first_at", F.when(F.col("first_words") > 0, at(F.col("c"))))
+    out = out.withColumn("second_at", F.when(F.col("second_words") > 0, at(F.col("source_size") + F.col("c"))))
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,10 +159,12 @@ FROM k
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a document stands once for
-    each pass that takes it, and is left out if neither does.
+    each pass that takes it, and is left out if neither does. Rows are written in
+    the order of their training positions.
+
+    Decisions are made by row, whatever its doc_id: rows are written once with
+    a number of their own, which is then a fixed part of them.
     """
-    plan = mix(docs.select("doc_id", "text", "source")).select("doc_id", (F.signum("first_words") + F.signum("second_words")).cast("int").alias("copies"), "position").where("copies > 0")
-    plan = plan.groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    rows = wrapped(docs)
-    out = rows.join(plan, rows["row.doc_id"].eqNullSafe(plan.doc_id))
-    return out.withColumn("copy", F.explode(F.expr("sequence(1, copies)"))).select("row.*")
+    rows = cut(wrapped(docs).withColumn("tag", F.monotonically_increasing_id()), "tagged")
+    plan = cut(passes(rows.select("row.doc_id", "row.text", "row.source", "tag")).select("tag", "position"), "passes")
+    return rows.join(plan, "tag").repartitionByRange("position", "tag").sortWithinPartitions("position", "tag").select("row.*")

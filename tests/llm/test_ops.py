@@ -469,6 +469,31 @@ def test_mixing(docs, rows, nothing):
     assert out.columns == docs.columns
 
 
+def test_both_passes_have_positions(spark, docs, rows):
+    """At a row's position its source's demand is the words dealt before it."""
+    twice = [*rows, (None, "the same words", None, "s1", 0, 0, "k"), (None, "the same words", None, "s1", 0, 0, "k")]
+    df = spark.createDataFrame([(r[0], r[1], r[3], i) for i, r in enumerate(twice)], "doc_id long, text string, source string, tag long")
+    got = mixing.passes(df).collect()
+    names = sorted({r[3] for r in twice if r[3] is not None}) + [None]
+    assert {r["pass"] for r in got} == {1, 2}
+    for k, s in enumerate(names):
+        own = sorted((r for r in got if r.source == s), key=lambda r: (r["pass"], r.position))
+        assert [r.position for r in own] == sorted(r.position for r in own)  # the second pass after the first
+        tilt, before = 0.5 if k % 3 == 0 else -0.5, 0
+        for r in own:
+            assert r.target * ((1 - tilt) * r.position + tilt * r.position**2) == pytest.approx(before, abs=1e-6 * r.target)
+            before += r.words
+        assert before == math.floor(own[0].target)
+    at = defaultdict(list)
+    for r in got:
+        at[twice[r.tag][0]].append(r.position)
+    out = [r.doc_id for r in mixing.mixed_documents(df.drop("tag")).collect()]
+    assert Counter(out) == {d: len(p) for d, p in at.items()}
+    walk = {d: iter(sorted(p)) for d, p in at.items()}
+    seen = [next(walk[d]) for d in out]
+    assert seen == sorted(seen)
+
+
 def test_mixing_of_empty_texts(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
     assert [(r.size, r.taken) for r in mixing.mix(df).collect()] == [(0, 0), (0, 0)]
