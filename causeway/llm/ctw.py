@@ -1,38 +1,35 @@
 """Language-model scoring by context-tree weighting over bytes.
 
-A text is a sequence of tokens: lower-cased words and one end. A word is coded
-as its bytes and a terminator; bytes are decomposed into eight binary decisions.
-A text may have a side symbol (its language), which is coded first at the cost
-of its share of the training texts. A decision's context is that symbol, then up
-to ``DEPTH - 1`` bytes before it in the word (a boundary stands before the
-first), and the tree of contexts mixes the
+A text is the sequence of its lower-cased words, each followed by a boundary
+byte, and one end byte. Each byte is decomposed into eight binary decisions. A
+decision's context is the ``DEPTH`` bytes before it, across words, back to the
+text's start (an end byte stands before it), and the tree of contexts mixes the
 Krichevsky-Trofimov estimates of all depths with the weights of context-tree
 weighting: ``P_w = P_kt / 2 + prod(children's P_w) / 2``. Code lengths come from
-the posterior mixture, so a word's log-probability depends on the word and the
-side symbol alone and is computed once for each distinct pair.
-
-1. Distinct words are counted in each task, then over the corpus, with their
-   count in the training documents.
-2. Counts of (context, bit) for every depth come from the distinct words; one
-   aggregation per depth goes up the tree, one join per depth comes down. Words
-   that are not trained on take part with count 0, so that the lowest level
-   holds each byte they need. The tree has ``DEPTH`` at every size of input
-   and stays distributed.
-3. Distinct words get their log-probability as the sum over their bytes: bytes
-   in context above a count, which at most ``COMMON_GRAMS`` have, are looked up
-   in the task, all others by a join.
-4. Documents sum the values of their words: words above a count, which at most
-   ``COMMON`` have, are looked up in the task, all others by a join on the word's
-   hash.
-
-The base is an add-one unigram model over the same tokens.
+the posterior mixture over the contexts with observations; a text's score is the
+sum of its bytes' log-probabilities, that of the whole sequence.
+
+A gram is a byte with its context, packed in a long with the nearest byte of the
+context first, so contexts that share their nearest bytes are neighbours.
+
+1. One scan counts words (by hash) and grams in each task, and one aggregate
+   over the corpus. Grams of held-out texts take part with count 0, so that each
+   byte to be scored has its place.
+2. Grams are dealt by the ``TOP`` nearest bytes of their contexts. Each group is
+   a subtree and goes up to its root in a task; the few levels above are
+   aggregates and joins; a second pass over the groups comes down. The depth is
+   the same at every size of input, and the tree stays distributed.
+3. Documents sum the values of their grams and words: the most frequent ones, at
+   most ``COMMON_GRAMS`` and ``COMMON`` (chosen by a threshold on their count), are
+   looked up in the task, all others by a join.
+
+The base is an add-one unigram model over words and one end for each text.
 
 Defined cases: null and empty texts are one end token; repeated rows are scored
-each by itself; rows with a null doc_id are training documents; words of any
-length are coded byte by byte; every side symbol is one of its own, and so is
-null; without training documents every estimate is
-that of empty counts; an empty table gives an empty result; extra columns are
-ignored.
+each by itself and ties need no order; rows with a null doc_id are training
+documents; texts and words of any length are coded byte by byte; without
+training documents every estimate is that of empty counts; an empty table gives
+an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,110 +39,105 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from causeway.llm.common import LOWER, U64, bounds, chunks, cut, mix, runs, table, text_bytes, words
+from causeway.llm.common import LOWER, SPACE, U64, chunks, cut, runs, table, text_bytes, words
 
 DEPTH = 6
-COMMON_GRAMS = 1 << 20
+TOP = 3
+COMMON_GRAMS = 1 << 21
 COMMON = 1 << 17
-BOUNDARY = 0x20  # never part of a word
-END = b"\n"  # the end token
+COUNT_BYTES = 4 << 20
+BOUNDARY, END = 0x20, 0x0A  # neither is part of a word
 LOG2 = math.log(2)
-_GOLDEN = 0x9E3779B97F4A7C15
+WORD, GRAM = 0, 1
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
 
 
-# ------------------------------------------------------------ vocabulary
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct words of a run of texts with their counts, in all and in training."""
-    for batch in batches:
-        data, offs = text_bytes(batch.column("text"))
-        train = batch.column("train").to_numpy(zero_copy_only=False).astype(np.int64)
-        side = batch.column("side").to_numpy()
-        for a, b in chunks(offs, 8 << 20):
-            row, start, end, h = _words(data, offs[a : b + 1])
-            h = keyed(h, side[a + row])
-            _, first, back, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-            trained = np.bincount(back, weights=train[a + row], minlength=len(first)).astype(np.int64)
-            text = [LOWER[data[start[i] : end[i]]].tobytes() for i in first]
-            kinds, at = np.unique(side[a:b], return_inverse=True)
-            ends = np.bincount(at), np.bincount(at, weights=train[a:b]).astype(np.int64)
-            cols = [pa.array([*side[a + row[first]], *kinds], pa.int64()), pa.array([*text, *[END] * len(kinds)], pa.binary()), pa.array([*n, *ends[0]], pa.int64()), pa.array([*trained, *ends[1]], pa.int64())]
-            cols.append(pa.array(np.concatenate([h[first], keyed(np.zeros(len(kinds), U64), kinds)]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays(cols, ["side", "word", "n", "c", "hash"])
-
-
-def keyed(h: np.ndarray, side: np.ndarray) -> np.ndarray:
-    """A word's hash under a side symbol; 0 stands for the end token."""
-    return mix(h + side.astype(U64) * U64(_GOLDEN))
-
-
-def _words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """``words`` over runs of 1 MB, so that its arrays stay small."""
-    parts = [(a, *words(data, offs[a : b + 1])) for a, b in chunks(offs)]
-    if not parts:
-        z = np.zeros(0, np.int64)
-        return z, z, z, z.astype(U64)
-    return tuple(np.concatenate([p[0] + p[1] if k == 1 else p[k] for p in parts]) for k in (1, 2, 3, 4))
-
-
-# ------------------------------------------------------------------ tree
-# A node is (depth, side, the bytes before, position 1-255 in the byte's binary tree);
-# the side symbol is the nearest part of a context, so depth d has d - 1 bytes.
-def gram_arrays(word_col: pa.Array, side: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word index, the ``depth - 1`` bytes before, byte) of all positions of a
-    column of words and their terminators."""
-    data, offs = text_bytes(word_col)
-    offs = offs.astype(np.int64)
-    d, n = data[offs[0] : offs[-1]], np.diff(offs)
-    is_end = np.zeros(len(n), bool)
-    one = np.flatnonzero(n == 1)
-    is_end[one] = d[(offs[:-1] - offs[0])[one]] == END[0]
-    size = n + ~is_end
-    at = np.concatenate([[0], np.cumsum(size)])
-    flat = np.full(at[-1], BOUNDARY, np.uint8)
-    owner = np.repeat(np.arange(len(n)), size)
-    inner = np.arange(at[-1]) - at[owner]
-    keep = inner < n[owner]
-    flat[keep] = d
-    ctx = np.zeros(len(flat), np.int64)
-    for k in range(depth - 1, 0, -1):
-        prev = np.full(len(flat), BOUNDARY, np.int64)
-        prev[k:] = flat[: len(flat) - k]
-        prev[inner < k] = BOUNDARY
-        ctx = ctx << 8 | prev
-    return owner, ctx, flat.astype(np.int64)
-
-
-def _leaf_counts(depth: int):
-    """Per (side, gram): observations in training, and places in distinct words."""
+# --------------------------------------------------------------- sequences
+def sequences(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of the coded sequences of texts."""
+    base, n = int(offs[0]), int(offs[-1] - offs[0])
+    rel = offs - base
+    d = LOWER[data[base : base + n]]
+    solid = ~SPACE[d]
+    edge = np.zeros(n + 1, bool)
+    edge[rel] = True
+    last = solid & edge[1:]
+    last[:-1] |= solid[:-1] & ~solid[1:]
+    upto = np.concatenate([[0], np.cumsum(solid.astype(np.int64) + last)])
+    out = upto[rel] + np.arange(len(rel))
+    flat = np.full(int(out[-1]), BOUNDARY, np.uint8)
+    row = np.repeat(np.arange(len(rel) - 1), np.diff(rel))
+    flat[(upto[:-1] + row)[solid]] = d[solid]
+    flat[out[1:] - 1] = END
+    return flat, out
+
+
+def grams_of(flat: np.ndarray, offs: np.ndarray, depth: int) -> np.ndarray:
+    """Each byte with the ``depth`` bytes before it, the nearest one highest."""
+    key = flat.astype(np.int64)
+    wide = key.copy()
+    for k in range(1, depth + 1):
+        key[k:] |= wide[:-k] << 8 * (depth - k + 1)
+    for j in range(depth):  # before a text's start stand end bytes
+        at = offs[:-1] + j
+        at = at[at < offs[1:]]
+        real = (1 << 8 * (depth + 1)) - (1 << 8 * (depth - j + 1)) | 0xFF
+        key[at] = key[at] & real | sum(END << 8 * (depth - k + 1) for k in range(j + 1, depth + 1))
+    return key
+
+
+# ---------------------------------------------------------------- counting
+def _counts(depth: int):
+    """Words and grams of runs of texts, with their counts in all and in training."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(kind: int, key: np.ndarray, trained: bool, n: np.ndarray | None = None) -> pa.RecordBatch:
+            if n is None:
+                key, n = np.unique(key, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind)), pa.array(key.view(np.int64)), pa.array(n), pa.array(n if trained else np.zeros_like(n))], ["kind", "key", "n", "c"])
+
         for whole in batches:
-            for k in range(0, whole.num_rows, 100_000):
-                batch = whole.slice(k, 100_000)
-                side = batch.column("side").to_numpy()
-                owner, ctx, byte = gram_arrays(batch.column("word"), side, depth)
-                c = batch.column("c").to_numpy()
-                for kind in np.unique(side):
-                    own = np.flatnonzero(side[owner] == kind)
-                    gram, back, m = np.unique(ctx[own] << 8 | byte[own], return_inverse=True, return_counts=True)
-                    n = np.zeros(len(gram), np.int64)
-                    np.add.at(n, back, c[owner[own]])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), kind)), pa.array(gram), pa.array(n), pa.array(m)], ["side", "gram", "n", "m"])
+            for trained in (True, False):
+                batch = whole.filter(whole.column("train") if trained else pc.invert(whole.column("train")))
+                data, offs = text_bytes(batch.column("text"))
+                for a, b in chunks(offs, COUNT_BYTES):
+                    hashes, keys = [], []
+                    for x, y in chunks(offs[a : b + 1]):
+                        own = offs[a + x : a + y + 1]
+                        hashes.append(words(data, own)[3])
+                        keys.append(grams_of(*sequences(data, own), depth))
+                    yield rows(WORD, np.concatenate(hashes), trained)
+                    yield rows(WORD, np.zeros(1, np.int64), trained, np.array([b - a]))  # the end token
+                    yield rows(GRAM, np.concatenate(keys), trained)
 
     return scan
 
 
+# -------------------------------------------------------------------- tree
+# A node of depth d is a context of d bytes and a position 1-255 in the byte's
+# binary tree; its key is ``context << 8 | position``.
+def log_kt_array(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """log of the Krichevsky-Trofimov estimate of blocks of bits."""
+
+    def log_gamma(x: np.ndarray) -> np.ndarray:  # Stirling's series at x + 6
+        y = x + 6
+        return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) - np.log(x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5))
+
+    seen = zeros + ones
+    return np.where(seen == 0, 0.0, log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - math.log(math.pi) - log_gamma(seen + 1.0))
+
+
 def log_kt(zeros: Column, ones: Column) -> Column:
-    """log of the Krichevsky-Trofimov estimate of a block of bits."""
+    """The same as a column."""
 
-    def log_gamma(x: Column) -> Column:  # Stirling's series at x + 6
+    def log_gamma(x: Column) -> Column:
         y = x + 6
         series = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * F.pow(y, F.lit(3)))
         return series - F.log(x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5))
@@ -153,70 +145,141 @@ def log_kt(zeros: Column, ones: Column) -> Column:
     return F.when(zeros + ones == 0, 0.0).otherwise(log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - math.log(math.pi) - log_gamma(zeros + ones + 1.0))
 
 
-def _gram_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """log10 of each byte after its context, from the lowest nodes of whole contexts."""
-    for t in runs(batches, ["side", "ctx"]):
-        side, ctx, node = (t.column(c).to_numpy() for c in ("side", "ctx", "node"))
-        group = np.repeat(np.arange(len(ends := bounds(t, ["side", "ctx"])) - 1), np.diff(ends)) << 8
-        key = group | node
-        bits = [np.log10(t.column(c).to_numpy()) for c in ("p0", "p1")]
-        for bit in (0, 1):
-            m = t.column(f"m{bit}").to_numpy()
-            at = np.flatnonzero((node >= 128) & (m > 0))
-            byte = (node[at] << 1 | bit) & 255
-            lp = bits[bit][at]
-            for i in range(7):
-                up = bits[0][hit := np.searchsorted(key, group[at] | (byte | 256) >> (8 - i))]
-                lp = lp + np.where(byte >> (7 - i) & 1, bits[1][hit], up)
-            yield pa.RecordBatch.from_arrays([pa.array(side[at]), pa.array(ctx[at] << 8 | byte), pa.array(m[at]), pa.array(lp)], ["side", "gram", "m", "lp"])
-
-
-def tree(vocabulary: DataFrame, depth: int) -> DataFrame:
-    """(side, gram, m, lp): log10 probability of each byte in context of the
-    vocabulary, where each bit's decision is that of the deepest context with
-    observations; m counts its places in distinct words."""
-    grams = vocabulary.select("side", "word", "c").mapInArrow(_leaf_counts(depth), "side long, gram long, n long, m long").groupBy("side", "gram").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    byte = F.col("gram").bitwiseAND(F.lit(255))
-    steps = [F.struct(F.shiftright(byte.bitwiseOR(F.lit(256)), 8 - i).cast("long").alias("node"), F.shiftright(byte, 7 - i).bitwiseAND(F.lit(1)).alias("bit")) for i in range(8)]
-    level = grams.select("side", F.shiftright("gram", 8).alias("ctx"), "n", "m", F.explode(F.array(*steps)).alias("s"))
-    level = level.groupBy("side", "ctx", F.col("s.node").alias("node")).agg(*(F.sum(F.when(F.col("s.bit") == b, F.col(c)).otherwise(0)).alias(f"{c}{b}") for c in "nm" for b in (0, 1)))
+class Level:
+    """The nodes of one depth at one of the eight bits, in order of their keys."""
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray, bit: int):
+        start = np.flatnonzero(np.concatenate([[True], gram[1:] >> (8 - bit) != gram[:-1] >> (8 - bit)]))
+        byte = gram[start] & 255
+        self.key = gram[start] >> 8 << 8 | (byte | 256) >> (8 - bit)
+        ones = np.add.reduceat(n * (gram >> (7 - bit) & 1), start).astype(float)
+        self.n1, self.n0 = ones, np.add.reduceat(n, start) - ones
+        self.start, self.size = start, len(gram)
+        self.kt = log_kt_array(self.n0, self.n1)
+        self.below: np.ndarray | None = None
+
+    def weighted(self) -> np.ndarray:
+        if self.below is None:
+            return self.kt
+        return np.logaddexp(self.kt, self.below) - LOG2
+
+    def under(self, parents: np.ndarray) -> np.ndarray:
+        """Each node's parent among the sorted keys of the depth above."""
+        return np.searchsorted(parents, self.key >> 16 << 8 | self.key & 255)
+
+    def of_grams(self) -> np.ndarray:
+        """The node of each gram that the level was made from."""
+        return np.repeat(np.arange(len(self.start)), np.diff(np.append(self.start, self.size)))
+
+
+def subtrees(gram: np.ndarray, n: np.ndarray, depth: int, top: int) -> list[list[Level]]:
+    """Levels of the depths ``depth`` down to ``top`` (in this order), eight bits
+    each, of whole subtrees given by their sorted grams."""
+    out: list[list[Level]] = []
+    for d in range(depth, top - 1, -1):
+        if d < depth:
+            shorter = gram >> 16 << 8 | gram & 255
+            order = np.argsort(shorter, kind="stable")
+            shorter = shorter[order]
+            start = np.flatnonzero(np.concatenate([[True], shorter[1:] != shorter[:-1]]))
+            gram, n = shorter[start], np.add.reduceat(n[order], start)
+        levels = [Level(gram, n, bit) for bit in range(8)]
+        if d < depth:
+            for low, up in zip(out[-1], levels):
+                up.below = np.bincount(low.under(up.key), weights=low.weighted(), minlength=len(up.key))
+        out.append(levels)
+    return out
+
+
+def _roots(depth: int, top: int):
+    """Up: the nodes of depth ``top`` with counts and the log of their children's weight."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, ["ctx"]):
+            for x in subtrees(t.column("key").to_numpy(), t.column("c").to_numpy(), depth, top)[-1]:
+                yield pa.RecordBatch.from_arrays([pa.array(x.key >> 8), pa.array(x.key & 255), pa.array(x.n0), pa.array(x.n1), pa.array(x.below)], ["ctx", "node", "n0", "n1", "below"])
+
+    return scan
+
+
+def _shares(kt: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior weights of a node's own estimate and of its children."""
+    gap = np.clip(below - kt, -700, 700)
+    return 1 / (1 + np.exp(gap)), 1 / (1 + np.exp(-gap))
+
+
+def _down(depth: int, top: int):
+    """log10 of each gram, given what comes from above depth ``top + 1``: the
+    probability of bit i is ai + b * (that at the node), or qi where the node has
+    no observations. Both bits have their own sums, since 1 - p of a p near 1 has
+    no digits left."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, ["ctx"]):
+            is_gram = t.column("kind").to_numpy() == GRAM
+            gram, roots = t.filter(pa.array(is_gram)), t.filter(pa.array(~is_gram))
+            keys, m = gram.column("key").to_numpy(), gram.column("n").to_numpy()
+            levels = subtrees(keys, gram.column("c").to_numpy(), depth, top + 1)[::-1]
+            names = ("a0", "a1", "b", "q0", "q1")
+            root_key = roots.column("key").to_numpy()
+            root = [roots.column(c).to_numpy() for c in names]
+            lp = np.zeros(len(keys))
+            for bit in range(8):
+                up_key, above = root_key, root
+                for d, own in enumerate(x[bit] for x in levels):
+                    at = own.under(up_key)
+                    a0, a1, b, q0, q1 = (v[at] for v in above)
+                    seen = own.n0 + own.n1
+                    e0, e1 = (own.n0 + 0.5) / (seen + 1), (own.n1 + 0.5) / (seen + 1)
+                    q0, q1 = np.where(seen > 0, a0 + b * e0, q0), np.where(seen > 0, a1 + b * e1, q1)
+                    if own.below is not None:
+                        share, rest = _shares(own.kt, own.below)
+                        a0, a1, b = a0 + b * share * e0, a1 + b * share * e1, b * rest
+                    up_key, above = own.key, [a0, a1, b, q0, q1]
+                at = own.of_grams()
+                lp += np.log10(np.where(keys >> (7 - bit) & 1, above[4][at], above[3][at]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(m), pa.array(lp)], ["gram", "m", "lp"])
+
+    return scan
+
+
+def tree(counted: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(gram, m, lp) for counted grams (key, n, c): log10 probability of each byte
+    in its context; m counts its places in all texts, c in training."""
+    top = min(TOP, depth - 1)
+    dealt = counted.select(F.shiftright("key", 8 * (depth + 1 - top)).alias("ctx"), "key", "n", "c")
+    roots = dealt.repartition("ctx").sortWithinPartitions("ctx", "key").mapInArrow(_roots(depth, top), "ctx long, node long, n0 double, n1 double, below double")
+    level = cut(roots, "tree")
     # up: counts, and the log of the children's weighted probability
-    kt = log_kt(F.col("n0").cast("double"), F.col("n1").cast("double"))
+    kt = log_kt(F.col("n0"), F.col("n1"))
     high = F.greatest("kt", "below")
     weighted = high + F.log1p(F.exp(-F.abs(F.col("kt") - F.col("below")))) - LOG2
-
-    def parent(d: int) -> tuple[Column, Column]:  # of a node of depth d
-        return F.col("side") if d > 1 else F.lit(0).cast("long"), F.col("ctx").bitwiseAND(F.lit((1 << 8 * max(0, d - 2)) - 1))
-
-    level = cut(level.withColumn("below", F.lit(None).cast("double")), "tree")
-    levels = {depth: level}
-    for d in range(depth - 1, -1, -1):
-        side, ctx = parent(d + 1)
-        up = level.withColumn("kt", kt).withColumn("pw", F.coalesce(weighted, "kt")).groupBy(side.alias("side"), ctx.alias("ctx"), "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("pw").alias("below"))
+    levels = {top: level}
+    for d in range(top - 1, -1, -1):
+        up = level.withColumn("kt", kt).withColumn("pw", weighted).groupBy(F.shiftright("ctx", 8).alias("ctx"), "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("pw").alias("below"))
         level = levels[d] = cut(up, "tree")
-    # down: the root's probability of bit i is ai + b * (that at the node), so far;
-    # both bits have their own sums, since 1 - p of a p near 1 has no digits left
+    # down to depth ``top``
     seen = F.col("n0") + F.col("n1")
     own = [(F.col(n) + 0.5) / (seen + 1.0) for n in ("n0", "n1")]
-    gap = F.col("below") - kt  # the node's own estimate against its children's
-    share, rest = (1 / (1 + F.exp(F.least(g, F.lit(700.0)))) for g in (F.col("gap"), -F.col("gap")))
+    share, rest = (1 / (1 + F.exp(F.greatest(F.least(g, F.lit(700.0)), F.lit(-700.0)))) for g in (F.col("below") - kt, kt - F.col("below")))
     above = None
-    for d in range(depth + 1):
+    for d in range(top + 1):
         level = levels[d]
         if above is None:
             level = level.select("*", F.lit(0.0).alias("a0"), F.lit(0.0).alias("a1"), F.lit(1.0).alias("b"), F.lit(0.5).alias("q0"), F.lit(0.5).alias("q1"))
         else:
-            side, ctx = parent(d)
-            level = level.select("*", side.alias("up_side"), ctx.alias("up")).join(above, ["up_side", "up", "node"])
-        ps = [F.when(seen > 0, F.col(f"a{i}") + F.col("b") * own[i]).otherwise(F.col(f"q{i}")) for i in (0, 1)]
-        if d < depth:
-            above = level.withColumn("gap", gap).withColumn("share", share).select(F.col("side").alias("up_side"), F.col("ctx").alias("up"), "node", *((F.col(f"a{i}") + F.col("b") * F.col("share") * own[i]).alias(f"a{i}") for i in (0, 1)), (F.col("b") * rest).alias("b"), *(ps[i].alias(f"q{i}") for i in (0, 1)))
-            above = cut(above, "tree")
-    low = level.select("side", "ctx", "node", "m0", "m1", ps[0].alias("p0"), ps[1].alias("p1"))
-    scored = low.repartition("side", "ctx").sortWithinPartitions("side", "ctx", "node").mapInArrow(_gram_scores, "side long, gram long, m long, lp double")
-    return cut(scored, "grams")
-
-
+            level = level.withColumn("up", F.shiftright("ctx", 8)).join(above.withColumnRenamed("ctx", "up"), ["up", "node"])
+        ps = [F.when(seen > 0, F.col(f"a{i}") + F.col("b") * own[i]).otherwise(F.col(f"q{i}")).alias(f"q{i}") for i in (0, 1)]
+        level = level.withColumn("share", share).withColumn("rest", rest)
+        above = level.select("ctx", "node", *((F.col(f"a{i}") + F.col("b") * F.col("share") * own[i]).alias(f"a{i}") for i in (0, 1)), (F.col("b") * F.col("rest")).alias("b"), *ps)
+    state = ["a0", "a1", "b", "q0", "q1"]
+    zero = F.lit(0).cast("long")
+    above = above.select("ctx", F.lit(0).alias("kind"), F.shiftleft("ctx", 8).bitwiseOR(F.col("node")).alias("key"), zero.alias("n"), zero.alias("c"), *state)
+    both = dealt.select("ctx", F.lit(GRAM).alias("kind"), "key", "n", "c", *(F.lit(0.0).alias(c) for c in state)).unionByName(above)
+    return cut(both.repartition("ctx").sortWithinPartitions("ctx", "kind", "key").mapInArrow(_down(depth, top), "gram long, m long, lp double"), "grams")
+
+
+# ------------------------------------------------------------------ lookup
 def at_least(df: DataFrame, count: str, most: int) -> int:
     """The least size class of ``count`` (see ``size_class``) that at most ``most`` rows reach."""
     least, held = 1 << 20, 0
@@ -232,142 +295,115 @@ def size_class(count: str) -> Column:
     return F.floor(F.log2(F.greatest(F.col(count), F.lit(1)).cast("double")) * 16)
 
 
-class Nodes:
-    """Bytes in context with their log10 probability, sorted inside each side."""
+class Lookup:
+    """Values by 64-bit keys: levels of open slots, of which a key takes the
+    first that no other key took."""
 
-    def __init__(self, sides: dict[int, tuple[np.ndarray, np.ndarray]]):
-        self.sides = sides
+    def __init__(self, keys: np.ndarray, *values: np.ndarray):
+        self.keys, self.values = keys, values
+        self.levels: list[tuple[int, np.ndarray]] | None = None
 
     @staticmethod
-    def collect(grams: DataFrame, depth: int = DEPTH, most: int = COMMON_GRAMS) -> Nodes:
-        """The most frequent grams, at most ``most``; 16 bytes each."""
-        got = grams.where(size_class("m") >= at_least(grams, "m", most)).select("side", "gram", "lp").toArrow()
-        side, gram, lp = (got.column(c).to_numpy() for c in ("side", "gram", "lp"))
-        order = np.lexsort((gram, side))
-        side, gram, lp = side[order], gram[order], lp[order]
-        kinds, at = np.unique(side, return_index=True)
-        return Nodes({int(k): (gram[a:b], lp[a:b]) for k, a, b in zip(kinds, at, [*at[1:], len(side)])})
-
-    def log10(self, ctx: np.ndarray, byte: np.ndarray, side: np.ndarray | int = 0) -> np.ndarray:
-        """log10 probability of bytes after contexts; NaN where it is not held."""
-        out, gram = np.full(len(ctx), np.nan), ctx << 8 | byte
-        side = np.broadcast_to(side, len(ctx))
-        for kind in np.unique(side):
-            if int(kind) not in self.sides:
-                continue
-            keys, lp = self.sides[int(kind)]
-            own = np.flatnonzero(side == kind)
-            at = np.minimum(np.searchsorted(keys, gram[own]), len(keys) - 1)
-            hit = keys[at] == gram[own]
-            out[own[hit]] = lp[at[hit]]
-        return out
+    def collect(df: DataFrame, key: str, count: str, values: list[str], most: int) -> Lookup:
+        """The rows of greatest ``count``, at most ``most``, 8 bytes for each column."""
+        got = df.where(size_class(count) >= at_least(df, count, most)).select(key, *values).toArrow()
+        return Lookup(*(got.column(c).to_numpy() for c in (key, *values)))
 
-
-def _score_words(shared, depth: int):
-    """Per word the sum over common grams; other grams as an array."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes: Nodes = shared.value
-        for whole in batches:
-            for k in range(0, whole.num_rows, 50_000):
-                batch = whole.slice(k, 50_000)
-                side = batch.column("side").to_numpy()
-                owner, ctx, byte = gram_arrays(batch.column("word"), side, depth)
-                lp = nodes.log10(ctx, byte, side[owner])
-                lost = np.flatnonzero(np.isnan(lp))
-                lp[lost] = 0
-                rare = pa.ListArray.from_arrays(np.searchsorted(owner[lost], np.arange(batch.num_rows + 1)).astype(np.int32), pa.array((ctx << 8 | byte)[lost]))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("side", "hash", "n", "c")), pa.array(np.bincount(owner, weights=lp, minlength=batch.num_rows)), rare], ["side", "hash", "n", "c", "lp", "rare"])
-
-    return scan
+    @staticmethod
+    def _slots(keys: np.ndarray, level: int, bits: int) -> np.ndarray:
+        return ((keys.view(U64) ^ (keys.view(U64) >> U64(29))) * U64(0x9E3779B97F4A7C15 * (2 * level + 1) % (1 << 64)) >> U64(64 - bits)).astype(np.int64)
+
+    def _build(self) -> None:
+        self.levels, left = [], np.arange(len(self.keys), dtype=np.int32)
+        while len(left):
+            bits = max(4, int(2 * len(left)).bit_length())
+            at = self._slots(self.keys[left], len(self.levels), bits)
+            slot = np.full(1 << bits, -1, np.int32)
+            slot[at] = left
+            self.levels.append((bits, slot))
+            left = left[slot[at] != left]
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key, -1 for those not held."""
+        if self.levels is None:
+            self._build()
+        out, todo = np.full(len(keys), -1, np.int32), np.arange(len(keys))
+        for level, (bits, slot) in enumerate(self.levels):
+            own = keys[todo]
+            got = slot[self._slots(own, level, bits)]
+            hit = (self.keys[got] == own) & (got >= 0)
+            out[todo[hit]] = got[hit]
+            todo = todo[~hit & (got >= 0)]
+            if not len(todo):
+                break
+        return out
 
 
-def score_words(words: DataFrame, grams: DataFrame, depth: int, common: int = COMMON_GRAMS) -> DataFrame:
-    """(side, hash, n, c, lp) for words (side, word, hash, n, c)."""
-    shared = words.sparkSession.sparkContext.broadcast(Nodes.collect(grams, depth, common))
-    parts = cut(words.select("side", "word", "hash", "n", "c").mapInArrow(_score_words(shared, depth), "side long, hash long, n long, c long, lp double, rare array<long>"), "words")
-    part = parts.where(F.size("rare") > 0)
-    more = part.select("side", "hash", "n", "c", F.col("lp").alias("held"), F.explode("rare").alias("gram")).join(grams.select("side", "gram", "lp"), ["side", "gram"])
-    more = more.groupBy("side", "hash").agg(F.first("n").alias("n"), F.first("c").alias("c"), (F.first("held") + F.sum("lp")).alias("lp"))
-    return cut(parts.where(F.size("rare") == 0).drop("rare").unionByName(more), "words")
+# --------------------------------------------------------------- documents
+def _tallied(row: np.ndarray, key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of each of ``n`` rows and how often they occur, with the rows' offsets."""
+    order = np.lexsort((key, row))
+    row, key = row[order], key[order]
+    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])])) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.diff(np.append(first, len(key))), np.searchsorted(row[first], np.arange(n + 1)).astype(np.int32)
 
 
-# ------------------------------------------------------------- documents
-def _sums(shared):
-    """Per document the sums over common words; other words as arrays."""
+def _sums(shared_words, shared_grams, depth: int):
+    """Per document the sums over common words and grams; the others as arrays."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, logc, lp, known = shared.value
+        known_words: Lookup = shared_words.value
+        known_grams: Lookup = shared_grams.value
         part, uid = TaskContext.get().partitionId() << 40, 0
         for batch in batches:
             data, offs = text_bytes(batch.column("text"))
             for a, b in chunks(offs):
+                n = b - a
                 row, _, _, h = words(data, offs[a : b + 1])
-                n, own = b - a, batch.column("side").slice(a, b - a)
-                h = keyed(h, own.to_numpy()[row])
-                at = np.searchsorted(hashes, h)
-                at[at == len(hashes)] = 0
-                hit = hashes[at] == h if len(hashes) else np.zeros(len(h), bool)
-                r, k = row[hit], at[hit]
-                add = lambda w: np.bincount(r, weights=w[k], minlength=n)  # noqa: E731,B023
-                order = np.lexsort((h[~hit], row[~hit]))
-                rare_row, rare = row[~hit][order], h[~hit][order]
-                new = np.ones(len(rare), bool)
-                new[1:] = (rare[1:] != rare[:-1]) | (rare_row[1:] != rare_row[:-1])
-                first = np.flatnonzero(new)
-                tf = np.diff(np.append(first, len(rare)))
-                cut_at = np.searchsorted(rare_row[first], np.arange(n + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(cut_at, pa.array(v)) for v in (rare[first].view(np.int64), tf.astype(np.int64))]
-                ids = batch.column("doc_id").slice(a, n)
-                cols = [pa.array(part + uid + np.arange(n)), ids, own, batch.column("train").slice(a, n), pa.array(np.bincount(row, minlength=n).astype(np.int64) + 1), pa.array(add(logc)), pa.array(add(lp)), pa.array(add(known).astype(np.int64)), *lists]
+                h = h.view(np.int64)
+                at = known_words.find(h)
+                hit = at >= 0
+                word_sums = [np.bincount(row[hit], weights=v[at[hit]], minlength=n).astype(float) for v in known_words.values]
+                rare = [(WORD, *_tallied(row[~hit], h[~hit], n))]
+                flat, ends = sequences(data, offs[a : b + 1])
+                gram = grams_of(flat, ends, depth)
+                at = known_grams.find(gram)
+                lost = np.flatnonzero(at < 0)
+                lp = known_grams.values[0][at] if len(known_grams.keys) else np.zeros(len(gram))
+                lp[lost] = 0
+                rare.append((GRAM, *_tallied(np.searchsorted(ends, lost, "right") - 1, gram[lost], n)))
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(v.astype(np.int64))) for _, key, tf, cuts in rare for v in (key, tf)]
+                cols = [pa.array(part + uid + np.arange(n)), *(batch.column(c).slice(a, n) for c in ("doc_id", "train")), pa.array(np.bincount(row, minlength=n).astype(np.int64) + 1), pa.array(word_sums[0]), pa.array(word_sums[1].astype(np.int64)), pa.array(np.add.reduceat(lp, ends[:-1])), *lists]
                 uid += n
-                yield pa.RecordBatch.from_arrays(cols, ["uid", "doc_id", "side", "train", "n_tokens", "logc", "lp", "known", "rare", "tf"])
+                yield pa.RecordBatch.from_arrays(cols, ["uid", "doc_id", "train", "n_tokens", "logc", "known", "lp", "w", "w_tf", "g", "g_tf"])
 
     return scan
 
 
-def sided(docs: DataFrame, column: str | None) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with the column ``side``, and each symbol's log10 share of the
-    training rows (add-one) as (side, share). Null is 0, others are hashed."""
-    if column is None:
-        return docs.withColumn("side", F.lit(0).cast("long")), docs.sparkSession.createDataFrame([(0, 0.0)], "side long, share double")
-    kind = F.col(column).cast("string")
-    docs = docs.withColumn("side", F.when(kind.isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(kind)))
-    per = cut(docs.groupBy("side").agg(F.count_if("train").alias("c")), "sides")
-    total = per.agg(F.coalesce(F.sum("c"), F.lit(0)) + F.count_if(F.col("side") != 0) + 1).first()[0]
-    return docs, per.select("side", F.log10((F.col("c") + 1) / F.lit(total)).alias("share"))
-
-
-def score_documents(docs: DataFrame, train: Column, depth: int = DEPTH, common: int = COMMON, side: str | None = "lang") -> DataFrame:
+def score_documents(docs: DataFrame, train: Column, depth: int = DEPTH, common: int = COMMON, common_grams: int = COMMON_GRAMS) -> DataFrame:
     """(doc_id, train, n_tokens, n_known, train_tokens, base_score, score) per row;
     ``train`` says which rows are learned from."""
     spark = docs.sparkSession
-    own, share = sided(docs.withColumn("train", train), side)
-    own = own.select("doc_id", "text", "train", "side")
-    counted = own.select("text", "train", "side").mapInArrow(_count, "side long, word binary, n long, c long, hash long")
-    vocabulary = cut(counted.groupBy("side", "word").agg(F.sum("n").alias("n"), F.sum("c").alias("c"), F.first("hash").alias("hash")), "words")
-    # the base knows no side: a word's count is that over all sides
-    plain = vocabulary.groupBy("word").agg(F.sum("c").alias("all"))
-    totals = plain.agg(F.coalesce(F.sum("all"), F.lit(0)).alias("n"), F.count_if(F.col("all") > 0).alias("v")).first()
-    scored = score_words(vocabulary.join(plain, "word").select("side", "word", "hash", "n", F.col("all").alias("c")), tree(vocabulary, depth), depth)
-    ends = vocabulary.where(F.col("word") == F.lit(END)).select("side", "hash").join(scored.select("hash", "c", F.col("lp").alias("end_lp")), "hash")  # one for each side symbol
-    ends = cut(ends.join(share, "side").select("side", "c", (F.col("end_lp") + F.col("share")).alias("last")), "ends")
-    # at most `common` words: those above a count, found from a small histogram of logarithms
-    top = scored.where(size_class("n") >= at_least(scored, "n", common)).toArrow()
-    hashes = top.column("hash").to_numpy().astype(np.int64).view(U64)
-    order = np.argsort(hashes)
-    c, lp = top.column("c").to_numpy()[order], top.column("lp").to_numpy()[order]
-    frequent = spark.sparkContext.broadcast((hashes[order], np.log10(c + 1.0), lp, (c > 0).astype(float)))
-    rows = cut(own.mapInArrow(_sums(frequent), "uid long, doc_id long, side long, train boolean, n_tokens long, logc double, lp double, known long, rare array<long>, tf array<long>"), "documents")
-    rare = rows.select("uid", F.explode(F.arrays_zip("rare", "tf")).alias("r")).select("uid", F.col("r.rare").alias("hash"), F.col("r.tf").alias("tf"))
-    rare = rare.join(scored.select("hash", "c", F.col("lp").alias("word_lp")), "hash")
-    rare = rare.groupBy("uid").agg(F.sum(F.col("tf") * F.log10(F.col("c") + 1.0)).alias("logc2"), F.sum(F.col("tf") * F.col("word_lp")).alias("lp2"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("known2"))
-    out = rows.drop("rare", "tf").join(rare, "uid", "left")
-    out = out.join(ends.select("side", "last"), "side")
-    end_c = (ends.select("c").first() or (0,))[0]
+    own = docs.withColumn("train", F.coalesce(train, F.lit(False))).select("doc_id", "text", "train")
+    counted = own.select("text", "train").mapInArrow(_counts(depth), "kind long, key long, n long, c long")
+    counted = cut(counted.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("c").alias("c")), "counts")
+    vocabulary = counted.where(F.col("kind") == WORD).select("key", "n", F.log10(F.col("c") + 1.0).alias("logc"), (F.col("c") > 0).cast("double").alias("known"), "c")
+    totals = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.coalesce(F.max(F.when(F.col("key") == 0, F.col("c"))), F.lit(0)).alias("ends")).first()
+    grams = tree(counted.where(F.col("kind") == GRAM), depth)
+    frequent = spark.sparkContext.broadcast(Lookup.collect(vocabulary, "key", "n", ["logc", "known"], common))
+    nodes = spark.sparkContext.broadcast(Lookup.collect(grams, "gram", "m", ["lp"], common_grams))
+    schema = "uid long, doc_id long, train boolean, n_tokens long, logc double, known long, lp double, w array<long>, w_tf array<long>, g array<long>, g_tf array<long>"
+    rows = cut(own.mapInArrow(_sums(frequent, nodes, depth), schema), "documents")
+    # the others: one join for words and grams
+    values = vocabulary.select(F.lit(WORD).alias("kind"), "key", "logc", "known", F.lit(0.0).alias("lp")).unionByName(grams.select(F.lit(GRAM).alias("kind"), F.col("gram").alias("key"), F.lit(0.0).alias("logc"), F.lit(0.0).alias("known"), "lp"))
+    rare = [rows.select("uid", F.lit(kind).alias("kind"), F.explode(F.arrays_zip(c, f"{c}_tf")).alias("r")).select("uid", "kind", F.col(f"r.{c}").alias("key"), F.col(f"r.{c}_tf").alias("tf")) for kind, c in ((WORD, "w"), (GRAM, "g"))]
+    rare = rare[0].unionByName(rare[1]).join(values, ["kind", "key"])
+    rare = rare.groupBy("uid").agg(*(F.sum(F.col("tf") * F.col(c)).alias(f"{c}2") for c in ("logc", "known", "lp")))
+    out = rows.drop("w", "w_tf", "g", "g_tf").join(rare, "uid", "left")
     z = lambda c: F.coalesce(c, F.lit(0))
-    base = F.col("logc") + z("logc2") + F.lit(math.log10(end_c + 1.0)) - F.col("n_tokens") * F.lit(math.log10(totals.n + totals.v + 1))
-    return out.select("doc_id", "train", "n_tokens", (F.col("known") + z("known2") + F.lit(int(end_c > 0))).alias("n_known"), F.lit(totals.n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("lp") + z("lp2") + F.col("last")).alias("score"))
+    base = F.col("logc") + z("logc2") + F.lit(math.log10(totals.ends + 1.0)) - F.col("n_tokens") * F.lit(math.log10(totals.n + totals.v + 1))
+    known = F.col("known") + z("known2").cast("long") + F.lit(int(totals.ends > 0))
+    return out.select("doc_id", "train", "n_tokens", known.alias("n_known"), F.lit(totals.n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("lp") + z("lp2")).alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -307,7 +307,7 @@ def test_sharding(spark, docs, rows, tmp_path, nothing):
 
 # ------------------------------------------------------------------- 7
 def test_scores(docs, rows, nothing, spark):
-    got = {r.doc_id: r for r in ctw.score_documents(docs, ~ctw.held_out(), common=8).collect()}
+    got = {r.doc_id: r for r in ctw.score_documents(docs, ~ctw.held_out(), common=8, common_grams=300).collect()}
     tokens = {d: [*words(t), "\0"] for d, t, *_ in rows}
     c = Counter(w for d, ws in tokens.items() if zlib.crc32(str(d).encode()) % 7 != 2 for w in ws)
     n, v = sum(c.values()), len(c)
@@ -319,76 +319,110 @@ def test_scores(docs, rows, nothing, spark):
     assert ctw.score_documents(nothing, ~ctw.held_out()).count() == 0
     untrained = ctw.score_documents(docs, ctw.F.lit(False))
     assert untrained.where("n_known > 0 or score is null").count() == 0
+    # nothing is known, so a byte costs eight bits
+    assert {r.doc_id: r.score for r in untrained.collect()} == pytest.approx({d: 8 * math.log10(0.5) * (sum(len(w.encode()) + 1 for w in words(t)) + 1) for d, t, *_ in rows})
 
 
-def test_tree_weighting_equals_a_recursion(spark):
-    """Root mixture of Krichevsky-Trofimov estimates, by the definition."""
-    text = [("abab", 3), ("abba", 2), ("b", 1)]
-    vocabulary = spark.createDataFrame([(0, w.encode(), c) for w, c in text], "side long, word binary, c long")
-    nodes = ctw.Nodes.collect(ctw.tree(vocabulary, 3), 3)
+def brute_tree(texts, depth):
+    """Scores of (text, trained) by the definition: the root's mixture of
+    Krichevsky-Trofimov estimates over the whole sequence of bytes."""
     counts = defaultdict(lambda: [0, 0])
-    for w, c in text:
-        b = w.encode() + b" "
-        for i, x in enumerate(b):
-            past = (b"  " + b[:i])[-2:]
+
+    def decisions(text):
+        past = b"\n" * depth
+        for x in b"".join(w.encode() + b" " for w in words(text)) + b"\n":
             for k in range(8):
-                for d in range(4):
-                    ctx = () if d == 0 else (0, *past[::-1][: d - 1])
-                    counts[ctx, (x | 256) >> (8 - k)][x >> (7 - k) & 1] += c
+                yield past[::-1][:depth], (x | 256) >> (8 - k), x >> (7 - k) & 1
+            past = past[1:] + bytes([x])
+
+    for text, trained in texts:
+        for past, node, bit in decisions(text):
+            for d in range(depth + 1):
+                counts[past[:d], node][bit] += trained
+
+    children = defaultdict(list)
+    for ctx, node in list(counts):
+        if ctx:
+            children[ctx[:-1], node].append(ctx)
 
     def kt(n):
         return math.lgamma(n[0] + 0.5) + math.lgamma(n[1] + 0.5) - math.log(math.pi) - math.lgamma(sum(n) + 1)
 
+    memo = {}
+
     def weighted(ctx, node):
-        own = kt(counts[ctx, node])
-        if len(ctx) == 3:
-            return own, None
-        below = sum(weighted(c, node)[0] for c, m in list(counts) if m == node and len(c) == len(ctx) + 1 and c[: len(ctx)] == ctx)
-        top = max(own, below)
-        return top + math.log(math.exp(own - top) + math.exp(below - top)) - math.log(2), 1 / (1 + math.exp(below - own))
-
-    def p_one(past, node):
-        p, left = 0.0, 1.0
-        for d in range(4):
-            ctx = () if d == 0 else (0, *past[::-1][: d - 1])
-            n = counts[ctx, node]
-            share = weighted(ctx, node)[1] if d < 3 else 1.0
-            p, left = p + left * share * (n[1] + 0.5) / (sum(n) + 1), left * (1 - share)
-        return p
-
-    want = 0.0
-    for i, x in enumerate(b"abba "):
-        past = (b"  " + b"abba"[:i])[-2:]
-        for k in range(8):
-            p = p_one(past, (x | 256) >> (8 - k))
-            want += math.log10(p if x >> (7 - k) & 1 else 1 - p)
-    import pyarrow as pa
-
-    _, ctx, byte = ctw.gram_arrays(pa.array([b"abba"], pa.binary()), np.zeros(1, np.int64), 3)
-    assert nodes.log10(ctx, byte).sum() == pytest.approx(want, abs=1e-4)
+        if (ctx, node) not in memo:
+            own = kt(counts[ctx, node])
+            if len(ctx) == depth:
+                memo[ctx, node] = own, 1.0
+            else:
+                below = sum(weighted(c, node)[0] for c in children[ctx, node])
+                top = max(own, below)
+                memo[ctx, node] = top + math.log(math.exp(own - top) + math.exp(below - top)) - math.log(2), 1 / (1 + math.exp(below - own))
+        return memo[ctx, node]
+
+    def p(past, node, bit):
+        out, left, best = 0.0, 1.0, 0.5
+        for d in range(depth + 1):
+            n = counts[past[:d], node]
+            if not sum(n):
+                return best  # no observations from here on: the deepest context that has some
+            e, share = (n[bit] + 0.5) / (sum(n) + 1), weighted(past[:d], node)[1]
+            best = out + left * e
+            out, left = out + left * share * e, left * (1 - share)
+        return out
+
+    return [sum(math.log10(p(*x)) for x in decisions(text)) for text, _ in texts]
+
+
+@pytest.mark.parametrize("depth", [1, 2, 5])
+def test_tree_weighting_equals_a_recursion(spark, depth):
+    texts = [("abab abba  Ab", 1), ("abba cab\n b", 1), ("", 1), (None, 0), ("abab bac é zz", 0), ("abab abba ab", 1), ("q", 0)]
+    df = spark.createDataFrame([(i, t, bool(x)) for i, (t, x) in enumerate(texts)], "doc_id long, text string, own boolean").repartition(3)
+    want = brute_tree([(t, x) for t, x in texts], depth)
+    for most in (0, 5, 1 << 20):  # grams beyond the broadcast are joined
+        got = {r.doc_id: r.score for r in ctw.score_documents(df, ctw.F.col("own"), depth, most, most).collect()}
+        assert [got[i] for i in range(len(texts))] == pytest.approx(want)
+
+
+def test_probabilities_sum_to_one(spark):
+    """Over all next bytes of a context; contexts cross words."""
+    rng = random.Random(12)
+    texts = [(i, prose(rng, 30), True) for i in range(20)]
+    probe = [(100 + b, "ab ef" + chr(b), False) for b in (*range(97, 105), 33, 126)]
+    df = spark.createDataFrame(texts + probe, "doc_id long, text string, own boolean")
+    counted = df.mapInArrow(lambda it: ctw._counts(4)(x.rename_columns(["doc_id", "text", "train"]).select(["text", "train"]) for x in it), "kind long, key long, n long, c long").where("kind = 1").groupBy("key").agg(ctw.F.sum("n").alias("n"), ctw.F.sum("c").alias("c"))
+    lp = defaultdict(dict)
+    for r in ctw.tree(counted, 4).collect():
+        lp[r.gram >> 8][r.gram & 255] = r.lp
+    assert all(sum(10**x for x in own.values()) <= 1 + 1e-9 for own in lp.values())
+    assert any(0x20 in (k >> 8 & 255, k >> 16 & 255) for k in lp)
 
 
 def test_rare_bits_of_common_contexts_are_finite(spark):
-    """A word that is not trained on, against 10^12 observations of another first byte."""
+    """A byte that is not trained on, against 10^12 observations of another."""
     many = 10**12
-    vocabulary = spark.createDataFrame([(0, b"a", many), (0, b"\xe1", 0)], "side long, word binary, c long")
-    lp = {(r.gram >> 8, r.gram & 255): r.lp for r in ctw.tree(vocabulary, 2).collect()}
-    # the first bit of \xe1 was never seen in any context, the others in none
-    assert lp[0x20, 0xE1] == pytest.approx(math.log10(0.5 / (many + 1)) + 7 * math.log10(0.5), abs=0.4)
+    counted = spark.createDataFrame([(0x0A0A61, many, many), (0x0A0AE1, 1, 0)], "key long, n long, c long")
+    lp = {r.gram & 255: r.lp for r in ctw.tree(counted, 2).collect()}
+    # the first bit of 0xe1 was never seen in any context, the others in none
+    assert lp[0xE1] == pytest.approx(math.log10(0.5 / (many + 1)) + 7 * math.log10(0.5), abs=0.4)
     assert all(math.isfinite(x) for x in lp.values())
 
 
-def test_all_contexts_and_side_symbols_count(spark):
-    """The depth is that asked for, grams beyond the broadcast are joined, and
-    300 side symbols stay apart."""
-    words = [(s, f"w{s % 7}x{i}".encode(), 1 + (s + i) % 5, 1 + (s * i) % 3, 1000 * s + i) for s in range(300) for i in range(5)]
-    words = spark.createDataFrame(words, "side long, word binary, n long, c long, hash long")
-    grams = ctw.tree(words, 4)
-    assert grams.where("lp is null or lp >= 0").count() == 0 and grams.select("side").distinct().count() == 300
-    got = [{r.hash: r.lp for r in ctw.score_words(words, grams, 4, most).collect()} for most in (1 << 20, 400)]
-    assert len(got[0]) == 1500 and got[1] == pytest.approx(got[0])
-    langs = spark.createDataFrame([(i, f"l{i:03}") for i in range(300)], "doc_id long, lang string")
-    assert ctw.sided(langs.withColumn("train", ctw.F.lit(True)), "lang")[0].select("side").distinct().count() == 300
+def test_held_out_text_is_coded_better_than_by_words(spark):
+    """Words that lean on the word before, which a model of single words can't see."""
+    rng = random.Random(13)
+    names = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40)]
+    rows = []
+    for i in range(300):
+        at = rng.randrange(40)
+        text = []
+        for _ in range(40):
+            text.append(names[at])
+            at = (at * 7 + rng.choice((1, 2, 3))) % 40
+        rows.append((i, " ".join(text)))
+    got = ctw.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), ~ctw.held_out()).where("not train").collect()
+    assert sum(r.score for r in got) > 0.6 * sum(r.base_score for r in got)
 
 
 # ------------------------------------------------------------------- 8
