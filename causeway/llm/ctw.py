@@ -49,7 +49,7 @@ DEPTH = 6
 TOP = 3
 COMMON_GRAMS = 1 << 21
 COMMON = 1 << 17
-COUNT_BYTES = 4 << 20
+HELD = 3 << 19  # counts of a task
 BOUNDARY, END = 0x20, 0x0A  # neither is part of a word
 LOG2 = math.log(2)
 WORD, GRAM = 0, 1
@@ -94,28 +94,63 @@ def grams_of(flat: np.ndarray, offs: np.ndarray, depth: int) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- counting
+def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with the sums of their ``n``."""
+    order = np.argsort(key)
+    key, n = key[order], n[order]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else order
+    return key[start], np.add.reduceat(n, start) if len(start) else n
+
+
+class Tally:
+    """Counts of keys, held until they are more than ``HELD``."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Counts ``key``; what is held, if it is time to pass it on."""
+        self.parts.append(np.unique(key, return_counts=True))
+        self.size += len(self.parts[-1][0])
+        if self.size > HELD:
+            self.parts = [self.whole()]
+            self.size = len(self.parts[0][0])
+            if self.size > HELD // 2:
+                return self.take()
+        return None
+
+    def whole(self) -> tuple[np.ndarray, np.ndarray]:
+        key, n = (np.concatenate(x) for x in zip(*self.parts)) if self.parts else (np.zeros(0, np.int64),) * 2
+        return summed(key, n)
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        out, self.parts, self.size = self.whole(), [], 0
+        return out
+
+
 def _counts(depth: int):
-    """Words and grams of runs of texts, with their counts in all and in training."""
+    """Words and grams of a task's texts, with their counts in all and in training."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(kind: int, key: np.ndarray, trained: bool, n: np.ndarray | None = None) -> pa.RecordBatch:
-            if n is None:
-                key, n = np.unique(key, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind)), pa.array(key.view(np.int64)), pa.array(n), pa.array(n if trained else np.zeros_like(n))], ["kind", "key", "n", "c"])
+        def rows(kind: int, trained: bool, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind)), pa.array(key), pa.array(n), pa.array(n if trained else np.zeros_like(n))], ["kind", "key", "n", "c"])
 
+        tallies = {(kind, trained): Tally() for kind in (WORD, GRAM) for trained in (True, False)}
         for whole in batches:
-            for trained in (True, False):
-                batch = whole.filter(whole.column("train") if trained else pc.invert(whole.column("train")))
-                data, offs = text_bytes(batch.column("text"))
-                for a, b in chunks(offs, COUNT_BYTES):
-                    hashes, keys = [], []
-                    for x, y in chunks(offs[a : b + 1]):
-                        own = offs[a + x : a + y + 1]
-                        hashes.append(words(data, own)[3])
-                        keys.append(grams_of(*sequences(data, own), depth))
-                    yield rows(WORD, np.concatenate(hashes), trained)
-                    yield rows(WORD, np.zeros(1, np.int64), trained, np.array([b - a]))  # the end token
-                    yield rows(GRAM, np.concatenate(keys), trained)
+            for k in range(0, whole.num_rows, 512):
+                some = whole.slice(k, 512)
+                for trained in (True, False):
+                    batch = some.filter(some.column("train") if trained else pc.invert(some.column("train")))
+                    data, offs = text_bytes(batch.column("text"))
+                    for a, b in chunks(offs):
+                        own = offs[a : b + 1]
+                        end = np.zeros(b - a, np.int64)  # the end token
+                        for kind, key in ((WORD, np.concatenate([words(data, own)[3].view(np.int64), end])), (GRAM, grams_of(*sequences(data, own), depth))):
+                            if ready := tallies[kind, trained].add(key):
+                                yield rows(kind, trained, *ready)
+        for (kind, trained), tally in tallies.items():
+            yield rows(kind, trained, *tally.take())
 
     return scan
 
