@@ -133,8 +133,10 @@ def _counts(depth: int):
     """Words and grams of a task's texts, with their counts in all and in training."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(kind: int, trained: bool, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind)), pa.array(key), pa.array(n), pa.array(n if trained else np.zeros_like(n))], ["kind", "key", "n", "c"])
+        def rows(kind: int, trained: bool, keys: np.ndarray, ns: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for k in range(0, len(keys), 100_000):
+                key, n = keys[k : k + 100_000], ns[k : k + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind)), pa.array(key), pa.array(n), pa.array(n if trained else np.zeros_like(n))], ["kind", "key", "n", "c"])
 
         tallies = {(kind, trained): Tally() for kind in (WORD, GRAM) for trained in (True, False)}
         for whole in batches:
@@ -148,9 +150,9 @@ def _counts(depth: int):
                         end = np.zeros(b - a, np.int64)  # the end token
                         for kind, key in ((WORD, np.concatenate([words(data, own)[3].view(np.int64), end])), (GRAM, grams_of(*sequences(data, own), depth))):
                             if ready := tallies[kind, trained].add(key):
-                                yield rows(kind, trained, *ready)
+                                yield from rows(kind, trained, *ready)
         for (kind, trained), tally in tallies.items():
-            yield rows(kind, trained, *tally.take())
+            yield from rows(kind, trained, *tally.take())
 
     return scan
 
@@ -421,7 +423,8 @@ def score_documents(docs: DataFrame, train: Column, depth: int = DEPTH, common:
     spark = docs.sparkSession
     own = docs.withColumn("train", F.coalesce(train, F.lit(False))).select("doc_id", "text", "train")
     counted = own.select("text", "train").mapInArrow(_counts(depth), "kind long, key long, n long, c long")
-    counted = cut(counted.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("c").alias("c")), "counts")
+    # tasks have summed their rows, so these go to the shuffle as they are
+    counted = cut(counted.repartition("kind", "key").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("c").alias("c")), "counts")
     vocabulary = counted.where(F.col("kind") == WORD).select("key", "n", F.log10(F.col("c") + 1.0).alias("logc"), (F.col("c") > 0).cast("double").alias("known"), "c")
     totals = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.coalesce(F.max(F.when(F.col("key") == 0, F.col("c"))), F.lit(0)).alias("ends")).first()
     grams = tree(counted.where(F.col("kind") == GRAM), depth)
