@@ -15,19 +15,27 @@ and component.
    the threshold shares a key. A pair at the similarity threshold exceeds it
    with a probability near 1e-5 (50 slots, 10 chunks, 0.85) or 1e-6 (48, 12, 0.8).
 4. Under each key, members are held against the key's smallest member, natively,
-   by the signatures' distance. Those near it are joined to it; the others go
-   to a task with the key's members, in salted slices for hot keys, and
-   are joined to all they are near to. This gives families: everything that
-   links lies in one family, and no pair inside a family needs to be listed.
-5. The full sets are gathered once per family, in pairs of blocks for large
-   families, and intersections are counted exactly through an inverted index in
-   the task. Only a spanning forest of the confirmed links comes out.
+   by the signatures' distance. Those near it are joined to it; the others (far
+   ones) meet all members in a grid, a block of far ones and a block of members
+   to a task, and are joined to all they are near to. This gives families:
+   everything that links lies in one family, and no pair inside a family needs to
+   be listed.
+5. A family's full sets are gathered once, and intersections are counted exactly
+   through an inverted index in the task. Large families go in blocks, first
+   against the family's smallest member alone; only what isn't linked to it meets
+   the others, in a grid as above. Only a spanning forest of the confirmed links
+   comes out.
+
+Rows are told apart by a number of their own, not by their doc_id.
 
 Defined cases: null or empty text and text of white space have an empty set and
-are linked with nothing; fewer words than a shingle are one shingle; rows with
-equal texts are copies of each other, and rows with equal doc_ids share one
-component; null doc_ids get a null component and are not kept; an empty table
-gives an empty result; extra columns are ignored.
+are linked with nothing; fewer words than a shingle are one shingle; texts of any
+length are read whole; rows with equal sets are copies of each other; rows of one
+doc_id with different texts are documents of their own, each in its own text's
+component; a component's id is its smallest doc_id, null where it has none, and
+rows with a null doc_id are never ``kept``; an empty table gives an empty result;
+extra columns are ignored. ``one_of_each`` keeps exactly one row of each component
+(smallest doc_id, nulls last), whatever the doc_ids, and all rows without words.
 """
 
 from __future__ import annotations
@@ -40,9 +48,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from causeway.llm.common import U64, bounds, components, cut, local_components, mix, runs, shingle_sets, table, text_bytes
+from causeway.llm.common import U64, bounds, components, cut, local_components, mix, runs, shingle_sets, table, text_bytes, wrapped
 
-KEY_ROWS = 4096
+KEY_ROWS = 1024
 BLOCK_DOCS = 1024
 BLOCK_SHINGLES = 1 << 20
 
@@ -104,13 +112,13 @@ def _signatures(s: Scheme):
             bytes_[:, : s.slots] = (sig & U64(0xFF)).astype(np.uint8)
             packed = bytes_.view("<i8")
             both = np.array(sums, U64).reshape(-1, 2).view(np.int64)
-            cols = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1])]
+            cols = [batch.column("tag"), batch.column("doc_id"), batch.column("text"), pa.array(n, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1])]
             cols += [pa.array(packed[:, i].copy()) for i in range(s.longs)]
             cols.append(pa.ListArray.from_arrays(np.arange(0, (len(n) + 1) * s.slots, s.slots, dtype=np.int32), pa.array(keys.view(np.int64).ravel())))
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "e1", "e2", *(f"s{i}" for i in range(s.longs)), "keys"])
+            yield pa.RecordBatch.from_arrays(cols, ["tag", "doc_id", "text", "n", "e1", "e2", *(f"s{i}" for i in range(s.longs)), "keys"])
 
     sig_cols = ", ".join(f"s{i} long" for i in range(s.longs))
-    return scan, f"doc_id long, n long, e1 long, e2 long, {sig_cols}, keys array<long>"
+    return scan, f"tag long, doc_id long, text string, n long, e1 long, e2 long, {sig_cols}, keys array<long>"
 
 
 def _distance(s: Scheme, a: str, b: str) -> Column:
@@ -124,32 +132,64 @@ def _distance(s: Scheme, a: str, b: str) -> Column:
     return reduce(lambda x, y: x + y, [differing(i) for i in range(s.longs)])
 
 
-def _near(s: Scheme):
-    """Joins the members of a key's slice that are far from the key's first."""
-    cols = [f"s{i}" for i in range(s.longs)]
+def _forests(links, keys: list[str]):
+    """Runs ``links`` on each cell; only a spanning forest leaves the task.
+
+    ``links`` gets a cell's rows and returns linked positions, of a row with
+    ``near`` on the left and one with ``near`` on the right.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, ["key", "salt"]):
-            ids, far = t.column("id").to_numpy(), t.column("far").to_numpy(zero_copy_only=False)
-            sig = np.column_stack([t.column(c).to_numpy() for c in cols]).view(np.uint8)
-            cut_at = bounds(t, ["key", "salt"])
-            a_, b_ = [], []
+        for t in runs(batches, keys):
+            cut_at = bounds(t, keys)
+            a_, b_ = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for a, b in zip(cut_at, cut_at[1:]):
-                for i in a + np.flatnonzero(far[a:b]):
-                    hit = a + np.flatnonzero((sig[a:b] != sig[i]).sum(axis=1) <= s.most)
-                    hit = hit[ids[hit] != ids[i]]
-                    a_.append(np.full(len(hit), ids[i]))
-                    b_.append(ids[hit])
-            if a_:
-                x, y = np.concatenate(a_), np.concatenate(b_)
-                # links within the slice: only a spanning forest leaves the task
-                names, where = np.unique(np.concatenate([x, y]), return_inverse=True)
-                root = local_components(len(names), where[: len(x)], where[len(x) :])
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[root])], ["a", "b"])
+                if b - a < 2:
+                    continue
+                cell = t.slice(a, b - a).combine_chunks()
+                names, at = np.unique(cell.column("id").to_numpy(), return_inverse=True)
+                i, j = (at[x] for x in links(cell))
+                root = local_components(len(names), i, j)
+                moved = np.flatnonzero(root != np.arange(len(names)))
+                a_.append(names[moved])
+                b_.append(names[root[moved]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_)), pa.array(np.concatenate(b_))], ["a", "b"])
 
     return scan
 
 
+LEFT, RIGHT, BOTH = 1, 2, 3
+
+
+def grid(far: DataFrame, members: DataFrame, key: str, far_blocks: str, blocks: str) -> DataFrame:
+    """Cells (key, x, y) in which block x of ``far`` meets block y of ``members``."""
+
+    def spread(df: DataFrame, own: str, other: str, side: int) -> DataFrame:
+        mine = F.pmod(F.xxhash64("id"), F.col(own)).cast("long").alias("x" if side == LEFT else "y")
+        others = F.explode(F.sequence(F.lit(0).cast("long"), F.col(other).cast("long") - 1)).alias("y" if side == LEFT else "x")
+        return df.select(key, mine, others, "id", F.lit(side).cast("long").alias("side"))
+
+    return spread(far, far_blocks, blocks, LEFT).unionByName(spread(members, blocks, far_blocks, RIGHT))
+
+
+def _near(s: Scheme):
+    """The pairs of a cell that are within the signature distance."""
+    cols = [f"s{i}" for i in range(s.longs)]
+
+    def links(cell: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        side = cell.column("side").to_numpy()
+        sig = np.column_stack([cell.column(c).to_numpy() for c in cols]).view(np.uint8)
+        right = np.flatnonzero(side == RIGHT)
+        a_, b_ = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in np.flatnonzero(side == LEFT):
+            hit = right[(sig[right] != sig[i]).sum(axis=1) <= s.most]
+            a_.append(np.full(len(hit), i))
+            b_.append(hit)
+        return np.concatenate(a_), np.concatenate(b_)
+
+    return links
+
+
 def families(classes: DataFrame, s: Scheme) -> DataFrame:
     """(node, component): classes that may be linked, directly or in turn."""
     sig = [f"s{i}" for i in range(s.longs)]
@@ -162,13 +202,12 @@ def families(classes: DataFrame, s: Scheme) -> DataFrame:
     lead = classes.select(F.col("id").alias("first"), *(F.col(c).alias(f"f{i}") for i, c in enumerate(sig)))
     pairs = cut(pairs.join(own, "id").join(lead, "first").select("id", "first", (_distance(s, "s", "f") > s.most).alias("far")), "pairs")
     stars = pairs.where("not far").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    # keys with far members: each slice gets its own share of the members and all the far ones
-    far = cut(shared.join(pairs.where("far"), ["id", "first"]).select("key", "id", F.lit(1).alias("far")), "far")
-    inside = shared.join(far.select("key").distinct(), "key", "left_semi").join(far, ["key", "id"], "left")
-    salts = F.ceil(F.col("members") / KEY_ROWS)
-    inside = inside.withColumn("salt", F.explode(F.when(F.col("far") == 1, F.sequence(F.lit(0), (salts - 1).cast("int"))).otherwise(F.array(F.pmod(F.xxhash64("id"), salts).cast("int")))))
-    inside = inside.join(own, "id").select("key", F.col("salt").cast("long").alias("salt"), "id", F.coalesce("far", F.lit(0)).alias("far"), *sig)
-    found = inside.repartition("key", "salt").sortWithinPartitions("key", "salt", "id").mapInArrow(_near(s), "a long, b long")
+    far = cut(shared.join(pairs.where("far"), ["id", "first"]).select("key", "id", "members"), "far")
+    blocks = far.groupBy("key").agg(F.ceil(F.count("*") / KEY_ROWS).alias("far_blocks"), F.ceil(F.max("members") / KEY_ROWS).alias("blocks"))
+    blocks = cut(blocks, "far")
+    cells = grid(far.select("key", "id").join(blocks, "key"), shared.select("key", "id").join(blocks, "key"), "key", "far_blocks", "blocks").join(own, "id")
+    keys = ["key", "x", "y"]
+    found = cells.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(_forests(_near(s), keys), "a long, b long")
     return components(stars.unionByName(found))
 
 
@@ -177,89 +216,103 @@ def _gather(s: Scheme):
         for batch in batches:
             data, offs = text_bytes(batch.column("text"))
             sets = [u.tobytes() for u in shingle_sets(data, offs, s.words)]
-            yield pa.RecordBatch.from_arrays([batch.column("family"), batch.column("blocks"), batch.column("id"), pa.array(sets, pa.binary())], ["family", "blocks", "id", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["id", "set"])
 
     return scan
 
 
-def confirmed(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs of positions, by exact intersections.
-
-    ``side`` is 0 for members of a first block and 1 for those of a second;
-    pairs inside a block are left to the block's own task, where all have 2.
-    """
+def confirmed(sets: list[np.ndarray], side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs of positions, left and right, by exact intersections."""
     n = np.array([len(x) for x in sets])
-    order = np.argsort(n, kind="stable")
-    flat = np.concatenate(sets)
-    _, code = np.unique(flat, return_inverse=True)
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
     at = np.concatenate([[0], np.cumsum(n)])
     owner = np.repeat(np.arange(len(sets)), n)
     by = np.argsort(code, kind="stable")
     posting = owner[by]
     head = np.searchsorted(code[by], np.arange(code.max() + 2))
-    a_, b_ = [], []
-    for i in order:
-        if side[i] == 1:
-            continue
+    right = side & RIGHT > 0
+    a_, b_ = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in np.flatnonzero(side & LEFT):
         own = code[at[i] : at[i + 1]]
         size = head[own + 1] - head[own]
         first = np.repeat(head[own] - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
         common = np.bincount(posting[first + np.arange(len(first))], minlength=len(sets))
-        ok = 100 * common >= percent * (n + n[i] - common)
-        ok &= (side == 1) if side[i] == 0 else (np.arange(len(sets)) > i)
-        hit = np.flatnonzero(ok)
+        hit = np.flatnonzero((100 * common >= percent * (n + n[i] - common)) & right)
         a_.append(np.full(len(hit), i))
         b_.append(hit)
-    return (np.concatenate(a_), np.concatenate(b_)) if a_ else (np.zeros(0, int), np.zeros(0, int))
+    return np.concatenate(a_), np.concatenate(b_)
 
 
-def _confirm(s: Scheme):
-    keys = ["family", "x", "y"]
+def _confirmed(s: Scheme):
+    def links(cell: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        sets = [np.frombuffer(x, "<u8") for x in cell.column("set").to_pylist()]
+        return confirmed(sets, cell.column("side").to_numpy(), s.percent)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, keys):
-            ids, sets = t.column("id").to_numpy(), t.column("set").to_pylist()
-            x, y, block = (t.column(c).to_numpy() for c in ("x", "y", "block"))
-            cut_at = bounds(t, keys)
-            a_, b_ = [], []
-            for a, b in zip(cut_at, cut_at[1:]):
-                if b - a < 2:
-                    continue
-                side = np.full(b - a, 2) if x[a] == y[a] else (block[a:b] == y[a]).astype(int)
-                i, j = confirmed(ids[a:b], [np.frombuffer(z, "<u8") for z in sets[a:b]], side, s.percent)
-                root = local_components(b - a, i, j)
-                moved = np.flatnonzero(root != np.arange(b - a))
-                a_.append(ids[a + moved])
-                b_.append(ids[a + root[moved]])
-            if a_:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_)), pa.array(np.concatenate(b_))], ["a", "b"])
+    return links
 
-    return scan
 
+def confirm(sets: DataFrame, families: DataFrame, s: Scheme) -> DataFrame:
+    """Forests (a, b) of the confirmed links of ``families`` (family, id, blocks)
+    with the members' ``sets`` (id, set)."""
+    keys = ["family", "x", "y"]
 
-def near_duplicates(docs: DataFrame, s: Scheme = Scheme()) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``docs``."""
-    spark = docs.sparkSession
+    def forests(cells: DataFrame) -> DataFrame:
+        rows = cells.join(sets, "id").select(*keys, "id", "side", "set")
+        return rows.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(_forests(_confirmed(s), keys), "a long, b long")
+
+    zero = F.lit(0).cast("long")
+    small = forests(families.where("blocks = 1").select("family", zero.alias("x"), zero.alias("y"), "id", F.lit(BOTH).cast("long").alias("side")))
+    large = cut(families.where("blocks > 1"), "large")
+    if not large.head(1):
+        return small
+    # a family bears the name of its smallest member, so that is each cell's root
+    first = large.where("id = family").withColumn("one", F.lit(1))
+    stars = cut(forests(grid(first, large.where("id <> family").withColumn("one", F.lit(1)), "family", "one", "blocks")), "stars")
+    rest = large.where("id <> family").join(stars.select(F.col("a").alias("id")), "id", "left_anti")
+    share = rest.groupBy("family").agg((F.ceil(F.count("*") * F.max("blocks") / F.max("docs"))).alias("rest_blocks"))
+    share = cut(share, "rest")
+    cells = grid(rest.join(share, "family"), large.join(share, "family"), "family", "rest_blocks", "blocks")
+    return small.unionByName(stars).unionByName(forests(cells))
+
+
+def marked(docs: DataFrame, s: Scheme) -> DataFrame:
+    """(tag, doc_id, n_shingles, component_id, kept, stays) for rows (tag, doc_id,
+    text) with a number ``tag`` of their own; ``stays`` holds for one row of each
+    component and for all rows without words."""
     scan, schema = _signatures(s)
-    rows = cut(docs.select("doc_id", "text").mapInArrow(scan, schema), "signatures")
+    rows = cut(docs.select("tag", "doc_id", "text").mapInArrow(scan, schema), "signatures")
     sig = [f"s{i}" for i in range(s.longs)]
-    # one row for each set; copies meet in a partial aggregate before the shuffle
-    same = rows.where("n > 0 and doc_id is not null").groupBy("n", "e1", "e2").agg(F.min("doc_id").alias("id"), *(F.min(c).alias(c) for c in sig), F.first("keys").alias("keys"))
+    # one row for each set, with the number of one of its rows; copies meet in a partial aggregate before the shuffle
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("best")
+    same = rows.where("n > 0").groupBy("n", "e1", "e2").agg(F.min("tag").alias("id"), best, *(F.min(c).alias(c) for c in sig), F.first("keys").alias("keys"))
     classes = cut(same, "classes")
-    family = families(classes, s).withColumnsRenamed({"node": "id", "component": "family"})
+    family = cut(families(classes, s).withColumnsRenamed({"node": "id", "component": "family"}), "families")
     sizes = family.join(classes.select("id", "n"), "id").groupBy("family").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
-    sizes = cut(sizes.select("family", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "families")
-    member = cut(family.join(sizes, "family").select("id", "family", "blocks"), "families")
-    sets = docs.select(F.col("doc_id").alias("id"), "text").join(member, "id").select("family", F.col("blocks").cast("long").alias("blocks"), "id", "text").mapInArrow(_gather(s), "family long, blocks long, id long, set binary")
-    sets = sets.withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")))
-    sets = sets.withColumn("p", F.explode(pairs)).select("family", "p.x", "p.y", "block", "id", "set")
-    found = sets.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y", "id").mapInArrow(_confirm(s), "a long, b long")
-    linked = components(found)
-    top = cut(classes.select("id", "n", "e1", "e2").join(linked.withColumnRenamed("node", "id"), "id", "left").select("n", "e1", "e2", F.coalesce("component", "id").alias("component_id")), "components")
-    out = rows.select("doc_id", "n", "e1", "e2").join(top, ["n", "e1", "e2"], "left")
-    component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component_id")), "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+    sizes = sizes.select("family", "docs", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("total") / BLOCK_SHINGLES)).alias("blocks"))
+    member = cut(family.join(sizes, "family"), "families")
+    texts = rows.select(F.col("tag").alias("id"), "text").join(member.select("id"), "id", "left_semi")
+    sets = cut(texts.mapInArrow(_gather(s), "id long, set binary"), "sets")
+    linked = components(confirm(sets, member, s)).withColumnRenamed("node", "id")
+    about = classes.select("id", "n", "e1", "e2", "best").join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    about = cut(about, "components")
+    top = about.groupBy("component").agg(F.min("best").alias("best"))
+    about = cut(about.select("n", "e1", "e2", "component").join(top, "component").select("n", "e1", "e2", "best"), "components")
+    out = rows.select("tag", "doc_id", "n", "e1", "e2").join(about, ["n", "e1", "e2"], "left")
+    component = F.when(F.col("n") > 0, F.col("best.doc_id")).otherwise(F.col("doc_id"))
+    stays = F.coalesce(F.col("best.tag") == F.col("tag"), F.lit(True))
+    return out.select("tag", "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"), stays.alias("stays"))
+
+
+def near_duplicates(docs: DataFrame, s: Scheme = Scheme()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of ``docs``."""
+    return marked(docs.withColumn("tag", F.monotonically_increasing_id()), s).drop("tag", "stays")
+
+
+def one_of_each(docs: DataFrame, s: Scheme = Scheme()) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates."""
+    rows = cut(wrapped(docs).withColumn("tag", F.monotonically_increasing_id()), "tagged")
+    stays = marked(rows.select("tag", "row.doc_id", "row.text"), s).where("stays").select("tag")
+    return rows.join(stays, "tag", "left_semi").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

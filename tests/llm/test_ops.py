@@ -84,9 +84,21 @@ def test_near_duplicates(docs, rows, scheme):
 
 def test_near_duplicates_of_odd_rows(spark, nothing):
     assert neardup.near_duplicates(nothing).count() == 0
-    odd = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (7, None), (8, "")], "doc_id long, text string")
+    odd = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (7, None), (8, ""), (None, " ")], "doc_id long, text string")
     got = neardup.near_duplicates(odd).collect()
-    assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in got) == [("7", "7", True), ("8", "8", True), ("None", "None", False), ("None", "None", False)]
+    assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in got) == [("7", "7", True), ("8", "8", True), *[("None", "None", False)] * 3]
+
+
+def test_equal_ids_with_different_texts(spark):
+    """Rows are documents of their own: no text is lost, none stays twice."""
+    rng = random.Random(21)
+    a, b, c = (prose(rng, 50) for _ in range(3))
+    rows = [(3, a), (5, a), (5, b), (5, b), (None, b), (None, c), (None, c), (9, None), (9, None), (5, a + " x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.n_shingles > 0, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect())
+    assert got == Counter({(3, True, 3, True): 1, (5, True, 3, False): 2, (5, True, 5, True): 2, (None, True, 5, False): 1, (None, True, None, False): 2, (9, False, 9, True): 2})
+    left = neardup.one_of_each(df).collect()
+    assert sorted(map(str, left)) == sorted(map(str, spark.createDataFrame([(3, a), (5, b), (None, c), (9, None), (9, None)], "doc_id long, text string").collect()))
 
 
 def test_large_families_go_in_blocks(spark, monkeypatch):
