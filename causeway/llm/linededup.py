@@ -4,25 +4,32 @@ A line's key is the line stripped of white space and lower-cased (A-Z). Keys
 of at least ``MIN_CHARS`` code points that stand in two or more documents lose
 all their lines but those of the smallest doc_id.
 
-1. Each document yields its distinct key hashes (128 bits); they are
-   aggregated before the shuffle to count, smallest and largest doc_id.
+1. Each document yields its distinct key hashes (128 bits), which are written
+   once; they are aggregated before the shuffle to count, smallest and largest
+   doc_id.
 2. Hashes found in two documents or more go to shards by hash. A shard becomes
-   a minimal perfect hash (levels of bit arrays) that indexes three compact
-   arrays: a 64-bit fingerprint, the count and the owner. Keys of one document
-   can't lose a line, so they need no slot; the fingerprint turns them away.
-3. Documents send their hashes to the shards, which probe the arrays; only
-   hits that the document doesn't own come back, grouped by document.
+   a minimal perfect hash (levels of bit arrays) that indexes compact arrays: a
+   64-bit fingerprint, the count and the owner. Keys of one document can't lose
+   a line, so they need no slot; the fingerprint turns them away.
+3. Documents probe first a small copy of the arrays, with fingerprints of one
+   byte (about two bytes a key), where their lines are: lines that aren't repeated
+   go no further. The copy goes to every task, so it is made for ``SMALL_KEYS`` keys
+   at most; beyond these all lines pass. What passes is sent to the shards and
+   probes the whole arrays; only hits that the document doesn't own come back,
+   grouped by document.
 4. The text of documents with hits is rebuilt.
 
 A line of very many documents would make its shard's probes hot. Shards that
 hold one are copied and the documents spread over the copies; a line counts as
 hot beyond half of a mean partition's probes, so there are at most two of them
-for each partition.
+for each partition, and their list is small.
 
 Defined cases: null or empty text is one empty line; null doc_ids count as one
 document larger than all others; rows with equal doc_ids count as one document
 (their own repeated lines stay); ``\\r`` is white space at a line's end; texts of
-any length are read whole; an empty table gives an empty result.
+any length are read whole; ties can't occur (a key has one smallest doc_id);
+extra columns, of any name, are kept by ``dedup_lines``; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -39,6 +46,8 @@ from causeway.llm.common import U64, bounds, cut, mix, partitions, runs, table,
 
 MIN_CHARS = 10
 SHARD_KEYS = 16384
+SMALL_KEYS = 1 << 22
+PROBED = 200_000
 _BLANK = b" \t\n\x0b\x0c\r"
 _LAST = (1 << 63) - 1
 
@@ -100,9 +109,9 @@ def mph_index(levels: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
     for k, alone in enumerate(levels):
         at = _slot(keys[open_], k, len(alone))
         hit = alone[at]
-        rank = np.cumsum(alone) - 1
-        out[open_[hit]] = base + rank[at[hit]]
-        base += int(alone.sum())
+        rank = np.cumsum(alone)
+        out[open_[hit]] = base + rank[at[hit]] - 1
+        base += int(rank[-1])
         open_ = open_[~hit]
         if not len(open_):
             break
@@ -119,6 +128,54 @@ def _shard_blob(h1: np.ndarray, h2: np.ndarray, count: np.ndarray, owner: np.nda
     return b"".join([head.tobytes(), h2[order].tobytes(), owner[order].tobytes(), np.minimum(count[order], 0xFFFFFFFF).astype("<u4").tobytes(), bits])
 
 
+class Small:
+    """The places of a shard's keys with a fingerprint of one byte."""
+
+    def __init__(self, blob: bytes):
+        self.levels, fp, _, _ = _shard_load(blob)
+        self.fp = fp.astype(np.uint8)
+
+    def __getstate__(self):
+        return [(len(x), np.packbits(x)) for x in self.levels], self.fp
+
+    def __setstate__(self, state):
+        packed, self.fp = state
+        self.levels = [np.unpackbits(x, count=n).astype(bool) for n, x in packed]
+
+    def may_hold(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        at = mph_index(self.levels, h1.view(U64))
+        return (at >= 0) & (self.fp[at] == h2.astype(np.uint8))
+
+
+def _pass(shared):
+    """The lines that the small arrays may hold."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def probed(held: list[pa.RecordBatch]) -> pa.Table:
+            t = pa.Table.from_batches(held)
+            shard, h1, h2 = (t.column(c).to_numpy() for c in ("shard", "h1", "h2"))
+            order = np.argsort(shard, kind="stable")
+            kinds, at = np.unique(shard[order], return_index=True)
+            ok = np.zeros(len(shard), bool)
+            for k, a, b in zip(kinds, at, [*at[1:], len(shard)]):
+                for small in shared.value.get(int(k), ()):
+                    own = order[a:b]
+                    ok[own] |= small.may_hold(h1[own], h2[own])
+            return t.filter(pa.array(ok))
+
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= PROBED:
+                yield from probed(held).to_batches()
+                held, n = [], 0
+        if held:
+            yield from probed(held).to_batches()
+
+    return scan
+
+
 def _shard_load(blob: bytes) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     n_levels, n = (int(x) for x in np.frombuffer(blob, "<i8", 2))
     sizes = np.frombuffer(blob, "<i8", n_levels, 16)
@@ -166,25 +223,35 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_arrays([pa.array(d[hit]), pa.array(q1[hit]), pa.array(q2[hit])], ["doc", "h1", "h2"])
 
 
-def drops(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def small_arrays(arrays: DataFrame) -> dict[int, list[Small]]:
+    """The small copy of all shards; its keys have been counted."""
+    out: dict[int, list[Small]] = {}
+    for r in arrays.select("shard", "blob").toLocalIterator():
+        out.setdefault(r.shard, []).append(Small(bytes(r.blob)))
+    return out
+
+
+def drops(docs: DataFrame, min_chars: int = MIN_CHARS, small_keys: int = SMALL_KEYS) -> DataFrame:
     """(doc, gone): for each document that loses lines, their key hashes."""
     spark = docs.sparkSession
+    lines = cut(line_hashes(docs, min_chars), "lines")
     seen = Observation()
-    keys = line_hashes(docs, min_chars).groupBy("h1", "h2").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"), F.count("*").alias("n"))
-    keys = cut(keys.observe(seen, F.sum("n").alias("all")).where("owner < last").drop("last"), "lines")
+    keys = lines.groupBy("h1", "h2").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"), F.count("*").alias("n"))
+    keys = cut(keys.observe(seen, F.sum("n").alias("all")).where("owner < last").drop("last"), "repeated")
     n, width = keys.count(), partitions(spark)
     n_shards = max(8 * width, -(-n // SHARD_KEYS))
     shard = F.pmod(F.xxhash64("h1"), F.lit(n_shards))
     hot = max(1024, (seen.get["all"] or 0) // (2 * width))
-    spread = {r.shard: int(-(-r.most // hot)) for r in keys.where(F.col("n") > hot).groupBy(shard.alias("shard")).agg(F.max("n").alias("most")).collect()}
-    copies = F.lit(1)
-    for s, c in spread.items():
-        copies = F.when(F.col("shard") == s, c).otherwise(copies)
-    arrays = keys.withColumn("shard", shard).repartition("shard").sortWithinPartitions("shard").mapInArrow(_build, "shard long, blob binary")
+    spread = cut(keys.where(F.col("n") > hot).groupBy(shard.alias("shard")).agg(F.ceil(F.max("n") / hot).alias("copies")), "hot")
+    copies = F.coalesce("copies", F.lit(1).cast("long"))
+    arrays = cut(keys.withColumn("shard", shard).repartition("shard").sortWithinPartitions("shard").mapInArrow(_build, "shard long, blob binary"), "arrays")
+    lines = lines.withColumn("shard", shard)
+    if n <= small_keys:
+        lines = lines.mapInArrow(_pass(spark.sparkContext.broadcast(small_arrays(arrays))), "doc long, h1 long, h2 long, shard long")
     none = F.lit(0).cast("long")
-    arrays = arrays.withColumn("salt", F.explode(F.sequence(none, (copies - 1).cast("long")))).select("shard", "salt", none.alias("line"), none.alias("h1"), none.alias("h2"), none.alias("doc"), "blob")
-    lines = line_hashes(docs, min_chars).withColumn("shard", shard)
-    lines = lines.select("shard", F.pmod(F.xxhash64("doc"), copies.cast("long")).alias("salt"), F.lit(1).cast("long").alias("line"), "h1", "h2", "doc", F.lit(None).cast("binary").alias("blob"))
+    arrays = arrays.join(F.broadcast(spread), "shard", "left").withColumn("salt", F.explode(F.sequence(none, copies - 1))).select("shard", "salt", none.alias("line"), none.alias("h1"), none.alias("h2"), none.alias("doc"), "blob")
+    lines = lines.join(F.broadcast(spread), "shard", "left")
+    lines = lines.select("shard", F.pmod(F.xxhash64("doc"), copies).alias("salt"), F.lit(1).cast("long").alias("line"), "h1", "h2", "doc", F.lit(None).cast("binary").alias("blob"))
     hits = arrays.unionByName(lines).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "line").mapInArrow(_probe, "doc long, h1 long, h2 long")
     return hits.groupBy("doc").agg(F.collect_list(F.struct("h1", "h2")).alias("gone"))
 

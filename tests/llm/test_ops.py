@@ -173,6 +173,21 @@ def test_line_dedup(docs, rows, nothing):
     assert linededup.dedup_lines(docs).columns == docs.columns and linededup.dedup_lines(nothing).count() == 0
 
 
+def test_lines_beyond_the_small_arrays(docs):
+    """The small arrays only spare a way; without them the hits are the same."""
+    def gone(most):
+        return {r.doc: sorted(r.gone) for r in linededup.drops(docs, small_keys=most).collect()}
+
+    assert gone(0) == gone(1 << 20) != {}
+
+
+def test_lines_of_equal_ids(spark):
+    """Rows of one doc_id are one document: their common line stays in both."""
+    rows = [(5, "the first common line\nown a"), (5, "the first common line\nown b"), (7, "THE FIRST common line \nown c"), (None, "the first common line"), (None, "only of nulls, twice")] + [(None, "only of nulls, twice")]
+    got = sorted((str(r.row.doc_id), r.text, r.n_dropped) for r in linededup.rebuilt(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([("5", rows[0][1], 0), ("5", rows[1][1], 0), ("7", "own c", 1), ("None", "", 1), *[("None", "only of nulls, twice", 0)] * 2])
+
+
 def test_hot_lines_are_salted(spark):
     rows = [(i, f"the same line everywhere\nown line {i:09}") for i in range(3000)]
     got = linededup.rebuilt(spark.createDataFrame(rows, "doc_id long, text string")).where("n_dropped = 1").count()
