@@ -286,6 +286,27 @@ def test_vectors(spark):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_visits_miss_no_partner():
+    """Visits per vector for more and more pivots, with and without clusters."""
+    rng = np.random.default_rng(11)
+    radius = math.sqrt(2 - 2 * 0.98)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    spread = unit(rng.normal(size=(3000, 64)))
+    tight = unit(unit(rng.normal(size=(50, 64)))[rng.integers(0, 50, 3000)] + 0.02 * rng.normal(size=(3000, 64)))
+    for x, most in ((spread, {10: 0.8, 100: 0.5, 1000: 0.2}), (tight, {10: 0.8, 100: 0.5, 1000: 0.05})):
+        y = unit(x + 0.02 * rng.normal(size=x.shape))
+        near = (x * y).sum(axis=1) >= 0.98
+        assert near.sum() > 100
+        for n in (10, 100, 1000):
+            p = x[rng.choice(len(x), n, replace=False)]
+            home, row, cell = vectors.visits(x, p, radius)
+            print(f"{n} pivots: {len(row) / len(x):.1f} cells a vector")
+            assert len(row) / len(x) <= 1 + most[n] * n
+            held = set(zip(row.tolist(), cell.tolist()))
+            other = vectors.visits(y, p, radius)[0]
+            assert all((i, int(other[i])) in held for i in np.flatnonzero(near))
+
+
 # ------------------------------------------------------------------- 5
 def test_quality(spark):
     rng = random.Random(8)
