@@ -4,24 +4,61 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where it is unset."""
+    """``spark.checkpoint.dir``. Only a local master, whose tasks share the
+    driver's disk, may leave it unset; it then gets a temporary folder."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="causeway-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+_open: list[list[str]] = []
+
+
 def cut(df: DataFrame, what: str) -> DataFrame:
     """``df``, written as Parquet in the shared folder and read back.
 
     Loops keep short plans, and a lost executor costs one read.
     """
+    return _written(df, what, _open[-1] if _open else [])
+
+
+def _written(df: DataFrame, what: str, into: list[str]) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    into.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """What is cut inside the scope; ``keep`` writes a result that outlives it."""
+
+    def __init__(self, outer: list[str]):
+        self.outer = outer
+
+    def keep(self, df: DataFrame, what: str) -> DataFrame:
+        return _written(df, what, self.outer)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Removes, at its end, the folders of all that was cut inside."""
+    outer, paths = _open[-1] if _open else [], []
+    _open.append(paths)
+    try:
+        yield Scratch(outer)
+    finally:
+        del _open[next(i for i, x in enumerate(_open) if x is paths) :]
+        for at in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
