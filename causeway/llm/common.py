@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from causeway.functions.lineage import cut, shared_dir  # noqa: F401 - the operators take them from here
+from causeway.functions.lineage import cut, scratch, shared_dir  # noqa: F401 - the operators take them from here
 
 U64 = np.uint64
 
@@ -209,23 +209,24 @@ def components(edges: DataFrame) -> DataFrame:
     splits.
     """
     spark = edges.sparkSession
-    edges = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    done: DataFrame | None = None
-    while edges.head(1):
-        both = edges.select(F.col("a").alias("node"), F.col("b").alias("near")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("near")))
-        parent = cut(both.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("component")), "parents")
-        while True:
-            up = parent.select(F.col("node").alias("component"), F.col("component").alias("top"))
-            parent = cut(parent.join(up, "component").select("node", F.col("top").alias("component"), (F.col("top") != F.col("component")).alias("moved")), "parents")
-            if not parent.where("moved").head(1):
-                break
+    with scratch(spark) as own_scope:
+        edges = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+        done: DataFrame | None = None
+        while edges.head(1):
+            both = edges.select(F.col("a").alias("node"), F.col("b").alias("near")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("near")))
+            parent = cut(both.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("component")), "parents")
+            while True:
+                up = parent.select(F.col("node").alias("component"), F.col("component").alias("top"))
+                parent = cut(parent.join(up, "component").select("node", F.col("top").alias("component"), (F.col("top") != F.col("component")).alias("moved")), "parents")
+                if not parent.where("moved").head(1):
+                    break
+                parent = parent.drop("moved")
             parent = parent.drop("moved")
-        parent = parent.drop("moved")
-        pa_, pb = (parent.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-        edges = cut(edges.join(pa_, "a").join(pb, "b").where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "links")
-        if done is None:
-            done = parent
-        else:
-            later = parent.select(F.col("node").alias("component"), F.col("component").alias("top"))
-            done = cut(done.join(later, "component", "left").select("node", F.coalesce("top", "component").alias("component")), "components")
-    return done if done is not None else spark.createDataFrame([], "node long, component long")
+            pa_, pb = (parent.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+            edges = cut(edges.join(pa_, "a").join(pb, "b").where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "links")
+            if done is None:
+                done = parent
+            else:
+                later = parent.select(F.col("node").alias("component"), F.col("component").alias("top"))
+                done = cut(done.join(later, "component", "left").select("node", F.coalesce("top", "component").alias("component")), "components")
+        return own_scope.keep(done if done is not None else spark.createDataFrame([], "node long, component long"), "components")

@@ -43,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from causeway.llm.common import LOWER, SPACE, U64, chunks, cut, runs, table, text_bytes, words
+from causeway.llm.common import LOWER, SPACE, U64, chunks, cut, runs, scratch, table, text_bytes, words
 
 DEPTH = 6
 TOP = 3
@@ -421,27 +421,28 @@ def score_documents(docs: DataFrame, train: Column, depth: int = DEPTH, common:
     """(doc_id, train, n_tokens, n_known, train_tokens, base_score, score) per row;
     ``train`` says which rows are learned from."""
     spark = docs.sparkSession
-    own = docs.withColumn("train", F.coalesce(train, F.lit(False))).select("doc_id", "text", "train")
-    counted = own.select("text", "train").mapInArrow(_counts(depth), "kind long, key long, n long, c long")
-    # tasks have summed their rows, so these go to the shuffle as they are
-    counted = cut(counted.repartition("kind", "key").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("c").alias("c")), "counts")
-    vocabulary = counted.where(F.col("kind") == WORD).select("key", "n", F.log10(F.col("c") + 1.0).alias("logc"), (F.col("c") > 0).cast("double").alias("known"), "c")
-    totals = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.coalesce(F.max(F.when(F.col("key") == 0, F.col("c"))), F.lit(0)).alias("ends")).first()
-    grams = tree(counted.where(F.col("kind") == GRAM), depth)
-    frequent = spark.sparkContext.broadcast(Lookup.collect(vocabulary, "key", "n", ["logc", "known"], common))
-    nodes = spark.sparkContext.broadcast(Lookup.collect(grams, "gram", "m", ["lp"], common_grams))
-    schema = "uid long, doc_id long, train boolean, n_tokens long, logc double, known long, lp double, w array<long>, w_tf array<long>, g array<long>, g_tf array<long>"
-    rows = cut(own.mapInArrow(_sums(frequent, nodes, depth), schema), "documents")
-    # the others: one join for words and grams
-    values = vocabulary.select(F.lit(WORD).alias("kind"), "key", "logc", "known", F.lit(0.0).alias("lp")).unionByName(grams.select(F.lit(GRAM).alias("kind"), F.col("gram").alias("key"), F.lit(0.0).alias("logc"), F.lit(0.0).alias("known"), "lp"))
-    rare = [rows.select("uid", F.lit(kind).alias("kind"), F.explode(F.arrays_zip(c, f"{c}_tf")).alias("r")).select("uid", "kind", F.col(f"r.{c}").alias("key"), F.col(f"r.{c}_tf").alias("tf")) for kind, c in ((WORD, "w"), (GRAM, "g"))]
-    rare = rare[0].unionByName(rare[1]).join(values, ["kind", "key"])
-    rare = rare.groupBy("uid").agg(*(F.sum(F.col("tf") * F.col(c)).alias(f"{c}2") for c in ("logc", "known", "lp")))
-    out = rows.drop("w", "w_tf", "g", "g_tf").join(rare, "uid", "left")
-    z = lambda c: F.coalesce(c, F.lit(0))
-    base = F.col("logc") + z("logc2") + F.lit(math.log10(totals.ends + 1.0)) - F.col("n_tokens") * F.lit(math.log10(totals.n + totals.v + 1))
-    known = F.col("known") + z("known2").cast("long") + F.lit(int(totals.ends > 0))
-    return out.select("doc_id", "train", "n_tokens", known.alias("n_known"), F.lit(totals.n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("lp") + z("lp2")).alias("score"))
+    with scratch(spark) as own_scope:
+        own = docs.withColumn("train", F.coalesce(train, F.lit(False))).select("doc_id", "text", "train")
+        counted = own.select("text", "train").mapInArrow(_counts(depth), "kind long, key long, n long, c long")
+        # tasks have summed their rows, so these go to the shuffle as they are
+        counted = cut(counted.repartition("kind", "key").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("c").alias("c")), "counts")
+        vocabulary = counted.where(F.col("kind") == WORD).select("key", "n", F.log10(F.col("c") + 1.0).alias("logc"), (F.col("c") > 0).cast("double").alias("known"), "c")
+        totals = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.coalesce(F.max(F.when(F.col("key") == 0, F.col("c"))), F.lit(0)).alias("ends")).first()
+        grams = tree(counted.where(F.col("kind") == GRAM), depth)
+        frequent = spark.sparkContext.broadcast(Lookup.collect(vocabulary, "key", "n", ["logc", "known"], common))
+        nodes = spark.sparkContext.broadcast(Lookup.collect(grams, "gram", "m", ["lp"], common_grams))
+        schema = "uid long, doc_id long, train boolean, n_tokens long, logc double, known long, lp double, w array<long>, w_tf array<long>, g array<long>, g_tf array<long>"
+        rows = cut(own.mapInArrow(_sums(frequent, nodes, depth), schema), "documents")
+        # the others: one join for words and grams
+        values = vocabulary.select(F.lit(WORD).alias("kind"), "key", "logc", "known", F.lit(0.0).alias("lp")).unionByName(grams.select(F.lit(GRAM).alias("kind"), F.col("gram").alias("key"), F.lit(0.0).alias("logc"), F.lit(0.0).alias("known"), "lp"))
+        rare = [rows.select("uid", F.lit(kind).alias("kind"), F.explode(F.arrays_zip(c, f"{c}_tf")).alias("r")).select("uid", "kind", F.col(f"r.{c}").alias("key"), F.col(f"r.{c}_tf").alias("tf")) for kind, c in ((WORD, "w"), (GRAM, "g"))]
+        rare = rare[0].unionByName(rare[1]).join(values, ["kind", "key"])
+        rare = rare.groupBy("uid").agg(*(F.sum(F.col("tf") * F.col(c)).alias(f"{c}2") for c in ("logc", "known", "lp")))
+        out = rows.drop("w", "w_tf", "g", "g_tf").join(rare, "uid", "left")
+        z = lambda c: F.coalesce(c, F.lit(0))
+        base = F.col("logc") + z("logc2") + F.lit(math.log10(totals.ends + 1.0)) - F.col("n_tokens") * F.lit(math.log10(totals.n + totals.v + 1))
+        known = F.col("known") + z("known2").cast("long") + F.lit(int(totals.ends > 0))
+        return own_scope.keep(out.select("doc_id", "train", "n_tokens", known.alias("n_known"), F.lit(totals.n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("lp") + z("lp2")).alias("score")), "scores")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
-from causeway.llm.common import U64, bounds, cut, mix, partitions, runs, table, text_bytes, wrapped
+from causeway.llm.common import U64, bounds, cut, mix, partitions, runs, scratch, table, text_bytes, wrapped
 
 MIN_CHARS = 10
 SHARD_KEYS = 16384
@@ -234,26 +234,27 @@ def small_arrays(arrays: DataFrame) -> dict[int, list[Small]]:
 def drops(docs: DataFrame, min_chars: int = MIN_CHARS, small_keys: int = SMALL_KEYS) -> DataFrame:
     """(doc, gone): for each document that loses lines, their key hashes."""
     spark = docs.sparkSession
-    lines = cut(line_hashes(docs, min_chars), "lines")
-    seen = Observation()
-    keys = lines.groupBy("h1", "h2").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"), F.count("*").alias("n"))
-    keys = cut(keys.observe(seen, F.sum("n").alias("all")).where("owner < last").drop("last"), "repeated")
-    n, width = keys.count(), partitions(spark)
-    n_shards = max(8 * width, -(-n // SHARD_KEYS))
-    shard = F.pmod(F.xxhash64("h1"), F.lit(n_shards))
-    hot = max(1024, (seen.get["all"] or 0) // (2 * width))
-    spread = cut(keys.where(F.col("n") > hot).groupBy(shard.alias("shard")).agg(F.ceil(F.max("n") / hot).alias("copies")), "hot")
-    copies = F.coalesce("copies", F.lit(1).cast("long"))
-    arrays = cut(keys.withColumn("shard", shard).repartition("shard").sortWithinPartitions("shard").mapInArrow(_build, "shard long, blob binary"), "arrays")
-    lines = lines.withColumn("shard", shard)
-    if n <= small_keys:
-        lines = lines.mapInArrow(_pass(spark.sparkContext.broadcast(small_arrays(arrays))), "doc long, h1 long, h2 long, shard long")
-    none = F.lit(0).cast("long")
-    arrays = arrays.join(F.broadcast(spread), "shard", "left").withColumn("salt", F.explode(F.sequence(none, copies - 1))).select("shard", "salt", none.alias("line"), none.alias("h1"), none.alias("h2"), none.alias("doc"), "blob")
-    lines = lines.join(F.broadcast(spread), "shard", "left")
-    lines = lines.select("shard", F.pmod(F.xxhash64("doc"), copies).alias("salt"), F.lit(1).cast("long").alias("line"), "h1", "h2", "doc", F.lit(None).cast("binary").alias("blob"))
-    hits = arrays.unionByName(lines).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "line").mapInArrow(_probe, "doc long, h1 long, h2 long")
-    return hits.groupBy("doc").agg(F.collect_list(F.struct("h1", "h2")).alias("gone"))
+    with scratch(spark) as own_scope:
+        lines = cut(line_hashes(docs, min_chars), "lines")
+        seen = Observation()
+        keys = lines.groupBy("h1", "h2").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"), F.count("*").alias("n"))
+        keys = cut(keys.observe(seen, F.sum("n").alias("all")).where("owner < last").drop("last"), "repeated")
+        n, width = keys.count(), partitions(spark)
+        n_shards = max(8 * width, -(-n // SHARD_KEYS))
+        shard = F.pmod(F.xxhash64("h1"), F.lit(n_shards))
+        hot = max(1024, (seen.get["all"] or 0) // (2 * width))
+        spread = cut(keys.where(F.col("n") > hot).groupBy(shard.alias("shard")).agg(F.ceil(F.max("n") / hot).alias("copies")), "hot")
+        copies = F.coalesce("copies", F.lit(1).cast("long"))
+        arrays = cut(keys.withColumn("shard", shard).repartition("shard").sortWithinPartitions("shard").mapInArrow(_build, "shard long, blob binary"), "arrays")
+        lines = lines.withColumn("shard", shard)
+        if n <= small_keys:
+            lines = lines.mapInArrow(_pass(spark.sparkContext.broadcast(small_arrays(arrays))), "doc long, h1 long, h2 long, shard long")
+        none = F.lit(0).cast("long")
+        arrays = arrays.join(F.broadcast(spread), "shard", "left").withColumn("salt", F.explode(F.sequence(none, copies - 1))).select("shard", "salt", none.alias("line"), none.alias("h1"), none.alias("h2"), none.alias("doc"), "blob")
+        lines = lines.join(F.broadcast(spread), "shard", "left")
+        lines = lines.select("shard", F.pmod(F.xxhash64("doc"), copies).alias("salt"), F.lit(1).cast("long").alias("line"), "h1", "h2", "doc", F.lit(None).cast("binary").alias("blob"))
+        hits = arrays.unionByName(lines).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "line").mapInArrow(_probe, "doc long, h1 long, h2 long")
+        return own_scope.keep(hits.groupBy("doc").agg(F.collect_list(F.struct("h1", "h2")).alias("gone")), "gone")
 
 
 def _rebuild(min_chars: int):

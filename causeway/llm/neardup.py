@@ -48,7 +48,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from causeway.llm.common import U64, bounds, components, cut, local_components, mix, runs, shingle_sets, table, text_bytes, wrapped
+from causeway.llm.common import U64, bounds, components, cut, local_components, mix, runs, scratch, shingle_sets, table, text_bytes, wrapped
 
 KEY_ROWS = 1024
 BLOCK_DOCS = 1024
@@ -279,28 +279,30 @@ def marked(docs: DataFrame, s: Scheme) -> DataFrame:
     """(tag, doc_id, n_shingles, component_id, kept, stays) for rows (tag, doc_id,
     text) with a number ``tag`` of their own; ``stays`` holds for one row of each
     component and for all rows without words."""
-    scan, schema = _signatures(s)
-    rows = cut(docs.select("tag", "doc_id", "text").mapInArrow(scan, schema), "signatures")
-    sig = [f"s{i}" for i in range(s.longs)]
-    # one row for each set, with the number of one of its rows; copies meet in a partial aggregate before the shuffle
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("best")
-    same = rows.where("n > 0").groupBy("n", "e1", "e2").agg(F.min("tag").alias("id"), best, *(F.min(c).alias(c) for c in sig), F.first("keys").alias("keys"))
-    classes = cut(same, "classes")
-    family = cut(families(classes, s).withColumnsRenamed({"node": "id", "component": "family"}), "families")
-    sizes = family.join(classes.select("id", "n"), "id").groupBy("family").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
-    sizes = sizes.select("family", "docs", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("total") / BLOCK_SHINGLES)).alias("blocks"))
-    member = cut(family.join(sizes, "family"), "families")
-    texts = rows.select(F.col("tag").alias("id"), "text").join(member.select("id"), "id", "left_semi")
-    sets = cut(texts.mapInArrow(_gather(s), "id long, set binary"), "sets")
-    linked = components(confirm(sets, member, s)).withColumnRenamed("node", "id")
-    about = classes.select("id", "n", "e1", "e2", "best").join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    about = cut(about, "components")
-    top = about.groupBy("component").agg(F.min("best").alias("best"))
-    about = cut(about.select("n", "e1", "e2", "component").join(top, "component").select("n", "e1", "e2", "best"), "components")
-    out = rows.select("tag", "doc_id", "n", "e1", "e2").join(about, ["n", "e1", "e2"], "left")
-    component = F.when(F.col("n") > 0, F.col("best.doc_id")).otherwise(F.col("doc_id"))
-    stays = F.coalesce(F.col("best.tag") == F.col("tag"), F.lit(True))
-    return out.select("tag", "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"), stays.alias("stays"))
+    spark = docs.sparkSession
+    with scratch(spark) as own_scope:
+        scan, schema = _signatures(s)
+        rows = cut(docs.select("tag", "doc_id", "text").mapInArrow(scan, schema), "signatures")
+        sig = [f"s{i}" for i in range(s.longs)]
+        # one row for each set, with the number of one of its rows; copies meet in a partial aggregate before the shuffle
+        best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("best")
+        same = rows.where("n > 0").groupBy("n", "e1", "e2").agg(F.min("tag").alias("id"), best, *(F.min(c).alias(c) for c in sig), F.first("keys").alias("keys"))
+        classes = cut(same, "classes")
+        family = cut(families(classes, s).withColumnsRenamed({"node": "id", "component": "family"}), "families")
+        sizes = family.join(classes.select("id", "n"), "id").groupBy("family").agg(F.count("*").alias("docs"), F.sum("n").alias("total"))
+        sizes = sizes.select("family", "docs", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("total") / BLOCK_SHINGLES)).alias("blocks"))
+        member = cut(family.join(sizes, "family"), "families")
+        texts = rows.select(F.col("tag").alias("id"), "text").join(member.select("id"), "id", "left_semi")
+        sets = cut(texts.mapInArrow(_gather(s), "id long, set binary"), "sets")
+        linked = components(confirm(sets, member, s)).withColumnRenamed("node", "id")
+        about = classes.select("id", "n", "e1", "e2", "best").join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        about = cut(about, "components")
+        top = about.groupBy("component").agg(F.min("best").alias("best"))
+        about = cut(about.select("n", "e1", "e2", "component").join(top, "component").select("n", "e1", "e2", "best"), "components")
+        out = rows.select("tag", "doc_id", "n", "e1", "e2").join(about, ["n", "e1", "e2"], "left")
+        component = F.when(F.col("n") > 0, F.col("best.doc_id")).otherwise(F.col("doc_id"))
+        stays = F.coalesce(F.col("best.tag") == F.col("tag"), F.lit(True))
+        return own_scope.keep(out.select("tag", "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"), stays.alias("stays")), "marks")
 
 
 def near_duplicates(docs: DataFrame, s: Scheme = Scheme()) -> DataFrame:

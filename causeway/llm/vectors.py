@@ -38,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from causeway.llm.common import bounds, components, cut, local_components, runs, table
+from causeway.llm.common import bounds, components, cut, local_components, runs, scratch, table
 
 COSINE = 0.98
 BLOCK = 8192
@@ -134,32 +134,34 @@ def draw_pivots(classes: DataFrame, pivot_rows: int) -> dict[tuple[int, int], np
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, pivot_rows: int = PIVOT_ROWS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of (vec_id, embedding, label)."""
-    v = F.transform("embedding", lambda x: x.cast("double"))
-    rows = vectors.select("vec_id", F.col("label").cast("long").alias("label"), v.alias("v")).withColumn("size", F.size("v").cast("long"))
-    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
-    fine = F.coalesce(fine & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False))
-    rows = cut(rows.withColumn("key", F.when(fine, F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.transform("v", lambda x: (x + 0.0).cast("string"))), 256))), "vectors")
-    same = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("label", "size", "v")))
-    classes = cut(same, "vectors")
-    radius = float(np.sqrt(2 - 2 * cosine))
-    pivots = vectors.sparkSession.sparkContext.broadcast(draw_pivots(classes, pivot_rows))
-    places = classes.select("label", "size", "id", "copies", "v").mapInArrow(_assign(pivots, radius), "label long, size long, id long, copies long, v array<double>, cell long, home long")
-    places = cut(places, "cells")
-    cells = places.groupBy("label", "size", "cell").agg(F.count("*").alias("members")).withColumn("blocks", F.ceil(F.col("members") / BLOCK)).drop("members")
-    # a block of queries meets a block of homes: rows of block i go to (i, *) as queries, homes also to (*, i) as targets
-    dealt = places.join(cells, ["label", "size", "cell"]).withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
-    spots = F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.when((o == F.col("own")) & (F.col("home") == 1), F.array(F.struct(F.col("own").alias("block"), o.alias("side"), F.lit(1).alias("query"), F.lit(1).alias("target"))))
-        .otherwise(F.filter(F.array(F.struct(F.col("own").alias("block"), o.alias("side"), F.lit(1).alias("query"), F.lit(0).alias("target")), F.struct(o.alias("block"), F.col("own").alias("side"), F.lit(0).alias("query"), F.lit(1).alias("target"))), lambda s: (s.query == 1) | ((F.col("home") == 1) & (o != F.col("own")))))))
-    dealt = dealt.withColumn("s", F.explode(spots)).select("label", "size", "cell", "s.block", "s.side", "s.query", "s.target", "id", "copies", "v")
-    keys = ["label", "size", "cell", "block", "side"]
-    found = cut(dealt.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(_join(cosine), "id long, links long, root long"), "links")
-    linked = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    sums = found.groupBy("id").agg(F.sum("links").alias("links"))
-    about = classes.select("key", "id", "copies").join(sums, "id", "left").join(linked.withColumnRenamed("node", "id"), "id", "left")
-    about = cut(about.select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "components")
-    out = rows.select("vec_id", "key").join(about, "key", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))
+    spark = vectors.sparkSession
+    with scratch(spark) as own_scope:
+        v = F.transform("embedding", lambda x: x.cast("double"))
+        rows = vectors.select("vec_id", F.col("label").cast("long").alias("label"), v.alias("v")).withColumn("size", F.size("v").cast("long"))
+        fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
+        fine = F.coalesce(fine & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False))
+        rows = cut(rows.withColumn("key", F.when(fine, F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.transform("v", lambda x: (x + 0.0).cast("string"))), 256))), "vectors")
+        same = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("label", "size", "v")))
+        classes = cut(same, "vectors")
+        radius = float(np.sqrt(2 - 2 * cosine))
+        pivots = spark.sparkContext.broadcast(draw_pivots(classes, pivot_rows))
+        places = classes.select("label", "size", "id", "copies", "v").mapInArrow(_assign(pivots, radius), "label long, size long, id long, copies long, v array<double>, cell long, home long")
+        places = cut(places, "cells")
+        cells = places.groupBy("label", "size", "cell").agg(F.count("*").alias("members")).withColumn("blocks", F.ceil(F.col("members") / BLOCK)).drop("members")
+        # a block of queries meets a block of homes: rows of block i go to (i, *) as queries, homes also to (*, i) as targets
+        dealt = places.join(cells, ["label", "size", "cell"]).withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
+        spots = F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.when((o == F.col("own")) & (F.col("home") == 1), F.array(F.struct(F.col("own").alias("block"), o.alias("side"), F.lit(1).alias("query"), F.lit(1).alias("target"))))
+            .otherwise(F.filter(F.array(F.struct(F.col("own").alias("block"), o.alias("side"), F.lit(1).alias("query"), F.lit(0).alias("target")), F.struct(o.alias("block"), F.col("own").alias("side"), F.lit(0).alias("query"), F.lit(1).alias("target"))), lambda s: (s.query == 1) | ((F.col("home") == 1) & (o != F.col("own")))))))
+        dealt = dealt.withColumn("s", F.explode(spots)).select("label", "size", "cell", "s.block", "s.side", "s.query", "s.target", "id", "copies", "v")
+        keys = ["label", "size", "cell", "block", "side"]
+        found = cut(dealt.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(_join(cosine), "id long, links long, root long"), "links")
+        linked = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+        sums = found.groupBy("id").agg(F.sum("links").alias("links"))
+        about = classes.select("key", "id", "copies").join(sums, "id", "left").join(linked.withColumnRenamed("node", "id"), "id", "left")
+        about = cut(about.select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "components")
+        out = rows.select("vec_id", "key").join(about, "key", "left")
+        component = F.coalesce("component_id", "vec_id")
+        return own_scope.keep(out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept")), "linked")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
