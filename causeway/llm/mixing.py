@@ -13,26 +13,30 @@ Targets are fixed by water-filling: weight times a common level, stopped at
 ``most`` times the source's own size.
 
 Everything is DataFrame code. The running sums inside a source, which may hold
-a third of all rows, are taken in two steps: sums of hash buckets, then inside
-each bucket, so no task gets a whole source.
+a third of all rows, are taken in steps: sums of runs of hash buckets, of the
+buckets of a run, then inside each bucket, so no task gets a whole source. Only
+the targets see all sources at once, one row for each.
 
-Defined cases: a null or empty text has size 0 and takes nothing; null sources
+Defined cases: texts of any length are counted whole; a null or empty text has size 0 and takes nothing; null sources
 are one source, which sorts last; repeated rows are documents of their own
 (equal ids and texts differ only by a running number, so the assignment stays
-the same in reruns); an empty table gives an empty result.
+the same in reruns) and rows of equal or null ids are dealt each by itself; ties of
+position are in the order of that number; extra columns, of any name, are kept by
+``mixed_documents`` and ignored elsewhere; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from causeway.llm.common import cut, table, wrapped
+from causeway.llm.common import cut, scratch, table, wrapped
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
 TILT = 0.5
 BUCKET_ROWS = 400
+RUN_BUCKETS = 4096
 
 
 def n_words(text: str) -> Column:
@@ -102,8 +106,13 @@ def _planned(docs: DataFrame, weights, share, most, tilt) -> DataFrame:
     n_buckets = max(1, -(-most_rows // BUCKET_ROWS))
     own = own.withColumn("bucket", F.floor(F.conv(F.substring("h", 1, 6), 16, 10).cast("long") * n_buckets / F.lit(1 << 24)))
     sums = own.groupBy("key", "bucket").agg(F.sum("size").alias("in_bucket"))
-    before = W.partitionBy("key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select("key", "bucket", F.coalesce(F.sum("in_bucket").over(before), F.lit(0)).alias("base"))
+    # running sums over runs of buckets, then over the buckets of a run
+    sums = sums.withColumn("run", F.floor(F.col("bucket") / RUN_BUCKETS))
+    before = lambda keys, by: W.partitionBy(*keys).orderBy(by).rowsBetween(W.unboundedPreceding, -1)
+    long_ = sums.groupBy("key", "run").agg(F.sum("in_bucket").alias("in_run"))
+    long_ = long_.select("key", "run", F.coalesce(F.sum("in_run").over(before(["key"], "run")), F.lit(0)).alias("run_base"))
+    sums = sums.withColumn("short", F.coalesce(F.sum("in_bucket").over(before(["key", "run"], "bucket")), F.lit(0)))
+    sums = sums.join(long_, ["key", "run"]).select("key", "bucket", (F.col("run_base") + F.col("short")).alias("base"))
     goal = cut(sums.join(goal.drop("source"), "key"), "targets")
     inside = W.partitionBy("key", "bucket").orderBy("h", "doc_id", "size", "tag").rowsBetween(W.unboundedPreceding, -1)
     own = own.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
@@ -166,5 +175,6 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     a number of their own, which is then a fixed part of them.
     """
     rows = cut(wrapped(docs).withColumn("tag", F.monotonically_increasing_id()), "tagged")
-    plan = cut(passes(rows.select("row.doc_id", "row.text", "row.source", "tag")).select("tag", "position"), "passes")
+    with scratch(docs.sparkSession) as own_scope:
+        plan = own_scope.keep(passes(rows.select("row.doc_id", "row.text", "row.source", "tag")).select("tag", "position"), "passes")
     return rows.join(plan, "tag").repartitionByRange("position", "tag").sortWithinPartitions("position", "tag").select("row.*")
