@@ -13,7 +13,8 @@ Only remainders (below ``LENGTH`` ids, two bytes each) are shuffled; checksums
 of the whole runs are taken where the text is tokenized.
 
 Defined cases: a null or empty text has only the separator; repeated rows are
-packed each by itself; texts of any length are cut into whole runs; an empty
+packed each by itself and dealt over the groups; ties of size are in the order of
+the draw; texts of any length are cut into whole runs; an empty
 table gives an empty result; extra columns are ignored.
 """
 
@@ -222,8 +223,9 @@ def _pack_groups(length: int):
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, group_docs: int = GROUP_DOCS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    # the running number deals equal rows over the groups
     n_parts = max(1, -(-docs.count() // group_docs))
-    drawn = docs.select("doc_id", "text", F.xxhash64(F.lit(11), "doc_id", "text").alias("draw"))
+    drawn = docs.select("doc_id", "text", F.xxhash64(F.lit(11), "doc_id", "text", F.monotonically_increasing_id()).alias("draw"))
     tokens = drawn.mapInArrow(_tokenize(tokenizer or default_tokenizer(), length), "doc_id long, draw long, tokens long, crcs array<long>, rest binary")
     grouped = tokens.withColumn("part", F.pmod("draw", F.lit(n_parts))).repartition("part").sortWithinPartitions("part")
     return grouped.mapInArrow(_pack_groups(length), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
