@@ -9,7 +9,8 @@ The trees and the regression (Spark ML) are fit on at most about ``SAMPLE_ROWS``
 labelled documents, drawn by hash from those whose crc32(doc_id) mod 5 is not 0;
 all documents are scored. Only the text is an input of the score.
 
-Defined cases: null and empty texts have statistics of 0 and are scored like
+Defined cases: texts of any length are read whole; repeated rows are scored each by
+itself, and ties of score stay ties; null and empty texts have statistics of 0 and are scored like
 any other; several labels of one document are averaged; null labels are not
 learned from; with no labelled documents, or labels of one kind only, the score
 is the label mean (0.5 without labels); an empty table gives an empty result;
@@ -136,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> E
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.round(F.avg("quality")).alias("y")).where(~held_out())
     n = known.count()
     if n > sample_rows:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(sample_rows / n * (1 << 20)))
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 50)) < int(sample_rows / n * (1 << 50)))
     # the sample is bounded by the parameter, so it can go to every task
     sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("y", _stats("text").alias("s")).select("y", "s.*")
     sample = cut(sample, "sample").coalesce(4)
