@@ -10,8 +10,8 @@ characters: ``1 - distance / (length + length)``.
 
 Defined cases: null and empty texts have the fingerprint of the empty text, and
 equal texts have equal fingerprints (likeness 1); texts of any length are read
-whole; rows with equal doc_ids follow each other in the order of their texts;
-null doc_ids come last; an empty table gives an empty result; extra columns are
+whole; rows with equal doc_ids follow each other in the order of a hash of
+their texts (equal rows in any order); null doc_ids come last; an empty table gives an empty result; extra columns are
 ignored.
 """
 
@@ -192,8 +192,10 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     of the next, found by a join of these edges.
     """
     spark = docs.sparkSession
-    order = F.col("doc_id").desc_nulls_last()
-    lined = docs.select("doc_id", "text").repartitionByRange(order).sortWithinPartitions(order, "text")
+    # rows of one doc_id, or of none, are dealt over ranges too
+    order = [F.col("doc_id").desc_nulls_last(), "hash", "tie"]
+    lined = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("tie"))
+    lined = lined.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     found = cut(lined.mapInArrow(_scan, f"{_OUT}, edge long, part long, text string"), "fingerprints")
     heads = found.where("edge = 1")
     parts = sorted(r.part for r in heads.select("part").collect())  # one for each partition with rows
