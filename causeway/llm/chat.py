@@ -16,8 +16,10 @@ it to any state at its end), the runs' matrices are folded in order, and with th
 states at their borders fixed every run is decoded on its own. So a task holds
 one run, and a fold sees one small row for each run.
 
-Defined cases: null and empty texts are blocks without lines; null turns come
-first, ties are ordered by text; null conv_ids are one conversation; with no
+Defined cases: null and empty texts are blocks without lines, and texts of any
+length are one block; null turns come first, ties are ordered by a hash of the
+text, then by role, and repeated rows are blocks of their own; null conv_ids are
+one conversation, apart from that of an empty conv_id; with no
 known roles nothing can be learned and every block is a ``user``'s; an empty
 table gives an empty result; extra columns are ignored.
 """
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from causeway.llm.common import cut, runs, table
 
@@ -57,23 +59,30 @@ def stripped(text: Column) -> Column:
     return F.when(marker(text) != "", F.regexp_replace(text, MARKER, "")).otherwise(text)
 
 
+def conversation() -> Column:
+    """A conversation's key; a null conv_id is one of its own."""
+    return F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit(""))
+
+
 def features(blocks: DataFrame) -> DataFrame:
     """``blocks`` (conv_id, turn, text) with seq, run and categorical features.
 
-    The order inside a conversation is a sort by (turn, text) within ranges, so
-    a long conversation is spread over tasks: ranks come from counts of ranges.
+    Blocks are range-sorted by (conversation, turn, text), so a long conversation,
+    or one whose turns are all equal or null, is spread over tasks: a block's place
+    is that in its range, and conversations that go on from an earlier range (one
+    for each range at most) add what they have there.
     """
     text = F.coalesce("text", F.lit(""))
-    blocks = blocks.withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
-    order = [F.col("turn").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    # turns grow along a conversation: a slice of RUN turn values holds about RUN blocks
-    blocks = blocks.withColumn("slice", F.coalesce(F.floor(F.col("turn") / RUN), F.lit(-1)))
-    inside = W.partitionBy("conv", "slice").orderBy(*order)
-    blocks = blocks.withColumn("at", F.row_number().over(inside) - 1)
-    count = cut(blocks.groupBy("conv", "slice").agg(F.count("*").alias("n")), "slices")
-    before = W.partitionBy("conv").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    count = cut(count.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"), "slices")
-    blocks = blocks.join(count, ["conv", "slice"]).withColumn("seq", (F.col("base") + F.col("at")).cast("long"))
+    blocks = blocks.withColumn("conv", conversation()).withColumn("hash", F.xxhash64("text"))
+    order = ["conv", F.col("turn").asc_nulls_first(), "hash", F.monotonically_increasing_id()]
+    sort = [*order[:3], *[F.col(c).asc_nulls_first() for c in ("role",) if c in blocks.columns]]
+    blocks = blocks.repartitionByRange(*order).sortWithinPartitions(*sort).withColumn("at", F.monotonically_increasing_id())
+    blocks = cut(blocks.withColumn("range", F.shiftright("at", 33)), "ordered")
+    count = blocks.groupBy("conv", "range").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    many = count.groupBy("conv").agg(F.collect_list(F.struct("range", "n")).alias("ranges")).where(F.size("ranges") > 1)
+    later = many.select("conv", F.explode("ranges").alias("r"), "ranges").select("conv", F.col("r.range").alias("range"), F.aggregate(F.filter("ranges", lambda x: x["range"] < F.col("r.range")), F.lit(0).cast("long"), lambda sum_, x: sum_ + x.n).alias("base"))
+    place = cut(count.join(later, ["conv", "range"], "left").select("conv", "range", "first", F.coalesce("base", F.lit(0)).alias("base")), "ranges")
+    blocks = blocks.join(place, ["conv", "range"]).withColumn("seq", F.col("base") + F.col("at") - F.col("first"))
     size = F.length(text)
     return blocks.select(
         "conv_id", "conv", "turn", "text", *[c for c in ("role",) if c in blocks.columns], "seq", F.floor(F.col("seq") / RUN).cast("long").alias("run"),
@@ -238,8 +247,7 @@ def render(parsed: DataFrame) -> DataFrame:
     A block opens with its role unless the block before has the same one, and
     closes unless the next has; joined in order they are the conversation.
     """
-    conv = F.coalesce(F.col("conv_id").cast("string"), F.lit(""))
-    own = parsed.withColumn("c", conv)
+    own = parsed.withColumn("c", conversation())
     key = own.select("c", "seq", "parsed")
     was = key.select("c", (F.col("seq") + 1).alias("seq"), F.col("parsed").alias("was"))
     will = key.select("c", (F.col("seq") - 1).alias("seq"), F.col("parsed").alias("will"))
