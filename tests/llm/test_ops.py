@@ -203,8 +203,10 @@ def test_minimal_perfect_hash():
 
 # ------------------------------------------------------------------- 3
 def test_packing(docs, rows, nothing):
-    enc = packing.Encoder(packing.default_tokenizer())
-    want = {d: np.append(np.array(enc.tok.encode(t or "", add_special_tokens=False).ids, "<u4"), 0).astype("<u4") for d, t, *_ in rows}
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    want = {d: np.append(np.array(tok.encode(t or "", add_special_tokens=False).ids, "<u4"), 0).astype("<u4") for d, t, *_ in rows}
     got = packing.pack_documents(docs, group_docs=16).collect()
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in got:
@@ -235,13 +237,20 @@ def test_first_fit_decreasing():
 
 
 def test_encoder_equals_the_library():
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_tokenizer())  # untouched
     enc = packing.Encoder(packing.default_tokenizer())
     assert enc.fast is not None
     rng = random.Random(6)
     pools = [range(32, 127), [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x2028, 0x3000, 0x1C, 0x200B, 0xFEFF], range(0xA0, 0x250), range(0x3000, 0xD7FF), range(0x10000, 0x20000), [39, 115, 116]]
     for _ in range(3000):
         t = "".join(chr(rng.choice(rng.choice(pools))) for _ in range(rng.randint(0, 14)))
-        assert enc(t) == np.array(enc.tok.encode(t, add_special_tokens=False).ids, "<u2").tobytes()
+        assert enc(t) == np.array(tok.encode(t, add_special_tokens=False).ids, "<u2").tobytes()
+    for n in (packing.LONG - 1, packing.LONG, packing.LONG + 1):
+        t = (prose(rng, 60) + " \n") * (n // 100)
+        t = (t + "x" * n)[:n]
+        assert enc(t) == np.array(tok.encode(t, add_special_tokens=False).ids, "<u2").tobytes()
 
 
 def test_added_tokens_are_one_id(monkeypatch):
@@ -511,6 +520,18 @@ def test_long_conversations_decode_in_runs(spark, monkeypatch):
     assert [got[99, t] for t in range(37)] == [chat.ROLES[s] for s in reversed(path)]
 
 
+def test_turns_of_one_place(spark):
+    """Null and equal turns, null and empty conv_ids: every row keeps a place of its own."""
+    rows = [(None, None, "user", f"line {i % 50}") for i in range(300)] + [("", 1, "assistant", f"line {i}") for i in range(200)] + [("a", i % 3, "user", "same") for i in range(30)]
+    df = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string").repartition(5)
+    got = defaultdict(list)
+    for r in chat.features(df).collect():
+        got[r.conv_id].append((r.seq, r.turn))
+    assert {c: sorted(s for s, _ in x) for c, x in got.items()} == {None: list(range(300)), "": list(range(200)), "a": list(range(30))}
+    assert [t for _, t in sorted(got["a"])] == [0] * 10 + [1] * 10 + [2] * 10
+    assert chat.render(chat.parse(df)).count() == len(rows)
+
+
 def test_rendering(spark):
     lines = spark.createDataFrame([(1, "System: be brief\nUser: hi\nthere\nAssistant: hello\nAssistant: again"), (2, None)], "conv_id long, text string")
     blocks = chat.transcripts(lines)
