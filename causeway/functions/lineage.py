@@ -51,14 +51,28 @@ class Scratch:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[Scratch]:
-    """Removes, at its end, the folders of all that was cut inside."""
-    outer, paths = _open[-1] if _open else [], []
+def recorded() -> Iterator[list[str]]:
+    """The folders of what is cut inside the scope."""
+    paths: list[str] = []
     _open.append(paths)
     try:
-        yield Scratch(outer)
+        yield paths
     finally:
         del _open[next(i for i, x in enumerate(_open) if x is paths) :]
-        for at in paths:
-            path = spark._jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for at in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Removes, at its end, the folders of all that was cut inside."""
+    outer = _open[-1] if _open else []
+    with recorded() as paths:
+        try:
+            yield Scratch(outer)
+        finally:
+            remove(spark, paths)

@@ -3,12 +3,28 @@
 Quality classification drops documents, line dedup rewrites texts, near-duplicate
 detection keeps one document of each group, mixing leaves out or repeats documents
 by their source's target, and packing returns the pieces of token sequences.
+
+A stage's rows are written before the next stage begins, which then removes the
+folders that stood behind them (unless its own documents still read them).
+
+Defined cases, for every stage: rows are told apart by themselves, so rows of one
+or of no doc_id are documents of their own, except that line dedup takes rows of
+one doc_id as one document; null and empty texts are documents (scored by their
+statistics, one empty line, never near-duplicates, of size 0 and so left out by
+mixing, one separator); texts of any length are read whole; repeated rows are
+scored alike, lose no lines to each other, leave one row in near dedup, and are
+mixed and packed each by itself; ties go by doc_id, then by a row's running number;
+empty tables give empty results; extra columns, whatever their names, are kept by
+all stages but the last.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from causeway.functions.lineage import recorded, remove
 from causeway.llm import linededup, mixing, neardup, packing, quality
 from causeway.llm.common import cut, table
 
@@ -39,12 +55,29 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack_documents(docs)
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_behind: list[str] = []  # folders that the last stage's rows are read from
+
+
+def _tidy(stage: Stage) -> Stage:
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = docs.inputFiles() if _behind else []
+        used = {p for p in _behind if any(p.rsplit("/", 1)[-1] in f for f in read)}
+        remove(spark, [p for p in _behind if p not in used])
+        with recorded() as paths:
+            out = stage(spark, docs, sf_dir)
+        _behind[:] = [*used, *paths]
+        return out
+
+    return run_stage
+
+
 STAGES = [
-    ("quality classifier", quality_filter),
-    ("line dedup", line_dedup),
-    ("near dedup", near_dedup),
-    ("mixing", mix_sources),
-    ("packing", pack_sequences),
+    ("quality classifier", _tidy(quality_filter)),
+    ("line dedup", _tidy(line_dedup)),
+    ("near dedup", _tidy(near_dedup)),
+    ("mixing", _tidy(mix_sources)),
+    ("packing", _tidy(pack_sequences)),
 ]
 
 #: Tree ensembles, signatures and token ids are beyond SQL; tests/llm holds the
