@@ -1,10 +1,16 @@
 """The stages on rows with odd values and names, against plain Python."""
 
+import hashlib
+import math
+from collections import Counter, defaultdict
+
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline as P
-from test_ops import DOCS, brute_components, brute_lines, corpus
+from causeway.llm import packing, quality
+from test_ops import DOCS, brute_components, brute_lines, corpus, words
 
 
 @pytest.fixture(scope="module")
@@ -42,14 +48,56 @@ def test_line_dedup_takes_effect(spark, docs, sf):
     assert all(n is None or n == len(t) for t, n in got.values())
 
 
+def test_quality_drops_by_score(spark, docs, sf):
+    """The rows whose score, of a model fit anew, reaches the threshold."""
+    model = quality.fit(docs, P.table(spark, sf, "labels"))
+    want = Counter(str(r.row) for r in quality.scored(docs, model).collect() if r.score >= 0.3)
+    assert Counter(str(r) for r in P.quality_filter(spark, docs, sf).collect()) == want
+
+
+def brute_mix(rows):
+    """Copies of each row by plain sums along the order of the documents' hashes."""
+    size = [len(words(t)) for _, t, *_ in rows]
+    per = defaultdict(list)
+    for i, (d, t, _, source, *_) in enumerate(rows):
+        per[source].append((hashlib.md5(":".join([*([str(d)] if d is not None else []), t or ""]).encode()).hexdigest(), d, size[i], i))
+    names = sorted(s for s in per if s is not None) + [s for s in per if s is None]
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    room = {s: 2 * sum(x[2] for x in per[s]) for s in names}
+    low, high = 0.0, 1e9
+    for _ in range(200):  # the common level by bisection
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(room[s], level * weight[s]) for s in names) < 1.5 * sum(size) else (low, level)
+    copies = Counter()
+    for s in names:
+        goal, dealt = math.floor(min(room[s], high * weight[s]) + 1e-6), 0
+        for _ in range(2):
+            for *_, n, i in sorted(per[s], key=lambda x: x[0]):
+                copies[i] += dealt < goal and n > 0
+                dealt += n
+    return copies
+
+
 def test_mixing_repeats_or_leaves_out(spark, docs, sf):
-    got = P.mix_sources(spark, docs, sf).groupBy("doc_id").count().collect()
-    assert got and max(r["count"] for r in got) <= 2
+    rows = [*corpus(), (None, "a text without a number", None, None, 3, 1, "k")]
+    want = Counter()
+    for i, n in brute_mix(rows).items():
+        if n:
+            want[rows[i][:2]] += n
+    assert Counter((r.doc_id, r.text) for r in P.mix_sources(spark, docs, sf).collect()) == want
 
 
 def test_run(spark, docs, sf):
+    """All stages in turn, each against its own input, and ids rebuilt from the pieces."""
     docs.write.mode("overwrite").parquet(f"{sf}/documents.parquet")
-    out = P.run(spark, sf)
-    assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    total = out.groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("t")).where("n % t <> 0").count()
-    assert total == 0
+    out = P.run(spark, sf).collect()
+    left = docs
+    for k, (_, stage) in enumerate(P.STAGES[:-1]):
+        left = spark.createDataFrame(stage(spark, left, sf).collect(), docs.schema)
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    want, got = Counter(), Counter()
+    for r in left.collect():
+        want[r.doc_id, len(tok.encode(r.text or "", add_special_tokens=False).ids) + 1] += 1
+    for r in out:
+        got[r.doc_id, r.doc_tokens] += r.length / r.doc_tokens
+    assert {k: round(n, 6) for k, n in got.items()} == want
