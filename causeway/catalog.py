@@ -156,8 +156,8 @@ query("neighbors_both", f"WITH {SQL_SUPPLY} {_OUT} UNION {_IN}")(_neighbors("bot
 def affected_depth(spark, sf):
     """Everything that depends on region 0, with its distance."""
     g = D.supply(spark, sf)
-    found = traverse.affected(g, REGION, max_nodes=1 << 40)
-    return _with_kind(g, found.nodes, "depth")
+    starts = g.nodes.where(F.col("id") == REGION)
+    return _with_kind(g, traverse.reach(cut(traverse.oriented(g, "in"), "steps"), starts), "depth")
 
 
 @query("closure_truncated", f"""WITH {SQL_SUPPLY},
@@ -224,8 +224,7 @@ def policy_slice(spark, sf):
     """What depends on region 0 by complete first-hand evidence; method and
     state must hold for one record."""
     g = D.supply(spark, sf, stored=True)
-    reasons, _, _ = policy.traverse(g, REGION, _POLICY)
-    return _with_kind(g, reasons, "depth")
+    return _with_kind(g, policy.depths(g, REGION, _POLICY), "depth")
 
 
 @query("policy_stop_kinds", _reach_sql("SELECT dst AS at, src AS dest FROM e WHERE dst NOT IN (SELECT id FROM n WHERE kind = 'customer')", REGION_SQL, 6))
@@ -582,3 +581,6 @@ def view_layout(spark, sf):
 
     g = D.event_graph(spark, sf)
     return layout(g, node_id_of("events", "type", "view"))
+
+
+from causeway import catalog_facts  # noqa: E402,F401 - registers its queries

@@ -6,11 +6,14 @@ import json
 import subprocess
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from causeway.functions.identity import canonical_json
+from causeway.functions.identity import canonical_json, edge_id, node_id, provenance
+from causeway.functions.lineage import cut
 from causeway.functions.schema import METHODS
+from causeway.operators.graph import EDGE_KEY, NODE_KEY, Graph, build, facts_of, violation
 
 PLUGIN_VERSION = "causeway.plugin/1"
 
@@ -93,3 +96,48 @@ def external(command: list[str], d: Descriptor, timeout: float = 30.0, most_byte
         return answer["output"]
 
     return run
+
+
+def run_plugins(base: Graph, plugins: list[Plugin], request: dict) -> Graph:
+    """The base graph with the facts of all plugins, in the order of their keys.
+
+    Each plugin is asked with the base graph, not with what others gave. A plugin
+    that raises, when asked or when its rows are made, gives a diagnostic and
+    nothing else; rejected facts give one each. ``request`` has repository and ref.
+    """
+    spark, repository, ref = base.nodes.sparkSession, request["repository"], request["ref"]
+    failed, nodes, edges = [], [], []
+    for plugin in sorted(plugins, key=lambda p: p.descriptor.key):
+        d = plugin.descriptor
+        try:
+            got = [cut(facts, "offered") for facts in plugin.extract(spark, request | {"graph": base})]
+        except Exception as error:
+            failed.append((d, str(error).splitlines()[0] if str(error) else type(error).__name__))
+            continue
+        for facts, into, kinds, key in ((got[0], nodes, d.node_kinds, NODE_KEY), (got[1], edges, d.edge_kinds, EDGE_KEY)):
+            identity = node_id(*NODE_KEY) if into is nodes else edge_id(*EDGE_KEY)
+            sound = F.forall("provenance", lambda p: violation(p).isNull())
+            for k in key:
+                sound = sound & (F.coalesce(F.col(k) != "", F.lit(k == "edge_key")))
+            kind = F.col("kind").isin(*kinds) if kinds else F.lit(True)
+            into.append(facts.select("*", identity.alias("id"), F.lit(d.key).alias("plugin"), F.monotonically_increasing_id().alias("fact"), (admissible(F.col("provenance"), d, repository, ref) & kind & sound).alias("valid")))
+    empty = {id(nodes): base.nodes, id(edges): base.edges}
+    offered = [reduce(DataFrame.unionByName, x) if x else empty[id(x)].where("false").select("*", F.lit("").alias("plugin"), F.lit(0).cast("long").alias("fact"), F.lit(False).alias("valid")) for x in (nodes, edges)]
+    good_nodes, bad_nodes = accept(base.nodes, offered[0], F.col("valid"), "node")
+    known = base.nodes.select("id").unionByName(good_nodes.select("id")).distinct()
+    ends = [known.select(F.col("id").alias(e), F.lit(True).alias(f"has_{e}")) for e in ("src", "dst")]
+    there = offered[1].join(ends[0], "src", "left").join(ends[1], "dst", "left").withColumn("valid", F.col("valid") & F.col("has_src").isNotNull() & F.col("has_dst").isNotNull()).drop("has_src", "has_dst")
+    good_edges, bad_edges = accept(base.edges, there, F.col("valid"), "edge")
+
+    def told(name: Column, version: Column, code: Column, message: Column) -> list[Column]:
+        named = F.struct(name.alias("name"), version.alias("version"))
+        proof = provenance(repository=repository, ref=ref, commit=request.get("commit"), extractor=named, origin="derived", method="deterministic-extraction", state="unresolved", diagnostic=message)
+        return [code.alias("code"), message.alias("message"), F.lit("unresolved").alias("state"), proof.alias("provenance")]
+
+    part = F.split("plugin", "\u0000")
+    rejected = bad_nodes.unionByName(bad_edges)
+    rejected = rejected.select(*told(part[0], part[1], F.col("code"), F.concat(part[0], F.lit("@"), part[1], F.lit(" offered a fact that is not accepted: "), "id")))
+    lost = spark.createDataFrame([(d.name, d.version, m) for d, m in failed], "name string, version string, why string")
+    lost = lost.select(*told(F.col("name"), F.col("version"), F.lit("extractor-failed"), F.concat("name", F.lit("@"), "version", F.lit(" failed: "), "why")))
+    base_nodes, base_edges = facts_of(base)
+    return build(base_nodes.unionByName(good_nodes.select(*base_nodes.columns)), base_edges.unionByName(good_edges.select(*base_edges.columns)), base.diagnostics.unionByName(rejected).unionByName(lost), check=False)

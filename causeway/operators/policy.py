@@ -75,10 +75,8 @@ def policy_steps(g: Graph, policy: TraversalPolicy) -> DataFrame:
     """
     matched = policy.matching(F.col("provenance"))
     edges = g.edges.where(F.size(matched) > 0)
-    steps = oriented(Graph(g.nodes, edges, g.diagnostics), policy.direction, list(policy.edge_kinds))
-    if policy.node_kinds:
-        steps = steps.join(g.nodes.where(F.col("kind").isin(*policy.node_kinds)).select(F.col("id").alias("to")), "to", "left_semi")
-    return cut(steps, "steps")
+    enter = g.nodes.where(F.col("kind").isin(*policy.node_kinds)) if policy.node_kinds else g.nodes
+    return cut(oriented(Graph(g.nodes, edges, g.diagnostics), policy.direction, list(policy.edge_kinds), enter), "steps")
 
 
 def _closed(g: Graph, policy: TraversalPolicy) -> DataFrame | None:
@@ -94,10 +92,17 @@ def traverse(g: Graph, start: str, policy: TraversalPolicy) -> tuple[DataFrame,
     found = search(policy_steps(g, policy), starts, policy.max_depth, policy.max_nodes, closed=_closed(g, policy))
     evidence = g.edges.select(F.col("id").alias("edge_id"), policy.matching(F.col("provenance")).alias("matched"))
     reasons = found.nodes.join(evidence, "edge_id").select("id", "depth", "parent", "edge_id", "matched")
-    partial = found.truncated or has_partial_evidence(g).first().partial
+    partial = found.truncated or bool(has_partial_evidence(g).first().partial)
     return reasons, found.truncated, partial
 
 
+def depths(g: Graph, start: str, policy: TraversalPolicy) -> DataFrame:
+    """(id, depth) of all that ``traverse`` reaches when no bound of nodes holds;
+    levels then need no order and evidence is read once."""
+    starts = g.nodes.where(F.col("id") == start).select("id")
+    return search(policy_steps(g, policy), starts, policy.max_depth, None, closed=_closed(g, policy), ordered=False).nodes.select("id", "depth")
+
+
 def explain(g: Graph, start: str, target: str, policy: TraversalPolicy) -> list[tuple[str, str]] | None:
     """A shortest path that the policy allows. A stop kind may be the target, but
     is not passed; ``max_nodes`` does not count."""

@@ -25,9 +25,20 @@ def first_candidate(candidates: DataFrame, files: DataFrame) -> DataFrame:
     return found.groupBy("owner", "specifier").agg(F.min_by(F.when(F.col("there"), F.col("path")), F.when(F.col("there"), F.col("pos"))).alias("target"))
 
 
+#: Endings that a specifier's ending may stand for (fixed values).
+STANDS_FOR = {".js": (".ts", ".tsx", ".d.ts"), ".jsx": (".tsx", ".ts"), ".mjs": (".mts",), ".cjs": (".cts",)}
+
+
 def module_candidates(base: Column) -> Column:
-    """Paths that a resolved specifier may stand for, in order."""
-    return F.array(base, *[F.concat(base, F.lit(s)) for s in SUFFIXES], *[F.concat(base, F.lit("/index" + s)) for s in SUFFIXES])
+    """Paths that a resolved specifier may stand for, in order: itself, then for
+    an ending of JavaScript its sources, and without an ending, for each known
+    ending the file, then the directory's index."""
+    ending = F.regexp_extract(base, r"[^/](\.[^./]*)$", 1)
+    stem = F.substring(base, F.lit(1), F.length(base) - F.length(ending))
+    out = F.when(ending == "", F.array(base, *[F.concat(base, F.lit(between + s)) for s in SUFFIXES for between in ("", "/index")]))
+    for own, others in STANDS_FOR.items():
+        out = out.when(ending == own, F.array(base, *[F.concat(stem, F.lit(s)) for s in others]))
+    return out.otherwise(F.array(base))
 
 
 def unique_match(left: DataFrame, right: DataFrame, on: str, id_: str, target: str) -> DataFrame:
@@ -36,18 +47,19 @@ def unique_match(left: DataFrame, right: DataFrame, on: str, id_: str, target: s
     return found.select(id_, "matches", F.when(F.col("matches") == 1, F.col("one")).alias("target"))
 
 
+#: How a test's file name shows its source's (fixed value).
+TEST_NAME = r"^(?:.*/)?([^/]+)\.(?:test|spec)(\.(?:ts|tsx|mts|cts|js|jsx|mjs|cjs))$"
+
+
 def test_candidates(path: Column) -> Column:
-    """Sources that a test file may cover: the same name beside it, and for
-    ``__tests__`` directories in the parent."""
-    name = F.regexp_extract(path, r"([^/]+)\.(?:test|spec)\.([cm]?[jt]sx?)$", 1)
-    ext = F.regexp_extract(path, r"([^/]+)\.(?:test|spec)\.([cm]?[jt]sx?)$", 2)
-    plain = F.regexp_extract(path, r"([^/]+)$", 1)
-    file = F.when(name != "", F.concat(name, F.lit("."), ext)).otherwise(plain)
+    """Sources that a test file may cover: the name without its mark beside it,
+    and for a ``__tests__`` directory in the parent too; sorted. Files without the
+    mark cover nothing."""
+    name = F.concat(F.regexp_extract(path, TEST_NAME, 1), F.regexp_extract(path, TEST_NAME, 2))
+    at = lambda up: F.when(up == "", name).otherwise(F.concat_ws("/", up, name))
     up = parent(path)
-    beside = F.when(up == "", file).otherwise(F.concat_ws("/", up, file))
-    above = F.when(up.rlike("(?:^|/)__tests__$"), F.concat(F.regexp_replace(up, "__tests__$", ""), file))
-    here = F.when((name != ""), beside)
-    return F.array_compact(F.array(here, above))
+    above = F.when(up.rlike(r"(?:^|/)__tests__$"), F.array(at(parent(up)))).otherwise(F.array())
+    return F.when(name != "", F.array_sort(F.array_distinct(F.concat(F.array(at(up)), above)))).otherwise(F.array().cast("array<string>"))
 
 
 def is_test(path: Column) -> Column:

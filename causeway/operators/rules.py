@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from causeway.functions.identity import node_id, provenance
 from causeway.functions.paths import glob_regex
 
+#: Where a file of rules may stand, in this order (fixed values).
 RULE_FILES = (".github/CODEOWNERS", "CODEOWNERS", "docs/CODEOWNERS")
 
 
@@ -45,3 +47,25 @@ def match_rules(paths: DataFrame, rules: list[tuple[int, str]]) -> DataFrame:
     hits = paths.select("path", F.array_compact(F.array(*tests)).alias("hits")).where(F.size("hits") > 0)
     last = F.col("hits")[F.size("hits") - 1]["ord"]
     return hits.select("path", last.alias("last"), F.explode("hits").alias("h")).select("path", "h.ord", "h.pattern", (F.col("h.ord") == F.col("last")).alias("effective"))
+
+
+def rule_facts(rules: DataFrame, matches: DataFrame, repository: str, ref: str, commit: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(node facts, edge facts): a node for each rule, an edge to each path it matches.
+
+    ``rules``: ord, pattern, targets and source_path (null for a rule that an
+    overlay gives); ``matches``: path, path_kind, ord, effective.
+    """
+    own = F.col("source_path").isNotNull()
+    pick = lambda yes, no: F.when(own, F.lit(yes)).otherwise(F.lit(no))
+    named = F.when(~own, F.struct(F.lit("causeway-path-rules").alias("name"), F.lit("1").alias("version")))
+    proof = provenance(repository=repository, ref=ref, commit=commit, path=F.col("source_path"), origin=pick("source", "overlay"), method=pick("source-observation", "explicit-overlay"), state="complete", authority=F.when(~own, "advisory"), overlay=named)
+    key = F.concat_ws(":", F.coalesce("source_path", F.lit("<overlay>")), F.col("ord").cast("string"), "pattern")
+    rules = rules.withColumn("source", pick("repository", "overlay")).withColumn("rule_key", key).withColumn("proof", F.array(proof))
+    metadata = F.to_json(F.struct(F.col("ord").alias("order"), "pattern", "source", F.col("source_path").alias("sourcePath"), "targets"))
+    nodes = rules.select(F.lit(repository).alias("namespace"), F.lit("path-rule").alias("kind"), F.col("rule_key").alias("key"), metadata.alias("metadata"), F.col("proof").alias("provenance"))
+    hit = matches.select("path", "path_kind", "ord", "effective").join(F.broadcast(rules.select("ord", "rule_key", "proof")), "ord")  # a repository's one file of rules
+    edges = hit.select(
+        F.lit("path-rule-match").alias("kind"), node_id(F.lit(repository), F.lit("path-rule"), "rule_key").alias("src"), node_id(F.lit(repository), "path_kind", "path").alias("dst"), F.lit(None).cast("string").alias("edge_key"),
+        F.to_json(F.struct("effective")).alias("metadata"), F.col("proof").alias("provenance"),
+    )
+    return nodes, edges

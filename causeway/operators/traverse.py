@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from causeway.functions.lineage import cut
 from causeway.operators.graph import Graph
@@ -29,8 +29,9 @@ class Slice:
     truncated: bool
 
 
-def oriented(g: Graph, direction: str = "out", edge_kinds: list[str] | None = None, extra: list[Column] = ()) -> DataFrame:
-    """(at, to, edge_id, ...): edges as steps, dangling ones left out."""
+def oriented(g: Graph, direction: str = "out", edge_kinds: list[str] | None = None, enter: DataFrame | None = None, extra: list[Column] = ()) -> DataFrame:
+    """(at, to, edge_id, ...): edges as steps to nodes of the graph, or to those of
+    ``enter`` (id); dangling ones are left out."""
     if direction not in ("in", "out", "both"):
         raise ValueError(f"unknown direction {direction!r}")
     edges = g.edges.where(F.col("kind").isin(*edge_kinds)) if edge_kinds else g.edges
@@ -38,15 +39,15 @@ def oriented(g: Graph, direction: str = "out", edge_kinds: list[str] | None = No
     into = edges.select(F.col("dst").alias("at"), F.col("src").alias("to"), F.col("id").alias("edge_id"), *extra)
     steps = {"out": out, "in": into}.get(direction)
     steps = out.unionByName(into) if steps is None else steps
-    return steps
+    there = (g.nodes if enter is None else enter).select(F.col("id").alias("to"))
+    return steps.join(there, "to", "left_semi").select("at", "to", "edge_id", *steps.columns[3:])
 
 
 def neighbors(g: Graph, starts: DataFrame, direction: str = "out", edge_kinds: list[str] | None = None) -> DataFrame:
     """(start, id, edge_id): one step from each of ``starts`` (id); a self-loop
     gives the start itself."""
     steps = oriented(g, direction, edge_kinds)
-    found = steps.join(starts.select(F.col("id").alias("at")).distinct(), "at").select(F.col("at").alias("start"), F.col("to").alias("id"), "edge_id").distinct()
-    return found.join(g.nodes.select("id"), "id", "left_semi")
+    return steps.join(starts.select(F.col("id").alias("at")).distinct(), "at").select(F.col("at").alias("start"), F.col("to").alias("id"), "edge_id").distinct()
 
 
 def search(steps: DataFrame, starts: DataFrame, max_depth: int = MAX_DEPTH, max_nodes: int | None = MAX_NODES, target: str | None = None, closed: DataFrame | None = None, ordered: bool = True) -> Slice:
@@ -55,8 +56,11 @@ def search(steps: DataFrame, starts: DataFrame, max_depth: int = MAX_DEPTH, max_
     ``closed`` (id) are nodes that may be reached but not passed. With a
     ``target`` the search ends at the level that reaches it. Steps are read once
     per level; each level is written to the shared folder. Where only depths
-    matter, ``ordered`` can be off, which saves each level a range partition.
+    matter and ``max_nodes`` is None, ``ordered`` can be off, which saves each level
+    a range partition.
     """
+    if not ordered and max_nodes is not None:
+        raise ValueError("a bound of nodes needs their order")
     if max_depth < 0 or max_nodes is not None and max_nodes < 1:
         raise ValueError("bounds must not be negative")
     spark = steps.sparkSession
@@ -73,13 +77,14 @@ def search(steps: DataFrame, starts: DataFrame, max_depth: int = MAX_DEPTH, max_
             truncated = bool(new.head(1))
             break
         order = ["by.pos", "id"]
+        new = cut(new, "new") if ordered else new  # range bounds are drawn from the level alone, not from the join again
         level = new.repartitionByRange(*order).sortWithinPartitions(*order) if ordered else new
         pos = F.monotonically_increasing_id() if ordered else F.lit(0).cast("long")
         level = level.select("id", F.lit(depth + 1).alias("depth"), "by.parent", "by.edge_id", pos.alias("pos"))
         level = level.withColumn("open", F.lit(True)) if closed is None else level.join(closed.select("id", F.lit(False).alias("shut")), "id", "left").withColumn("open", F.col("shut").isNull()).drop("shut")
-        level = cut(level, "level")
-        n = level.count()
-        if not n:
+        counted = Observation()
+        level = cut(level.observe(counted, F.count(F.lit(1)).alias("n")), "level")
+        if not (n := counted.get["n"]):
             break
         if left is not None and n > left:
             truncated = True

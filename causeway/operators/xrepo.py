@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from functools import reduce
 
-from causeway.functions.identity import coordinate_key, node_id
+from pyspark.sql import Column, DataFrame, functions as F
+
+from causeway.functions.identity import coordinate_key, node_id, provenance
 from causeway.functions.lineage import cut
+from causeway.operators.graph import Graph, build, facts_of
 from causeway.operators.traverse import MAX_DEPTH
 
 COORDINATES = "causeway:coordinates"  # the namespace of coordinate nodes
@@ -75,3 +78,46 @@ def affected_across(steps: DataFrame, starts: DataFrame, max_hops: int = 1, max_
             break
         best = cut(best.unionByName(frontier).groupBy("id").agg(F.min("hops").alias("hops")), "hops")
     return best, truncated
+
+
+def composed_facts(found: DataFrame, nodes: DataFrame, snapshots: DataFrame, name: str, version: str, authority: str = "authoritative") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(node facts, edge facts, diagnostics) that the mappings of ``found`` (see
+    ``outcomes``) add to the union of the repositories' graphs.
+
+    ``snapshots`` has one row (repository, ref, commit) for each repository. A
+    connected mapping gives its coordinate as a node, an edge from the consumer to
+    it and one from it to the producer, each with evidence pinned to the snapshot
+    it speaks of; any other gives a diagnostic at its consumer, or at the first
+    repository where the consumer's is unknown.
+    """
+
+    def proof(side: str, path: Column | str, state: Column | str = "complete", message: Column | None = None) -> Column:
+        at = {c: F.col(f"{side}_{c}") for c in ("repository", "ref", "commit")}
+        named = F.struct(F.lit(name).alias("name"), F.lit(version).alias("version"))
+        return provenance(**at, path=F.col(path) if isinstance(path, str) else path, origin="overlay", method="explicit-overlay", state=state, authority=authority, overlay=named, diagnostic=message)
+
+    def pinned(side: str) -> DataFrame:
+        return snapshots.select(*(F.col(c).alias(f"{side}_{c}") for c in ("repository", "ref", "commit")))
+
+    first = snapshots.agg(F.min_by(F.struct("repository", "ref", "commit"), "repository").alias("first"))
+    about = found.drop("p_repository", "p_kind", "p_key").join(pinned("c"), "c_repository", "left").join(F.broadcast(first))  # one row
+    about = about.select(*[c for c in about.columns if c not in ("c_repository", "c_ref", "c_commit", "first")], *(F.when(F.col("c_ref").isNotNull(), F.col(f"c_{c}")).otherwise(F.col(f"first.{c}")).alias(f"c_{c}") for c in ("repository", "ref", "commit")))
+    ok = about.where("outcome = 'connected'").join(nodes.select(F.col("id").alias("producer"), F.col("repository").alias("p_repository"), F.col("key").alias("p_key")), "producer").join(pinned("p"), "p_repository")
+    ok = ok.withColumn("text", coordinate_key(F.col("kind"), F.col("ecosystem"), F.col("name"), F.col("version")))
+    node_facts = ok.select(F.lit(COORDINATES).alias("namespace"), F.lit("coordinate").alias("kind"), F.col("text").alias("key"), F.col("text").alias("metadata"), F.array(proof("c", "c_key"), proof("p", "p_key")).alias("provenance"))
+    wanted = F.concat(F.lit('{"coordinate":'), "text", F.lit(","), F.expr("substr(to_json(named_struct('mappingId', id)), 2)"))
+    kept = F.to_json(F.struct(F.col("p_commit").alias("producerCommit"), F.col("p_ref").alias("producerRef"), F.col("p_repository").alias("producerRepository")))
+    depends = ok.select(F.lit("depends-on-coordinate").alias("kind"), F.col("consumer").alias("src"), F.col("coordinate").alias("dst"), F.col("id").alias("edge_key"), wanted.alias("metadata"), F.array(proof("c", "c_key")).alias("provenance"))
+    resolves = ok.select(F.lit("coordinate-resolves-to").alias("kind"), F.col("coordinate").alias("src"), F.col("producer").alias("dst"), F.col("text").alias("edge_key"), kept.alias("metadata"), F.array(proof("p", "p_key")).alias("provenance"))
+    state = F.when(F.col("outcome") == "cross-repo-producer-ambiguous", "partial").otherwise("unresolved")
+    message = F.concat_ws(" ", F.lit("mapping"), "id", F.lit("of"), F.concat("ecosystem", F.lit(":"), "name", F.lit("@"), "version"), F.lit("is not connected:"), "outcome")
+    lost = about.where("outcome <> 'connected'").select(F.col("outcome").alias("code"), message.alias("message"), state.alias("state"), proof("c", "c_key", state, message).alias("provenance"))
+    return node_facts, depends.unionByName(resolves), lost
+
+
+def compose(graphs: list[Graph], found: DataFrame, nodes: DataFrame, snapshots: DataFrame, name: str, version: str, authority: str = "authoritative", check: bool = True) -> Graph:
+    """The graphs of several repositories as one, with their mappings."""
+    parts = [facts_of(g) for g in graphs]
+    more_nodes, more_edges, lost = composed_facts(found, nodes, snapshots, name, version, authority)
+    stack = lambda frames: reduce(DataFrame.unionByName, frames)
+    return build(stack([*(p[0] for p in parts), more_nodes]), stack([*(p[1] for p in parts), more_edges]), stack([*(g.diagnostics for g in graphs), lost]), check=check)

@@ -4,22 +4,32 @@ Artifacts are rows (key, content, kind, schema, payload, payload_hash) under
 ``artifacts/``; manifests are rows (manifest, repository, ref, commit,
 configuration, logical_key, key) under ``refs/``. Writing appends what is new;
 equal keys with different payloads are an error. Collection writes the artifacts
-that stay beside the old table and switches a pointer file, so a reader sees
-one state or the other.
+that stay beside the old table and switches the one pointer of both tables, so a
+reader sees one state or the other.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from causeway.functions.lineage import cut
+
 STORE_SCHEMA_VERSION = "causeway.store/1"
 ARTIFACTS = "key string, content string, kind string, schema string, payload string, payload_hash string"
 REFS = "manifest string, repository string, ref string, commit string, configuration string, logical_key string, key string"
 
 
+COLUMNS = ["key", "content", "kind", "schema", "payload", "payload_hash"]
+#: from a schema to the next: its name and what rewrites (old, content, kind, payload)
+Migrations = dict[str, tuple[str, Callable[[DataFrame], DataFrame]]]
+
+
 class StoreConflict(ValueError):
     """One key with two contents, or a reference to nothing."""
 
@@ -64,25 +74,55 @@ def artifact_key(content: str = "content", kind: str = "kind") -> Column:
     return F.concat(F.lit("artifact-sha256-"), F.sha2(F.to_json(F.struct(F.col(content).alias("content"), F.col(kind).alias("kind"), F.lit(STORE_SCHEMA_VERSION).alias("schema"))), 256))
 
 
+def find_migration(migrations: Migrations, schema: str) -> list[Callable[[DataFrame], DataFrame]] | None:
+    """The steps from ``schema`` to the present one; [] for the present one
+    itself, None where no chain leads there."""
+    steps, at, seen = [], schema, set()
+    while at != STORE_SCHEMA_VERSION:
+        if at in seen or at not in migrations:
+            return None
+        seen.add(at)
+        at, step = migrations[at]
+        steps.append(step)
+    return steps
+
+
 # ------------------------------------------------------------------- the store
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.stats = dict.fromkeys(("artifact_hits", "artifact_misses", "manifest_hits", "manifest_misses"), 0)
+
+    # One pointer names the folders of both tables. A version of it is a file of
+    # its own, renamed into place without overwriting, so of two writers one fails.
+    def _files(self):
+        jvm = self.spark._jvm.org.apache.hadoop.fs
+        return jvm, jvm.FileContext.getFileContext(jvm.Path(self.root).toUri(), self.spark._jsc.hadoopConfiguration())
+
+    def _exists(self, at: str) -> bool:
+        jvm, fc = self._files()
+        return fc.util().exists(jvm.Path(f"{self.root}/{at}"))
+
+    def state(self) -> dict:
+        """The newest pointer: seq, artifacts, refs."""
+        jvm, fc = self._files()
+        names = [f.getPath().getName() for f in fc.util().listStatus(jvm.Path(f"{self.root}/current"))] if self._exists("current") else []
+        seqs = [int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json")]
+        if not seqs:
+            return {"seq": 0, "artifacts": "artifacts/0", "refs": "refs/0"}
+        return json.loads(self.spark.read.text(f"{self.root}/current/v{max(seqs):010}.json", wholetext=True).first().value)
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{self._at(name)}")
-        except AnalysisException:
-            return self.spark.createDataFrame([], schema)
+        at = self.state()[name]
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{at}") if self._exists(at) else self.spark.createDataFrame([], schema)
 
-    def _at(self, name: str) -> str:
-        """The folder in use: the newest pointer of the table."""
-        try:
-            rows = self.spark.read.schema("seq long, at string").json(f"{self.root}/current/{name}")
-            top = rows.orderBy(F.desc("seq")).first()
-        except AnalysisException:
-            top = None
-        return top.at if top else f"{name}/0"
+    def _append(self, name: str, rows: DataFrame) -> None:
+        """Adds rows; again, if a collection has switched folders meanwhile."""
+        while True:
+            at = self.state()[name]
+            rows.write.mode("append").parquet(f"{self.root}/{at}")
+            if self.state()[name] == at:
+                return
 
     @property
     def artifacts(self) -> DataFrame:
@@ -103,7 +143,7 @@ class Store:
         fresh = new.join(self.artifacts.select("key"), "key", "left_anti").select(*new.columns)
         n = fresh.count()
         if n:
-            fresh.write.mode("append").parquet(f"{self.root}/{self._at('artifacts')}")
+            self._append("artifacts", fresh)
         return {"written": n, "reused": total - n}
 
     def write_manifest(self, manifest: str, refs: DataFrame, repository: str, ref: str, commit: str, configuration: str | None = None) -> None:
@@ -114,16 +154,55 @@ class Store:
         if bad := dangling(self.artifacts, refs).head(1):
             raise StoreConflict(f"no artifact {bad[0].key}")
         rows = refs.select(F.lit(manifest).alias("manifest"), F.lit(repository).alias("repository"), F.lit(ref).alias("ref"), F.lit(commit).alias("commit"), F.lit(configuration).cast("string").alias("configuration"), "logical_key", "key")
-        rows.write.mode("append").parquet(f"{self.root}/{self._at('refs')}")
-
-    def _switch(self, name: str, rows: DataFrame) -> None:
-        at = f"{name}/{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.root}/{at}")
+        self._append("refs", rows)
+
+    def _switch(self, was: dict, **tables: DataFrame) -> None:
+        """Writes tables beside the old ones and points to all of them at once."""
+        new = dict(was, seq=was["seq"] + 1)
+        for name, rows in tables.items():
+            new[name] = f"{name}/{uuid.uuid4().hex}"
+            rows.write.parquet(f"{self.root}/{new[name]}")
+        jvm, fc = self._files()
+        hidden, final = (jvm.Path(f"{self.root}/current/{n}") for n in (f".{uuid.uuid4().hex}", f"v{new['seq']:010}.json"))
+        out = hidden.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(hidden)
+        out.write(bytearray(json.dumps(new, sort_keys=True).encode()))
+        out.close()
+        rename = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
+        options = self.spark.sparkContext._gateway.new_array(rename, 1)
+        options[0] = rename.NONE
         try:
-            seq = self.spark.read.schema("seq long, at string").json(f"{self.root}/current/{name}").agg(F.max("seq")).first()[0] or 0
-        except AnalysisException:
-            seq = 0
-        self.spark.createDataFrame([(seq + 1, at)], "seq long, at string").write.mode("append").json(f"{self.root}/current/{name}")
+            fc.rename(hidden, final, options)
+        except Exception as error:
+            raise StoreConflict(f"another writer has made version {new['seq']}") from error
+
+    # -------------------------------------------------------------- lookups
+    def keyed(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("key", artifact_key())
+
+    def verified(self, artifacts: DataFrame) -> DataFrame:
+        """The artifacts; reading one whose payload doesn't fit its hash fails."""
+        fits = (F.sha2("payload", 256) == F.col("payload_hash")) & (~F.col("content").startswith("sha256:") | (F.col("content") == F.concat(F.lit("sha256:"), F.sha2("payload", 256))))
+        bad = F.raise_error(F.concat(F.lit("the payload does not fit artifact "), "key"))
+        return artifacts.withColumn("payload", F.when(F.coalesce(fits, F.lit(False)), F.col("payload")).otherwise(bad))
+
+    def artifact(self, key: str, verify: bool = False):
+        """The artifact's row, or None; with ``verify`` its payload is held against
+        its content identity."""
+        if not re.fullmatch(r"artifact-sha256-[0-9a-f]{64}", key):
+            raise ValueError(f"not an artifact's key: {key}")
+        rows = self.artifacts.where(F.col("key") == key)
+        row = (self.verified(rows) if verify else rows).first()
+        self.stats["artifact_misses" if row is None else "artifact_hits"] += 1
+        return row
+
+    def manifest(self, manifest: str) -> DataFrame | None:
+        """The references of a manifest, or None; one that misses an artifact fails."""
+        refs = self.refs.where(F.col("manifest") == manifest)
+        found = bool(refs.head(1))
+        self.stats["manifest_hits" if found else "manifest_misses"] += 1
+        if found and (bad := dangling(self.artifacts, refs).head(1)):
+            raise StoreConflict(f"manifest {manifest} misses artifact {bad[0].key}")
+        return refs if found else None
 
     def collect_garbage(self, retain: Column | None = None, dry_run: bool = False) -> DataFrame:
         """(key) of artifacts that only dropped manifests refer to; ``retain`` is
@@ -133,20 +212,39 @@ class Store:
         gone = unreferenced(self.artifacts, kept)
         if dry_run:
             return gone
-        out = f"{self.root}/removed/{uuid.uuid4().hex}"
+        was, out = self.state(), f"{self.root}/removed/{uuid.uuid4().hex}"
         gone.write.parquet(out)
-        self._switch("artifacts", self.artifacts.join(kept.select("key").distinct(), "key", "left_semi").select("key", "content", "kind", "schema", "payload", "payload_hash"))
-        self._switch("refs", kept)
+        self._switch(was, artifacts=self.artifacts.join(kept.select("key").distinct(), "key", "left_semi").select(*COLUMNS), refs=kept)
         return self.spark.read.schema("key string").parquet(out)
 
-    def recover(self) -> dict[str, int]:
-        """Drops corrupt artifacts, then manifests that miss one of theirs."""
-        bad = corrupt(self.artifacts)
-        n = bad.count()
-        if n:
-            self._switch("artifacts", self.artifacts.join(bad, "key", "left_anti").select("key", "content", "kind", "schema", "payload", "payload_hash"))
-        lost = dangling(self.artifacts, self.refs).select("manifest").distinct()
-        m = lost.count()
-        if m:
-            self._switch("refs", self.refs.join(lost, "manifest", "left_anti").select(*self.refs.columns))
-        return {"artifacts_removed": n, "manifests_removed": m}
+    def migrate(self, migrations: Migrations) -> int:
+        """Brings artifacts of older schemas to the present one where a chain of
+        migrations leads there; references follow their keys. The number moved."""
+        was, rows, moved = self.state(), self.artifacts, []
+        for schema in sorted(r.schema for r in rows.select("schema").distinct().collect()):  # a few versions
+            steps = find_migration(migrations, schema)
+            if steps:
+                new = rows.where(F.col("schema") == schema).select(F.col("key").alias("old"), "content", "kind", "payload")
+                for step in steps:
+                    new = step(new)
+                moved.append(new)
+        if not moved:
+            return 0
+        new = cut(reduce(DataFrame.unionByName, moved).select("old", artifact_key().alias("key"), "content", "kind", F.lit(STORE_SCHEMA_VERSION).alias("schema"), "payload", F.sha2("payload", 256).alias("payload_hash")), "migrated")
+        rest = rows.join(new.select(F.col("old").alias("key")), "key", "left_anti").select(*COLUMNS)
+        keys = new.select(F.col("old").alias("key"), F.col("key").alias("new_key"))
+        refs = self.refs.join(keys, "key", "left").withColumn("key", F.coalesce("new_key", "key")).select(*self.refs.columns)
+        self._switch(was, artifacts=rest.unionByName(new.select(*COLUMNS)).dropDuplicates(["key"]), refs=refs)
+        return new.count()
+
+    def recover(self, migrations: Migrations | None = None) -> dict[str, int]:
+        """Migrates what can be, then drops corrupt artifacts, and with them, at
+        once, the manifests that miss one of theirs."""
+        moved = self.migrate(migrations) if migrations else 0
+        was, bad = self.state(), cut(corrupt(self.artifacts), "corrupt")
+        sound = self.artifacts.join(bad, "key", "left_anti").select(*COLUMNS)
+        lost = cut(dangling(sound, self.refs).select("manifest").distinct(), "lost")
+        n, m = bad.count(), lost.count()
+        if n or m:
+            self._switch(was, artifacts=sound, refs=self.refs.join(lost, "manifest", "left_anti").select(*self.refs.columns))
+        return {"artifacts_removed": n, "manifests_removed": m, "migrated": moved}

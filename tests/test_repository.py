@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from causeway import cli, protocol, view
 from causeway.functions.identity import node_id_of
 from causeway.functions.syntax import manifest, scan
-from causeway.operators import graph as G, ingest, overlay, plugin, rules, xrepo
+from causeway.operators import graph as G, ingest, overlay, plugin, relations, rules, xrepo
 from causeway.plans import incremental
 from causeway.plans.build import build_repository
 from causeway.sources import git, store
 from causeway.streaming import changes
-from helpers import graph, nid
+from helpers import NS, graph, nid
 
 FILES = {
     "package.json": '{"name":"root","main":"./src/a.ts","types":"./src/none.d.ts"}',
@@ -176,9 +176,61 @@ def test_store(spark, tmp_path):
     assert {r.key for r in s.collect_garbage(F.col("manifest") == "new", dry_run=True).collect()} == want
     assert s.artifacts.count() == 4
     assert {r.key for r in s.collect_garbage(F.col("manifest") == "new").collect()} == want
-    assert s.artifacts.count() == 2 and s.recover() == {"artifacts_removed": 0, "manifests_removed": 0}
-    s._switch("artifacts", s.artifacts.withColumn("payload", F.when(F.col("content") == "c", "x").otherwise(F.col("payload"))))
-    assert s.recover() == {"artifacts_removed": 1, "manifests_removed": 1}
+    assert s.artifacts.count() == 2 and s.recover() == {"artifacts_removed": 0, "manifests_removed": 0, "migrated": 0}
+    s._switch(s.state(), artifacts=s.artifacts.withColumn("payload", F.when(F.col("content") == "c", "x").otherwise(F.col("payload"))))
+    key = next(r.key for r in s.artifacts.collect() if r.content == "c")
+    with pytest.raises(Exception, match="does not fit"):
+        s.artifact(key, verify=True)
+    assert s.recover() == {"artifacts_removed": 1, "manifests_removed": 1, "migrated": 0}
+    assert s.artifact(key) is None and s.manifest("nothing") is None and s.stats == {"artifact_hits": 0, "artifact_misses": 1, "manifest_hits": 0, "manifest_misses": 1}
+    with pytest.raises(ValueError):
+        s.artifact("x")
+    was = s.state()
+    s._switch(was, refs=s.refs)
+    with pytest.raises(store.StoreConflict):
+        s._switch(was, refs=s.refs)  # the version exists
+
+
+@pytest.mark.parametrize("base, want", [
+    ("a/b.js", ["a/b.js", "a/b.ts", "a/b.tsx", "a/b.d.ts"]), ("s.css", ["s.css"]), ("x.y/b", ["x.y/b", "x.y/b.ts", "x.y/b/index.ts", "x.y/b.tsx"]), (".env", [".env", ".env.ts"]),
+])
+def test_candidates_of_specifiers(spark, base, want):
+    got = spark.createDataFrame([(base,)], "b string").select(relations.module_candidates(F.col("b"))).first()[0]
+    assert got[: len(want)] == want and len(got) == (19 if want[-1] != want[0] and "." not in base.rsplit("/", 1)[-1][1:] else len(want))
+
+
+def test_rules_of_overlays(spark):
+    r = spark.createDataFrame([(0, "*", ["@a"], None), (1, "/x", ["@b"], "CODEOWNERS")], "ord long, pattern string, targets array<string>, source_path string")
+    m = spark.createDataFrame([("x", "file", 0, False), ("x", "file", 1, True)], "path string, path_kind string, ord long, effective boolean")
+    nodes, edges = rules.rule_facts(r, m, NS, "main", "c")
+    g = G.build(nodes.unionByName(graph(spark, [("file", "x")], []).nodes.drop("id")), edges)
+    assert {r.key: (r.provenance[0].origin, r.provenance[0].authority) for r in g.nodes.where("kind = 'path-rule'").collect()} == {"<overlay>:0:*": ("overlay", "advisory"), "CODEOWNERS:1:/x": ("source", None)}
+    assert g.edges.where("""metadata = '{"effective":true}'""").count() == 1
+
+
+def test_composed_graph(spark):
+    g = graph(spark, [("package", "a", '{"x":1}')], [])
+    node = g.nodes.select(F.lit("ra").alias("repository"), "id", "kind", "key", F.lit("npm").alias("ecosystem"), F.lit("a").alias("name"), F.lit("1").alias("version"))
+    m = spark.createDataFrame([("m1", "ra", "package", "a", "package", "npm", "a", "1", None, None, None), ("m2", "rz", "package", "a", "package", "npm", "b", "1", None, None, None)], "id string, c_repository string, c_kind string, c_key string, kind string, ecosystem string, name string, version string, p_repository string, p_kind string, p_key string")
+    pins = spark.createDataFrame([("ra", "main", "c1")], "repository string, ref string, commit string")
+    out = xrepo.compose([g], xrepo.outcomes(m, node), node, pins, "n", "1")
+    assert {r.kind: json.loads(r.metadata) for r in out.edges.collect()} == {"depends-on-coordinate": {"coordinate": {"ecosystem": "npm", "kind": "package", "name": "a", "version": "1"}, "mappingId": "m1"}, "coordinate-resolves-to": {"producerCommit": "c1", "producerRef": "main", "producerRepository": "ra"}}
+    assert out.nodes.count() == 2 and [r.code for r in out.diagnostics.collect()] == ["cross-repo-consumer-unresolved"]
+
+
+def test_migrations(spark, tmp_path):
+    """A chain leads old artifacts to the present schema; references follow."""
+    s = store.Store(spark, f"file://{tmp_path}/s")
+    s.put(spark.createDataFrame([("a", "k", "new")], "content string, kind string, payload string"))
+    old = s.artifacts.withColumn("schema", F.lit("old/1")).withColumn("content", F.lit("b")).withColumn("key", F.lit("artifact-sha256-" + "0" * 64)).withColumn("payload_hash", F.sha2("payload", 256))
+    lost = old.withColumn("schema", F.lit("lost/1")).withColumn("key", F.lit("artifact-sha256-" + "1" * 64))
+    refs = spark.createDataFrame([("m", "r", "main", "c", None, "x", "artifact-sha256-" + "0" * 64)], s.refs.schema)
+    s._switch(s.state(), artifacts=s.artifacts.unionByName(old).unionByName(lost), refs=refs)
+    steps = {"old/1": ("old/2", lambda d: d.withColumn("payload", F.upper("payload"))), "old/2": (store.STORE_SCHEMA_VERSION, lambda d: d.withColumn("kind", F.lit("k2")))}
+    assert store.find_migration(steps, "lost/1") is None and store.find_migration(steps | {"lost/1": ("lost/1", None)}, "lost/1") is None
+    assert s.recover(steps) == {"artifacts_removed": 1, "manifests_removed": 0, "migrated": 1}
+    assert {(r.content, r.kind, r.payload) for r in s.artifacts.collect()} == {("a", "k", "new"), ("b", "k2", "NEW")}
+    assert s.manifest("m").count() == 1
 
 
 def test_protocol(spark):
