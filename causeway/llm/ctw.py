@@ -49,7 +49,7 @@ DEPTH = 6
 TOP = 3
 COMMON_GRAMS = 1 << 21
 COMMON = 1 << 17
-HELD = 3 << 19  # counts of a task
+HELD = 1 << 22  # counts that a task holds, 12 bytes each
 BOUNDARY, END = 0x20, 0x0A  # neither is part of a word
 LOG2 = math.log(2)
 WORD, GRAM = 0, 1
@@ -99,11 +99,11 @@ def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(key)
     key, n = key[order], n[order]
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else order
-    return key[start], np.add.reduceat(n, start) if len(start) else n
+    return key[start], np.add.reduceat(n, start, dtype=np.int64) if len(start) else n.astype(np.int64)
 
 
 class Tally:
-    """Counts of keys, held until they are more than ``HELD``."""
+    """Counts of keys, held until ``HELD`` of them stay distinct."""
 
     def __init__(self):
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -111,22 +111,23 @@ class Tally:
 
     def add(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         """Counts ``key``; what is held, if it is time to pass it on."""
-        self.parts.append(np.unique(key, return_counts=True))
-        self.size += len(self.parts[-1][0])
+        key, n = np.unique(key, return_counts=True)
+        self.parts.append((key, n.astype(np.int32)))
+        self.size += len(key)
         if self.size > HELD:
-            self.parts = [self.whole()]
-            self.size = len(self.parts[0][0])
-            if self.size > HELD // 2:
-                return self.take()
+            key, n = self.take()
+            if len(key) > 3 * HELD // 4:
+                return key, n
+            self.parts, self.size = [(key, n.astype(np.int32))], len(key)
         return None
 
-    def whole(self) -> tuple[np.ndarray, np.ndarray]:
-        key, n = (np.concatenate(x) for x in zip(*self.parts)) if self.parts else (np.zeros(0, np.int64),) * 2
-        return summed(key, n)
-
     def take(self) -> tuple[np.ndarray, np.ndarray]:
-        out, self.parts, self.size = self.whole(), [], 0
-        return out
+        parts, self.parts, self.size = self.parts, [], 0
+        if not parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        key, n = (np.concatenate(x) for x in zip(*parts))
+        del parts
+        return summed(key, n)
 
 
 def _counts(depth: int):
