@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from causeway import demo_tables as D
 from causeway.demo_tables import SQL_CHAT, SQL_EVENTS, SQL_SUPPLY, SQL_TREE, load, nid, sql_eid, sql_nid
-from causeway.functions.identity import evidence, node_id, node_id_of
+from causeway.functions.identity import edge_id, evidence, node_id, node_id_of
 from causeway.functions.lineage import cut
 from causeway.functions.paths import glob_regex, matches
 from causeway.operators import graph as G, ingest, overlay, plugin, policy, relations, rules, traverse, xrepo
@@ -88,7 +88,7 @@ SELECT id, 'from' AS "end", src AS node FROM e WHERE src NOT IN (SELECT id FROM
 def missing_endpoints(spark, sf):
     """Edges whose ends a filtered node set lacks."""
     nodes = D.supply_nodes(spark, sf).where("kind <> 'supplier' or cast(key as int) % 3 <> 0").select(node_id("namespace", "kind", "key").alias("id"))
-    return G.missing_endpoints(nodes, G.merge_edges(D.supply_edges(spark, sf)))
+    return G.missing_endpoints(nodes, D.supply_edges(spark, sf).select(edge_id(*G.EDGE_KEY).alias("id"), "src", "dst").distinct())
 
 
 @query("fragment_union", f"WITH {SQL_SUPPLY} SELECT kind, count(*) AS nodes FROM n GROUP BY kind UNION ALL SELECT 'note', 2")
@@ -131,7 +131,7 @@ def partial_flag(spark, sf):
 @query("evidence_summary", f"WITH {SQL_SUPPLY} SELECT method, state, count(*) AS n FROM (SELECT DISTINCT kind, src, dst, method, state FROM f) GROUP BY ROLLUP (method, state)")
 def evidence_summary(spark, sf):
     """An extra: evidence records rolled up by method and state."""
-    e = G.merge_edges(D.supply_edges(spark, sf)).select(F.explode("provenance").alias("p")).select("p.method", "p.state")
+    e = G.evidence_of(D.supply_edges(spark, sf), edge_id(*G.EDGE_KEY)).select("p.method", "p.state")
     return e.rollup("method", "state").agg(F.count("*").alias("n"))
 
 
@@ -189,9 +189,8 @@ SELECT x.key AS a, y.key AS b, coalesce(min(p.d), 0)::BIGINT AS hops FROM en x,
 def shortest_path_hops(spark, sf):
     """Hops from one event type to each of the others, on a cyclic graph."""
     g = D.event_graph(spark, sf)
-    keys = sorted(r.key for r in g.nodes.select("key").collect())
-    rows = [("view", k, len(traverse.shortest_path(g, node_id_of("events", "type", "view"), node_id_of("events", "type", k)) or [])) for k in keys]
-    return spark.createDataFrame(rows, "a string, b string, hops long")
+    found = traverse.reach(cut(traverse.oriented(g), "steps"), g.nodes.where("key = 'view'"))
+    return g.nodes.join(found, "id", "left").select(F.lit("view").alias("a"), F.col("key").alias("b"), F.coalesce("depth", F.lit(0)).cast("long").alias("hops"))
 
 
 @query("path_unreachable", f"WITH {SQL_CHAT} SELECT 'forward' AS way, count(*) > 99 AS found FROM ce UNION ALL SELECT 'back', count(*) > 0 FROM ce WHERE src = (SELECT id FROM cn WHERE conv_id = 0 AND turn = 1)")
@@ -370,30 +369,42 @@ def unique_name_resolution(spark, sf):
 
 
 # --------------------------------------------------------------------- overlays
-def _overlay(spark) -> overlay.Overlay:
-    nodes = [("tpch", "team", "a", '{"label":"A"}', 0), ("tpch", "team", "a", '{"label":"A"}', 1), ("tpch", "team", "b", '{"label":"B"}', 2), ("tpch", "team", "b", '{"label":"C"}', 3), ("tpch", "team", "c", None, 4), ("tpch", "nation", "1", '{"x":1}', 5)]
-    edges = [("owns", node_id_of("tpch", "team", "a"), REGION, None, None, 0), ("owns", node_id_of("tpch", "team", "b"), REGION, None, None, 1), ("owns", node_id_of("tpch", "team", "c"), REGION, "k", None, 2), ("owns", node_id_of("tpch", "team", "c"), REGION, "k", None, 3)]
-    return overlay.Overlay("teams", "1", "tpch", "refs/heads/main", nodes=spark.createDataFrame(nodes, "namespace string, kind string, key string, metadata string, ord int"), edges=spark.createDataFrame(edges, "kind string, src string, dst string, edge_key string, metadata string, ord int"))
-
-
-def _team(k: str) -> str:
-    return sql_nid("'team'", f"'{k}'")
-
-
-@query("overlay_nodes", "SELECT 'team' AS kind, 'a' AS key, '{\"label\":\"A\"}' AS metadata UNION ALL SELECT 'team', 'c', NULL")
+def _overlay(spark, sf) -> overlay.Overlay:
+    """Suppliers declare a team each, with its nation's parity in half of the
+    labels, and what the team owns; the first nations are declared otherwise
+    than the graph has them."""
+    s = load(spark, sf, "supplier").select((F.col("s_suppkey") % 60).alias("k"), "s_suppkey", "s_nationkey")
+    label = F.when(F.col("k") < 30, F.lit("x")).otherwise((F.col("s_nationkey") % 2).cast("string"))
+    fact = lambda kind, key, metadata, ord_: (F.lit("tpch").alias("namespace"), F.lit(kind).alias("kind"), key.cast("string").alias("key"), metadata.alias("metadata"), ord_.alias("ord"))
+    teams = s.select(*fact("team", F.col("k"), F.concat(F.lit('{"label":"'), label, F.lit('"}')), F.col("s_suppkey")))
+    clashes = load(spark, sf, "nation").where("n_nationkey < 5").select(*fact("nation", F.col("n_nationkey"), F.lit('{"x":1}'), F.col("n_nationkey")))
+    none = F.lit(None).cast("string")
+    owns = s.select(F.lit("owns").alias("kind"), nid("team", "k").alias("src"), nid("nation", "s_nationkey").alias("dst"), none.alias("edge_key"), none.alias("metadata"), F.col("s_suppkey").alias("ord"))
+    return overlay.Overlay("teams", "1", "tpch", "refs/heads/main", nodes=teams.unionByName(clashes), edges=owns)
+
+
+_TEAMS = """d AS (SELECT (s_suppkey % 60)::VARCHAR AS key, s_nationkey, '{"label":"' || CASE WHEN s_suppkey % 60 < 30 THEN 'x' ELSE (s_nationkey % 2)::VARCHAR END || '"}' AS m, s_suppkey AS ord FROM supplier),
+w AS (SELECT *, first_value(m) OVER (PARTITION BY key ORDER BY ord) AS lead, row_number() OVER (PARTITION BY key ORDER BY ord) AS nth FROM d),
+good AS (SELECT key, min(m) AS metadata FROM w GROUP BY key HAVING bool_and(m = lead)), own AS (SELECT key, s_nationkey, count(*) AS c FROM d GROUP BY ALL)"""
+
+
+@query("overlay_nodes", f"WITH {_TEAMS} SELECT 'team' AS kind, key, metadata FROM good")
 def overlay_nodes(spark, sf):
     """Declared nodes that stay: duplicates once, torn and clashing ones not."""
-    return overlay.apply_overlay(D.supply(spark, sf), _overlay(spark))[0].select("kind", "key", "metadata")
+    return overlay.apply_overlay(D.supply(spark, sf), _overlay(spark, sf))[0].select("kind", "key", "metadata")
 
 
-@query("overlay_edges", f"SELECT {_team('a')} AS src, {REGION_SQL} AS dst, NULL::VARCHAR AS edge_key UNION ALL SELECT {_team('c')}, {REGION_SQL}, 'k'")
+@query("overlay_edges", f"WITH {_TEAMS} SELECT {sql_nid("'team'", 'key')} AS src, {sql_nid("'nation'", 's_nationkey')} AS dst FROM own WHERE key IN (SELECT key FROM good)")
 def overlay_edges(spark, sf):
-    return overlay.apply_overlay(D.supply(spark, sf), _overlay(spark))[1].select("src", "dst", "edge_key")
+    """Declared edges that stay: those whose both ends are there."""
+    return overlay.apply_overlay(D.supply(spark, sf), _overlay(spark, sf))[1].select("src", "dst")
 
 
-@query("overlay_diagnostics", "SELECT code, state, n::BIGINT AS n FROM (VALUES ('overlay-duplicate-node', 'partial', 1), ('overlay-conflicting-node', 'partial', 1), ('overlay-base-node-conflict', 'partial', 1), ('overlay-duplicate-edge', 'partial', 1), ('overlay-missing-edge-endpoint', 'unresolved', 1)) v(code, state, n)")
+@query("overlay_diagnostics", f"""WITH {_TEAMS}, x AS (SELECT 'overlay-duplicate-node' AS code, 'partial' AS state, count(*) AS n FROM w WHERE nth > 1 AND m = lead UNION ALL SELECT 'overlay-conflicting-node', 'partial', count(*) FROM w WHERE m <> lead
+UNION ALL SELECT 'overlay-base-node-conflict', 'partial', count(*) FROM nation WHERE n_nationkey < 5 UNION ALL SELECT 'overlay-duplicate-edge', 'partial', coalesce(sum(c - 1), 0)::BIGINT FROM own UNION ALL SELECT 'overlay-missing-edge-endpoint', 'unresolved', count(*) FROM own WHERE key NOT IN (SELECT key FROM good))
+SELECT * FROM x WHERE n > 0""")
 def overlay_diagnostics(spark, sf):
-    return overlay.apply_overlay(D.supply(spark, sf), _overlay(spark))[2].groupBy("code", "state").agg(F.count("*").alias("n"))
+    return overlay.apply_overlay(D.supply(spark, sf), _overlay(spark, sf))[2].groupBy("code", "state").agg(F.count("*").alias("n"))
 
 
 @query("path_overlay_edges", f"""WITH t AS ({SQL_TREE['B']}), a AS (SELECT {sql_nid("'file'", 'path', 'docs')} AS id, path FROM t)
@@ -495,8 +506,6 @@ def _tree_graph(spark, sf, version: str) -> G.Graph:
     t = D.document_tree(spark, sf, version)
     entries = t.select("path", F.lit("file").alias("kind")).unionByName(ingest.required_directories(t).withColumn("kind", F.lit("directory")))
     e = ingest.contains(entries, "docs", ".")
-    from causeway.functions.identity import edge_id
-
     edges = cut(e.withColumn("id", edge_id("kind", "src", "dst")), "edges")
     nodes = cut(entries.select(node_id(F.lit("docs"), "kind", "path").alias("id"), "kind", F.col("path").alias("key")), "nodes")
     return G.Graph(nodes, edges, G.no_diagnostics(spark))

@@ -49,6 +49,12 @@ def _merged(facts: DataFrame, id_: Column, key: list[str]) -> DataFrame:
     return rows.groupBy("id", *key).agg(F.first("metadata").alias("metadata"), F.min(F.coalesce("metadata", F.lit(ABSENT))).alias("_lo"), F.max(F.coalesce("metadata", F.lit(ABSENT))).alias("_hi"), F.collect_set("p").alias("provenance")).withColumn("provenance", _sorted_evidence("provenance"))
 
 
+def evidence_of(facts: DataFrame, id_: Column) -> DataFrame:
+    """(id, p): each record of evidence of an identity once, without the sorted
+    lists that a merge makes."""
+    return facts.select(id_.alias("id"), F.explode("provenance").alias("p")).distinct()
+
+
 def merge_nodes(facts: DataFrame) -> DataFrame:
     return _merged(facts, node_id(*NODE_KEY), NODE_KEY)
 

@@ -75,14 +75,16 @@ def contains(entries: DataFrame, namespace: str, root_key: str) -> DataFrame:
 
 def tree_graph(decided: DataFrame, namespace: str, ref: str, commit: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Node facts, edge facts and diagnostics of a filtered tree (mode, type,
-    sha, path, decision)."""
-    leaves = decided.where(is_kept()).select("path", entry_kind(F.col("mode"), F.col("type")).alias("kind"), "sha", "mode")
-    dirs = required_directories(leaves).select("path", F.lit("directory").alias("kind"), F.lit(None).cast("string").alias("sha"), F.lit("040000").alias("mode"))
+    sha, path, decision, and target, the text of a symlink, where it was read)."""
+    none = F.lit(None).cast("string")
+    target = F.col("target") if "target" in decided.columns else none
+    leaves = decided.where(is_kept()).select("path", entry_kind(F.col("mode"), F.col("type")).alias("kind"), "sha", "mode", target.alias("target"))
+    dirs = required_directories(leaves).select("path", F.lit("directory").alias("kind"), none.alias("sha"), F.lit("040000").alias("mode"), none.alias("target"))
     entries = leaves.unionByName(dirs)
     proof = lambda path: evidence(repository=namespace, ref=ref, commit=commit, path=path, origin="source", method="source-observation", state="complete")
     spark = decided.sparkSession
     root = spark.range(1).select(F.lit(namespace).alias("namespace"), F.lit("repository").alias("kind"), F.lit(".").alias("key"), F.to_json(F.struct(F.lit(commit).alias("commit"))).alias("metadata"), proof(None).alias("provenance"))
-    nodes = entries.select(F.lit(namespace).alias("namespace"), "kind", F.col("path").alias("key"), F.to_json(F.struct("mode", F.col("sha").alias("object"))).alias("metadata"), proof(F.col("path")).alias("provenance"))
+    nodes = entries.select(F.lit(namespace).alias("namespace"), "kind", F.col("path").alias("key"), F.to_json(F.struct("mode", F.col("sha").alias("object"), "target")).alias("metadata"), proof(F.col("path")).alias("provenance"))
     edges = contains(entries, namespace, ".").join(entries.select(node_id(F.lit(namespace), "kind", "path").alias("dst"), "path"), "dst")
     edges = edges.select("kind", "src", "dst", F.lit(None).cast("string").alias("edge_key"), F.lit(None).cast("string").alias("metadata"), proof(F.col("path")).alias("provenance"))
     said = ingestion_diagnostics(decided)

@@ -49,6 +49,12 @@ def _declared(rows: DataFrame, id_) -> tuple[DataFrame, DataFrame]:
     return rows.where("_n = 1").drop("_first", "_n"), again
 
 
+def _of(facts: DataFrame, declared: DataFrame) -> DataFrame:
+    """The facts with a declared id. As a semi-join it goes below the merge of the
+    graph's facts, so that only those of declared ids are merged."""
+    return facts.join(declared.select("id").distinct(), "id", "left_semi")
+
+
 def apply_overlay(g: Graph, o: Overlay) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(node facts, edge facts, diagnostics (code, subject, state)) that the
     overlay adds. Path edges also match the overlay's own nodes."""
@@ -60,7 +66,7 @@ def apply_overlay(g: Graph, o: Overlay) -> tuple[DataFrame, DataFrame, DataFrame
     if o.nodes is not None:
         first, again = _declared(o.nodes, node_id("namespace", "kind", "key"))
         said = said.unionByName(again.select(F.when(F.col("same"), "overlay-duplicate-node").otherwise("overlay-conflicting-node").alias("code"), F.col("id").alias("subject"), F.lit("partial").alias("state")))
-        base = g.nodes.select("id", F.coalesce("metadata", F.lit("null")).alias("_base"))
+        base = _of(g.nodes, first).select("id", F.coalesce("metadata", F.lit("null")).alias("_base"))
         first = first.where("not torn").join(base, "id", "left")
         clash = F.coalesce(F.col("_base") != F.col("_m"), F.lit(False))
         said = said.unionByName(first.where(clash).select(F.lit("overlay-base-node-conflict").alias("code"), F.col("id").alias("subject"), F.lit("partial").alias("state")))
@@ -71,11 +77,11 @@ def apply_overlay(g: Graph, o: Overlay) -> tuple[DataFrame, DataFrame, DataFrame
     if o.edges is not None:
         first, again = _declared(o.edges, edge_id("kind", "src", "dst", "edge_key"))
         said = said.unionByName(again.select(F.when(F.col("same"), "overlay-duplicate-edge").otherwise("overlay-conflicting-edge").alias("code"), F.col("id").alias("subject"), F.lit("partial").alias("state")))
-        ends = known.select(F.col("id").alias("_end"), F.lit(True).alias("_has"))
         first = first.where("not torn")
+        ends = _of(known, first.select(F.explode(F.array("src", "dst")).alias("id"))).select(F.col("id").alias("_end"), F.lit(True).alias("_has"))
         first = first.join(ends.withColumnsRenamed({"_end": "src", "_has": "_from"}), "src", "left").join(ends.withColumnsRenamed({"_end": "dst", "_has": "_to"}), "dst", "left")
         lost = F.col("_from").isNull() | F.col("_to").isNull()
-        base = g.edges.select("id", F.coalesce("metadata", F.lit("null")).alias("_base"))
+        base = _of(g.edges, first).select("id", F.coalesce("metadata", F.lit("null")).alias("_base"))
         first = first.withColumn("_lost", lost).join(base, "id", "left")
         clash = ~F.col("_lost") & F.coalesce(F.col("_base") != F.col("_m"), F.lit(False))
         said = said.unionByName(first.where("_lost").select(F.lit("overlay-missing-edge-endpoint").alias("code"), F.col("id").alias("subject"), F.lit("unresolved").alias("state")))

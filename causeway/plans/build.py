@@ -36,7 +36,7 @@ def build_repository(spark: SparkSession, root: str, ref: str, repository: str,
     entries = cut(git.tree_entries(spark, root, at["commit"]), "entries")
     leaves = entries.where("type <> 'tree'")
     content = cut(git.blobs(leaves, root), "blobs")
-    decided = cut(ingest.decide(leaves.join(content, "sha", "left"), policy).select("mode", "type", "sha", "path", "decision"), "decided")
+    decided = cut(ingest.decide(leaves.join(content, "sha", "left"), policy).select("mode", "type", "sha", "path", "decision", F.when(F.col("mode") == "120000", F.col("content").cast("string")).alias("target")), "decided")
     nodes, edges, diags = ingest.tree_graph(decided, repository, ref, at["commit"])
     regular = decided.where(ingest.is_kept() & (F.col("type") == "blob") & (F.col("mode") != "120000"))
     files = cut(regular.join(content, "sha").select("path", "sha", F.col("content").cast("string").alias("text")), "files")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from typing import Any
 
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from causeway.functions.identity import canonical_json
 from causeway.operators import policy
@@ -14,11 +14,19 @@ from causeway.operators.graph import Graph, from_document, has_partial_evidence
 PROTOCOL_VERSION = "causeway.protocol/1"
 # fixed values
 DEFAULT_DEPTH, DEFAULT_NODES, MOST_DEPTH, MOST_NODES = 6, 200, 64, 1000
+FEATURES = [
+    {"name": "causal-explanation", "version": "v1", "status": "stable"},
+    {"name": "cross-repository", "version": "v1", "status": "experimental"},
+    {"name": "extractor-plugins", "version": "v1", "status": "experimental"},
+    {"name": "graph-slice", "version": "v1", "status": "stable"},
+    {"name": "store-lifecycle", "version": "v1", "status": "experimental"},
+    {"name": "traversal-policy", "version": "v1", "status": "stable"},
+]
 NAMES = {"edgeKinds": "edge_kinds", "nodeKinds": "node_kinds", "evidenceMethods": "methods", "origins": "origins", "authorities": "authorities", "states": "states", "stopNodeKinds": "stop_node_kinds"}
 
 
 def info() -> dict:
-    return {"protocolVersion": PROTOCOL_VERSION, "operations": ["info", "slice", "explain"], "limits": {"defaultMaxDepth": DEFAULT_DEPTH, "defaultMaxNodes": DEFAULT_NODES, "maxDepth": MOST_DEPTH, "maxNodes": MOST_NODES}}
+    return {"protocolVersion": PROTOCOL_VERSION, "operations": ["info", "slice", "explain"], "features": FEATURES, "limits": {"defaultMaxDepth": DEFAULT_DEPTH, "defaultMaxNodes": DEFAULT_NODES, "maxDepth": MOST_DEPTH, "maxNodes": MOST_NODES}}
 
 
 def negotiate(versions: list[str]) -> str | None:
@@ -33,14 +41,25 @@ def bounded_policy(raw: dict | None) -> policy.TraversalPolicy:
     return policy.TraversalPolicy(direction=raw.get("direction", "out"), max_depth=depth, max_nodes=nodes, **{ours: tuple(raw[theirs]) for theirs, ours in NAMES.items() if theirs in raw})
 
 
+def _facts(facts: DataFrame, ids: DataFrame | None = None) -> list[dict]:
+    """Bounded nodes or edges (those of ``ids``) by id, with their evidence."""
+    names = {"src": "from", "dst": "to", "edge_key": "key"}
+    out = []
+    for r in (facts if ids is None else facts.join(ids, "id", "left_semi")).orderBy("id").collect():
+        fact = {names.get(k, k): v for k, v in r.asDict(recursive=True).items() if v is not None}
+        fact["provenance"] = [{k: v for k, v in p.items() if v is not None} for p in fact["provenance"]]
+        out.append(fact | ({"metadata": json.loads(r.metadata)} if r.metadata is not None else {}))
+    return out
+
+
 def _slice(g: Graph, start: str, p: policy.TraversalPolicy) -> dict:
     if not g.nodes.where(F.col("id") == start).head(1):
-        return {"availability": "unavailable", "reason": "unknown-node", "missing": [start], "partial": True, "nodes": [], "reasons": []}
+        return {"availability": "unavailable", "reason": "unknown-node", "missing": [start], "partial": True, "truncated": False, "nodes": [], "edges": [], "reasons": []}
     reasons, truncated, partial = policy.traverse(g, start, p)
-    rows = reasons.join(g.nodes.select("id", "namespace", "kind", "key"), "id").orderBy("depth", "id").collect()
+    rows = reasons.orderBy("depth", "id").collect()  # bounded by MOST_NODES
     return {
-        "availability": "available", "start": start, "truncated": truncated, "partial": partial,
-        "nodes": [{"id": r.id, "namespace": r.namespace, "kind": r.kind, "key": r.key} for r in sorted(rows, key=lambda r: r.id)],
+        "availability": "available", "start": start, "policy": json.loads(p.serialize()), "truncated": truncated, "partial": partial,
+        "nodes": _facts(g.nodes, reasons.select("id")), "edges": _facts(g.edges, reasons.select(F.col("edge_id").alias("id"))),
         "reasons": [{"nodeId": r.id, "depth": r.depth, "parent": r.parent, "edgeId": r.edge_id, "evidence": [m.method for m in r.matched]} for r in rows],
     }
 
@@ -48,11 +67,20 @@ def _slice(g: Graph, start: str, p: policy.TraversalPolicy) -> dict:
 def _explain(g: Graph, a: str, b: str, p: policy.TraversalPolicy) -> dict:
     known = {r.id for r in g.nodes.where(F.col("id").isin(a, b)).select("id").collect()}
     if missing := sorted({a, b} - known):
-        return {"availability": "unavailable", "reason": "unknown-node", "missing": missing, "partial": True, "hops": []}
+        return {"availability": "unavailable", "reason": "unknown-node", "missing": missing, "partial": True, "truncated": False, "nodes": [], "hops": []}
     hops = policy.explain(g, a, b, p)
     if hops is None:
-        return {"availability": "unavailable", "reason": "no-path", "missing": [], "partial": True, "hops": []}
-    return {"availability": "available", "from": a, "to": b, "partial": has_partial_evidence(g).first().partial, "hops": [{"edgeId": e, "nodeId": n} for e, n in hops]}
+        return {"availability": "unavailable", "reason": "no-path", "missing": [], "partial": True, "truncated": False, "nodes": [], "hops": []}
+    passed = [a, *(n for _, n in hops)]
+    edge_ids = [e for e, _ in hops]
+    nodes = {n["id"]: n for n in _facts(g.nodes.where(F.col("id").isin(passed)))}
+    taken = g.edges.where(F.col("id").isin(edge_ids))
+    edges = {e["id"]: e for e in _facts(taken)}
+    matched = {r.id: r.methods for r in taken.select("id", F.transform(p.matching(F.col("provenance")), lambda x: x.method).alias("methods")).collect()}
+    return {
+        "availability": "available", "from": a, "to": b, "policy": json.loads(p.serialize()), "truncated": False, "partial": has_partial_evidence(g).first().partial, "nodes": [nodes[n] for n in passed],
+        "hops": [{"fromNodeId": back, "edgeId": e, "nodeId": n, "edge": edges[e], "evidence": matched[e]} for back, (e, n) in zip(passed, hops)],
+    }
 
 
 def execute(spark: SparkSession, request: Any, graph: Graph | None = None) -> dict:

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 ENTRIES = "mode string, type string, sha string, path string"
-BLOB_LIMIT = 64 << 20
+BATCH_BYTES = 32 << 20
+VALUE_LIMIT = (1 << 31) - 64  # fixed value: Spark holds no larger binary value
 
 
 def git(root: str, *args: str, data: bytes | None = None) -> bytes:
@@ -40,25 +41,36 @@ def tree_entries(spark: SparkSession, root: str, commit: str) -> DataFrame:
 def blobs(entries: DataFrame, root: str) -> DataFrame:
     """(sha, size, content) of the distinct blobs of ``entries``.
 
-    Each task asks one ``cat-file --batch`` for its share; the repository's
-    folder must be mounted where the tasks run. Blobs above the limit have
-    no content.
+    Each task asks one ``cat-file --batch`` for its share, blob by blob, and hands
+    on 32 MB at a time; the repository's folder must be mounted where the tasks
+    run. Only blobs of 2 GB, which no Spark value can hold, have no content.
     """
 
     def fetch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            shas = part["sha"].tolist()
-            if not shas:
-                continue
-            sizes = [int(x.split()[2]) for x in git(root, "cat-file", "--batch-check", data="\n".join(shas).encode() + b"\n").decode().splitlines()]
-            want = [s for s, n in zip(shas, sizes) if n <= BLOB_LIMIT]
-            out, at, content = git(root, "cat-file", "--batch", data="\n".join(want).encode() + b"\n") if want else b"", 0, {}
-            for s in want:
-                end = out.index(b"\n", at)
-                n = int(out[at:end].split()[2])
-                content[s] = out[end + 1 : end + 1 + n]
-                at = end + 2 + n
-            yield pd.DataFrame({"sha": shas, "size": sizes, "content": [content.get(s) for s in shas]})
+        columns = ["sha", "size", "content"]
+        with subprocess.Popen(["git", "-C", root, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE) as asked:
+            for part in parts:
+                rows, held = [], 0
+                for sha in part["sha"]:
+                    asked.stdin.write(sha.encode() + b"\n")
+                    asked.stdin.flush()
+                    head = asked.stdout.readline().split()
+                    if len(head) != 3:
+                        raise RuntimeError(f"git has no blob {sha}")
+                    n = int(head[2])
+                    if rows and held + min(n, VALUE_LIMIT) > BATCH_BYTES:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, held = [], 0
+                    if n < VALUE_LIMIT:
+                        rows.append((sha, n, asked.stdout.read(n)))
+                        held += n
+                        asked.stdout.read(1)
+                    else:
+                        rows.append((sha, n, None))
+                        for at in range(0, n + 1, BATCH_BYTES):
+                            asked.stdout.read(min(BATCH_BYTES, n + 1 - at))
+                if rows:
+                    yield pd.DataFrame(rows, columns=columns)
 
     return entries.where("type = 'blob'").select("sha").distinct().mapInPandas(fetch, "sha string, size long, content binary")
 

@@ -25,6 +25,14 @@ def layout(g: Graph, root: str) -> DataFrame:
     return placed.select("id", (F.col("depth") * COLUMN).cast("long").alias("x"), (row * ROW).cast("long").alias("y"))
 
 
+def evidence_summary(facts: DataFrame) -> DataFrame:
+    """(id, origins, methods, states, authorities): what a fact's evidence says,
+    each list sorted and without repeats."""
+    named = {"origins": "origin", "methods": "method", "states": "state", "authorities": "authority"}
+    values = lambda field: F.array_sort(F.array_distinct(F.array_compact(F.transform("provenance", lambda p: p[field]))))
+    return facts.select("id", *[values(field).alias(name) for name, field in named.items()])
+
+
 def svg(g: Graph, root: str) -> str:
     """The slice as SVG; for graphs that a person can look at."""
     at = {r.id: (r.x, r.y) for r in layout(g, root).collect()}

@@ -12,7 +12,7 @@ from causeway.plans import incremental
 from causeway.plans.build import build_repository
 from causeway.sources import git, store
 from causeway.streaming import changes
-from helpers import NS, graph, nid
+from helpers import NS, OVERLAY, graph, nid, proof
 
 FILES = {
     "package.json": '{"name":"root","main":"./src/a.ts","types":"./src/none.d.ts"}',
@@ -65,6 +65,7 @@ def test_build(spark, repo, tmp_path):
     assert codes == {"tsjs-external-module", "tsjs-unresolved-import", "repository-relations-unresolved-workspace-dependency", "repository-relations-unresolved-entrypoint"}
     wanted = {(r.owner, r.candidate) for r in cold.candidates.collect()}
     assert ("src/b.ts", "src/missing.ts") in wanted
+    assert json.loads(cold.graph.nodes.where("key = 'link'").first().metadata)["target"] == "src/a.ts"
     warm = build_repository(spark, repo, "HEAD", "repo", at)
     fresh = build_repository(spark, repo, "HEAD", "repo")
     assert warm.metrics == {"mode": "incremental", "parsed": 1, "reused": fresh.metrics["parsed"] - 1}
@@ -240,8 +241,12 @@ def test_protocol(spark):
     assert protocol.execute(spark, {"operation": "info"})["data"]["limits"]["maxNodes"] == 1000
     got = ask(operation="slice", start=nid("file", "f"), policy={"direction": "in"})
     assert got["ok"] and sorted(n["key"] for n in got["data"]["nodes"]) == ["m", "t"] and got["requestId"] == "q"
+    assert [(e["kind"], e["provenance"][0]["method"]) for e in sorted(got["data"]["edges"], key=lambda e: e["kind"])] == [("contains", "source-observation"), ("tests", "source-observation")]
+    assert got["data"]["nodes"][0]["provenance"][0]["state"] == "complete" and {e["to"] for e in got["data"]["edges"]} == {nid("file", "f"), nid("module", "m")}
+    assert [f["name"] for f in protocol.info()["features"]] == sorted(f["name"] for f in protocol.FEATURES)
     got = ask(operation="explain", **{"from": nid("test", "t"), "to": nid("file", "f")})
-    assert len(got["data"]["hops"]) == 2
+    assert len(got["data"]["hops"]) == 2 and [n["key"] for n in got["data"]["nodes"]] == ["t", "m", "f"]
+    assert [(h["fromNodeId"], h["edge"]["to"]) for h in got["data"]["hops"]] == [(nid("test", "t"), nid("module", "m")), (nid("module", "m"), nid("file", "f"))]
     assert ask(operation="slice", start="node:x")["data"]["reason"] == "unknown-node"
     assert ask(operation="explain", **{"from": nid("file", "u"), "to": nid("file", "f")})["data"]["reason"] == "no-path"
     assert ask(operation="slice", start=nid("file", "f"), policy={"maxNodes": 1001})["error"]["code"] == "invalid-request"
@@ -269,6 +274,12 @@ def _file(tmp_path, text):
     return str(tmp_path / "r")
 
 
+def test_evidence_summary(spark):
+    g = graph(spark, [("m", "a", None, [proof(), proof(state="partial"), proof(**OVERLAY)])], [])
+    r = view.evidence_summary(g.nodes).first()
+    assert (r.origins, r.methods, r.states, r.authorities) == (["overlay", "source"], ["explicit-overlay", "source-observation"], ["complete", "partial"], ["authoritative"])
+
+
 def test_view(spark):
     g = graph(spark, [("m", "a"), ("m", "<b>"), ("m", "c")], [("x", ("m", "a"), ("m", "<b>"))])
     got = {r.id: (r.x, r.y) for r in view.layout(g, nid("m", "a")).collect()}
