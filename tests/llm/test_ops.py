@@ -360,6 +360,38 @@ def test_sharding(spark, docs, rows, tmp_path, nothing):
     assert sum(s.rows for s in m.shards) == len(rows)
     with pytest.raises(Exception):
         t._commit(before)  # the version exists
+    assert t.vacuum(keep=2) == 0  # all are young
+    assert t.vacuum(keep=1, older_than=0) > 0 and t.versions() == [m.version]
+    assert sorted(map(str, t.read().drop("_shard").collect())) == sorted(map(str, docs.collect()))
+
+
+def test_shards_of_new_columns_and_odd_folders(spark, tmp_path):
+    t = sharding.ShardedTable(spark, f"file://{tmp_path}/a b%20c", fanout=2)
+    assert t.append(spark.createDataFrame([], "doc_id long, text string")).shards == [] and t.read().count() == 0
+    t.append(spark.createDataFrame([(1, "x"), (1, "x"), (None, None)], "doc_id long, text string").coalesce(1))
+    t.append(spark.createDataFrame([("y" * 3_000_000, 2, 0.5)], "text string, doc_id long, _metadata double"))
+    m = t.compact()
+    assert [(s.rows, s.merged) for s in m.shards] == [(4, 1)]
+    rows = t.read().collect()
+    assert sorted((r.doc_id or 0, len(r.text or ""), r._metadata) for r in rows if r._metadata is None) == [(0, 0, None), (1, 1, None), (1, 1, None)]
+    assert [(r.doc_id, len(r.text)) for r in rows if r._metadata == 0.5] == [(2, 3_000_000)]
+    assert {r._shard for r in rows} == {s.path for s in m.shards}
+    with pytest.raises(ValueError):
+        t.append(spark.createDataFrame([("1",)], "doc_id string"))
+
+
+def test_sharding_query(spark, docs, rows, tmp_path):
+    """The registered query: every row once, and shards that add up."""
+    docs.unionAll(docs.limit(3)).write.parquet(f"{tmp_path}/documents.parquet")
+    stored = spark.read.parquet(f"{tmp_path}/documents.parquet").collect()
+    got = sharding.query(spark, str(tmp_path)).collect()
+    sha = lambda t: None if t is None else hashlib.sha256(t.encode()).hexdigest()
+    assert Counter((r.doc_id, r.n_bytes, r.sha256) for r in got) == Counter((r.doc_id, None if r.text is None else len(r.text.encode()), sha(r.text)) for r in stored)
+    held = Counter(r.shard for r in got)
+    assert all(held[r.shard] == r.shard_rows and r.shard_bytes > 0 and r.born <= r.version for r in got)
+    assert len({r.version for r in got}) == 1 and got[0].version > sharding.ARRIVALS and max(r.merges for r in got) >= 1
+    small = [s for s in {(r.shard, r.shard_bytes) for r in got} if s[1] < sharding.SMALLEST_BYTES]
+    assert len(small) < sharding.FANOUT
 
 
 # ------------------------------------------------------------------- 7
