@@ -25,6 +25,14 @@ def shared_dir(spark: SparkSession) -> str:
 _open: list[list[str]] = []
 
 
+def place(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder, removed with what its scope cuts."""
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
 def cut(df: DataFrame, what: str) -> DataFrame:
     """``df``, written as Parquet in the shared folder and read back.
 

@@ -25,7 +25,7 @@ class IngestionPolicy:
 def parse_tree(raw: DataFrame) -> DataFrame:
     """(mode, type, sha, path) of NUL-separated ``mode type sha\\tpath`` listings."""
     lines = raw.select(F.explode(F.split("value", "\u0000")).alias("line")).where("line <> ''")
-    part = lambda i: F.regexp_extract("line", r"(?s)^(\d{6}) (blob|tree|commit) ([0-9a-f]+)\s*[\d-]*\t(.+)$", i)
+    part = lambda i: F.regexp_extract("line", r"(?s)^(\d{6}) (blob|tree|commit) ([0-9a-f]+) *[\d-]*\t(.+)$", i)
     bad = F.raise_error(F.concat(F.lit("malformed tree entry: "), F.col("line")))
     return lines.select(F.when(part(1) == "", bad).otherwise(part(1)).alias("mode"), part(2).alias("type"), part(3).alias("sha"), part(4).alias("path"))
 

@@ -1,4 +1,5 @@
-"""Pinned Git revisions as tables. Only ``git`` itself runs on the driver."""
+"""Pinned Git revisions as tables. Only ``git`` itself runs on the driver; listings
+of trees stream through it into the shared folder and are parsed by tasks."""
 
 from __future__ import annotations
 
@@ -8,7 +9,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-ENTRIES = "mode string, type string, sha string, path string"
+from causeway.functions.lineage import place
+from causeway.operators.ingest import parse_tree
+
 BATCH_BYTES = 32 << 20
 VALUE_LIMIT = (1 << 31) - 64  # fixed value: Spark holds no larger binary value
 
@@ -20,6 +23,22 @@ def git(root: str, *args: str, data: bytes | None = None) -> bytes:
     return done.stdout
 
 
+def streamed(spark: SparkSession, root: str, *args: str) -> DataFrame:
+    """(value): the NUL-separated output of a git command, written piece by piece
+    to the shared folder."""
+    at = place(spark, "git")
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    with subprocess.Popen(["git", "-C", root, *args], stdout=subprocess.PIPE, stderr=subprocess.PIPE) as asked:
+        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+        while piece := asked.stdout.read(BATCH_BYTES >> 3):
+            out.write(bytearray(piece))
+        out.close()
+        complaint = asked.stderr.read().decode(errors="replace").strip()
+    if asked.returncode:
+        raise RuntimeError(f"git {args[0]}: {complaint}")
+    return spark.read.schema("value string").text(at, lineSep="\0")
+
+
 def resolve(root: str, ref: str) -> dict[str, str | None]:
     """Commit, first parent and tree of a ref."""
     commit, parents, tree = git(root, "show", "-s", "--format=%H%n%P%n%T", ref + "^{commit}").decode().splitlines()[:3]
@@ -29,13 +48,7 @@ def resolve(root: str, ref: str) -> dict[str, str | None]:
 def tree_entries(spark: SparkSession, root: str, commit: str) -> DataFrame:
     """(mode, type, sha, path) of all entries below a commit's tree, directories
     included. Names are read to the NUL, so they may hold any other byte."""
-    rows = []
-    for line in git(root, "ls-tree", "-r", "-t", "-z", "--full-tree", commit).split(b"\0"):
-        if line:
-            head, path = line.split(b"\t", 1)
-            mode, kind, sha = head.decode().split(" ")
-            rows.append((mode, kind, sha, path.decode("utf-8", "surrogateescape").encode("utf-8", "replace").decode()))
-    return spark.createDataFrame(rows, ENTRIES)
+    return parse_tree(streamed(spark, root, "ls-tree", "-r", "-t", "-z", "--full-tree", commit))
 
 
 def blobs(entries: DataFrame, root: str) -> DataFrame:
