@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from causeway.llm import chat, ctw, fingerprints, linededup, mixing, neardup, packing, quality, sharding, vectors
+from causeway.llm import chat, ctw, fingerprints, infill, linededup, mixing, neardup, packing, quality, sharding, vectors
 
 QUERIES = {
     "op1_minhash_neardup": neardup.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_transcript_roles": chat.query,
     "op9_curriculum_mixing": mixing.query,
     "op10_piecewise_fingerprints": fingerprints.query,
+    "op11_fill_in_middle": infill.query,
 }
 
 ORACLES = {
     "op2_line_dedup": linededup.SQL,
     "op4_embedding_range_join": vectors.SQL,
     "op9_curriculum_mixing": mixing.SQL,
+    "op11_fill_in_middle": infill.SQL,
 }
