@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from causeway.llm import chat, ctw, fingerprints, infill, linededup, mixing, neardup, packing, quality, sharding, vectors
+from causeway.llm import chat, ctw, fingerprints, infill, linededup, mixing, neardup, packing, quality, sharding, urlfilter, vectors
 
 QUERIES = {
     "op1_minhash_neardup": neardup.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_curriculum_mixing": mixing.query,
     "op10_piecewise_fingerprints": fingerprints.query,
     "op11_fill_in_middle": infill.query,
+    "op12_url_filter": urlfilter.query,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op4_embedding_range_join": vectors.SQL,
     "op9_curriculum_mixing": mixing.SQL,
     "op11_fill_in_middle": infill.SQL,
+    "op12_url_filter": urlfilter.SQL,
 }
