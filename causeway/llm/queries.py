@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from causeway.llm import chat, ctw, fingerprints, infill, linededup, mixing, neardup, packing, quality, sharding, urlfilter, vectors
+from causeway.llm import chat, ctw, fingerprints, infill, linededup, mixing, neardup, packing, phrases, quality, sharding, urlfilter, vectors
 
 QUERIES = {
     "op1_minhash_neardup": neardup.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_piecewise_fingerprints": fingerprints.query,
     "op11_fill_in_middle": infill.query,
     "op12_url_filter": urlfilter.query,
+    "op13_phrase_collocations": phrases.query,
 }
 
 ORACLES = {
@@ -25,4 +26,5 @@ ORACLES = {
     "op9_curriculum_mixing": mixing.SQL,
     "op11_fill_in_middle": infill.SQL,
     "op12_url_filter": urlfilter.SQL,
+    "op13_phrase_collocations": phrases.SQL,
 }
