@@ -144,16 +144,14 @@ def _spans(d: np.ndarray, offsets: np.ndarray, most: int) -> Iterator[tuple[int,
     for row in range(len(offsets) - 1):
         a, end = int(offsets[row]), int(offsets[row + 1])
         while end - a > most:
-            ends = np.flatnonzero(_ENDS[d[a : a + most]])
-            b = a + most
-            while not len(ends) and b < end:
-                ends = np.flatnonzero(_ENDS[d[b : b + most]]) + (b - a)
+            ends, b = np.flatnonzero(_ENDS[d[a : a + most]])[-1:], a  # the last in reach, or else the first beyond
+            while not len(ends) and b + most < end:
                 b += most
+                ends = np.flatnonzero(_ENDS[d[b : min(b + most, end)]])[:1]
             if not len(ends):
                 break
-            b = a + int(ends[0 if b > a + most else -1]) + 1
-            yield row, a, b
-            a = b
+            yield row, a, b + int(ends[0]) + 1
+            a = b + int(ends[0]) + 1
         yield row, a, end
 
 
