@@ -12,16 +12,17 @@ stripped, neighbours of one role merged, and turns rendered as
 
 A conversation may be of any length: its blocks are cut into runs of
 ``RUN`` turns. Each run is one max-plus matrix (best score from any state before
-it to any state at its end), the runs' matrices are folded in order, and with the
-states at their borders fixed every run is decoded on its own. So a task holds
-one run, and a fold sees one small row for each run.
+it to any state at its end). Matrices multiply in groups of ``FAN``, level by level,
+until a conversation is one group; then the states at the borders are fixed from
+the top level down, and every run is decoded on its own. So a task holds one run, or
+the matrices of one group, whatever the length of a conversation.
 
 Defined cases: null and empty texts are blocks without lines, and texts of any
 length are one block; null turns come first, ties are ordered by a hash of the
 text, then by role, and repeated rows are blocks of their own; null conv_ids are
 one conversation, apart from that of an empty conv_id; with no
 known roles nothing can be learned and every block is a ``user``'s; an empty
-table gives an empty result; extra columns are ignored.
+table gives an empty result; extra columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -31,9 +32,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
 
-from causeway.llm.common import cut, runs, table
+from causeway.llm.common import bounds, cut, runs, scratch, table
 
 ROLES = ("assistant", "system", "user")
 #: words that name a speaker, by the role they speak for
@@ -43,6 +44,7 @@ SPEAKERS = {
     "user": ("user", "human", "question", "prompt", "customer", "input"),
 }
 RUN = 256
+FAN = 256
 MARKER = r"(?i)^\s*(?:<\|(\w+)\|>|#{1,4}\s*(\w+)\s*:?(?=\n|$)|\[(\w+)\]\s*:?|\**(\w+)\**\s*:)\s*"
 
 
@@ -73,15 +75,15 @@ def features(blocks: DataFrame) -> DataFrame:
     for each range at most) add what they have there.
     """
     text = F.coalesce("text", F.lit(""))
+    blocks = blocks.select("conv_id", "turn", "text", *[c for c in ("role",) if c in blocks.columns])
     blocks = blocks.withColumn("conv", conversation()).withColumn("hash", F.xxhash64("text"))
     order = ["conv", F.col("turn").asc_nulls_first(), "hash", F.monotonically_increasing_id()]
     sort = [*order[:3], *[F.col(c).asc_nulls_first() for c in ("role",) if c in blocks.columns]]
     blocks = blocks.repartitionByRange(*order).sortWithinPartitions(*sort).withColumn("at", F.monotonically_increasing_id())
     blocks = cut(blocks.withColumn("range", F.shiftright("at", 33)), "ordered")
     count = blocks.groupBy("conv", "range").agg(F.count("*").alias("n"), F.min("at").alias("first"))
-    many = count.groupBy("conv").agg(F.collect_list(F.struct("range", "n")).alias("ranges")).where(F.size("ranges") > 1)
-    later = many.select("conv", F.explode("ranges").alias("r"), "ranges").select("conv", F.col("r.range").alias("range"), F.aggregate(F.filter("ranges", lambda x: x["range"] < F.col("r.range")), F.lit(0).cast("long"), lambda sum_, x: sum_ + x.n).alias("base"))
-    place = cut(count.join(later, ["conv", "range"], "left").select("conv", "range", "first", F.coalesce("base", F.lit(0)).alias("base")), "ranges")
+    before = W.partitionBy("conv").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    place = cut(count.select("conv", "range", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "ranges")
     blocks = blocks.join(place, ["conv", "range"]).withColumn("seq", F.col("base") + F.col("at") - F.col("first"))
     size = F.length(text)
     return blocks.select(
@@ -158,7 +160,7 @@ def _run_scores(model: Model, rows: pa.Table, first: bool) -> tuple[np.ndarray,
 def _matrices(model: Model):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, ["conv", "run"]):
-            cut_at = bounds_of(t)
+            cut_at = bounds(t, ["conv", "run"])
             conv, run, m = [], [], []
             for a, b in zip(cut_at, cut_at[1:]):
                 rows = t.slice(a, b - a)
@@ -170,40 +172,67 @@ def _matrices(model: Model):
     return scan
 
 
-def bounds_of(t: pa.Table) -> np.ndarray:
-    """Group starts by (conv, run)."""
-    conv, run = t.column("conv").to_numpy(), t.column("run").to_numpy()
-    return np.concatenate([[0], np.flatnonzero((conv[1:] != conv[:-1]) | (run[1:] != run[:-1])) + 1, [t.num_rows]])
-
-
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The best state at the end of each run of a conversation."""
+def _groups(t: pa.Table) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(start, end, matrices) of the groups of a table of ``runs``."""
     n = len(ROLES)
-    for t in runs(batches, ["conv"]):
-        conv, run, m = t.column("conv").to_pylist(), t.column("run").to_pylist(), t.column("m").to_pylist()
-        end = [0] * len(conv)
-        a = 0
-        while a < len(conv):
-            b = a
-            best, back = np.zeros(n), []
-            while b < len(conv) and conv[b] == conv[a]:
-                whole = best[:, None] + np.array(m[b]).reshape(n, n)
+    cut_at = bounds(t, ["conv", "g"])
+    for a, b in zip(cut_at, cut_at[1:]):
+        yield a, b, np.array(t.column("m").slice(a, b - a).to_pylist()).reshape(-1, n, n)
+
+
+def _multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One matrix for each group of neighbours."""
+    for t in runs(batches, ["conv", "g"]):
+        first, whole = [], []
+        for a, _, ms in _groups(t):
+            first.append(a)
+            out = ms[0]
+            for m in ms[1:]:
+                out = (out[:, :, None] + m[None]).max(axis=1)
+            whole.append(out.ravel().tolist())
+        own = t.take(pa.array(first, pa.int64()))
+        yield pa.RecordBatch.from_arrays([own.column("conv").combine_chunks(), own.column("g").combine_chunks(), pa.array(whole, pa.list_(pa.float64()))], ["conv", "run", "m"])
+
+
+def _borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The states before and at the end of each member of a group, given those of the group; -1 is none yet."""
+    for t in runs(batches, ["conv", "g"]):
+        starts, ends = t.column("before").to_numpy(), t.column("end").to_numpy()
+        before, end = np.empty(t.num_rows, np.int64), np.empty(t.num_rows, np.int64)
+        for a, b, ms in _groups(t):
+            best, back = ms[0][max(starts[a], 0)], []  # all rows of a conversation's first matrix are equal
+            for m in ms[1:]:
+                whole = best[:, None] + m
                 back.append(whole.argmax(axis=0))
                 best = whole.max(axis=0)
-                b += 1
-            state = int(best.argmax())
+            state = int(best.argmax()) if ends[a] < 0 else int(ends[a])
             for k in range(b - 1, a - 1, -1):
                 end[k] = state
-                state = int(back[k - a][state])
-            a = b
-        before = [end[k - 1] if k and conv[k - 1] == conv[k] else -1 for k in range(len(conv))]
-        yield pa.RecordBatch.from_arrays([pa.array(conv, pa.string()), pa.array(run, pa.int64()), pa.array(before, pa.int64()), pa.array(end, pa.int64())], ["conv", "run", "before", "end"])
+                state = int(back[k - a - 1][state]) if k > a else int(starts[a])
+                before[k] = state
+        keep = t.select(["conv", "run"]).combine_chunks()
+        yield pa.RecordBatch.from_arrays([keep.column("conv").combine_chunks(), keep.column("run").combine_chunks(), pa.array(before), pa.array(end)], ["conv", "run", "before", "end"])
+
+
+def _fold(matrices: DataFrame) -> DataFrame:
+    """(conv, run, before, end): the best states at the borders of all runs."""
+    g = F.floor(F.col("run") / FAN).cast("long")
+    levels = [cut(matrices, "matrices")]
+    while levels[-1].where(F.col("run") >= FAN).head(1):
+        rows = levels[-1].withColumn("g", g).repartition("conv", "g").sortWithinPartitions("conv", "g", "run")
+        levels.append(cut(rows.mapInArrow(_multiply, "conv string, run long, m array<double>"), "matrices"))
+    known = levels[-1].select("conv", F.lit(0).cast("long").alias("g")).distinct().select("*", F.lit(-1).cast("long").alias("before"), F.lit(-1).cast("long").alias("end"))
+    for level in reversed(levels):
+        rows = level.withColumn("g", g).join(known, ["conv", "g"]).repartition("conv", "g").sortWithinPartitions("conv", "g", "run")
+        ends = rows.mapInArrow(_borders, "conv string, run long, before long, end long")
+        known = ends.withColumnRenamed("run", "g")
+    return ends
 
 
 def _decode(model: Model):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, ["conv", "run"]):
-            cut_at = bounds_of(t)
+            cut_at = bounds(t, ["conv", "run"])
             roles: list[str] = []
             for a, b in zip(cut_at, cut_at[1:]):
                 rows = t.slice(a, b - a)
@@ -233,8 +262,7 @@ def parse(blocks: DataFrame, model: Model | None = None) -> DataFrame:
     slim = known.select("conv", "run", "seq", *FEATURES)
     sorted_ = slim.repartition("conv", "run").sortWithinPartitions("conv", "run", "seq")
     matrices = sorted_.mapInArrow(_matrices(model), "conv string, run long, m array<double>")
-    ends = matrices.repartition("conv").sortWithinPartitions("conv", "run").mapInArrow(_fold, "conv string, run long, before long, end long")
-    ends = cut(ends, "runs")
+    ends = cut(_fold(matrices), "runs")
     ready = slim.join(ends, ["conv", "run"]).repartition("conv", "run").sortWithinPartitions("conv", "run", "seq")
     parsed = ready.mapInArrow(_decode(model), "conv string, seq long, parsed string")
     out = known.join(parsed, ["conv", "seq"])
@@ -266,5 +294,6 @@ def transcripts(lines: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn of the conversations with its recovered role and rendering."""
-    out = render(parse(table(spark, sf_dir, "conversations")))
+    with scratch(spark) as own_scope:
+        out = own_scope.keep(render(parse(table(spark, sf_dir, "conversations"))), "turns")
     return out.select("conv_id", "turn", held_out().alias("held_out"), F.col("parsed").alias("role"), (F.col("parsed") == F.col("role")).alias("agrees"), "rendered")

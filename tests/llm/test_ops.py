@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from causeway.llm import chat, common, ctw, fingerprints, linededup, mixing, neardup, packing, quality, sharding, vectors
 
@@ -532,9 +533,11 @@ def test_roles(spark):
     assert np.mean([r.parsed == r.role for r in got]) > 0.97
 
 
-def test_long_conversations_decode_in_runs(spark, monkeypatch):
-    """Runs joined at their borders give the path of one Viterbi pass."""
+@pytest.mark.parametrize("fan", [256, 2, 3])
+def test_long_conversations_decode_in_runs(spark, monkeypatch, fan):
+    """Runs joined at their borders give the path of one Viterbi pass, whatever the levels of the fold."""
     monkeypatch.setattr(chat, "RUN", 4)
+    monkeypatch.setattr(chat, "FAN", fan)
     df = spark.createDataFrame([*turns(30), *[(99, t, None, f"{'x ' * (t % 5)}?" if t % 3 else None) for t in range(37)]], "conv_id long, turn long, role string, text string")
     known = chat.features(df).orderBy("conv", "seq")
     model = chat.fit(known)
@@ -564,6 +567,15 @@ def test_turns_of_one_place(spark):
     assert chat.render(chat.parse(df)).count() == len(rows)
 
 
+def test_turns_with_columns_of_internal_names(spark):
+    rows = turns(12)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    names = ["conv", "hash", "at", "range", "n", "first", "base", "seq", "run", "g", "m", "before", "end", "parsed", "body", "c", "was", "will", "rendered", *chat.FEATURES]
+    odd = df.select("*", *[F.lit(k).alias(c) for k, c in enumerate(names)])
+    want = sorted(map(tuple, chat.render(chat.parse(df)).collect()))
+    assert sorted(map(tuple, chat.render(chat.parse(odd)).collect())) == want
+
+
 def test_rendering(spark):
     lines = spark.createDataFrame([(1, "System: be brief\nUser: hi\nthere\nAssistant: hello\nAssistant: again"), (2, None)], "conv_id long, text string")
     blocks = chat.transcripts(lines)
