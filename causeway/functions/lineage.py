@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,14 +24,16 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-_open: list[list[str]] = []
+#: The folders of the innermost scope; threads and async tasks each have their own.
+_inner: ContextVar[list[str] | None] = ContextVar("_inner", default=None)
 
 
 def place(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder, removed with what its scope cuts."""
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    if _open:
-        _open[-1].append(path)
+    own = _inner.get()
+    if own is not None:
+        own.append(path)
     return path
 
 
@@ -38,12 +42,13 @@ def cut(df: DataFrame, what: str) -> DataFrame:
 
     Loops keep short plans, and a lost executor costs one read.
     """
-    return _written(df, what, _open[-1] if _open else [])
+    return _written(df, what, _inner.get())
 
 
-def _written(df: DataFrame, what: str, into: list[str]) -> DataFrame:
+def _written(df: DataFrame, what: str, into: list[str] | None) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    into.append(path)
+    if into is not None:
+        into.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -51,7 +56,7 @@ def _written(df: DataFrame, what: str, into: list[str]) -> DataFrame:
 class Scratch:
     """What is cut inside the scope; ``keep`` writes a result that outlives it."""
 
-    def __init__(self, outer: list[str]):
+    def __init__(self, outer: list[str] | None):
         self.outer = outer
 
     def keep(self, df: DataFrame, what: str) -> DataFrame:
@@ -62,11 +67,11 @@ class Scratch:
 def recorded() -> Iterator[list[str]]:
     """The folders of what is cut inside the scope."""
     paths: list[str] = []
-    _open.append(paths)
+    token = _inner.set(paths)
     try:
         yield paths
     finally:
-        del _open[next(i for i, x in enumerate(_open) if x is paths) :]
+        _inner.reset(token)
 
 
 def remove(spark: SparkSession, paths: list[str]) -> None:
@@ -75,10 +80,17 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def settle(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files behind what has been written: it does so
+    when their plans are collected as garbage, else not before memory is short."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Scratch]:
     """Removes, at its end, the folders of all that was cut inside."""
-    outer = _open[-1] if _open else []
+    outer = _inner.get()
     with recorded() as paths:
         try:
             yield Scratch(outer)
