@@ -4,8 +4,9 @@ Quality classification drops documents, line dedup rewrites texts, near-duplicat
 detection keeps one document of each group, mixing leaves out or repeats documents
 by their source's target, and packing returns the pieces of token sequences.
 
-A stage's rows are written before the next stage begins, which then removes the
-folders that stood behind them (unless its own documents still read them).
+A stage's rows are written before the next stage begins; ``run`` then removes the
+folders that stood behind them, and its own once the next stage has read them. Stages
+called by themselves leave the folders that their results read in the shared folder.
 
 Defined cases, for every stage: rows are told apart by themselves, so rows of one
 or of no doc_id are documents of their own, except that line dedup takes rows of
@@ -24,9 +25,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from causeway.functions.lineage import recorded, remove
+from causeway.functions.lineage import recorded, remove, scratch
 from causeway.llm import linededup, mixing, neardup, packing, quality
-from causeway.llm.common import cut, table
+from causeway.llm.common import table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,28 +57,13 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_behind: list[str] = []  # folders that the last stage's rows are read from
 
-
-def _tidy(stage: Stage) -> Stage:
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        read = docs.inputFiles() if _behind else []
-        used = {p for p in _behind if any(p.rsplit("/", 1)[-1] in f for f in read)}
-        remove(spark, [p for p in _behind if p not in used])
-        with recorded() as paths:
-            out = stage(spark, docs, sf_dir)
-        _behind[:] = [*used, *paths]
-        return out
-
-    return run_stage
-
-
-STAGES = [
-    ("quality classifier", _tidy(quality_filter)),
-    ("line dedup", _tidy(line_dedup)),
-    ("near dedup", _tidy(near_dedup)),
-    ("mixing", _tidy(mix_sources)),
-    ("packing", _tidy(pack_sequences)),
+STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", quality_filter),
+    ("line dedup", line_dedup),
+    ("near dedup", near_dedup),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
 ]
 
 #: Tree ensembles, signatures and token ids are beyond SQL; tests/llm holds the
@@ -87,6 +73,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    behind: list[str] = []  # the folder that holds ``docs``
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        with recorded() as own:
+            with scratch(spark) as stage_scope:
+                docs = stage_scope.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        remove(spark, behind)
+        behind = own
+    with scratch(spark) as last:
+        out = last.keep(STAGES[-1][1](spark, docs, sf_dir), "pieces")
+    remove(spark, behind)
+    return out
