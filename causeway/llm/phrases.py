@@ -42,13 +42,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
+from causeway.functions.lineage import recorded, remove, settle
 from causeway.llm.common import LOWER, cut, partitions, runs, scratch, table, text_bytes
 
 MIN_COUNT = 10
 MAX_WORDS = 3
 WITHIN = 50
 TOP = 2000
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 _SLOT = 28  # bits of a slot in a phrase's number; partition and block of it take 22 and 13
 _BLOCKS = 13
 _ENDS = np.zeros(256, bool)
@@ -95,10 +96,10 @@ def postings(langs: pa.Array, data: np.ndarray, offsets: np.ndarray) -> tuple[pa
     at = np.flatnonzero(start)
     if not len(at):
         return pa.array([], pa.string()), pa.array([], pa.binary()), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    letters = np.cumsum(solid)
+    letters = np.cumsum(solid, dtype=np.int32)
     word_at = np.append(letters[at] - 1, letters[-1]).astype(np.int32)
     words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(word_at), pa.py_buffer(d[solid])]).dictionary_encode()
-    piece = np.cumsum(_ENDS[d])[at]
+    piece = np.cumsum(_ENDS[d], dtype=np.int32)[at]
     row = np.searchsorted(rel, at, "right") - 1
     fresh = np.ones(len(at), bool)
     fresh[1:] = (piece[1:] != piece[:-1]) | (row[1:] != row[:-1])
@@ -217,45 +218,56 @@ def _extend(keep_lists: bool):
 
 
 def _frequent(level: DataFrame, key: list[str], min_count: int) -> DataFrame:
-    """The offers of ``level`` whose phrase has ``min_count`` occurrences; a = that
-    frequency, id = the phrase's number, the smallest of its offers' own."""
+    """The offers (own = block and slot) of ``level`` whose phrase has ``min_count``
+    occurrences; a = that frequency, id = the phrase's number, its smallest ``own``."""
     w = W.partitionBy(*key)
     own = F.shiftleft("block", _SLOT).bitwiseOR(F.col("slot")).alias("own")
-    offers = level.where("slot is not null").select("block", "slot", "n", own, *key)
-    return offers.withColumn("a", F.sum("n").over(w)).where(F.col("a") >= min_count).withColumn("id", F.min("own").over(w))
+    offers = level.where("slot is not null").select("n", own, *key)
+    return offers.withColumn("a", F.sum("n").over(w)).where(F.col("a") >= min_count).withColumn("id", F.min("own").over(w)).drop("n")
 
 
 def mined(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, list[DataFrame]]:
     """((lang, n), levels): the number of words of each language, and for each level
     from the words on (id, lang, phrase, tail, a, first, rest, heads, tails) of its frequent
     phrases; heads and tails are the counts of what a cut after each word gives."""
-    level = cut(docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(_blocks(block_bytes), _LISTS), "postings")
-    totals = cut(level.where("slot is not null").groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    none = F.array().cast("array<long>")
-    levels: list[DataFrame] = []
-    for k in range(1, max_words + 1):
-        key = ["lang", "word"] if k == 1 else ["first", "rest"]
-        if k == max_words:  # lengths are all that's left to do
-            found = level.groupBy(*key).agg(F.sum("n").alias("a")).where(F.col("a") >= min_count).withColumn("id", F.lit(None).cast("long"))
-        else:
-            kept = cut(_frequent(level, key, min_count), "frequent")
-            found = kept.where("own = id").select("id", "a", *key)
-        if k == 1:
-            word = F.col("word").cast("string")
-            named = found.select("id", "lang", word.alias("phrase"), word.alias("tail"), "a", F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("rest"), none.alias("heads"), none.alias("tails"))
-        else:
-            p, q = (levels[-1].select(*[F.col(c).alias(f"{x}_{c}") for c in ("id", "lang", "phrase", "tail", "a", "heads", "tails")]) for x in "pq")
-            named = found.join(p, F.col("first") == F.col("p_id")).join(q, F.col("rest") == F.col("q_id")).select(
-                "id", F.col("p_lang").alias("lang"), F.concat_ws(" ", "p_phrase", "q_tail").alias("phrase"), F.col("q_tail").alias("tail"), "a", "first", "rest",
-                F.concat("p_heads", F.array("p_a")).alias("heads"), F.concat(F.array("q_a"), "q_tails").alias("tails"),
-            )
-        levels.append(cut(named, "phrases"))
-        if k < max_words:
-            lists = level.where("slot is null").select("block", F.lit(-1).cast("long").alias("slot"), F.lit(None).cast("long").alias("id"), "lists")
-            rows = lists.unionByName(kept.select("block", "slot", "id", F.lit(None).cast("binary").alias("lists")))
-            level = rows.repartition("block").sortWithinPartitions("block", "slot").mapInArrow(_extend(k + 1 < max_words), _LISTS)
-            if k + 1 < max_words:
-                level = cut(level, "lists")
+    spark = docs.sparkSession
+    text = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
+    with scratch(spark) as kept_scope:
+        with recorded() as behind:
+            level = cut(text.mapInArrow(_blocks(block_bytes), _LISTS), "postings")
+        totals = kept_scope.keep(level.where("slot is not null").groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+        none = F.array().cast("array<long>")
+        levels: list[DataFrame] = []
+        for k in range(1, max_words + 1):
+            key = ["lang", "word"] if k == 1 else ["first", "rest"]
+            if k == max_words:  # lengths are all that's left to do
+                found = level.groupBy(*key).agg(F.sum("n").alias("a")).where(F.col("a") >= min_count).withColumn("id", F.lit(None).cast("long"))
+            else:
+                with recorded() as more:
+                    kept = cut(_frequent(level, key, min_count), "frequent")
+                behind += more
+                found = kept.where("own = id").select("id", "a", *key)
+            if k == 1:
+                word = F.col("word").cast("string")
+                named = found.select("id", "lang", word.alias("phrase"), word.alias("tail"), "a", F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("rest"), none.alias("heads"), none.alias("tails"))
+            else:
+                p, q = (levels[-1].select(*[F.col(c).alias(f"{x}_{c}") for c in ("id", "lang", "phrase", "tail", "a", "heads", "tails")]) for x in "pq")
+                named = found.join(p, F.col("first") == F.col("p_id")).join(q, F.col("rest") == F.col("q_id")).select(
+                    "id", F.col("p_lang").alias("lang"), F.concat_ws(" ", "p_phrase", "q_tail").alias("phrase"), F.col("q_tail").alias("tail"), "a", "first", "rest",
+                    F.concat("p_heads", F.array("p_a")).alias("heads"), F.concat(F.array("q_a"), "q_tails").alias("tails"),
+                )
+            levels.append(kept_scope.keep(named, "phrases"))
+            if k < max_words:
+                lists = level.where("slot is null").select("block", F.lit(-1).cast("long").alias("slot"), F.lit(None).cast("long").alias("id"), "lists")
+                of = kept.select(F.shiftright("own", _SLOT).alias("block"), F.col("own").bitwiseAND((1 << _SLOT) - 1).alias("slot"), "id", F.lit(None).cast("binary").alias("lists"))
+                level = lists.unionByName(of).repartition("block").sortWithinPartitions("block", "slot").mapInArrow(_extend(k + 1 < max_words), _LISTS)
+                if k + 1 < max_words:
+                    with recorded() as more:
+                        level = cut(level, "lists")
+                    remove(spark, behind)
+                    settle(spark)
+                    behind = more
+        remove(spark, behind)
     return totals, levels
 
 
