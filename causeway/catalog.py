@@ -507,7 +507,8 @@ def _tree_graph(spark, sf, version: str) -> G.Graph:
     entries = t.select("path", F.lit("file").alias("kind")).unionByName(ingest.required_directories(t).withColumn("kind", F.lit("directory")))
     e = ingest.contains(entries, "docs", ".")
     edges = cut(e.withColumn("id", edge_id("kind", "src", "dst")), "edges")
-    nodes = cut(entries.select(node_id(F.lit("docs"), "kind", "path").alias("id"), "kind", F.col("path").alias("key")), "nodes")
+    root = spark.createDataFrame([(".", "repository")], "path string, kind string")
+    nodes = cut(entries.unionByName(root).select(node_id(F.lit("docs"), "kind", "path").alias("id"), "kind", F.col("path").alias("key")), "nodes")
     return G.Graph(nodes, edges, G.no_diagnostics(spark))
 
 
@@ -520,7 +521,7 @@ def _changed(spark, sf) -> DataFrame:
 def _sql_tree_edges(v: str) -> str:
     return f"""d{v} AS (SELECT DISTINCT array_to_string(p[1:i], '/') AS path FROM (SELECT p, unnest(range(1, len(p))) AS i FROM (SELECT string_split(path, '/') AS p FROM {v}))),
 u{v} AS (SELECT *, CASE WHEN path LIKE '%/%' THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS up FROM (SELECT path, 'file' AS kind FROM {v} UNION ALL SELECT path, 'directory' FROM d{v})),
-n{v} AS (SELECT {sql_nid('kind', 'path', 'docs')} AS id FROM u{v}),
+n{v} AS (SELECT {sql_nid('kind', 'path', 'docs')} AS id FROM u{v} UNION ALL SELECT {sql_nid("'repository'", "'.'", 'docs')}),
 e{v} AS (SELECT {sql_eid("'contains'", 'src', 'dst')} AS id, src, dst FROM (SELECT CASE WHEN up = '' THEN {sql_nid("'repository'", "'.'", 'docs')} ELSE {sql_nid("'directory'", 'up', 'docs')} END AS src, {sql_nid('kind', 'path', 'docs')} AS dst FROM u{v}))"""
 
 

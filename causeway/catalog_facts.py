@@ -54,7 +54,7 @@ def test_sources(spark, sf):
     return load(spark, sf, "documents").select(_test_path().alias("path")).select("path", F.explode(relations.test_candidates(F.col("path"))).alias("source"))
 
 
-@query("source_and_test_files", f"WITH p AS (SELECT CASE doc_id % {len(_TESTS)} {' '.join(f'WHEN {i} THEN {_named(p)}' for i, (p, _) in enumerate(_TESTS))} END AS path FROM documents) SELECT path, NOT ends_with(path, '.md') AS is_source, (NOT ends_with(path, '.md') AND (contains(path, '.test.') OR contains(path, '.spec.'))) OR contains(path, '__tests__/') AS is_test FROM p")
+@query("source_and_test_files", f"WITH p AS (SELECT CASE doc_id % {len(_TESTS)} {' '.join(f'WHEN {i} THEN {_named(p)}' for i, (p, _) in enumerate(_TESTS))} END AS path FROM documents) SELECT path, NOT ends_with(path, '.md') AS is_source, NOT ends_with(path, '.md') AND (contains(path, '.test.') OR contains(path, '.spec.')) AS is_test FROM p")
 def source_and_test_files(spark, sf):
     p = load(spark, sf, "documents").select(_test_path().alias("path"))
     return p.select("path", relations.is_source(F.col("path")).alias("is_source"), relations.is_test(F.col("path")).alias("is_test"))

@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from causeway.functions.paths import parent, resolved
 from causeway.functions.syntax import manifest_of, syntax_of
-from causeway.operators.relations import first_candidate, is_source, is_test, module_candidates, nearest_owner, test_candidates, unique_match
+from causeway.operators.relations import first_candidate, is_source, is_test, module_candidates, nearest_owner, script_kind, test_candidates, unique_match
 
 FACT = ["kind", "src_kind", "src", "dst_kind", "dst", "key", "metadata"]
-SYNTAX_VERSION = "causeway.syntax/1"
+SYNTAX_VERSION = "causeway.syntax/2"
 
 
 def _fact(df: DataFrame, kind: Column | str, src_kind: str, src: str, dst_kind: str, dst: str, key: Column, metadata: Column | None = None) -> DataFrame:
@@ -25,12 +25,12 @@ def _fact(df: DataFrame, kind: Column | str, src_kind: str, src: str, dst_kind:
 
 
 def syntax_facts(files: DataFrame, cached: DataFrame | None = None) -> DataFrame:
-    """(sha, imports, exports) of each distinct source blob; blobs that ``cached``
-    has are not parsed again."""
-    new = files.where(is_source(F.col("path"))).select("sha", "text").dropDuplicates(["sha"])
+    """(sha, script, imports, exports) of each distinct source blob and script kind;
+    those that ``cached`` has are not parsed again."""
+    new = files.where(is_source(F.col("path"))).select("sha", script_kind(F.col("path")).alias("script"), "text").dropDuplicates(["sha", "script"])
     if cached is not None:
-        new = new.join(cached.select("sha"), "sha", "left_anti")
-    return new.select("sha", syntax_of("text").alias("s")).select("sha", "s.*")
+        new = new.join(cached.select("sha", "script"), ["sha", "script"], "left_anti")
+    return new.select("sha", "script", syntax_of("text", "script").alias("s")).select("sha", "script", "s.*")
 
 
 def read_tsconfig(text: str | None) -> tuple[str | None, list[tuple[str, list[str]]], str | None]:
@@ -68,7 +68,7 @@ def import_relations(files: DataFrame, syntax: DataFrame, tsconfig: str | None =
     """(facts, diagnostics, candidates (owner, specifier, candidate)). Candidates
     that do not exist are kept too: a file added there must wake its importers."""
     base_url, aliases, problem = read_tsconfig(tsconfig)
-    own = files.where(is_source(F.col("path"))).select("path", "sha").join(syntax, "sha")
+    own = files.where(is_source(F.col("path"))).select("path", "sha", script_kind(F.col("path")).alias("script")).join(syntax, ["sha", "script"])
     exports = own.select("path", F.explode("exports").alias("name")).withColumn("symbol", F.concat("path", F.lit("#export:"), "name"))
     facts = _fact(exports, "exports", "file", "path", "symbol", "symbol", F.lit(None).cast("string"))
     imports = own.select("path", F.explode("imports").alias("i")).select("path", "i.*")

@@ -63,8 +63,15 @@ def test_candidates(path: Column) -> Column:
 
 
 def is_test(path: Column) -> Column:
-    return path.rlike(r"\.(?:test|spec)\.[cm]?[jt]sx?\z") | path.rlike(r"(?:^|/)__tests__/[^/]+\.[cm]?[jt]sx?\z")
+    """By the file's name alone; a directory of tests makes no test."""
+    return path.rlike(TEST_NAME)
 
 
 def is_source(path: Column) -> Column:
-    return path.rlike(r"\.[cm]?[jt]sx?\z")
+    return path.rlike(r"\.(?:ts|tsx|mts|cts|js|jsx|mjs|cjs)\z")
+
+
+def script_kind(path: Column) -> Column:
+    """ts, tsx, js or jsx: how a source is read."""
+    ending = F.regexp_extract(path, r"\.(\w+)\z", 1)
+    return F.when(ending.isin("tsx", "jsx"), ending).when(ending.isin("js", "mjs", "cjs"), "js").otherwise("ts")

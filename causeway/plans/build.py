@@ -1,6 +1,6 @@
 """A repository's whole graph, built cold or from what earlier commits left.
 
-Syntax facts are addressed by blob and kept in ``<store>/syntax``; a build reads
+Syntax facts are addressed by blob and script kind and kept in the store; a build reads
 those it has and parses the others, so a rename parses nothing and an edit one
 blob. Relations are resolved anew by joins, hence a warm build equals a cold one.
 """
@@ -18,7 +18,8 @@ from causeway.operators import extract, ingest
 from causeway.operators.graph import Graph, build
 from causeway.sources import git
 
-SYNTAX = "sha string, imports array<struct<relation:string,specifier:string,type_only:boolean>>, exports array<string>"
+SYNTAX = "sha string, script string, imports array<struct<relation:string,specifier:string,type_only:boolean>>, exports array<string>"
+SYNTAX_TABLE = "syntax-2"  # facts of readers before the second are not read
 EXTRACTOR = ("causeway-relations", "1")
 
 
@@ -43,15 +44,15 @@ def build_repository(spark: SparkSession, root: str, ref: str, repository: str,
     cached = None
     if store:
         try:
-            cached = spark.read.schema(SYNTAX).parquet(f"{store}/syntax")
+            cached = spark.read.schema(SYNTAX).parquet(f"{store}/{SYNTAX_TABLE}")
             cached.head(1)
         except AnalysisException:
             cached = None
     new = cut(extract.syntax_facts(files, cached), "syntax")
     parsed = new.count()
     if store and parsed:
-        new.write.mode("append").parquet(f"{store}/syntax")
-    syntax = new if cached is None else new.unionByName(cached.join(files.select("sha"), "sha", "left_semi").dropDuplicates(["sha"]))
+        new.write.mode("append").parquet(f"{store}/{SYNTAX_TABLE}")
+    syntax = new if cached is None else new.unionByName(cached.join(files.select("sha"), "sha", "left_semi").dropDuplicates(["sha", "script"]))
     config = files.where("path = 'tsconfig.json'").select("text").first()
     facts, said, wanted = extract.all_relations(spark, files, syntax, config.text if config else None)
     facts = cut(facts, "facts")
@@ -62,5 +63,5 @@ def build_repository(spark: SparkSession, root: str, ref: str, repository: str,
     linked = facts.select("kind", node_id(ns, "src_kind", "src").alias("src"), node_id(ns, "dst_kind", "dst").alias("dst"), F.col("key").alias("edge_key"), F.when(F.col("kind") != "declares-package", F.col("metadata")).alias("metadata"), proof(F.col("src")).alias("provenance"))
     told = said.select("code", F.concat_ws(": ", "code", "subject").alias("message"), "state", proof(F.lit(None).cast("string"))[0].withField("state", F.col("state")).alias("provenance"))
     g = build(nodes.unionByName(made), edges.unionByName(linked), diags.unionByName(told), distinct_diagnostics=True)
-    sources = files.where(extract.is_source(F.col("path"))).select("sha").distinct().count()
+    sources = files.where(extract.is_source(F.col("path"))).select("sha", extract.script_kind(F.col("path"))).distinct().count()
     return Build(g, at["commit"], wanted, {"mode": "cold" if cached is None else "incremental", "parsed": parsed, "reused": sources - parsed})
