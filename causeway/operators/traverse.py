@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F, Window as W
 
 from causeway.functions.lineage import cut
 from causeway.operators.graph import Graph
@@ -125,6 +125,39 @@ def reach(steps: DataFrame, starts: DataFrame, max_depth: int = MAX_DEPTH) -> Da
     return search(steps, starts, max_depth, None, ordered=False).nodes.select("id", "depth")
 
 
+def reach_each(steps: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH, max_nodes: int = MAX_NODES) -> DataFrame:
+    """(seed, id, depth): for each of ``seeds`` (id) what a search of its own reaches
+    first, at most ``max_nodes`` nodes besides the seed.
+
+    All seeds share each level's join. A seed that has its nodes leaves the frontier, so a
+    level holds ``max_nodes`` rows of a seed at most; before they are ranked, each part
+    of a seed's arrivals is cut to that number, so none is ranked whole.
+    """
+    spark = steps.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    steps = cut(steps, "steps")
+    frontier = cut(seeds.select(F.col("id").alias("seed"), "id").distinct().withColumn("pos", F.lit(0)), "each")
+    seen, found, depth = frontier.select("seed", "id"), spark.createDataFrame([], "seed string, id string, depth int"), 0
+    room = frontier.select("seed", F.lit(max_nodes).cast("long").alias("left"))
+    while depth < max_depth:
+        depth += 1
+        near = steps.join(frontier.select("seed", F.col("id").alias("at"), "pos"), "at").select("seed", F.col("to").alias("id"), F.struct("pos", "edge_id").alias("by"))
+        new = near.groupBy("seed", "id").agg(F.min("by").alias("by")).join(seen, ["seed", "id"], "left_anti").join(room.where("left > 0"), "seed")
+        order = [F.col("by.pos"), F.col("id")]
+        for part in ("seed", F.pmod(F.xxhash64("id"), F.lit(parts))), ("seed",):
+            new = new.withColumn("pos", F.row_number().over(W.partitionBy(*part).orderBy(*order))).where("pos <= left")
+        frontier = cut(new.select("seed", "id", "pos"), "each")
+        if not frontier.head(1):
+            break
+        found = found.unionByName(frontier.select("seed", "id", F.lit(depth).alias("depth")))
+        taken = frontier.groupBy("seed").agg(F.count("*").alias("n"))
+        room = cut(room.join(taken, "seed", "left").select("seed", (F.col("left") - F.coalesce("n", F.lit(0))).alias("left")), "room")
+        seen = seen.unionByName(frontier.select("seed", "id"))
+        if depth % 8 == 0:
+            seen = cut(seen, "seen")
+    return found
+
+
 def path_back(found: DataFrame, start: str, target: str) -> list[tuple[str, str]]:
     """[(edge_id, node)] from ``start`` to ``target`` along the first edges.
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from causeway.functions.identity import coordinate_key, node_id, provenance
 from causeway.functions.lineage import cut
@@ -80,6 +81,83 @@ def affected_across(steps: DataFrame, starts: DataFrame, max_hops: int = 1, max_
     return best, truncated
 
 
+@dataclass(frozen=True)
+class Across:
+    """``nodes`` and ``edges`` (id) of the slice; ``truncated``: a bound left something out."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    truncated: bool
+
+
+def affected_within(g: Graph, start: str, max_hops: int = 1, max_nodes: int = 100) -> Across:
+    """Consumers of ``start`` and of theirs, with the coordinates between, within both bounds.
+
+    What a queue does that takes packages in turn, and of each the links (coordinate,
+    consumer) by the ids of their edges: a link beyond ``max_hops`` is left out, so is
+    one whose coordinate and consumer together don't fit into ``max_nodes`` any more,
+    while a later one that brings less may fit; a consumer is taken again when it is
+    reached with fewer hops. A round is one whole generation of the queue, in order. The
+    bound can only bind once: all links before it are admitted, with one place left the
+    first link that brings one node, then only links between nodes of the slice.
+    """
+    if max_hops < 0 or max_nodes < 1:
+        raise ValueError("bounds must not be negative")
+    spark = g.nodes.sparkSession
+    nodes = g.nodes.select("id", "namespace")
+    if not nodes.where(F.col("id") == start).head(1):
+        raise ValueError(f"no node {start}")
+    resolve = g.edges.where("kind = 'coordinate-resolves-to'").select(F.col("id").alias("resolve_edge"), F.col("src").alias("coordinate"), F.col("dst").alias("at"))
+    depend = g.edges.where("kind = 'depends-on-coordinate'").select(F.col("id").alias("depend_edge"), F.col("src").alias("consumer"), F.col("dst").alias("coordinate"))
+    links = resolve.join(nodes.select(F.col("id").alias("coordinate")), "coordinate", "left_semi").join(depend, "coordinate")
+    for c in ("consumer", "at"):
+        links = links.join(nodes.select(F.col("id").alias(c), F.col("namespace").alias(f"{c}_space")), c)
+    links = cut(links.select("at", "resolve_edge", "coordinate", "depend_edge", "consumer", (F.col("consumer_space") != F.col("at_space")).cast("int").alias("cost")), "links")
+    frontier = spark.createDataFrame([(start, 0, 0)], "at string, hops int, pos long")
+    labels = spark.createDataFrame([(start, 0)], "consumer string, was int")
+    chosen, edges, truncated, used = spark.createDataFrame([], "id string"), spark.createDataFrame([], "id string"), False, 0
+    while True:
+        near = frontier.join(links, "at").select(F.struct("pos", "resolve_edge", "depend_edge").alias("turn"), "coordinate", "consumer", (F.col("hops") + F.col("cost")).alias("hops"))
+        near = cut(near, "near")
+        truncated = truncated or bool(near.where(F.col("hops") > max_hops).head(1))
+        near = near.where(F.col("hops") <= max_hops)
+        first = near.select(F.explode(F.array("coordinate", "consumer")).alias("id"), "turn").groupBy("id").agg(F.min("turn").alias("turn"))
+        first = cut(first.join(chosen, "id", "left_anti"), "first")
+        left, admitted = max_nodes - used, near
+        if first.count() <= left:
+            chosen = cut(chosen.unionByName(first.select("id")), "chosen")
+        else:
+            truncated = True
+            at = first.orderBy("turn", "id").limit(left + 1).agg(F.max("turn").alias("t")).first().t
+            bound = F.struct(*[F.lit(x) for x in at]).cast(near.schema["turn"].dataType)  # the first link that does not fit
+            chosen = cut(chosen.unionByName(first.where(F.col("turn") < bound).select("id")), "chosen")
+            if chosen.count() < max_nodes:
+                there = [chosen.select(F.col("id").alias(c), F.lit(True).alias(f"has_{c}")) for c in ("coordinate", "consumer")]
+                later = near.where(F.col("turn") >= bound).join(there[0], "coordinate", "left").join(there[1], "consumer", "left")
+                later = later.where(F.col("has_coordinate").isNull() != F.col("has_consumer").isNull())
+                one = later.agg(F.min_by(F.when(F.col("has_consumer"), F.col("coordinate")).otherwise(F.col("consumer")), "turn").alias("id")).where("id is not null")
+                chosen = cut(chosen.unionByName(one), "chosen")
+            for c in ("coordinate", "consumer"):
+                admitted = admitted.join(chosen.select(F.col("id").alias(c)), c, "left_semi")
+            admitted = cut(admitted, "admitted")
+        used = chosen.count()
+        edges = cut(edges.unionByName(admitted.select(F.explode(F.array("turn.resolve_edge", "turn.depend_edge")).alias("id"))).distinct(), "edges")
+        earlier = F.min("turn").over(W.partitionBy("consumer").orderBy("hops").rowsBetween(W.unboundedPreceding, -1))  # a row for each number of hops
+        better = admitted.groupBy("consumer", "hops").agg(F.min("turn").alias("turn")).withColumn("earlier", earlier).join(labels, "consumer", "left")
+        better = better.where((F.col("was").isNull() | (F.col("hops") < F.col("was"))) & (F.col("earlier").isNull() | (F.col("earlier") > F.col("turn"))))
+        frontier = cut(better.repartitionByRange("turn").sortWithinPartitions("turn").select(F.col("consumer").alias("at"), "hops", F.monotonically_increasing_id().alias("pos")), "frontier")
+        if not frontier.head(1):
+            return Across(chosen, edges, truncated)
+        labels = cut(labels.unionByName(frontier.select(F.col("at").alias("consumer"), F.col("hops").alias("was"))).groupBy("consumer").agg(F.min("was").alias("was")), "labels")
+
+
+def one_of_each(snapshots: DataFrame) -> None:
+    """Fails where a repository has two snapshots, or one without its names."""
+    bad = snapshots.groupBy("repository").agg(F.count("*").alias("n"), F.count_if(F.least(*[F.length(F.coalesce(c, F.lit(""))) for c in ("repository", "ref", "commit")]) == 0).alias("blank")).where("n > 1 or blank > 0").head(1)
+    if bad:
+        raise ValueError(f"duplicate snapshot of repository {bad[0].repository!r}" if bad[0].n > 1 else "a snapshot needs a repository, a ref and a commit")
+
+
 def composed_facts(found: DataFrame, nodes: DataFrame, snapshots: DataFrame, name: str, version: str, authority: str = "authoritative") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(node facts, edge facts, diagnostics) that the mappings of ``found`` (see
     ``outcomes``) add to the union of the repositories' graphs.
@@ -117,6 +195,7 @@ def composed_facts(found: DataFrame, nodes: DataFrame, snapshots: DataFrame, nam
 
 def compose(graphs: list[Graph], found: DataFrame, nodes: DataFrame, snapshots: DataFrame, name: str, version: str, authority: str = "authoritative", check: bool = True) -> Graph:
     """The graphs of several repositories as one, with their mappings."""
+    one_of_each(snapshots)
     parts = [facts_of(g) for g in graphs]
     more_nodes, more_edges, lost = composed_facts(found, nodes, snapshots, name, version, authority)
     stack = lambda frames: reduce(DataFrame.unionByName, frames)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from causeway.functions.lineage import cut
 from causeway.operators.graph import Graph
-from causeway.operators.traverse import oriented, reach
+from causeway.operators.traverse import MAX_NODES, oriented, reach, reach_each
 
 #: Versions whose change invalidates everything, in the order of report (fixed values).
 GLOBAL_REASONS = ("graph-schema", "analysis-schema", "extractor", "parser", "chunk")
@@ -46,12 +46,21 @@ def touched_edges(base: Graph, target: Graph, changed: DataFrame) -> DataFrame:
     return one_sided.unionByName(out[0]).unionByName(out[1]).distinct()
 
 
-def invalidated(base: Graph, target: Graph, changed: DataFrame, edge_kinds: list[str] | None = None) -> DataFrame:
-    """(id): the changed nodes and all that depend on them in either graph."""
+def invalidated(base: Graph, target: Graph, changed: DataFrame, edge_kinds: list[str] | None = None, max_nodes: int = MAX_NODES) -> DataFrame:
+    """(id): the changed nodes and all that depend on them in either graph, of each
+    changed node the first ``max_nodes``.
+
+    The cap of a single node can only bind where all of them together reach more;
+    only then are they followed one by one.
+    """
     out = changed.select("id")
     for g in (base, target):
-        starts = changed.join(g.nodes.select("id"), "id", "left_semi")
-        out = out.unionByName(reach(cut(oriented(g, "in", edge_kinds), "steps"), starts).select("id"))
+        starts = cut(changed.join(g.nodes.select("id"), "id", "left_semi").select("id"), "starts")
+        steps = cut(oriented(g, "in", edge_kinds), "steps")
+        found = reach(steps, starts).select("id")
+        if found.count() + starts.count() > max_nodes:
+            found = reach_each(steps, starts, max_nodes=max_nodes).select("id")
+        out = out.unionByName(found)
     return out.distinct()
 
 
@@ -65,9 +74,20 @@ def metrics(changes: DataFrame) -> DataFrame:
     return changes.agg(*[F.count_if(F.col("kind") == k).alias(k.replace("-", "_")) for k in kinds], F.count_if((F.col("kind") == "renamed") & ~F.col("content_changed")).alias("rename_only"))
 
 
-def plan(base: Graph, target: Graph, changed: DataFrame, versions: tuple[dict, dict] = ({}, {}), edge_kinds: list[str] | None = None) -> dict:
+def changed_nodes(base: Graph, target: Graph, changes: DataFrame) -> DataFrame:
+    """(id) of the nodes of the changed paths: old ones in the base, new ones in the target."""
+    old = changes.where("kind <> 'added'").select(F.coalesce("old_path", "path").alias("key"))
+    new = changes.where("kind <> 'deleted'").select(F.col("path").alias("key"))
+    sides = [g.nodes.where("kind in ('file', 'symlink', 'submodule')").join(paths.distinct(), "key", "left_semi").select("id") for g, paths in ((base, old), (target, new))]
+    return sides[0].unionByName(sides[1]).distinct()
+
+
+def plan(base: Graph, target: Graph, changed: DataFrame, versions: tuple[dict, dict] = ({}, {}), edge_kinds: list[str] | None = None, max_nodes: int = MAX_NODES) -> dict:
     """Frames of the update: changed, touched_edges, invalidated, reused, and the
-    reasons that invalidate every node of the target."""
+    reasons that touch every edge and invalidate every node of the target."""
     reasons = configuration_reasons(*versions)
-    lost = target.nodes.select("id") if reasons else invalidated(base, target, changed, edge_kinds)
-    return {"changed": changed, "touched_edges": touched_edges(base, target, changed), "invalidated": lost, "reused": reused(base, target), "global_reasons": reasons}
+    if reasons:
+        lost, touched = target.nodes.select("id"), base.edges.select("id").unionByName(target.edges.select("id")).distinct()
+    else:
+        lost, touched = invalidated(base, target, changed, edge_kinds, max_nodes), touched_edges(base, target, changed)
+    return {"changed": changed, "touched_edges": touched, "invalidated": lost, "reused": reused(base, target), "global_reasons": reasons}

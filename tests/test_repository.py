@@ -10,7 +10,7 @@ from causeway.functions.syntax import manifest, scan
 from causeway.operators import graph as G, ingest, overlay, plugin, relations, rules, xrepo
 from causeway.plans import incremental
 from causeway.plans.build import build_repository
-from causeway.sources import git, store
+from causeway.sources import git
 from causeway.streaming import changes
 from helpers import NS, OVERLAY, graph, nid, proof
 
@@ -63,12 +63,12 @@ def test_build(spark, repo, tmp_path):
     assert {("package-build-entrypoint", "package.json", "src/a.ts"), ("package-contract", "packages/core/package.json", "packages/core/i.d.ts"), ("package-build-entrypoint", "packages/core/package.json", "packages/core/i.js"), ("package-dependency", "packages/app/package.json", "packages/core/package.json"), ("belongs-to-package", "packages/core/i.js", "packages/core/package.json"), ("belongs-to-package", "src/a.ts", "package.json")} <= got
     codes = {r.code for r in cold.graph.diagnostics.collect()}
     assert codes == {"tsjs-external-module", "tsjs-unresolved-import", "repository-relations-unresolved-workspace-dependency", "repository-relations-unresolved-entrypoint"}
-    wanted = {(r.owner, r.candidate) for r in cold.candidates.collect()}
-    assert ("src/b.ts", "src/missing.ts") in wanted
+    wanted = {(r.owner, r.key) for r in cold.keys.collect()}
+    assert ("src/b.ts", "file:src/missing.ts") in wanted
     assert json.loads(cold.graph.nodes.where("key = 'link'").first().metadata)["target"] == "src/a.ts"
     warm = build_repository(spark, repo, "HEAD", "repo", at)
     fresh = build_repository(spark, repo, "HEAD", "repo")
-    assert warm.metrics == {"mode": "incremental", "parsed": 1, "reused": fresh.metrics["parsed"] - 1}
+    assert warm.metrics == {"mode": "incremental", "parsed": 1, "reused": fresh.metrics["parsed"] - 1, "resolved": len(FILES), "kept": 0}
     assert G.equal(warm.graph, fresh.graph)
 
 
@@ -159,39 +159,6 @@ def test_plugin_declarations():
         plugin.external(["python", "-c", "print('{}')"], d)({})
 
 
-def test_store(spark, tmp_path):
-    s = store.Store(spark, str(tmp_path / "s"))
-    row = lambda *x: spark.createDataFrame([(c, "k", p) for c, p in x], "content string, kind string, payload string")
-    assert s.put(row(("a", "1"), ("b", "2"), ("c", "3"))) == {"written": 3, "reused": 0}
-    assert s.put(row(("a", "1"), ("d", "4"))) == {"written": 1, "reused": 1}
-    with pytest.raises(store.StoreConflict):
-        s.put(row(("a", "other")))
-    keys = {r.content: r.key for r in s.artifacts.collect()}
-    refs = lambda *cs: spark.createDataFrame([(c, keys[c]) for c in cs], "logical_key string, key string")
-    s.write_manifest("old", refs("a", "b"), "r", "main", "1")
-    s.write_manifest("new", refs("a", "c"), "r", "main", "2")
-    with pytest.raises(store.StoreConflict):
-        s.write_manifest("bad", spark.createDataFrame([("x", "artifact-sha256-none")], "logical_key string, key string"), "r", "main", "3")
-    assert store.inventory(s.artifacts, s.refs).first().unreferenced == 1
-    want = {keys["b"], keys["d"]}
-    assert {r.key for r in s.collect_garbage(F.col("manifest") == "new", dry_run=True).collect()} == want
-    assert s.artifacts.count() == 4
-    assert {r.key for r in s.collect_garbage(F.col("manifest") == "new").collect()} == want
-    assert s.artifacts.count() == 2 and s.recover() == {"artifacts_removed": 0, "manifests_removed": 0, "migrated": 0}
-    s._switch(s.state(), artifacts=s.artifacts.withColumn("payload", F.when(F.col("content") == "c", "x").otherwise(F.col("payload"))))
-    key = next(r.key for r in s.artifacts.collect() if r.content == "c")
-    with pytest.raises(Exception, match="does not fit"):
-        s.artifact(key, verify=True)
-    assert s.recover() == {"artifacts_removed": 1, "manifests_removed": 1, "migrated": 0}
-    assert s.artifact(key) is None and s.manifest("nothing") is None and s.stats == {"artifact_hits": 0, "artifact_misses": 1, "manifest_hits": 0, "manifest_misses": 1}
-    with pytest.raises(ValueError):
-        s.artifact("x")
-    was = s.state()
-    s._switch(was, refs=s.refs)
-    with pytest.raises(store.StoreConflict):
-        s._switch(was, refs=s.refs)  # the version exists
-
-
 @pytest.mark.parametrize("base, want", [
     ("a/b.js", ["a/b.js", "a/b.ts", "a/b.tsx", "a/b.d.ts"]), ("s.css", ["s.css"]), ("x.y/b", ["x.y/b", "x.y/b.ts", "x.y/b/index.ts", "x.y/b.tsx"]), (".env", [".env", ".env.ts"]),
 ])
@@ -219,21 +186,6 @@ def test_composed_graph(spark):
     assert out.nodes.count() == 2 and [r.code for r in out.diagnostics.collect()] == ["cross-repo-consumer-unresolved"]
 
 
-def test_migrations(spark, tmp_path):
-    """A chain leads old artifacts to the present schema; references follow."""
-    s = store.Store(spark, f"file://{tmp_path}/s")
-    s.put(spark.createDataFrame([("a", "k", "new")], "content string, kind string, payload string"))
-    old = s.artifacts.withColumn("schema", F.lit("old/1")).withColumn("content", F.lit("b")).withColumn("key", F.lit("artifact-sha256-" + "0" * 64)).withColumn("payload_hash", F.sha2("payload", 256))
-    lost = old.withColumn("schema", F.lit("lost/1")).withColumn("key", F.lit("artifact-sha256-" + "1" * 64))
-    refs = spark.createDataFrame([("m", "r", "main", "c", None, "x", "artifact-sha256-" + "0" * 64)], s.refs.schema)
-    s._switch(s.state(), artifacts=s.artifacts.unionByName(old).unionByName(lost), refs=refs)
-    steps = {"old/1": ("old/2", lambda d: d.withColumn("payload", F.upper("payload"))), "old/2": (store.STORE_SCHEMA_VERSION, lambda d: d.withColumn("kind", F.lit("k2")))}
-    assert store.find_migration(steps, "lost/1") is None and store.find_migration(steps | {"lost/1": ("lost/1", None)}, "lost/1") is None
-    assert s.recover(steps) == {"artifacts_removed": 1, "manifests_removed": 0, "migrated": 1}
-    assert {(r.content, r.kind, r.payload) for r in s.artifacts.collect()} == {("a", "k", "new"), ("b", "k2", "NEW")}
-    assert s.manifest("m").count() == 1
-
-
 def test_protocol(spark):
     g = graph(spark, [("file", "f"), ("module", "m"), ("test", "t"), ("file", "u")], [("contains", ("module", "m"), ("file", "f")), ("tests", ("test", "t"), ("module", "m"))])
     v = {"protocolVersion": protocol.PROTOCOL_VERSION, "requestId": "q"}
