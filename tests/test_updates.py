@@ -5,9 +5,8 @@ import subprocess
 from collections import deque
 
 import pytest
-from pyspark.sql import functions as F
 
-from causeway.functions.identity import node_id_of
+from causeway.functions.lineage import cut
 from causeway.operators import graph as G, traverse, xrepo
 from causeway.operators.ingest import IngestionPolicy
 from causeway.plans import incremental
@@ -117,10 +116,10 @@ START = {
     "CODEOWNERS": "* @all\n/src/** @src\n",
 }
 EDITS = [
-    {"src/later.ts": "export {}\n"},  # wakes its importer
-    {"lib/package.json": '{"name":"lib"}'},  # owns what lies below, and is depended on
-    {"src/b.ts": None, "src/b/index.ts": "export function b() {}\n", "app/main.js": "module.exports = require('../lib/x')\n"},
-    {"src/lone.ts": "export const alone = 1\n", "lib/package.json": '{"name":"other"}'},
+    # a file that an importer waits for, and a manifest that owns what lies below and is depended on
+    {"src/later.ts": "export {}\n", "lib/package.json": '{"name":"lib"}'},
+    # a moved module, an entry point that appears, a changed name, an edited text
+    {"src/b.ts": None, "src/b/index.ts": "export function b() {}\n", "app/main.js": "module.exports = require('../lib/x')\n", "src/lone.ts": "export const alone = 1\n", "lib/package.json": '{"name":"other"}'},
 ]
 
 
@@ -145,40 +144,34 @@ def commits(tmp_path):
     return str(root)
 
 
-def test_update_equals_a_cold_build(spark, commits, tmp_path):
-    at = f"file://{tmp_path}/s"
-    build_repository(spark, commits, "t0", "r", at)
-    few = {1: 2, 2: 5, 3: 7, 4: 7}  # files that an edit can affect, at most
-    for n in range(1, 5):
-        warm = build_repository(spark, commits, f"t{n}", "r", at, base=f"t{n - 1}")
-        assert warm.metrics["resolved"] <= few[n] and warm.metrics["kept"] > 0
-        assert warm.metrics["parsed"] == {1: 1, 2: 0, 3: 1, 4: 1}[n]
-        cold = build_repository(spark, commits, f"t{n}", "r")
-        assert cold.metrics["kept"] == 0
-        assert names_of(warm.graph) == names_of(cold.graph) and G.equal(warm.graph, cold.graph)
-    got = names_of(warm.graph)
-    assert ("imports", ("file", "src/a.ts"), ("file", "src/b/index.ts")) in got and ("imports", ("file", "src/a.ts"), ("file", "src/later.ts")) in got
-    assert ("path-rule-match", ("path-rule", "CODEOWNERS:1:/src/**"), ("file", "src/a.ts")) in got
-    assert {k for k, a, _ in got if a == ("file", "src/a.ts")} == {"imports", "exports", "belongs-to-package"}
-
-
-def test_update_plan(spark, commits, tmp_path):
+def test_updates_equal_cold_builds(spark, commits, tmp_path):
     s = Store(spark, f"file://{tmp_path}/s")
-    done = update_repository(s, commits, "r", "t2", "t3")
+    done = update_repository(s, commits, "r", "t0", "t1")
     m = done.metrics
-    assert not m["base_reused_snapshot"] and not m["target_reused_snapshot"]
-    assert (m["added"], m["deleted"], m["renamed"], m["rename_only"]) == (1, 0, 1, 1)
-    assert m["target_resolved"] < m["target_resolved"] + m["target_kept"] and m["target_artifact_reuses"] == 0  # facts carry their commit
-    assert G.equal(done.graph, build_repository(spark, commits, done.target_commit, "r").graph)
+    assert not m["base_reused_snapshot"] and not m["target_reused_snapshot"] and m["base_kept"] == 0
+    assert (m["added"], m["deleted"], m["renamed"], m["touched_nodes"]) == (2, 0, 0, 2)
+    assert (m["target_parsed"], m["target_resolved"], m["target_kept"]) == (1, 6, 5)  # later, a, the new manifest, two files below it, who depends on it
     lost = {r.key for r in done.plan["invalidated"].join(done.graph.nodes, "id").collect()}
-    assert {"src/b/index.ts", "app/main.js", "src/a.ts", "src/a.test.ts", "src/lone.ts"} <= lost and "lib/y.ts" not in lost
-    assert m["touched_nodes"] == 3 and m["reused_nodes"] > 0 and done.plan["global_reasons"] == []
-    again = update_repository(s, commits, "r", "t2", "t3", merge_base=True)
+    assert {"src/later.ts", "src/a.ts", "src/a.test.ts", "src/lone.ts"} <= lost and "src/b.ts" not in lost
+    again = update_repository(s, commits, "r", "t0", "t1", merge_base=True)
     assert again.metrics["base_reused_snapshot"] and again.metrics["target_reused_snapshot"] and "target_parsed" not in again.metrics
     assert (again.base_key, again.target_key) == (done.base_key, done.target_key)
-    other = update_repository(s, commits, "r", "t2", "t3", analysis={"parser": "2"}, previous_analysis={"parser": "1"})
-    assert other.plan["global_reasons"] == ["parser"] and other.target_key != done.target_key
-    assert other.metrics["invalidated_nodes"] == other.graph.nodes.count()
+    warm = build_repository(spark, commits, "t2", "r", s.root, base="t1")
+    cold = build_repository(spark, commits, "t2", "r")
+    assert (warm.metrics["parsed"], warm.metrics["mode"], cold.metrics["kept"]) == (2, "incremental", 0)
+    assert 0 < warm.metrics["kept"] and warm.metrics["resolved"] + warm.metrics["kept"] == cold.metrics["resolved"]
+    one, other = (G.Graph(cut(g.nodes, "nodes"), cut(g.edges, "edges"), cut(g.diagnostics, "said")) for g in (warm.graph, cold.graph))
+    assert G.equal(one, other)
+    got = names_of(one)
+    assert {("imports", ("file", "src/a.ts"), ("file", "src/b/index.ts")), ("imports", ("file", "src/a.ts"), ("file", "src/later.ts"))} <= got
+    assert {("package-build-entrypoint", ("package", "app/package.json"), ("file", "app/main.js")), ("path-rule-match", ("path-rule", "CODEOWNERS:1:/src/**"), ("file", "src/a.ts"))} <= got
+    assert not any(k == "package-dependency" for k, *_ in got)  # the name is another now
+
+
+def test_a_changed_version_touches_all(spark):
+    g = graph(spark, [("file", "f"), ("module", "m")], [("contains", ("module", "m"), ("file", "f"))])
+    done = incremental.plan(g, g, g.nodes.where("false").select("id"), ({"parser": "1"}, {"parser": "2"}))
+    assert done["global_reasons"] == ["parser"] and (done["touched_edges"].count(), done["invalidated"].count()) == (1, 2)
 
 
 def test_configurations_have_identities():
