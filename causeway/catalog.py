@@ -593,4 +593,4 @@ def view_layout(spark, sf):
     return layout(g, node_id_of("events", "type", "view"))
 
 
-from causeway import catalog_facts  # noqa: E402,F401 - registers its queries
+from causeway import catalog_facts, catalog_updates  # noqa: E402,F401 - register their queries

@@ -11,7 +11,11 @@ from pyspark.sql import SparkSession
 from causeway import __version__, protocol
 from causeway.functions.identity import canonical_json
 from causeway.operators import graph as G, policy, traverse
-from causeway.plans.build import build_repository
+from causeway.plans.build import build_repository, configuration_identity
+from causeway.plans.update import update_repository
+from causeway.sources import git
+from causeway.sources.snapshot import ensure_snapshot, snapshot_key
+from causeway.sources.store import Store
 
 
 def _count(text: str) -> int:
@@ -28,12 +32,23 @@ def parser() -> argparse.ArgumentParser:
     sub.add_parser("protocol-info")
     p = sub.add_parser("protocol", help="a request from a file or standard input")
     p.add_argument("--request")
-    b = sub.add_parser("build")
-    b.add_argument("--root", required=True)
-    b.add_argument("--ref", default="HEAD")
-    b.add_argument("--repository", required=True)
-    b.add_argument("--store")
-    b.add_argument("--output", required=True, help="folder of the graph's tables")
+    for name, needs_store in (("build", False), ("build-intelligence", True), ("snapshot", True), ("update", True)):
+        b = sub.add_parser(name)
+        b.add_argument("--root", required=True)
+        b.add_argument("--repository", required=True)
+        b.add_argument("--store", required=needs_store, help="folder of the store")
+        b.add_argument("--output", required=name == "build", help="folder of the graph's tables")
+        b.add_argument("--rule", action="append", default=[], metavar="PATTERN=TARGET,...", help="a path rule after the repository's own")
+        b.add_argument("--no-discovered-rules", action="store_true")
+        if name == "update":
+            b.add_argument("--base", required=True)
+            b.add_argument("--target", default="HEAD")
+            b.add_argument("--merge-base", action="store_true")
+            b.add_argument("--edge-kind", action="append", default=[])
+        else:
+            b.add_argument("--ref", default="HEAD")
+        if name == "build-intelligence":
+            b.add_argument("--base", help="a ref whose relations the store may have")
     for name in ("neighbors", "affected", "explain", "traverse-policy", "explain-policy"):
         q = sub.add_parser(name)
         q.add_argument("--graph", required=True, help="folder of the graph's tables")
@@ -50,6 +65,32 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def _rule(text: str) -> tuple[str, tuple[str, ...]]:
+    pattern, _, targets = text.rpartition("=")
+    if not pattern or not targets:
+        raise ValueError(f"not a rule: {text!r}")
+    return pattern, tuple(targets.split(","))
+
+
+def _made(spark: SparkSession, a: argparse.Namespace) -> dict:
+    how = {"discover_rules": not a.no_discovered_rules, "path_rules": tuple(map(_rule, a.rule))}
+    if a.command in ("build", "build-intelligence"):
+        made = build_repository(spark, a.root, a.ref, a.repository, a.store, base=getattr(a, "base", None), **how)
+        g, out = made.graph, {"commit": made.commit, "metrics": made.metrics}
+    elif a.command == "snapshot":
+        commit, store = git.resolve(a.root, a.ref)["commit"], Store(spark, a.store)
+        chosen = configuration_identity(**how)
+        g, found = ensure_snapshot(store, lambda: build_repository(spark, a.root, commit, a.repository, a.store, **how).graph, a.repository, commit, commit, chosen)
+        out = {"commit": commit, "configuration": chosen, "manifestKey": snapshot_key(a.repository, commit, commit, chosen), "reused": found, "cache": store.stats}
+    else:
+        done = update_repository(Store(spark, a.store), a.root, a.repository, a.base, a.target, a.merge_base, edge_kinds=a.edge_kind or None, **how)
+        changes = [{"kind": r.kind, "path": r.path, "oldPath": r.old_path} for r in done.plan["changes"].orderBy("path").collect()]
+        g, out = done.graph, {"baseCommit": done.base_commit, "targetCommit": done.target_commit, "baseSnapshotKey": done.base_key, "targetSnapshotKey": done.target_key, "globalInvalidationReasons": done.plan["global_reasons"], "changes": changes, "metrics": done.metrics}
+    if a.output:
+        G.write(g, a.output)
+    return out
+
+
 def run(spark: SparkSession, a: argparse.Namespace) -> tuple[int, dict]:
     if a.command == "version":
         return 0, {"version": __version__}
@@ -63,10 +104,8 @@ def run(spark: SparkSession, a: argparse.Namespace) -> tuple[int, dict]:
             request = None
         answer = protocol.execute(spark, request)
         return (0 if answer["ok"] else 2), answer
-    if a.command == "build":
-        made = build_repository(spark, a.root, a.ref, a.repository, a.store)
-        G.write(made.graph, a.output)
-        return 0, {"commit": made.commit, "metrics": made.metrics}
+    if a.command in ("build", "build-intelligence", "snapshot", "update"):
+        return 0, _made(spark, a)
     g = G.read(spark, a.graph)
     if a.command == "neighbors":
         starts = g.nodes.where(g.nodes.id == a.start)

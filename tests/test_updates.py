@@ -6,6 +6,7 @@ from collections import deque
 
 import pytest
 
+from causeway import cli
 from causeway.functions.lineage import cut
 from causeway.operators import graph as G, traverse, xrepo
 from causeway.operators.ingest import IngestionPolicy
@@ -156,6 +157,10 @@ def test_updates_equal_cold_builds(spark, commits, tmp_path):
     again = update_repository(s, commits, "r", "t0", "t1", merge_base=True)
     assert again.metrics["base_reused_snapshot"] and again.metrics["target_reused_snapshot"] and "target_parsed" not in again.metrics
     assert (again.base_key, again.target_key) == (done.base_key, done.target_key)
+    ask = lambda *x: cli.run(spark, cli.parser().parse_args([*x, "--root", commits, "--repository", "r", "--store", s.root]))[1]
+    told = ask("update", "--base", "t0", "--target", "t1")
+    assert told["targetSnapshotKey"] == done.target_key and [(c["kind"], c["path"]) for c in told["changes"]] == [("added", "lib/package.json"), ("added", "src/later.ts")]
+    assert ask("snapshot", "--ref", "t1") | {"cache": 0} == {"commit": done.target_commit, "configuration": configuration_identity(), "manifestKey": done.target_key, "reused": True, "cache": 0}
     warm = build_repository(spark, commits, "t2", "r", s.root, base="t1")
     cold = build_repository(spark, commits, "t2", "r")
     assert (warm.metrics["parsed"], warm.metrics["mode"], cold.metrics["kept"]) == (2, "incremental", 0)
@@ -174,6 +179,13 @@ def test_a_changed_version_touches_all(spark):
     assert done["global_reasons"] == ["parser"] and (done["touched_edges"].count(), done["invalidated"].count()) == (1, 2)
 
 
+def test_rules_of_a_command():
+    a = cli.parser().parse_args(["build-intelligence", "--root", "r", "--repository", "x", "--store", "s", "--rule", "/a=b=@t,@u", "--base", "main"])
+    assert [cli._rule(r) for r in a.rule] == [("/a=b", ("@t", "@u"))] and a.base == "main" and a.output is None
+    with pytest.raises(ValueError):
+        cli._rule("nothing")
+
+
 def test_configurations_have_identities():
     base = configuration_identity()
     others = [configuration_identity(IngestionPolicy(exclude=("x",))), configuration_identity(discover_rules=False), configuration_identity(path_rules=(("*", ("@a",)),)), configuration_identity(analysis={"parser": "1"})]
