@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from causeway.functions.identity import canonical_json
 from causeway.functions.lineage import cut
 from causeway.operators.graph import Graph, has_partial_evidence
-from causeway.operators.traverse import oriented, path_back, search
+from causeway.operators.traverse import oriented, path_between, search
 
 POLICY_SCHEMA_VERSION = "causeway.policy/1"
 LISTS = ("edge_kinds", "node_kinds", "methods", "origins", "authorities", "states", "stop_node_kinds")
@@ -111,6 +111,7 @@ def explain(g: Graph, start: str, target: str, policy: TraversalPolicy) -> list[
         raise ValueError(f"no node {sorted(missing)[0]}")
     if start == target:
         return []
-    starts = g.nodes.where(F.col("id") == start).select("id")
-    found = search(policy_steps(g, policy), starts, policy.max_depth, None, target, _closed(g, policy))
-    return path_back(found.nodes, start, target) or None
+    steps, closed = policy_steps(g, policy), _closed(g, policy)
+    if closed is not None:  # no way leads on from there
+        steps = cut(steps.join(closed.where(F.col("id") != start).select(F.col("id").alias("at")), "at", "left_anti"), "steps")
+    return path_between(steps, start, target, policy.max_depth)

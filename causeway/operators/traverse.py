@@ -10,6 +10,7 @@ partition and never from one task.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F, Window as W
 
@@ -158,19 +159,76 @@ def reach_each(steps: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH, m
     return found
 
 
+def trail(pointers: DataFrame, start: str, length: int) -> list[tuple[str, str, str]]:
+    """[(id, edge_id, to)]: the first ``length`` hops from ``start`` along ``pointers``
+    (id, to, edge_id), one for each id.
+
+    Pointers double: after k rounds they span 2^k hops, and the nodes known to lie on
+    the way are twice as many, so a path of n hops takes log2(n) joins.
+    """
+    on = pointers.sparkSession.createDataFrame([(start, 0)], "id string, pos long")
+    jump, span = pointers.select("id", "to"), 1
+    while span < length:
+        on = on.unionByName(on.join(jump, "id").select(F.col("to").alias("id"), (F.col("pos") + span).alias("pos")))
+        span *= 2
+        if span < length:
+            jump = cut(jump.join(jump.select(F.col("id").alias("to"), F.col("to").alias("far")), "to").select("id", F.col("far").alias("to")), "jumps")
+            on = cut(on, "trail")
+    rows = on.where(F.col("pos") < length).join(pointers, "id").select("pos", "id", "edge_id", "to").collect()
+    return [(r.id, r.edge_id, r.to) for r in sorted(rows, key=lambda r: r.pos)]
+
+
 def path_back(found: DataFrame, start: str, target: str) -> list[tuple[str, str]]:
-    """[(edge_id, node)] from ``start`` to ``target`` along the first edges.
+    """[(edge_id, node)] from ``start`` to ``target`` along the first edges of a
+    search's nodes; [] if it did not reach the target."""
+    last = found.where(F.col("id") == target).select("depth").first()
+    if last is None:
+        return []
+    hops = trail(found.select("id", F.col("parent").alias("to"), "edge_id"), target, last.depth)
+    return [(edge, at) for at, edge, _ in reversed(hops)]
 
-    One lookup per hop: the path is as long as the search was deep.
+
+def path_between(steps: DataFrame, start: str, target: str, max_depth: int = MAX_DEPTH) -> list[tuple[str, str]] | None:
+    """[(edge_id, node)] of the shortest path along ``steps`` that a first-in-first-out
+    search finds first, or None.
+
+    That path has the least sequence of nodes, and between them the least edges. The search
+    goes from both ends, always on the side whose last level is smaller. Forward levels
+    keep their order, backward ones the least next node of each; the levels meet at a
+    node on a shortest path, and of several the first in forward order has the least way
+    to it, whence the least next nodes lead on.
     """
-    hops, at = [], target
-    while at != start:
-        row = found.where(F.col("id") == at).select("edge_id", "parent").first()
-        if row is None:
-            return []
-        hops.append((row.edge_id, at))
-        at = row.parent
-    return hops[::-1]
+    spark = steps.sparkSession
+    sides = {
+        True: {"level": spark.createDataFrame([(start, 0)], "id string, pos long"), "n": 1, "depth": 0, "found": []},
+        False: {"level": spark.createDataFrame([(target, 0)], "id string, pos long"), "n": 1, "depth": 0, "found": []},
+    }
+    for side in sides.values():
+        side["seen"] = side["level"].select("id")
+    while sides[True]["depth"] + sides[False]["depth"] < max_depth:
+        forward = sides[True]["n"] <= sides[False]["n"]
+        own = sides[forward]
+        here, there = ("at", "to") if forward else ("to", "at")
+        near = steps.join(own["level"].select(F.col("id").alias(here), "pos"), here)
+        by = F.struct("pos", "edge_id", F.col("at").alias("next")) if forward else F.struct(F.col("to").alias("next"), "edge_id")
+        new = near.select(F.col(there).alias("id"), by.alias("by")).groupBy("id").agg(F.min("by").alias("by")).join(own["seen"], "id", "left_anti")
+        if forward:
+            new = cut(new, "new").repartitionByRange("by.pos", "id").sortWithinPartitions("by.pos", "id")
+        counted = Observation()
+        new = new.select("id", F.col("by.next").alias("to"), "by.edge_id", (F.monotonically_increasing_id() if forward else F.lit(0).cast("long")).alias("pos"))
+        own["level"] = cut(new.observe(counted, F.count(F.lit(1)).alias("n")), "level")
+        own["n"], own["depth"] = counted.get["n"], own["depth"] + 1
+        if not own["n"]:
+            return None
+        own["found"].append(own["level"].select("id", "to", "edge_id"))
+        own["seen"] = own["seen"].unionByName(own["level"].select("id"))
+        if own["depth"] % 8 == 0:
+            own["seen"] = cut(own["seen"], "seen")
+        middle = sides[True]["level"].join(sides[False]["level"].select("id"), "id").agg(F.min_by("id", "pos").alias("id")).first().id
+        if middle is not None:
+            halves = [trail(reduce(DataFrame.unionByName, x["found"]), middle, x["depth"]) if x["depth"] else [] for x in (sides[True], sides[False])]
+            return [(edge, at) for at, edge, _ in reversed(halves[0])] + [(edge, to) for _, edge, to in halves[1]]
+    return None
 
 
 def shortest_path(g: Graph, start: str, target: str, direction: str = "out", edge_kinds: list[str] | None = None, max_depth: int = MAX_DEPTH) -> list[tuple[str, str]] | None:
@@ -181,6 +239,4 @@ def shortest_path(g: Graph, start: str, target: str, direction: str = "out", edg
         raise ValueError(f"no node {sorted(missing)[0]}")
     if start == target:
         return []
-    starts = g.nodes.where(F.col("id") == start).select("id")
-    found = search(cut(oriented(g, direction, edge_kinds), "steps"), starts, max_depth, None, target).nodes
-    return path_back(found, start, target) or None
+    return path_between(cut(oriented(g, direction, edge_kinds), "steps"), start, target, max_depth)

@@ -45,6 +45,8 @@ def test_affected(abc):
 def test_paths(abc):
     hops = traverse.shortest_path(abc, nid("module", "c"), nid("module", "a"), edge_kinds=["depends-on"])
     assert [n for _, n in hops] == [nid("module", "b"), nid("module", "a")]
+    found = traverse.closure(abc, nid("module", "c"), edge_kinds=["depends-on"]).nodes
+    assert traverse.path_back(found, nid("module", "c"), nid("module", "a")) == hops and traverse.path_back(found, nid("module", "c"), "node:none") == []
     assert traverse.shortest_path(abc, nid("module", "a"), nid("module", "c"), edge_kinds=["depends-on"]) is None
     assert traverse.shortest_path(abc, nid("module", "a"), nid("module", "a")) == []
     with pytest.raises(ValueError):
@@ -53,6 +55,34 @@ def test_paths(abc):
         traverse.closure(abc, "node:none")
 
 
+def first_path(edges, start, target, most):
+    """What a queue finds first: neighbours in the order of (node, edge)."""
+    seen, queue = {start: []}, deque([start])
+    while queue:
+        at = queue.popleft()
+        for to, edge in sorted((t, e) for a, t, e in edges if a == at):
+            if to not in seen and len(seen[at]) < most:
+                seen[to] = [*seen[at], (edge, to)]
+                queue.append(to)
+    return seen.get(target)
+
+
+@pytest.mark.parametrize("seed,most", [(1, 99), (2, 99), (3, 4), (4, 99)])
+def test_paths_from_both_ends_are_those_of_a_queue(spark, seed, most):
+    rng = random.Random(seed)
+    edges = [(f"n{k}_{rng.randrange(4)}", f"n{k + 1 if rng.random() < 0.8 else rng.randrange(9)}_{rng.randrange(4)}", f"e{rng.randrange(10**6)}-{k}-{i}") for k in range(8) for i in range(12)]
+    steps = spark.createDataFrame(edges, "at string, to string, edge_id string")
+    start = min(a for a, *_ in edges)
+    for target in (max(t for _, t, _ in edges), next((t for _, t, _ in edges if t.startswith("n5")), "n5_0"), "nowhere"):
+        assert traverse.path_between(steps, start, target, most) == first_path(edges, start, target, most)
+
+
+def test_long_trails_double(spark):
+    pointers = spark.range(60).selectExpr("concat('n', id) as id", "concat('n', id + 1) as to", "concat('e', id) as edge_id")
+    for length in (1, 2, 3, 8, 37):
+        assert traverse.trail(pointers, "n5", length) == [(f"n{k}", f"e{k}", f"n{k + 1}") for k in range(5, 5 + length)]
+
+
 def fifo(steps, start, max_depth, max_nodes, closed):
     """The sequential search that the levels must agree with."""
     seen, out, queue, truncated = {start}, {}, deque([(start, 0)]), False
