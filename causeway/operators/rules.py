@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+import re
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from causeway.functions.identity import node_id, provenance
-from causeway.functions.paths import glob_regex
+from causeway.functions.paths import ancestors, glob_regex, normalized
+
+FEW = 64
 
 #: Where a file of rules may stand, in this order (fixed values).
 RULE_FILES = (".github/CODEOWNERS", "CODEOWNERS", "docs/CODEOWNERS")
@@ -33,10 +38,12 @@ def rule_file(entries: DataFrame) -> DataFrame:
 def match_rules(paths: DataFrame, rules: list[tuple[int, str]]) -> DataFrame:
     """(path, ord, pattern, effective) of each match.
 
-    Rules are one repository's file, so each becomes a test of one projection
-    instead of a side of a nested-loop join; the last match is the largest index
-    of the row's array, which takes no window.
+    Up to ``FEW`` rules become tests of one projection, and the last match is the
+    largest index of the row's array, which takes no window; more are joined by their
+    literals. Both give the same rows.
     """
+    if len(rules) > FEW:
+        return match_many(paths, paths.sparkSession.createDataFrame([(o, p) for o, p in rules], "ord long, pattern string"))
     tests = []
     for ord_, pattern in sorted(rules):
         regex = glob_regex(pattern)
@@ -49,6 +56,54 @@ def match_rules(paths: DataFrame, rules: list[tuple[int, str]]) -> DataFrame:
     return hits.select("path", last.alias("last"), F.explode("hits").alias("h")).select("path", "h.ord", "h.pattern", (F.col("h.ord") == F.col("last")).alias("effective"))
 
 
+_KEYED = T.StructType([T.StructField(c, T.StringType()) for c in ("key", "regex")])
+
+
+def rule_key(pattern: str) -> tuple[str, str] | None:
+    """(key, regular expression) of a glob: what every path that it matches has.
+
+    That is, in this order, the literal directories that an anchored glob begins with, its
+    longest literal segment, or the ending of its last one; else nothing (``*``).
+    """
+    regex = glob_regex(pattern)
+    if regex is None:
+        return None
+    parts = normalized(pattern.strip()).rstrip("/").split("/")
+    literal = [not set(s) & set("*?") for s in parts]
+    lead = next((i for i, ok in enumerate(literal) if not ok), len(parts))
+    if len(parts) > 1 and lead:
+        return "p:" + "/".join(parts[:lead]), regex
+    # behind a segment such as a** there may be no slash
+    whole = [s for i, s in enumerate(parts) if literal[i] and (not i or parts[i - 1] == "**" or not parts[i - 1].endswith("**"))]
+    if whole:
+        return "s:" + max(whole, key=len), regex
+    tail = re.split(r"[*?]", parts[-1])[-1]
+    return ("e:" + tail[tail.rindex(".") :] if "." in tail else "*"), regex
+
+
+def match_many(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """(path, ord, pattern, effective) of each match, for any number of ``rules`` (ord, pattern).
+
+    A rule waits under one literal key; a path brings all of its own: the directories
+    above it and itself, its segments and their endings. So an equi-join gives each path the few rules
+    that may match it, and only those are tested. Globs without any literal wait
+    under a key that all paths bring.
+    """
+
+    @F.pandas_udf(_KEYED)
+    def keyed(pattern: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([rule_key(p) or (None, None) for p in pattern], columns=_KEYED.names)
+
+    of = rules.select("ord", "pattern", keyed("pattern").alias("k")).select("ord", "pattern", "k.*").where("key is not null")
+    parts = F.split("path", "/")
+    endings = F.filter(F.transform(parts, lambda s: F.regexp_extract(s, r"(\.[^.]*)$", 1)), lambda e: e != "")
+    tag = lambda kind, values: F.transform(values, lambda v: F.concat(F.lit(kind), v))
+    keys = F.concat(tag("p:", F.concat(ancestors("path"), F.array("path"))), tag("s:", parts), tag("e:", endings), F.array(F.lit("*")))
+    tried = paths.select("path", F.explode(F.array_distinct(keys)).alias("key")).join(of, "key")
+    hits = tried.where(F.expr("path rlike concat('(?s)', regex)")).select("path", "ord", "pattern")
+    return hits.withColumn("effective", F.col("ord") == F.max("ord").over(W.partitionBy("path")))
+
+
 def rule_facts(rules: DataFrame, matches: DataFrame, repository: str, ref: str, commit: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(node facts, edge facts): a node for each rule, an edge to each path it matches.
 

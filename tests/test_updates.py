@@ -1,6 +1,7 @@
 """Updates of a repository, searches with bounds for each seed, and budgets across repositories."""
 
 import random
+import re
 import subprocess
 from collections import deque
 
@@ -8,7 +9,8 @@ import pytest
 
 from causeway import cli
 from causeway.functions.lineage import cut
-from causeway.operators import graph as G, traverse, xrepo
+from causeway.functions.paths import glob_regex
+from causeway.operators import graph as G, rules, traverse, xrepo
 from causeway.operators.ingest import IngestionPolicy
 from causeway.plans import incremental
 from causeway.plans.build import build_repository, configuration_identity
@@ -179,6 +181,20 @@ def test_a_changed_version_touches_all(spark):
     assert done["global_reasons"] == ["parser"] and (done["touched_edges"].count(), done["invalidated"].count()) == (1, 2)
 
 
+def test_rules_by_literals_equal_tests_of_all(spark):
+    rng = random.Random(7)
+    names = ["a", "b", "src", "x.ts", "y.test.ts", ".env", "m.d.ts", "a.b"]
+    paths = sorted({"/".join(rng.choice(names) for _ in range(rng.randint(1, 4))) for _ in range(120)})
+    parts = [*names, "*", "**", "?", "*.ts", "a*", "**.ts", "a**", "*.b*", "**b"]
+    globs = sorted({rng.choice(["", "/", "./"]) + "/".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) + rng.choice(["", "", "/"]) for _ in range(700)} | {"", "/", " src/ "})
+    got = rules.match_rules(spark.createDataFrame([(p,) for p in paths], "path string"), list(enumerate(globs)))
+    want = {(p, k) for k, g in enumerate(globs) if (r := glob_regex(g)) for p in paths if re.search("(?s)" + r.replace("\\z", "\\Z"), p)}
+    rows = got.collect()
+    assert len(globs) > rules.FEW and {(r.path, r.ord) for r in rows} == want and len(rows) == len(want)
+    last = {p: max(k for q, k in want if q == p) for p, _ in want}
+    assert all(r.effective == (r.ord == last[r.path]) for r in rows)
+
+
 def test_rules_of_a_command():
     a = cli.parser().parse_args(["build-intelligence", "--root", "r", "--repository", "x", "--store", "s", "--rule", "/a=b=@t,@u", "--base", "main"])
     assert [cli._rule(r) for r in a.rule] == [("/a=b", ("@t", "@u"))] and a.base == "main" and a.output is None
