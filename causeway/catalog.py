@@ -210,7 +210,7 @@ SELECT id, min(depth) AS depth FROM r WHERE depth > 0 GROUP BY id""")
 def multi_source_reach(spark, sf):
     """All turns that go back to an opening turn, from all openings at once."""
     g = D.conversation_graph(spark, sf)
-    return traverse.reach(traverse.oriented(g, "in"), g.nodes.where("key like '%/0'").select("id"))
+    return traverse.reach(cut(traverse.oriented(g, "in"), "steps"), g.nodes.where("key like '%/0'").select("id"))
 
 
 # ---------------------------------------------------------------------- policy

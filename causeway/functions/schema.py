@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 GRAPH_SCHEMA_VERSION = "causeway.graph/1"
 
 _s = T.StringType()
+# fixed values: the fields of a provenance record
 _NAMED = T.StructType([T.StructField("name", _s), T.StructField("version", _s)])
 PROVENANCE = T.StructType([
     T.StructField("repository", _s), T.StructField("ref", _s), T.StructField("commit", _s), T.StructField("path", _s), T.StructField("extractor", _NAMED),

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import subprocess
+import threading
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
+from typing import IO
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -82,15 +85,40 @@ def accept(base: DataFrame, offered: DataFrame, valid: Column, what: str) -> tup
     return tagged.where("code is null").select(*offered.columns), tagged.where("code is not null").select("code", "id", "plugin")
 
 
+def _feed(into: IO[bytes], data: bytes) -> None:
+    with contextlib.suppress(OSError):  # it may not read all that it is told
+        into.write(data)
+        into.close()
+
+
 def external(command: list[str], d: Descriptor, timeout: float = 30.0, most_bytes: int = 16 << 20) -> Callable[[dict], dict]:
     """A plugin in a process of its own: one canonical JSON line in, one JSON
-    document out, whose descriptor must equal the declared one."""
+    document out, whose descriptor must equal the declared one. It is ended at
+    ``timeout`` seconds, and as soon as it has written more than ``most_bytes``."""
 
     def run(request: dict) -> dict:
-        done = subprocess.run(command, input=(canonical_json({"protocol": PLUGIN_VERSION, "request": request}) + "\n").encode(), capture_output=True, timeout=timeout, check=True)
-        if len(done.stdout) > most_bytes:
-            raise ValueError("the plugin's answer is too long")
-        answer = json.loads(done.stdout)
+        asked = (canonical_json({"protocol": PLUGIN_VERSION, "request": request}) + "\n").encode()
+        got, late = bytearray(), threading.Event()
+        with subprocess.Popen(command, stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL) as process:
+            timer = threading.Timer(timeout, lambda: (late.set(), process.kill()))
+            timer.start()
+            feeder = threading.Thread(target=_feed, args=(process.stdin, asked))
+            feeder.start()
+            try:
+                while piece := process.stdout.read1(1 << 16):
+                    got += piece
+                    if len(got) > most_bytes:
+                        raise ValueError("the plugin's answer is too long")
+                code = process.wait()
+            finally:
+                process.kill()
+                timer.cancel()
+                feeder.join()
+        if late.is_set():
+            raise TimeoutError(f"the plugin took more than {timeout} seconds")
+        if code:
+            raise RuntimeError(f"the plugin ended with {code}")
+        answer = json.loads(bytes(got))
         if not isinstance(answer, dict) or not isinstance(answer.get("output"), dict) or canonical_json(answer.get("descriptor")) != d.to_json():
             raise ValueError("the plugin's answer does not fit its declaration")
         return answer["output"]

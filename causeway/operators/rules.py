@@ -118,7 +118,7 @@ def rule_facts(rules: DataFrame, matches: DataFrame, repository: str, ref: str,
     rules = rules.withColumn("source", pick("repository", "overlay")).withColumn("rule_key", key).withColumn("proof", F.array(proof))
     metadata = F.to_json(F.struct(F.col("ord").alias("order"), "pattern", "source", F.col("source_path").alias("sourcePath"), "targets"))
     nodes = rules.select(F.lit(repository).alias("namespace"), F.lit("path-rule").alias("kind"), F.col("rule_key").alias("key"), metadata.alias("metadata"), F.col("proof").alias("provenance"))
-    hit = matches.select("path", "path_kind", "ord", "effective").join(F.broadcast(rules.select("ord", "rule_key", "proof")), "ord")  # a repository's one file of rules
+    hit = matches.select("path", "path_kind", "ord", "effective").join(rules.select("ord", "rule_key", "proof"), "ord")
     edges = hit.select(
         F.lit("path-rule-match").alias("kind"), node_id(F.lit(repository), F.lit("path-rule"), "rule_key").alias("src"), node_id(F.lit(repository), "path_kind", "path").alias("dst"), F.lit(None).cast("string").alias("edge_key"),
         F.to_json(F.struct("effective")).alias("metadata"), F.col("proof").alias("provenance"),

@@ -155,8 +155,14 @@ def test_plugin_declarations():
             plugin.Descriptor("p", "1", "s", methods, ("complete",))
     echo = ["python", "-c", "import sys,json; r=json.loads(sys.stdin.readline()); print(json.dumps({'descriptor': %s, 'output': {'nodes': [r['request']['x']]}}))" % repr(json.loads(d.to_json()))]
     assert plugin.external(echo, d)({"x": 1}) == {"nodes": [1]}
-    with pytest.raises(ValueError):
+    with pytest.raises(ValueError, match="declaration"):
         plugin.external(["python", "-c", "print('{}')"], d)({})
+    with pytest.raises(ValueError, match="too long"):  # ended while it still writes
+        plugin.external(["python", "-c", "import sys\nwhile True: sys.stdout.write('x' * 9999)"], d, most_bytes=1 << 20)({"x": "y" * (1 << 20)})
+    with pytest.raises(TimeoutError):
+        plugin.external(["python", "-c", "import time; time.sleep(60)"], d, timeout=0.5)({})
+    with pytest.raises(RuntimeError):
+        plugin.external(["python", "-c", "import sys; sys.exit(3)"], d)({})
 
 
 @pytest.mark.parametrize("base, want", [
