@@ -33,6 +33,33 @@ def evidence_summary(facts: DataFrame) -> DataFrame:
     return facts.select("id", *[values(field).alias(name) for name, field in named.items()])
 
 
+def model(g: Graph, root: str, hops: list[tuple[str, str]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a view: id, kind, key, label, x, y, causal, reference_only; and
+    id, kind, src, dst, causal with what their evidence says.
+
+    With the ``hops`` [(edge, node)] of an explanation from ``root`` only its edges are
+    shown, each once; they and their ends are causal. Ids that edges name but the graph
+    lacks are shown too, as references only.
+    """
+    spark = g.nodes.sparkSession
+    edges = g.edges.withColumn("causal", F.lit(False))
+    ways = [root]
+    if hops is not None:
+        shown = spark.createDataFrame([(e,) for e, _ in hops], "id string").distinct()
+        edges = g.edges.join(shown, "id", "left_semi").withColumn("causal", F.lit(True))
+        ways += [n for _, n in hops]
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id"))
+    on_way = spark.createDataFrame([(n,) for n in ways], "id string").distinct()
+    ids = ends.unionByName(on_way) if hops is not None else ends.unionByName(on_way).unionByName(g.nodes.select("id"))
+    known = g.nodes.select("id", "kind", "key", "metadata", F.lit(True).alias("there"))
+    own = F.get_json_object("metadata", "$.label")
+    label = F.when(F.length(own) > 0, own).when(F.col("there"), F.concat_ws(": ", "kind", "key")).otherwise(F.col("id"))
+    causal = on_way.select("id", F.lit(hops is not None).alias("on_way"))
+    nodes = ids.distinct().join(known, "id", "left").join(causal, "id", "left").select("id", "kind", "key", label.alias("label"), F.coalesce("on_way", F.lit(False)).alias("causal"), F.col("there").isNull().alias("reference_only"))
+    placed = layout(Graph(nodes, edges, g.diagnostics), root)
+    return nodes.join(placed, "id"), edges.select("id", "kind", "src", "dst", "causal").join(evidence_summary(edges), "id")
+
+
 def svg(g: Graph, root: str) -> str:
     """The slice as SVG; for graphs that a person can look at."""
     at = {r.id: (r.x, r.y) for r in layout(g, root).collect()}

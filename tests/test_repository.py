@@ -238,6 +238,19 @@ def test_evidence_summary(spark):
     assert (r.origins, r.methods, r.states, r.authorities) == (["overlay", "source"], ["explicit-overlay", "source-observation"], ["complete", "partial"], ["authoritative"])
 
 
+def test_view_model(spark):
+    g = graph(spark, [("m", "a", '{"label":"first"}'), ("m", "b"), ("m", "c")], [("uses", ("m", "a"), ("m", "b")), ("uses", ("m", "b"), ("m", "c")), ("uses", ("m", "a"), ("m", "c"))])
+    g = G.Graph(g.nodes.where("key <> 'c'"), g.edges, g.diagnostics)
+    nodes, edges = view.model(g, nid("m", "a"))
+    shown = {r.id: r for r in nodes.collect()}
+    assert {(r.label, r.causal, r.reference_only) for r in shown.values()} == {("first", False, False), ("m: b", False, False), (nid("m", "c"), False, True)}
+    assert edges.count() == 3 and edges.first().methods == ["source-observation"] and (shown[nid("m", "a")].x, shown[nid("m", "c")].x) == (0, 260)
+    way = [(r.id, nid("m", "b")) for r in g.edges.where(F.col("dst") == nid("m", "b")).collect()]
+    nodes, edges = view.model(g, nid("m", "a"), way + way)
+    assert sorted((r.label, r.causal) for r in nodes.collect()) == [("first", True), ("m: b", True)]
+    assert [(r.src, r.dst, r.causal) for r in edges.collect()] == [(nid("m", "a"), nid("m", "b"), True)]
+
+
 def test_view(spark):
     g = graph(spark, [("m", "a"), ("m", "<b>"), ("m", "c")], [("x", ("m", "a"), ("m", "<b>"))])
     got = {r.id: (r.x, r.y) for r in view.layout(g, nid("m", "a")).collect()}
