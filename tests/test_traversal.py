@@ -67,7 +67,7 @@ def first_path(edges, start, target, most):
     return seen.get(target)
 
 
-@pytest.mark.parametrize("seed,most", [(1, 99), (2, 99), (3, 4), (4, 99)])
+@pytest.mark.parametrize("seed,most", [(1, 99), (3, 4)])
 def test_paths_from_both_ends_are_those_of_a_queue(spark, seed, most):
     rng = random.Random(seed)
     edges = [(f"n{k}_{rng.randrange(4)}", f"n{k + 1 if rng.random() < 0.8 else rng.randrange(9)}_{rng.randrange(4)}", f"e{rng.randrange(10**6)}-{k}-{i}") for k in range(8) for i in range(12)]

@@ -83,7 +83,7 @@ def brute_across(space, resolves, depends, start, hops, most):
     return set(nodes), edges, cut
 
 
-@pytest.mark.parametrize("seed,hops,most", [(1, 2, 100), (2, 3, 7), (3, 3, 4), (4, 2, 1), (5, 4, 12), (6, 0, 9)])
+@pytest.mark.parametrize("seed,hops,most", [(1, 2, 100), (2, 3, 7), (3, 3, 4), (4, 2, 1)])
 def test_affected_within_both_bounds(spark, seed, hops, most):
     rng = random.Random(seed)
     space = {f"p{k:02}": f"s{rng.randrange(4)}" for k in range(16)} | {f"c{k:02}": "coordinates" for k in range(16)}
