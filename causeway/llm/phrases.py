@@ -87,19 +87,22 @@ def postings(langs: pa.Array, data: np.ndarray, offsets: np.ndarray) -> tuple[pa
     base = int(offsets[0])
     d = LOWER[data[base : int(offsets[-1])]]
     rel = offsets - base
-    gap = _GAPS[d]
-    solid = ~gap
-    start = solid.copy()
-    start[1:] &= gap[:-1]
+    solid = ~_GAPS[d]
+    start, stop = solid.copy(), solid.copy()
+    start[1:] &= ~solid[:-1]
+    stop[:-1] &= ~solid[1:]
     begins = rel[:-1][rel[:-1] < len(d)]
     start[begins] = solid[begins]  # a text's first byte begins a word, whatever stands before it
+    stop[begins[begins > 0] - 1] = solid[begins[begins > 0] - 1]
     at = np.flatnonzero(start)
     if not len(at):
         return pa.array([], pa.string()), pa.array([], pa.binary()), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    letters = np.cumsum(solid, dtype=np.int32)
-    word_at = np.append(letters[at] - 1, letters[-1]).astype(np.int32)
+    word_at = np.zeros(len(at) + 1, np.int32)
+    np.cumsum(np.flatnonzero(stop) + 1 - at, out=word_at[1:])
+    del start, stop
     words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(word_at), pa.py_buffer(d[solid])]).dictionary_encode()
-    piece = np.cumsum(_ENDS[d], dtype=np.int32)[at]
+    del solid
+    piece = np.searchsorted(np.flatnonzero(_ENDS[d]), at)
     row = np.searchsorted(rel, at, "right") - 1
     fresh = np.ones(len(at), bool)
     fresh[1:] = (piece[1:] != piece[:-1]) | (row[1:] != row[:-1])
