@@ -48,6 +48,13 @@ def test_line_dedup_takes_effect(spark, docs, sf):
     assert all(n is None or n == len(t) for t, n in got.values())
 
 
+def test_results_live_side_by_side(spark, docs, sf):
+    """A stage leaves what another stage's result still reads."""
+    one = P.near_dedup(spark, docs, sf)
+    other = P.line_dedup(spark, docs.where("doc_id > 40"), sf)
+    assert one.count() > 10 and 0 < other.count() < docs.count() and one.columns == other.columns
+
+
 def test_quality_drops_by_score(spark, docs, sf):
     """The rows whose score, of a model fit anew, reaches the threshold."""
     model = quality.fit(docs, P.table(spark, sf, "labels"))
