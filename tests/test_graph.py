@@ -129,3 +129,27 @@ def test_edges_of_all_kinds_are_counted(spark):
     g = graph(spark, [("m", "a"), ("m", "b")], [("x", ("m", "a"), ("m", "b")), ("y", ("m", "b"), ("m", "a"))])
     assert {(r.what, r.name): r.n for r in G.totals(g).collect()} == {("node", "m"): 2, ("edge", "x"): 1, ("edge", "y"): 1}
     assert edges(spark, []).count() == 0
+
+
+def test_scopes_belong_to_their_thread(spark):
+    """What one thread cuts is not in the scope that another has open."""
+    import threading
+
+    from causeway.functions.lineage import place, recorded
+
+    barrier, seen = threading.Barrier(2), {}
+
+    def work(name):
+        with recorded() as outer:
+            barrier.wait()
+            with recorded() as inner:
+                seen[name, "inner"] = (place(spark, name), inner)
+                barrier.wait()
+            seen[name, "outer"] = (place(spark, name), outer)
+
+    threads = [threading.Thread(target=work, args=(n,)) for n in "ab"]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert len(seen) == 4 and all(own == [path] for path, own in seen.values())
