@@ -15,10 +15,12 @@ context first, so contexts that share their nearest bytes are neighbours.
 1. One scan counts words (by hash) and grams in each task, and one aggregate
    over the corpus. Grams of held-out texts take part with count 0, so that each
    byte to be scored has its place.
-2. Grams are dealt by the ``TOP`` nearest bytes of their contexts. Each group is
-   a subtree and goes up to its root in a task; the few levels above are
-   aggregates and joins; a second pass over the groups comes down. The depth is
-   the same at every size of input, and the tree stays distributed.
+2. Grams are dealt by the ``TOP`` nearest bytes of their contexts, those of a
+   context with more than ``GROUP`` grams by one byte more, and so on, so that no
+   group grows with the corpus. Each group is a subtree and goes up to its root in
+   a task; the levels above are aggregates and joins; a second pass over the
+   groups comes down. The depth is the same at every size of input, the values
+   don't depend on ``GROUP``, and the tree stays distributed.
 3. Documents sum the values of their grams and words: the most frequent ones, at
    most ``COMMON_GRAMS`` and ``COMMON`` (chosen by a threshold on their count), are
    looked up in the task, all others by a join.
@@ -43,10 +45,11 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from causeway.llm.common import LOWER, SPACE, U64, chunks, cut, runs, scratch, table, text_bytes, words
+from causeway.llm.common import LOWER, SPACE, U64, bounds, chunks, cut, runs, scratch, table, text_bytes, words
 
 DEPTH = 6
 TOP = 3
+GROUP = 1 << 18  # grams of one subtree in a task
 COMMON_GRAMS = 1 << 21
 COMMON = 1 << 17
 HELD = 1 << 22  # counts that a task holds, 12 bytes each
@@ -229,13 +232,21 @@ def subtrees(gram: np.ndarray, n: np.ndarray, depth: int, top: int) -> list[list
     return out
 
 
-def _roots(depth: int, top: int):
-    """Up: the nodes of depth ``top`` with counts and the log of their children's weight."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """Whole groups of rows sorted by (top, ctx), with the bytes that they share."""
+    for t in runs(batches, ["top", "ctx"]):
+        cuts = bounds(t, ["top"])
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            yield t.column("top")[int(a)].as_py(), t.slice(a, b - a)
+
+
+def _roots(depth: int):
+    """Up: the root of each group, with counts and the log of its children's weight."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, ["ctx"]):
+        for top, t in _groups(batches):
             for x in subtrees(t.column("key").to_numpy(), t.column("c").to_numpy(), depth, top)[-1]:
-                yield pa.RecordBatch.from_arrays([pa.array(x.key >> 8), pa.array(x.key & 255), pa.array(x.n0), pa.array(x.n1), pa.array(x.below)], ["ctx", "node", "n0", "n1", "below"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x.key), top, np.int32)), pa.array(x.key >> 8), pa.array(x.key & 255), pa.array(x.n0), pa.array(x.n1), pa.array(x.below)], ["top", "ctx", "node", "n0", "n1", "below"])
 
     return scan
 
@@ -246,14 +257,14 @@ def _shares(kt: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return 1 / (1 + np.exp(gap)), 1 / (1 + np.exp(-gap))
 
 
-def _down(depth: int, top: int):
-    """log10 of each gram, given what comes from above depth ``top + 1``: the
+def _down(depth: int):
+    """log10 of each gram, given what comes from the root of its group: the
     probability of bit i is ai + b * (that at the node), or qi where the node has
     no observations. Both bits have their own sums, since 1 - p of a p near 1 has
     no digits left."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, ["ctx"]):
+        for top, t in _groups(batches):
             is_gram = t.column("kind").to_numpy() == GRAM
             gram, roots = t.filter(pa.array(is_gram)), t.filter(pa.array(~is_gram))
             keys, m = gram.column("key").to_numpy(), gram.column("n").to_numpy()
@@ -281,40 +292,77 @@ def _down(depth: int, top: int):
     return scan
 
 
-def tree(counted: DataFrame, depth: int = DEPTH) -> DataFrame:
+def _context(depth: int, top: int) -> Column:
+    """The ``top`` nearest bytes of a gram's context."""
+    return F.shiftright("key", 8 * (depth + 1 - top))
+
+
+def dealt_grams(counted: DataFrame, depth: int, group: int) -> tuple[DataFrame, int]:
+    """(top, ctx, key, n, c): each gram with its group, of at most ``group`` grams (or
+    one context of ``depth - 1`` bytes, at most 65,536); and the greatest ``top``.
+
+    The contexts that are too frequent are at most one for ``group`` grams; they come
+    from an aggregate, and each is found by a join.
+    """
+    first = top = min(TOP, depth - 1)
+    dealt = counted.select(F.lit(top).alias("top"), "key", "n", "c")
+    while top < depth - 1:
+        sizes = dealt.where(F.col("top") == top).groupBy(_context(depth, top).alias("ctx")).agg(F.count("*").alias("grams"))
+        frequent = cut(sizes.where(F.col("grams") > group).select("ctx"), "frequent")
+        if frequent.isEmpty():
+            break
+        marked = dealt.withColumn("ctx", _context(depth, top)).join(frequent.withColumn("deeper", F.lit(True)), "ctx", "left")
+        # a context of ``top`` bytes is frequent only where all shorter ones are
+        dealt = marked.select(F.when(F.col("deeper"), top + 1).otherwise(F.col("top")).alias("top"), "key", "n", "c")
+        top += 1
+    ctx = F.lit(None).cast("long")
+    for t in range(first, top + 1):
+        ctx = F.when(F.col("top") == t, _context(depth, t)).otherwise(ctx)
+    return dealt.select("top", ctx.alias("ctx"), "key", "n", "c"), top
+
+
+def tree(counted: DataFrame, depth: int = DEPTH, group: int = GROUP) -> DataFrame:
     """(gram, m, lp) for counted grams (key, n, c): log10 probability of each byte
     in its context; m counts its places in all texts, c in training."""
-    top = min(TOP, depth - 1)
-    dealt = counted.select(F.shiftright("key", 8 * (depth + 1 - top)).alias("ctx"), "key", "n", "c")
-    roots = dealt.repartition("ctx").sortWithinPartitions("ctx", "key").mapInArrow(_roots(depth, top), "ctx long, node long, n0 double, n1 double, below double")
-    level = cut(roots, "tree")
+    dealt, last = dealt_grams(counted, depth, group)
+    roots = dealt.repartition("top", "ctx").sortWithinPartitions("top", "ctx", "key").mapInArrow(_roots(depth), "top int, ctx long, node long, n0 double, n1 double, below double")
+    roots = cut(roots, "tree")
     # up: counts, and the log of the children's weighted probability
     kt = log_kt(F.col("n0"), F.col("n1"))
     high = F.greatest("kt", "below")
     weighted = high + F.log1p(F.exp(-F.abs(F.col("kt") - F.col("below")))) - LOG2
-    levels = {top: level}
-    for d in range(top - 1, -1, -1):
+    level = roots.where(F.col("top") == last).drop("top").withColumn("root", F.lit(True))
+    levels = {last: level}
+    for d in range(last - 1, -1, -1):
         up = level.withColumn("kt", kt).withColumn("pw", weighted).groupBy(F.shiftright("ctx", 8).alias("ctx"), "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("pw").alias("below"))
+        up = up.withColumn("root", F.lit(False))
+        if d >= min(TOP, depth - 1):
+            up = up.unionByName(roots.where(F.col("top") == d).drop("top").withColumn("root", F.lit(True)))
         level = levels[d] = cut(up, "tree")
-    # down to depth ``top``
+    # down to the roots
     seen = F.col("n0") + F.col("n1")
     own = [(F.col(n) + 0.5) / (seen + 1.0) for n in ("n0", "n1")]
     share, rest = (1 / (1 + F.exp(F.greatest(F.least(g, F.lit(700.0)), F.lit(-700.0)))) for g in (F.col("below") - kt, kt - F.col("below")))
-    above = None
-    for d in range(top + 1):
+    state = ["a0", "a1", "b", "q0", "q1"]
+    zero = F.lit(0).cast("long")
+    above, given = None, []
+    for d in range(last + 1):
         level = levels[d]
         if above is None:
             level = level.select("*", F.lit(0.0).alias("a0"), F.lit(0.0).alias("a1"), F.lit(1.0).alias("b"), F.lit(0.5).alias("q0"), F.lit(0.5).alias("q1"))
         else:
-            level = level.withColumn("up", F.shiftright("ctx", 8)).join(above.withColumnRenamed("ctx", "up"), ["up", "node"])
+            level = level.withColumn("up", F.shiftright("ctx", 8)).join(above.drop("root").withColumnRenamed("ctx", "up"), ["up", "node"])
         ps = [F.when(seen > 0, F.col(f"a{i}") + F.col("b") * own[i]).otherwise(F.col(f"q{i}")).alias(f"q{i}") for i in (0, 1)]
         level = level.withColumn("share", share).withColumn("rest", rest)
-        above = level.select("ctx", "node", *((F.col(f"a{i}") + F.col("b") * F.col("share") * own[i]).alias(f"a{i}") for i in (0, 1)), (F.col("b") * F.col("rest")).alias("b"), *ps)
-    state = ["a0", "a1", "b", "q0", "q1"]
-    zero = F.lit(0).cast("long")
-    above = above.select("ctx", F.lit(0).alias("kind"), F.shiftleft("ctx", 8).bitwiseOR(F.col("node")).alias("key"), zero.alias("n"), zero.alias("c"), *state)
-    both = dealt.select("ctx", F.lit(GRAM).alias("kind"), "key", "n", "c", *(F.lit(0.0).alias(c) for c in state)).unionByName(above)
-    return cut(both.repartition("ctx").sortWithinPartitions("ctx", "kind", "key").mapInArrow(_down(depth, top), "gram long, m long, lp double"), "grams")
+        above = level.select("root", "ctx", "node", *((F.col(f"a{i}") + F.col("b") * F.col("share") * own[i]).alias(f"a{i}") for i in (0, 1)), (F.col("b") * F.col("rest")).alias("b"), *ps)
+        if d >= min(TOP, depth - 1):
+            if d < last:
+                above = cut(above, "above")  # read by its groups and by the level below
+            given.append(above.where("root").select(F.lit(d).alias("top"), "ctx", F.lit(0).alias("kind"), F.shiftleft("ctx", 8).bitwiseOR(F.col("node")).alias("key"), zero.alias("n"), zero.alias("c"), *state))
+    both = dealt.select("top", "ctx", F.lit(GRAM).alias("kind"), "key", "n", "c", *(F.lit(0.0).alias(c) for c in state))
+    for x in given:
+        both = both.unionByName(x)
+    return cut(both.repartition("top", "ctx").sortWithinPartitions("top", "ctx", "kind", "key").mapInArrow(_down(depth), "gram long, m long, lp double"), "grams")
 
 
 # ------------------------------------------------------------------ lookup

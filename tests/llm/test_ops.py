@@ -475,6 +475,25 @@ def test_tree_weighting_equals_a_recursion(spark, depth):
         assert [got[i] for i in range(len(texts))] == pytest.approx(want)
 
 
+def test_frequent_contexts_are_dealt_deeper(spark):
+    """Groups stay within their bound, and the values don't depend on it."""
+    rng = random.Random(21)
+    texts = [(i, "the " * 40 + prose(rng, 60) if i % 3 else prose(rng, 80), i % 4 > 0) for i in range(24)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, train boolean").select("text", "train")
+    depth = 6
+    counted = df.mapInArrow(ctw._counts(depth), "kind long, key long, n long, c long").where("kind = 1").groupBy("key").agg(F.sum("n").alias("n"), F.sum("c").alias("c")).persist()
+    want = {r.gram: (r.m, r.lp) for r in ctw.tree(counted, depth, 1 << 40).collect()}
+    assert ctw.dealt_grams(counted, depth, 1 << 40)[1] == ctw.TOP
+    for group in (1, 6, 40):
+        dealt, last = ctw.dealt_grams(counted, depth, group)
+        assert ctw.TOP < last <= depth - 1
+        sizes = dealt.groupBy("top", "ctx").count().collect()
+        assert all(r["count"] <= group for r in sizes if r.top < depth - 1) and sum(r["count"] for r in sizes) == len(want)
+        got = {r.gram: (r.m, r.lp) for r in ctw.tree(counted, depth, group).collect()}
+        assert {k: m for k, (m, _) in got.items()} == {k: m for k, (m, _) in want.items()}
+        assert {k: x for k, (_, x) in got.items()} == pytest.approx({k: x for k, (_, x) in want.items()})
+
+
 def test_probabilities_sum_to_one(spark):
     """Over all next bytes of a context; contexts cross words."""
     rng = random.Random(12)
