@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from causeway.functions.lineage import cut
-from causeway.operators import ingest
+from causeway.operators import ingest, renames
 from causeway.operators.graph import Graph
 from causeway.plans import incremental
 from causeway.plans.build import build_repository, configuration_identity
@@ -29,6 +29,18 @@ class Update:
     metrics: dict
 
 
+def tree_changes(spark: SparkSession, root: str, base: str, target: str) -> DataFrame:
+    """(kind, path, old_path, similarity, content_changed) between two commits; renames
+    are found by joins over both trees, and only where files came and went are blobs read."""
+    trees = [cut(git.tree_entries(spark, root, c).where("type <> 'tree'"), "tree") for c in (base, target)]
+    changes = cut(incremental.diff_trees(*trees), "changes")
+    if {"added", "deleted"} - {r.kind for r in changes.select("kind").distinct().collect()}:
+        return changes.withColumn("similarity", F.when(F.col("kind") == "renamed", 100))
+    loose = [t.join(changes.where(F.col("kind") == k).select("path"), "path", "left_semi") for t, k in zip(trees, ("deleted", "added"))]
+    contents = cut(git.blobs(loose[0].unionByName(loose[1]), root), "loose")
+    return cut(renames.with_similar(changes, *trees, contents), "changes")
+
+
 def update_repository(
     store: Store, root: str, repository: str, base_ref: str, target_ref: str, merge_base: bool = False, policy: ingest.IngestionPolicy = ingest.IngestionPolicy(), discover_rules: bool = True,
     path_rules: tuple[tuple[str, tuple[str, ...]], ...] = (), analysis: dict | None = None, previous_analysis: dict | None = None, edge_kinds: list[str] | None = None,
@@ -41,7 +53,7 @@ def update_repository(
     base = git.resolve(root, base_ref)["commit"]
     if merge_base:
         base = git.git(root, "merge-base", base, target).decode().strip()
-    changes = cut(git.changed_paths(spark, root, base, target), "changes")
+    changes = tree_changes(spark, root, base, target)
     sides, metrics = [], {}
     for name, commit, versions in (("base", base, previous_analysis or analysis), ("target", target, analysis)):
         chosen = configuration_identity(policy, discover_rules, path_rules, versions)
