@@ -52,6 +52,7 @@ TOP = 2000
 BLOCK_BYTES = 16 << 20
 _SLOT = 28  # bits of a slot in a phrase's number; partition and block of it take 22 and 13
 _BLOCKS = 13
+_ROWS = 1 << 16  # offers that leave a task at once
 _ENDS = np.zeros(256, bool)
 _ENDS[[0x2E, 0x2C, 0x3B, 0x3A, 0x21, 0x3F, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _GAPS = _ENDS.copy()
@@ -63,81 +64,115 @@ _LISTS = "block long, slot long, first long, rest long, n long, lang string, wor
 def packed(lengths: np.ndarray, at: np.ndarray) -> bytes:
     """Posting lists, one after another, as differences; the bytes of equal weight
     stand together, so that the file's compression finds their zeros."""
-    step = np.diff(at, prepend=np.int64(0))
+    step = np.diff(at, prepend=at.dtype.type(0))
     heads = np.cumsum(lengths) - lengths
     step[heads] = at[heads]
-    planes = np.ascontiguousarray(step.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return np.int64(len(lengths)).tobytes() + lengths.astype("<u4").tobytes() + planes.tobytes()
+    planes = np.ascontiguousarray(step.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4).T)
+    return b"".join((np.int64(len(lengths)).tobytes(), lengths.astype("<u4").tobytes(), planes))
 
 
-def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+def unpacked(blob: bytes | pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
     """(lengths, positions) of ``packed``."""
     n = int(np.frombuffer(blob, "<i8", 1)[0])
     lengths = np.frombuffer(blob, "<u4", n, 8).astype(np.int64)
     planes = np.frombuffer(blob, np.uint8, offset=8 + 4 * n).reshape(4, -1)
-    at = np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.int64)
+    at = np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)  # a sum of all lists may wrap; the differences don't
     heads = np.cumsum(lengths) - lengths
-    before = np.zeros(len(heads), np.int64)
+    before = np.zeros(len(heads), np.uint32)
     before[1:] = at[heads[1:] - 1]
-    return lengths, at - np.repeat(before, lengths)
+    at -= np.repeat(before, lengths)
+    return lengths, at.view(np.int32)
+
+
+def _heads(key: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin."""
+    fresh = np.ones(len(key), bool)
+    np.not_equal(key[1:], key[:-1], out=fresh[1:])
+    return np.flatnonzero(fresh)
+
+
+def _key(high: np.ndarray, low: np.ndarray, highs: int, lows: int) -> np.ndarray:
+    """high * lows + low, in 32 bits where all of them fit."""
+    key = high.astype(np.int32 if highs * lows < 1 << 31 else np.int64)
+    key *= lows
+    key += low
+    return key
 
 
 def postings(langs: pa.Array, data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]:
-    """(lang, word, length, positions) of the lists of a block of texts, by lang and word."""
+    """(lang, word, length, positions) of the lists of a block of texts, by lang and word.
+
+    A block has fewer than 2^31 bytes, as an Arrow text has, so 32 bits hold its positions."""
     base = int(offsets[0])
     d = LOWER[data[base : int(offsets[-1])]]
-    rel = offsets - base
+    rel = (offsets - base).astype(np.int32)
     solid = ~_GAPS[d]
-    start, stop = solid.copy(), solid.copy()
-    start[1:] &= ~solid[:-1]
-    stop[:-1] &= ~solid[1:]
     begins = rel[:-1][rel[:-1] < len(d)]
-    start[begins] = solid[begins]  # a text's first byte begins a word, whatever stands before it
-    stop[begins[begins > 0] - 1] = solid[begins[begins > 0] - 1]
-    at = np.flatnonzero(start)
+    edge = solid.copy()
+    np.greater(solid[1:], solid[:-1], out=edge[1:])
+    edge[begins] = solid[begins]  # a text's first byte begins a word, whatever stands before it
+    at = np.flatnonzero(edge).astype(np.int32)
     if not len(at):
-        return pa.array([], pa.string()), pa.array([], pa.binary()), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return pa.array([], pa.string()), pa.array([], pa.binary()), np.zeros(0, np.int32), np.zeros(0, np.int32)
     word_at = np.zeros(len(at) + 1, np.int32)
-    np.cumsum(np.flatnonzero(stop) + 1 - at, out=word_at[1:])
-    del start, stop
-    words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(word_at), pa.py_buffer(d[solid])]).dictionary_encode()
-    del solid
-    piece = np.searchsorted(np.flatnonzero(_ENDS[d]), at)
-    row = np.searchsorted(rel, at, "right") - 1
-    fresh = np.ones(len(at), bool)
-    fresh[1:] = (piece[1:] != piece[:-1]) | (row[1:] != row[:-1])
-    position = np.arange(len(at)) + np.cumsum(fresh)
+    edge[:] = solid
+    np.greater(solid[:-1], solid[1:], out=edge[:-1])
+    begins = begins[begins > 0] - 1
+    edge[begins] = solid[begins]
+    word_at[1:] = np.flatnonzero(edge)
+    word_at[1:] += 1 - at
+    np.cumsum(word_at, out=word_at)
+    del edge
+    fresh = np.zeros(len(at) + 1, bool)  # the first words of pieces and texts
+    fresh[np.searchsorted(at, np.flatnonzero(_ENDS[d]).astype(np.int32))] = True
+    of = np.searchsorted(at, rel)
+    fresh[of] = True
+    position = np.cumsum(fresh[:-1], dtype=np.int32)
+    position += np.arange(len(at), dtype=np.int32)
+    del at, fresh
+    words = pa.Array.from_buffers(pa.binary(), len(position), [None, pa.py_buffer(word_at), pa.py_buffer(d[solid])])
+    del d, solid, word_at
+    words = words.dictionary_encode()
     kinds = langs.dictionary_encode()
-    key = kinds.indices.to_numpy()[row].astype(np.int64) * len(words.dictionary) + words.indices.to_numpy()
+    key = _key(np.repeat(kinds.indices.to_numpy(), np.diff(of)), words.indices.to_numpy(), len(kinds.dictionary), len(words.dictionary))
+    words = words.dictionary
     order = np.argsort(key, kind="stable")
-    key = key[order]
-    heads = np.flatnonzero(np.diff(key, prepend=-1))
-    lang, word = np.divmod(key[heads], len(words.dictionary))
-    return kinds.dictionary.take(pa.array(lang)), words.dictionary.take(pa.array(word)), np.diff(np.append(heads, len(key))), position[order]
+    key, position = key[order], position[order]
+    del order
+    heads = _heads(key)
+    lang, word = np.divmod(key[heads], len(words))
+    return kinds.dictionary.take(pa.array(lang)), words.take(pa.array(word)), np.diff(heads, append=len(key)).astype(np.int32), position
 
 
 def extended(lengths: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first, rest, length, positions) of the lists that follow by a merge join of
     all lists with themselves, one position on; by first and rest."""
-    slot = np.repeat(np.arange(len(lengths)), lengths)
+    most = max(len(lengths), 1)
     order = np.argsort(at, kind="stable")  # each position begins one phrase of a level at most
-    at, slot = at[order], slot[order]
+    slot = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)[order]
+    at = at[order]
+    del order
     hit = np.flatnonzero(np.diff(at) == 1)
-    key, start = slot[hit] * max(len(lengths), 1) + slot[hit + 1], at[hit]
+    start = at[hit]
+    key = _key(slot[hit], slot[1:][hit], most, most)
+    del at, slot, hit
     order = np.argsort(key, kind="stable")
     key, start = key[order], start[order]
-    heads = np.flatnonzero(np.diff(key, prepend=-1))
-    first, rest = np.divmod(key[heads], max(len(lengths), 1))
-    return first, rest, np.diff(np.append(heads, len(key))), start
+    del order
+    heads = _heads(key)
+    first, rest = np.divmod(key[heads], most)
+    return first.astype(np.int32), rest.astype(np.int32), np.diff(heads, append=len(key)).astype(np.int32), start
 
 
 def _batch(block: int, n: np.ndarray, first=None, rest=None, lang=None, word=None, blob: bytes | None = None) -> Iterator[pa.RecordBatch]:
-    """The offers of a block, and its lists in one row that has no slot."""
+    """The offers of a block, ``_ROWS`` at a time, and its lists in one row that has no slot."""
     kinds = {"block": pa.int64(), "slot": pa.int64(), "first": pa.int64(), "rest": pa.int64(), "n": pa.int64(), "lang": pa.string(), "word": pa.binary(), "lists": pa.binary()}
-    none = {c: pa.nulls(len(n), t) for c, t in kinds.items()}
-    offers = none | {"block": pa.array(np.full(len(n), block)), "slot": pa.array(np.arange(len(n))), "n": pa.array(n)}
-    offers |= {c: v if isinstance(v, pa.Array) else pa.array(v) for c, v in (("first", first), ("rest", rest), ("lang", lang), ("word", word)) if v is not None}
-    yield pa.RecordBatch.from_arrays([offers[c].cast(t) for c, t in kinds.items()], list(kinds))
+    given = {c: v for c, v in (("n", n), ("first", first), ("rest", rest), ("lang", lang), ("word", word)) if v is not None}
+    for a in range(0, len(n), _ROWS):
+        m = min(_ROWS, len(n) - a)
+        own = {"block": np.full(m, block), "slot": np.arange(a, a + m)} | {c: v[a : a + m] for c, v in given.items()}
+        own = {c: v if isinstance(v, pa.Array) else pa.array(v) for c, v in own.items()}
+        yield pa.RecordBatch.from_arrays([own[c].cast(t) if c in own else pa.nulls(m, t) for c, t in kinds.items()], list(kinds))
     if blob is not None:
         yield pa.RecordBatch.from_arrays([pa.array([{"block": block, "lists": blob}.get(c)], t) for c, t in kinds.items()], list(kinds))
 
@@ -172,15 +207,19 @@ def _blocks(block_bytes: int):
         def closed() -> Iterator[pa.RecordBatch]:
             nonlocal made, size
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
-            lang, word, n, at = postings(pa.array(langs, pa.string()), np.concatenate(texts), offsets)
+            data = np.concatenate(texts)
             texts.clear()
+            lang, word, n, at = postings(pa.array(langs, pa.string()), data, offsets)
+            del data
             langs.clear()
             size = 0
             if not len(n):
                 return
             if made >> _BLOCKS or len(n) >> _SLOT:
                 raise ValueError("too many blocks in a partition, or words in a block")
-            yield from _batch(part << _BLOCKS | made, n, lang=lang, word=word, blob=packed(n, at))
+            blob = packed(n, at)
+            del at
+            yield from _batch(part << _BLOCKS | made, n, lang=lang, word=word, blob=blob)
             made += 1
 
         for b in batches:
@@ -203,10 +242,13 @@ def _extend(keep_lists: bool):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, ["block"]):
-            block, slot, number = (t.column(c).to_numpy() for c in ("block", "slot", "id"))
+            block, slot = (t.column(c).to_numpy() for c in ("block", "slot"))
+            number = t.column("id").fill_null(-1).to_numpy()  # a null would make them doubles, which round numbers beyond 2^53
+            lists = t.column("lists")
+            del t
             heads = np.flatnonzero(slot < 0)
-            for a, b in zip(heads, [*heads[1:], t.num_rows]):
-                lengths, at = unpacked(t.column("lists")[int(a)].as_py())
+            for a, b in zip(heads, [*heads[1:], len(slot)]):
+                lengths, at = unpacked(lists[int(a)].as_buffer())
                 kept, ids = slot[a + 1 : b], number[a + 1 : b]
                 frequent = np.zeros(len(lengths), bool)
                 frequent[kept] = True
@@ -215,7 +257,9 @@ def _extend(keep_lists: bool):
                 if len(n) >> _SLOT:
                     raise ValueError("too many phrases in a block")
                 if len(n):
-                    yield from _batch(int(block[a]), n, first=ids[first], rest=ids[rest], blob=packed(n, at) if keep_lists else None)
+                    blob = packed(n, at) if keep_lists else None
+                    del at
+                    yield from _batch(int(block[a]), n, first=ids[first], rest=ids[rest], blob=blob)
 
     return scan
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -226,3 +227,47 @@ def test_postings_and_merge_joins(texts):
             w = piece.split()
             pairs.update(zip(w, w[1:]))
     assert {(names[i], names[j]): k for i, j, k in zip(first, rest, m.tolist())} == pairs
+
+
+def peak(f, *args):
+    """(result, the most bytes that numpy held meanwhile)"""
+    tracemalloc.start()
+    out = f(*args)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return out, most
+
+
+def test_lists_take_few_bytes_a_word():
+    """Two tasks of an executor share its memory with Spark, so a block's arrays must be small."""
+    rng = np.random.default_rng(5)
+    text = " ".join(f"w{x}" for x in rng.zipf(1.2, 400_000) % 50_000).encode()
+    offsets = np.linspace(0, len(text), 300).astype(np.int64)
+    (_, _, n, at), most = peak(phrases.postings, pa.array(["q"] * 299), np.frombuffer(text, np.uint8), offsets)
+    assert most < 48 * len(at)
+    blob, most = peak(phrases.packed, n, at)
+    assert most < 18 * len(at)
+    (n, at), most = peak(phrases.unpacked, pa.py_buffer(blob))
+    assert most < 18 * len(at)
+    _, most = peak(phrases.extended, n, at)
+    assert most < 48 * len(at)
+
+
+def test_offers_leave_in_small_batches():
+    n = np.arange(150_000) % 7 + 1
+    out = list(phrases._batch(3, n, first=n + 1, rest=n + 2, blob=b"x"))
+    assert max(b.num_rows for b in out) <= 1 << 16
+    t = pa.Table.from_batches(out[:-1])
+    assert [t.column(c).to_pylist() for c in ("slot", "n", "first", "rest")] == [list(range(150_000)), n.tolist(), (n + 1).tolist(), (n + 2).tolist()]
+    assert out[-1].to_pylist() == [{"block": 3, "slot": None, "first": None, "rest": None, "n": None, "lang": None, "word": None, "lists": b"x"}]
+
+
+def test_large_numbers_of_phrases_stay_exact():
+    """Numbers beyond 2^53, of partition 4096 on, are not rounded."""
+    block = 5000 << 13 | 3
+    ids = [block << 28 | k for k in (1, 3)]
+    blob = phrases.packed(np.array([2, 2]), np.array([1, 4, 2, 5]))  # a b. a b
+    rows = [{"block": block, "slot": -1, "id": None, "lists": blob}, *({"block": block, "slot": k, "id": ids[k], "lists": None} for k in (0, 1))]
+    kinds = pa.schema([("block", pa.int64()), ("slot", pa.int64()), ("id", pa.int64()), ("lists", pa.binary())])
+    got = [r for b in phrases._extend(False)(iter([pa.RecordBatch.from_pylist(rows, kinds)])) for r in b.to_pylist()]
+    assert [(r["first"], r["rest"], r["n"]) for r in got] == [(ids[0], ids[1], 2)]
