@@ -64,14 +64,47 @@ def canonical_metadata(text: pd.Series) -> pd.Series:
 
 def node_id(namespace: Column | str, kind: Column | str, key: Column | str) -> Column:
     c = [F.col(x) if isinstance(x, str) else x for x in (key, kind, namespace)]
-    return F.concat(F.lit("node:"), F.sha2(F.to_json(F.struct(c[0].alias("key"), c[1].alias("kind"), c[2].alias("namespace"))), 256))
+    return _id("node:", F.struct(c[0].alias("key"), c[1].alias("kind"), c[2].alias("namespace")))
+
+
+def _id(prefix: str, value: Column) -> Column:
+    """Never null, which Spark is told, lest joins hash a second time to test it."""
+    return F.coalesce(F.concat(F.lit(prefix), F.sha2(F.to_json(value), 256)), F.lit(""))
 
 
 def edge_id(kind: Column | str, src: Column | str, dst: Column | str, edge_key: Column | str | None = None) -> Column:
     """A null key does not take part."""
     kind, src, dst = (F.col(x) if isinstance(x, str) else x for x in (kind, src, dst))
     key = F.lit(None).cast("string") if edge_key is None else F.col(edge_key) if isinstance(edge_key, str) else edge_key
-    return F.concat(F.lit("edge:"), F.sha2(F.to_json(F.struct(src.alias("from"), key.alias("key"), kind.alias("kind"), dst.alias("to"))), 256))
+    return _id("edge:", F.struct(src.alias("from"), key.alias("key"), kind.alias("kind"), dst.alias("to")))
+
+
+#: What ids are but their hash, in the order of the texts; ``packed`` writes a byte for it.
+_PACKED = {"edge:": b"\x01", "node:": b"\x02"}
+
+
+def packed(id_: Column | str) -> Column:
+    """An id in 33 bytes, for what is sorted, shuffled or stored; other texts whole
+    behind a zero byte. Null stays null."""
+    c = F.col(id_) if isinstance(id_, str) else id_
+    mark = F.when(c.startswith("edge:"), F.lit(_PACKED["edge:"])).otherwise(F.lit(_PACKED["node:"]))
+    whole = F.concat(F.lit(b"\x00"), c.cast("binary"))
+    return F.when(c.rlike(r"^(?:edge|node):[0-9a-f]{64}\z"), F.concat(mark, F.unhex(F.substring(c, 6, 64)))).otherwise(whole)
+
+
+def unpacked(id_: Column | str) -> Column:
+    """The text of a ``packed`` id."""
+    c = F.col(id_) if isinstance(id_, str) else id_
+    mark, rest = F.substring(c, 1, 1), F.substring(c, 2, (1 << 31) - 1)
+    out = F.when(mark == F.lit(b"\x00"), rest.cast("string"))
+    for prefix, byte in _PACKED.items():
+        out = out.when(mark == F.lit(byte), F.concat(F.lit(prefix), F.lower(F.hex(rest))))
+    return out
+
+
+def is_whole(id_: Column) -> Column:
+    """Whether a ``packed`` id stands whole; without such ones, packed ids have the order of their texts."""
+    return F.substring(id_, 1, 1) == F.lit(b"\x00")
 
 
 def node_id_of(namespace: str, kind: str, key: str) -> str:

@@ -8,7 +8,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from causeway.functions.identity import canonical_json, edge_id, node_id
+from causeway.functions.identity import canonical_json, edge_id, node_id, packed, unpacked
+from causeway.functions.lineage import cut
 from causeway.functions.schema import AUTHORITIES, DIAGNOSTICS, EDGES, EDGE_FACTS, GRAPH_SCHEMA_VERSION, METHODS, NODES, NODE_FACTS, ORIGINS, STATES
 
 ABSENT = "<absent>"
@@ -26,27 +27,33 @@ class InvalidGraph(ValueError):
 
 @dataclass(frozen=True)
 class Graph:
+    """Nodes, edges and diagnostics. A graph that is not ``merged`` has a row for each fact
+    of an edge: searches and evidence policies, which ask whether some record allows a
+    step, need no merge of them."""
+
     nodes: DataFrame
     edges: DataFrame
     diagnostics: DataFrame
+    merged: bool = True
 
 
 def no_diagnostics(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], DIAGNOSTICS)
 
 
-def _sorted_evidence(col: str) -> Column:
+def sorted_evidence(col: str) -> Column:
     """Distinct records in the order of their JSON text."""
     tagged = F.array_sort(F.transform(F.array_distinct(col), lambda p: F.struct(F.to_json(p).alias("j"), p.alias("p"))))
     return F.transform(tagged, lambda x: x.p)
 
 
-def _merged(facts: DataFrame, id_: Column, key: list[str]) -> DataFrame:
-    """One row per identity with the union of its evidence and the number of
-    metadata values (absent counts as a value). Equal evidence of one identity is
+def _merged(facts: DataFrame, *by: Column | str) -> DataFrame:
+    """One row per value of ``by`` with the union of its evidence and the least and most of
+    its metadata (absent counts as a value). Equal evidence of one identity is
     dropped in the tasks that read the facts, before the shuffle."""
-    rows = facts.select(id_.alias("id"), *key, "metadata", F.explode("provenance").alias("p"))
-    return rows.groupBy("id", *key).agg(F.first("metadata").alias("metadata"), F.min(F.coalesce("metadata", F.lit(ABSENT))).alias("_lo"), F.max(F.coalesce("metadata", F.lit(ABSENT))).alias("_hi"), F.collect_set("p").alias("provenance")).withColumn("provenance", _sorted_evidence("provenance"))
+    rows = facts.select(*by, "metadata", F.explode("provenance").alias("p"))
+    merged = rows.groupBy(*[c for c in rows.columns if c not in ("metadata", "p")])
+    return merged.agg(F.first("metadata").alias("metadata"), F.min(F.coalesce("metadata", F.lit(ABSENT))).alias("_lo"), F.max(F.coalesce("metadata", F.lit(ABSENT))).alias("_hi"), F.collect_set("p").alias("provenance")).withColumn("provenance", sorted_evidence("provenance"))
 
 
 def evidence_of(facts: DataFrame, id_: Column) -> DataFrame:
@@ -56,11 +63,20 @@ def evidence_of(facts: DataFrame, id_: Column) -> DataFrame:
 
 
 def merge_nodes(facts: DataFrame) -> DataFrame:
-    return _merged(facts, node_id(*NODE_KEY), NODE_KEY)
+    """Shuffled by what the id is made of, which is shorter than the id."""
+    merged = _merged(facts, *NODE_KEY)
+    return merged.select(node_id(*NODE_KEY).alias("id"), *merged.columns)
 
 
-def merge_edges(facts: DataFrame) -> DataFrame:
-    return _merged(facts, edge_id(*EDGE_KEY), EDGE_KEY)
+def merge_edges(facts: DataFrame, ends: bool = True) -> DataFrame:
+    """Ids are shuffled in 33 bytes: both ends, from which the edge's id is made again, or
+    without ``ends`` the edge's id alone (and no src, dst, edge_key are returned)."""
+    if not ends:
+        merged = _merged(facts, packed(edge_id(*EDGE_KEY)).alias("id"), "kind")
+        return merged.withColumn("id", unpacked("id"))
+    merged = _merged(facts, "kind", packed("src").alias("src"), packed("dst").alias("dst"), "edge_key")
+    merged = merged.withColumns({"src": unpacked("src"), "dst": unpacked("dst")})
+    return merged.select(edge_id(*EDGE_KEY).alias("id"), *merged.columns)
 
 
 def conflicts(merged: DataFrame) -> DataFrame:
@@ -69,9 +85,16 @@ def conflicts(merged: DataFrame) -> DataFrame:
 
 
 def missing_endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, end, node): edge ends that no node has."""
-    ends = edges.select("id", F.explode(F.array(F.struct(F.lit("from").alias("end"), F.col("src").alias("node")), F.struct(F.lit("to").alias("end"), F.col("dst").alias("node")))).alias("e")).select("id", "e.*")
-    return ends.join(nodes.select(F.col("id").alias("node")), "node", "left_anti").select("id", "end", "node")
+    """(id, end, node): edge ends that no node has, each once, also where edges repeat.
+
+    The ends that are lacking are found first, among the distinct ones, and written;
+    only edges that have one of them are looked up and told apart.
+    """
+    sides = F.array(F.struct(F.lit("from").alias("end"), packed("src").alias("node")), F.struct(F.lit("to").alias("end"), packed("dst").alias("node")))
+    lost = edges.select(F.explode(sides).alias("e")).select("e.node").distinct().join(nodes.select(packed("id").alias("node")), "node", "left_anti")
+    ends = edges.select(packed("id").alias("id"), F.explode(sides).alias("e")).select("id", "e.*")
+    found = ends.join(cut(lost, "lost").withColumnRenamed("node", "lost"), F.col("node").eqNullSafe(F.col("lost"))).select("id", "end", "node").distinct()
+    return found.select(unpacked("id").alias("id"), "end", unpacked("node").alias("node"))
 
 
 def violation(p: Column) -> Column:
@@ -124,6 +147,14 @@ def facts_of(g: Graph) -> tuple[DataFrame, DataFrame]:
     return g.nodes.select(*NODE_FACTS.names), g.edges.select(*EDGE_FACTS.names)
 
 
+def with_edges(g: Graph, facts: DataFrame) -> Graph:
+    """A graph of facts with more of them; nothing is merged."""
+    if g.merged:
+        raise ValueError("a merged graph takes facts by build()")
+    more = facts.withColumn("id", edge_id(*EDGE_KEY)).select(*EDGES.names)
+    return Graph(g.nodes, g.edges.unionByName(more), g.diagnostics, merged=False)
+
+
 def union(graphs: list[Graph], **how) -> Graph:
     """All facts of several graphs as one; diagnostics keep their multiplicity."""
     parts = [facts_of(g) for g in graphs]

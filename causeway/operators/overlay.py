@@ -82,6 +82,7 @@ def apply_overlay(g: Graph, o: Overlay) -> tuple[DataFrame, DataFrame, DataFrame
         first = first.join(ends.withColumnsRenamed({"_end": "src", "_has": "_from"}), "src", "left").join(ends.withColumnsRenamed({"_end": "dst", "_has": "_to"}), "dst", "left")
         lost = F.col("_from").isNull() | F.col("_to").isNull()
         base = _of(g.edges, first).select("id", F.coalesce("metadata", F.lit("null")).alias("_base"))
+        base = base if g.merged else base.distinct()
         first = first.withColumn("_lost", lost).join(base, "id", "left")
         clash = ~F.col("_lost") & F.coalesce(F.col("_base") != F.col("_m"), F.lit(False))
         said = said.unionByName(first.where("_lost").select(F.lit("overlay-missing-edge-endpoint").alias("code"), F.col("id").alias("subject"), F.lit("unresolved").alias("state")))

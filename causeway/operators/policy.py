@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from causeway.functions.identity import canonical_json
 from causeway.functions.lineage import cut
-from causeway.operators.graph import Graph, has_partial_evidence
-from causeway.operators.traverse import oriented, path_between, search
+from causeway.operators.graph import Graph, has_partial_evidence, sorted_evidence
+from causeway.operators.traverse import ids_like, known, path_between, search, steps_of, stored
 
 POLICY_SCHEMA_VERSION = "causeway.policy/1"
 LISTS = ("edge_kinds", "node_kinds", "methods", "origins", "authorities", "states", "stop_node_kinds")
@@ -68,15 +68,20 @@ class TraversalPolicy:
         return F.filter(provenance, ok)
 
 
-def policy_steps(g: Graph, policy: TraversalPolicy) -> DataFrame:
-    """Steps that the policy allows: edge kind, evidence, kind of the node reached.
+def matching_facts(facts: DataFrame, policy: TraversalPolicy) -> DataFrame:
+    """Facts with their records that satisfy the policy; those without one leave. Merged,
+    they are what the policy matches of the merged facts, and much less is merged."""
+    return facts.withColumn("provenance", policy.matching(F.col("provenance"))).where(F.size("provenance") > 0)
 
-    Evidence is filtered before the join with the nodes, once for all levels.
-    """
-    matched = policy.matching(F.col("provenance"))
-    edges = g.edges.where(F.size(matched) > 0)
-    enter = g.nodes.where(F.col("kind").isin(*policy.node_kinds)) if policy.node_kinds else g.nodes
-    return cut(oriented(Graph(g.nodes, edges, g.diagnostics), policy.direction, list(policy.edge_kinds), enter), "steps")
+
+def policy_steps(g: Graph, policy: TraversalPolicy, ordered: bool = True) -> DataFrame:
+    """Stored steps that the policy allows by edge kind and evidence, filtered once for all
+    levels; which kinds of nodes they may enter is ``_enter``."""
+    return stored(steps_of(Graph(g.nodes, matching_facts(g.edges, policy), g.diagnostics), policy.direction, list(policy.edge_kinds)), ordered)
+
+
+def _enter(g: Graph, policy: TraversalPolicy) -> DataFrame:
+    return known(g.nodes.where(F.col("kind").isin(*policy.node_kinds)) if policy.node_kinds else g.nodes)
 
 
 def _closed(g: Graph, policy: TraversalPolicy) -> DataFrame | None:
@@ -89,9 +94,12 @@ def traverse(g: Graph, start: str, policy: TraversalPolicy) -> tuple[DataFrame,
     starts = g.nodes.where(F.col("id") == start).select("id")
     if not starts.head(1):
         raise ValueError(f"no node {start}")
-    found = search(policy_steps(g, policy), starts, policy.max_depth, policy.max_nodes, closed=_closed(g, policy))
+    found = search(policy_steps(g, policy), starts, policy.max_depth, policy.max_nodes, closed=_closed(g, policy), enter=_enter(g, policy))
     evidence = g.edges.select(F.col("id").alias("edge_id"), policy.matching(F.col("provenance")).alias("matched"))
     reasons = found.nodes.join(evidence, "edge_id").select("id", "depth", "parent", "edge_id", "matched")
+    if not g.merged:  # records of the edges found, each once
+        records = reasons.select("id", "depth", "parent", "edge_id", F.explode("matched").alias("p")).groupBy("id", "depth", "parent", "edge_id")
+        reasons = records.agg(F.collect_set("p").alias("matched")).withColumn("matched", sorted_evidence("matched"))
     partial = found.truncated or bool(has_partial_evidence(g).first().partial)
     return reasons, found.truncated, partial
 
@@ -100,7 +108,7 @@ def depths(g: Graph, start: str, policy: TraversalPolicy) -> DataFrame:
     """(id, depth) of all that ``traverse`` reaches when no bound of nodes holds;
     levels then need no order and evidence is read once."""
     starts = g.nodes.where(F.col("id") == start).select("id")
-    return search(policy_steps(g, policy), starts, policy.max_depth, None, closed=_closed(g, policy), ordered=False).nodes.select("id", "depth")
+    return search(policy_steps(g, policy, ordered=False), starts, policy.max_depth, None, closed=_closed(g, policy), ordered=False, enter=_enter(g, policy)).nodes
 
 
 def explain(g: Graph, start: str, target: str, policy: TraversalPolicy) -> list[tuple[str, str]] | None:
@@ -113,5 +121,6 @@ def explain(g: Graph, start: str, target: str, policy: TraversalPolicy) -> list[
         return []
     steps, closed = policy_steps(g, policy), _closed(g, policy)
     if closed is not None:  # no way leads on from there
-        steps = cut(steps.join(closed.where(F.col("id") != start).select(F.col("id").alias("at")), "at", "left_anti"), "steps")
-    return path_between(steps, start, target, policy.max_depth)
+        shut = closed.where(F.col("id") != start)
+        steps = cut(steps.join(ids_like(shut, steps).withColumnRenamed("id", "at"), "at", "left_anti"), "steps")
+    return path_between(steps, start, target, policy.max_depth, _enter(g, policy))
