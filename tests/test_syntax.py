@@ -99,3 +99,26 @@ def test_binding_patterns_by_construction(names, data):
 def test_any_text_is_read(text, script):
     tokens(text, script)
     scan(text, script)
+
+
+def read_once(spark, name, tmp_path):
+    """The plan of a module query over one text, which reads it a single time, and its rows."""
+    from causeway import catalog
+
+    spark.createDataFrame([(1, "one three sixsix seventy")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = catalog.QUERIES[name](spark, str(tmp_path))
+    plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+    assert plan.count("ArrowEvalPython") == 1
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_exports_read_each_text_once(spark, tmp_path):
+    assert read_once(spark, "module_exports", tmp_path) == [(1, "n_seventy"), (1, "n_seventy_b"), (1, "n_sixsix"), (1, "n_three_e")]
+
+
+def test_blanks_before_tokens():
+    from causeway.functions.lexer import tokens
+
+    assert [tuple(t) for t in tokens(" a  /\n b; x ", "ts")] == [("word", "a", 0, False), ("mark", "/", 0, False), ("word", "b", 0, True), ("mark", ";", 0, False), ("word", "x", 0, False)]
+    assert [t.text for t in tokens("x = /a b/g; y = a / b", "ts")] == ["x", "=", "/a b/g", ";", "y", "=", "a", "/", "b"]
+    assert [t.text for t in tokens("f( <p> a </p> ) ", "tsx")] == ["f", "(", "<>", ")"]
