@@ -122,3 +122,7 @@ def test_blanks_before_tokens():
     assert [tuple(t) for t in tokens(" a  /\n b; x ", "ts")] == [("word", "a", 0, False), ("mark", "/", 0, False), ("word", "b", 0, True), ("mark", ";", 0, False), ("word", "x", 0, False)]
     assert [t.text for t in tokens("x = /a b/g; y = a / b", "ts")] == ["x", "=", "/a b/g", ";", "y", "=", "a", "/", "b"]
     assert [t.text for t in tokens("f( <p> a </p> ) ", "tsx")] == ["f", "(", "<>", ")"]
+
+
+def test_imports_read_each_text_once(spark, tmp_path):
+    assert read_once(spark, "module_imports", tmp_path) == [(1, "dynamic-import", "./n_one", False), (1, "import", "./n_three", False), (1, "require", "./n_sixsix", False)]
