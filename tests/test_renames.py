@@ -104,3 +104,10 @@ def test_changes_of_a_repository_as_git_tells_them(spark, tmp_path):
     assert sum(x[0] == "renamed" for x in got) == 4
     close = {x[1]: x[3] for x in want}
     assert all(abs(s - close[path]) <= 1 for _, path, _, s in got if s is not None)
+
+
+def test_rows_of_blocks_are_numbers(spark):
+    files = renames._files(spark.createDataFrame([("p", "ab\ncd\nab\n"), ("q", "x")], "path string, content string"))
+    bags = renames._bags(files, spark.createDataFrame([(7, "p")], "c long, path string"), 1)
+    assert dict(bags.dtypes) == {"side": "int", "c": "bigint", "size": "bigint", "h": "bigint", "w": "bigint"}
+    assert sorted((r.side, r.c, r.size, r.w) for r in bags.collect()) == [(1, 7, 9, 3), (1, 7, 9, 6)]
