@@ -137,16 +137,18 @@ def search(steps: DataFrame, starts: DataFrame, max_depth: int = MAX_DEPTH, max_
         level = _from_level(frontier.where("open").select(F.col("id").alias("at"), *(["pos"] if ordered else [])), n)
         near = steps.join(level, "at")
         if depth >= max_depth:
-            beyond = near.select(F.col("to").alias("id")).join(seen, "id", "left_anti")
-            truncated = bool((beyond if enter is None else beyond.join(enter, "id", "left_semi")).head(1))
+            beyond = near.select(F.col("to").alias("id"))
+            if enter is not None:
+                beyond = cut(beyond.distinct(), "near").join(enter, "id")
+            truncated = bool(beyond.join(seen, "id", "left_anti").head(1))
             break
         if ordered:  # partial minima keep a hub's many arrivals out of the shuffle
             new = _named(near).groupBy(F.col("to").alias("id")).agg(F.min(F.struct("pos", "edge_id", F.col("at").alias("parent"))).alias("by"))
         else:
             new = near.select(F.col("to").alias("id")).distinct()
-        new = new.join(seen, "id", "left_anti")
-        if enter is not None:  # few arrivals are broadcast to the nodes, which are not shuffled for them
+        if enter is not None:  # written, few arrivals are broadcast to the nodes, and no join goes down to all steps
             new = cut(new, "near").join(enter, "id")
+        new = new.join(seen, "id", "left_anti")
         if ordered:
             order = ["by.pos", "id"]
             new = cut(new, "new")  # range bounds are drawn from the level alone, not from the join again
@@ -292,8 +294,9 @@ def path_between(steps: DataFrame, start: str, target: str, max_depth: int = MAX
         here, there = ("at", "to") if forward else ("to", "at")
         near = _named(steps.join(_from_level(own["level"].select(F.col("id").alias(here), "pos"), own["n"]), here))
         by = F.struct("pos", "edge_id", F.col("at").alias("next")) if forward else F.struct(F.col("to").alias("next"), "edge_id")
-        new = near.select(F.col(there).alias("id"), by.alias("by")).groupBy("id").agg(F.min("by").alias("by")).join(own["seen"], "id", "left_anti")
+        new = near.select(F.col(there).alias("id"), by.alias("by")).groupBy("id").agg(F.min("by").alias("by"))
         new = new if enter is None else cut(new, "near").join(enter, "id")
+        new = new.join(own["seen"], "id", "left_anti")
         if forward:
             new = cut(new, "new").repartitionByRange("by.pos", "id").sortWithinPartitions("by.pos", "id")
         counted = Observation()

@@ -85,3 +85,18 @@ def test_facts_join_a_graph_of_facts_only(spark):
     assert G.with_edges(a, more).edges.where("kind = 'z'").count() == 1
     with pytest.raises(ValueError):
         G.with_edges(b, more)
+
+
+def test_no_join_with_nodes_goes_down_to_the_steps(spark, monkeypatch):
+    """What is written of a level's arrivals reads steps and level only."""
+    a, _ = facts_graph(spark, *some_facts(7))
+    steps, plans, cut = traverse.stored(traverse.steps_of(a, "in")), [], traverse.cut
+
+    def spy(df, what):
+        if what == "near":
+            plans.append(df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple"))
+        return cut(df, what)
+
+    monkeypatch.setattr(traverse, "cut", spy)
+    traverse.search(steps, a.nodes.where(F.col("key") == "n0"), 1, enter=traverse.known(a.nodes))
+    assert len(plans) == 2 and not any("LeftAnti" in p or "LeftSemi" in p for p in plans)
